@@ -27,3 +27,103 @@ def missing_dates(df: DataFrame, column: str, start, end) -> DataFrame:
     present = df.select(F.to_date(column).alias("slot")).distinct()
     cal = calendar(df.sparkSession, start, end)
     return cal.join(present, "slot", "left_anti")
+
+
+def expand_slots(spark: SparkSession, from_date, to_date, max_days: int = 90) -> DataFrame:
+    """B1: a date range to daily slots; ``from <= to`` and at most ``max_days`` days.
+
+    Literal dates are checked on the driver; Column endpoints (derived from data) are
+    checked per row with ``raise_error``.
+    """
+    if not isinstance(from_date, Column) and not isinstance(to_date, Column):
+        a, b = date.fromisoformat(str(from_date)[:10]), date.fromisoformat(str(to_date)[:10])
+        if a > b:
+            raise ValueError("from_date must not be after to_date")
+        if (b - a).days + 1 > max_days:
+            raise ValueError(f"a restatement covers at most {max_days} days")
+        base = spark.range(1).select(_d(a).alias("f"), _d(b).alias("t"))
+    else:
+        base = spark.range(1).select(_d(from_date).alias("f"), _d(to_date).alias("t"))
+    return _expand(base, max_days)
+
+
+def expand_slots_of(bounds: DataFrame, max_days: int = 90) -> DataFrame:
+    """B1 for ranges held in a DataFrame (columns ``f``, ``t``), checked row by row."""
+    return _expand(bounds, max_days)
+
+
+def _expand(base: DataFrame, max_days: int) -> DataFrame:
+    span = F.datediff("t", "f") + 1
+    checked = base.select(
+        "*",
+        F.when(F.col("f") > F.col("t"), F.raise_error(F.lit("from_date after to_date")))
+        .when(span > max_days, F.raise_error(F.lit(f"range longer than {max_days} days"))).alias("_ok"))
+    return checked.select(*[c for c in base.columns if c not in ("f", "t")],
+                          F.explode(F.sequence("f", "t")).alias("slot")).select(
+        "*", F.date_format(F.col("slot").cast("timestamp_ntz"), "dd_MM_yyyy_HH").alias("date_key"))
+
+
+def pending_slots(slots: DataFrame, tracker: DataFrame, restate: bool = False, keys=("dataset", "slot")) -> DataFrame:
+    """Slots that still need a run: those without a tracker marker, or all when restating."""
+    if restate:
+        return slots
+    done = tracker.filter(F.col("status") == "success").select(*keys)
+    return slots.join(done, list(keys), "left_anti")
+
+
+def restate(tracker: DataFrame, slots: DataFrame, keys=("dataset", "slot")) -> DataFrame:
+    """B2: tracker with the markers of the given slots cleared (those slots will re-run)."""
+    return tracker.join(slots.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def restatement_history(registry: DataFrame, dataset: str | None, days: int, as_of) -> DataFrame:
+    """Restatements of the last ``days`` days (one dataset or all) with the row delta."""
+    a = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    r = registry.filter(F.col("triggered_at") >= a - F.expr(f"INTERVAL {int(days)} DAYS"))
+    if dataset is not None:
+        r = r.filter(F.col("dataset_id") == dataset)
+    return r.withColumn("row_delta", F.col("rows_after") - F.col("rows_before"))
+
+
+ACTIVE_STATES = ("pending", "running")
+
+
+def conflicts(registry: DataFrame, requests: DataFrame, bucket_days: int = 31) -> DataFrame:
+    """Requested restatements that overlap an active one of the same dataset."""
+    from .joins import overlapping
+
+    active = registry.filter(F.col("status").isin(*ACTIVE_STATES)).select(
+        "dataset_id", F.col("restatement_id").alias("active_id"), "date_range_start", "date_range_end")
+    req = requests.select("dataset_id", F.col("restatement_id").alias("request_id"), "date_range_start", "date_range_end")
+    return overlapping(req, active, "dataset_id", "date_range_start", "date_range_end", bucket_days)
+
+
+def cascade(edges: DataFrame, dataset: str, depth: str = "all", max_depth: int = 8) -> DataFrame:
+    """Datasets to restate and their phase (parents first).
+
+    ``self`` -> the dataset alone; ``children`` -> plus direct downstream; ``all`` -> every
+    downstream dataset within ``max_depth`` hops.  The phase of a node is its longest path
+    from the dataset (bounded by ``max_depth``), so every parent runs in an earlier phase.
+    """
+    from .lineage import path_depths
+
+    spark = edges.sparkSession
+    me = spark.range(1).select(F.lit(dataset).alias("name"), F.lit(0).alias("phase"))
+    if depth == "self":
+        return me
+    limit = 1 if depth == "children" else max_depth
+    d = path_depths(edges, dataset, limit).groupBy("name").agg(F.max("depth").alias("phase"))
+    return me.unionByName(d.filter(F.col("name") != dataset))
+
+
+def restatement_progress(slots: DataFrame, tracker: DataFrame, keys=("layer", "slot")) -> DataFrame:
+    """Per layer, slots done / failed / pending and an overall status."""
+    t = tracker.select(*keys, "status")
+    j = slots.select(*keys).distinct().join(t, list(keys), "left")
+    g = j.groupBy(keys[0]).agg(
+        F.count(F.lit(1)).alias("slots"),
+        F.count_if(F.col("status") == "success").alias("done"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("status").isNull()).alias("pending"))
+    return g.withColumn("state", F.when(F.col("failed") > 0, "partial_failure")
+                        .when(F.col("done") == F.col("slots"), "completed").otherwise("running"))
