@@ -225,6 +225,9 @@ EXPECTED_ORDERS = T.StructType([
 ])
 
 # DuckDB type names mapped to Spark's simple strings for the oracle
+_SCHEMA_TYPES_SQL = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
+                     "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' "
+                     "ELSE lower(data_type) END")
 _DUCK_TYPE = ("CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
               "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END")
 _EXPECTED_SQL = ("(VALUES ('o_orderkey', 'bigint', false), ('o_custkey', 'bigint', true), "
