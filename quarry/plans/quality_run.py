@@ -22,7 +22,7 @@ from ..quality import engine
 from ..quality.gate import gate
 from ..quality.history import detect_anomalies
 from ..quality.profile import profiles_json
-from ..quality.results import AUTO_METRICS_SCHEMA, result_struct
+from ..quality.results import AUTO_METRICS_SCHEMA
 from ..quality.rules import Rule, RuleSet, RunContext, load_rules
 from ..sinks import writers as W
 from ..sources.readers import read_slot
@@ -41,16 +41,15 @@ class CustomMetric(Rule):
 
     def evaluate(self, df, ctx):
         m = self.fn(df)
-        sev = F.coalesce(F.lower(F.col("severity")), F.lit(self.severity)) if "severity" in m.columns else F.lit(self.severity)
-        r = result_struct(self.name, self.rule_type, self.severity,
-                          F.when(F.col("passed"), "PASS").otherwise(self.fail_status(ctx)),
-                          F.coalesce(F.col("message"), F.lit("")) if "message" in m.columns else F.lit(""),
-                          F.col("value").cast("string"), None, F.lit(0))
-        return m.select(r.alias("r")).select(
-            F.concat(F.lit(self.name + ":"), F.col("metric_name")).alias("rule_name") if "metric_name" in m.columns
-            else F.lit(self.name).alias("rule_name"),
-            "r.rule_type", sev.alias("severity"), "r.status", "r.message", "r.actual_value", "r.expected_value",
-            "r.affected_rows", "r.check_family")
+        name = (F.concat(F.lit(self.name + ":"), F.col("metric_name").cast("string")) if "metric_name" in m.columns
+                else F.lit(self.name))
+        sev = F.lower(F.col("severity")) if "severity" in m.columns else F.lit(self.severity)
+        msg = F.col("message") if "message" in m.columns else F.lit("")
+        status = F.when(F.col("passed"), F.lit("PASS")).otherwise(F.lit(self.fail_status(ctx)))
+        return m.select(name.alias("rule_name"), F.lit(self.rule_type).alias("rule_type"), sev.alias("severity"),
+                        status.alias("status"), msg.cast("string").alias("message"),
+                        F.col("value").cast("string").alias("actual_value"), F.lit(None).cast("string").alias("expected_value"),
+                        F.lit(0).cast("long").alias("affected_rows"), F.lit("content").alias("check_family"))
 
 
 @dataclass

@@ -42,14 +42,21 @@ def path_exists(spark: SparkSession, path: str, fmt: str = FMT) -> bool:
         return False
 
 
+def rebalance(df: DataFrame, partition_cols) -> DataFrame:
+    """Group rows of a partition into few tasks before a partitioned write, with AQE splitting
+    a partition that is too large (a hot slot is spread over several files, not one task)."""
+    return df.hint("rebalance", *partition_cols) if partition_cols else df
+
+
 def overwrite_slot(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> None:
     """K1: replace the partition slots present in ``df``; other slots stay."""
-    _writer(df, "overwrite", partition_cols, fmt, {"partitionOverwriteMode": "dynamic"}).save(path)
+    _writer(rebalance(df, partition_cols), "overwrite", partition_cols, fmt,
+            {"partitionOverwriteMode": "dynamic"}).save(path)
 
 
 def append(df: DataFrame, path: str, partition_cols=None, fmt: str = FMT) -> None:
     """K2: append mode."""
-    _writer(df, "append", partition_cols, fmt).save(path)
+    _writer(rebalance(df, partition_cols), "append", partition_cols, fmt).save(path)
 
 
 def write_guarded(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> int:
@@ -61,8 +68,8 @@ def write_guarded(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> i
     if not partition_cols:
         raise ValueError("a guarded write replaces partitions: give partition columns")
     obs = Observation("quarry_write")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    overwrite_slot(observed, path, partition_cols, fmt)
+    observed = rebalance(df, partition_cols).observe(obs, F.count(F.lit(1)).alias("rows"))
+    _writer(observed, "overwrite", partition_cols, fmt, {"partitionOverwriteMode": "dynamic"}).save(path)
     return int(obs.get.get("rows", 0) or 0)
 
 

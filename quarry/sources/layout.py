@@ -39,8 +39,17 @@ class LakeLayout:
         return self.path("checkpoint", re.sub(r"[^A-Za-z0-9_.-]", "_", pipeline))
 
 
-def render_path(template: str, slot: datetime) -> str:
-    """S3: fill ``{_year}``, ``{_month}``, ``{_day}``, ``{_hour}`` (zero padded); globs stay."""
-    values = {"_year": f"{slot.year:04d}", "_month": f"{slot.month:02d}", "_day": f"{slot.day:02d}",
-              "_hour": f"{slot.hour:02d}", "_date": slot.strftime("%Y-%m-%d")}
-    return re.sub(r"\{(_[a-z]+)\}", lambda m: values.get(m.group(1), m.group(0)), template)
+def render_path(template: str, slot: datetime, hour: int | None = None) -> str:
+    """S3: fill ``{_year}``, ``{_month}``, ``{_day}``, ``{PARTITION_HOUR}`` / ``{_hour}`` as plain
+    integers (a format spec such as ``{_month:02d}`` pads); other braces and globs stay."""
+    values = {"_year": slot.year, "_month": slot.month, "_day": slot.day,
+              "_hour": slot.hour if hour is None else hour, "PARTITION_HOUR": slot.hour if hour is None else hour,
+              "PARTITION_DATE": slot.strftime("%Y-%m-%d")}
+
+    def fill(m: re.Match) -> str:
+        name, spec = m.group(1), m.group(2) or ""
+        if name not in values:
+            return m.group(0)
+        return format(values[name], spec)
+
+    return re.sub(r"\{([A-Za-z_]+)(?::([^{}]*))?\}", fill, template)
