@@ -20,7 +20,8 @@ def points(t):
                     F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("status"), status).alias("Tags"))
 
 
-GOOD = F.col("Tags")["status"] == "success"
+def good():
+    return F.col("Tags")["status"] == "success"
 
 
 def logs(t):
@@ -64,7 +65,7 @@ FROM events GROUP BY 1
 """)
 def _a16(t):
     """Success ratio (sumif / sum) per hour."""
-    r = O.ratio_by_bin(points(t), GOOD, "1 hour")
+    r = O.ratio_by_bin(points(t), good(), "1 hour")
     return r.select("bin", F.round("good", 6).alias("good"), F.round("total", 6).alias("total"), F.round("ratio", 6).alias("ratio"))
 
 
@@ -92,7 +93,7 @@ FROM b
 """)
 def _o1(t):
     """O1: SLI, error budget and burn rate per 1 h / 6 h bin with fast / slow alerts."""
-    s = O.service_level(points(t), GOOD, 0.99)
+    s = O.service_level(points(t), good(), 0.99)
     return s.select("window", "bin", F.round("sli", 6).alias("sli"), F.round("burn_rate", 6).alias("burn_rate"), "alert", "severity")
 
 
