@@ -40,14 +40,14 @@ def reach(edges: DataFrame, start: str, direction: str = "downstream", max_depth
     reported; cycles end because visited nodes are removed from the frontier.
     """
     spark = edges.sparkSession
-    e = _oriented(edges, direction).distinct()
+    # the edge table is read once per hop: materialise it once (reliable checkpoint)
+    e = cut_lineage(_oriented(edges, direction).distinct())
     visited = spark.range(1).select(F.lit(start).alias("name"), F.lit(0).alias("depth"))
     frontier = visited.select("name")
     for d in range(1, max_depth + 1):
         nxt = (frontier.join(e, frontier["name"] == e["a"]).select(F.col("b").alias("name")).distinct()
                .join(visited.select("name"), "name", "left_anti"))
-        if d % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
+        nxt = cut_lineage(nxt)      # the frontier is computed once; the emptiness test reads it
         if nxt.isEmpty():
             break
         visited = visited.unionByName(nxt.select("name", F.lit(d).alias("depth")))
@@ -61,13 +61,11 @@ def path_depths(edges: DataFrame, start: str, max_depth: int = 8, checkpoint_eve
     """Every (node, depth) at which a walk of at most ``max_depth`` hops from ``start`` arrives
     (distinct pairs, so the set is bounded by nodes x depth even with cycles)."""
     spark = edges.sparkSession
-    e = _oriented(edges, "downstream").distinct()
+    e = cut_lineage(_oriented(edges, "downstream").distinct())
     level = spark.range(1).select(F.lit(start).alias("name"))
     out = None
     for d in range(1, max_depth + 1):
-        level = level.join(e, level["name"] == e["a"]).select(F.col("b").alias("name")).distinct()
-        if d % checkpoint_every == 0:
-            level = cut_lineage(level)
+        level = cut_lineage(level.join(e, level["name"] == e["a"]).select(F.col("b").alias("name")).distinct())
         if level.isEmpty():
             break
         step = level.select("name", F.lit(d).alias("depth"))
@@ -105,7 +103,7 @@ def task_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: in
     parent, or 0 when none is settled.
     """
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
+    e = cut_lineage(edges.select("src", "dst").distinct())
     if nodes is None:
         nodes = e.select(F.col("src").alias("task")).union(e.select(F.col("dst").alias("task"))).distinct()
     indeg = e.groupBy(F.col("dst").alias("task")).agg(F.count(F.lit(1)).alias("indeg"))

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 def merge_upsert(target: DataFrame, source: DataFrame, keys, order: str | None = None) -> DataFrame:
     """Update all / insert all by key.
 
-    Target rows whose key is in the source are replaced by the source row (left anti join +
-    union: one shuffle on the key).  With ``order``, duplicate source keys keep the newest.
+    Without ``order``: target rows whose key is in the source are replaced by the source row
+    (left anti join + union: one shuffle on the key).  With ``order``: per key the newest row
+    of target and source wins (a late, older source row does not overwrite a newer one).
     Upserting the same source twice gives the same result as once.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    src = source.select(*target.columns)
     if order is not None:
         from ..operators.windows import latest_per
 
-        source = latest_per(source, keys, order)
-    src = source.select(*target.columns)
+        return latest_per(target.unionByName(src), keys, [order])
     kept = target.join(src.select(*keys), keys, "left_anti")
     return kept.unionByName(src)
 

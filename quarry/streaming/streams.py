@@ -96,16 +96,18 @@ def incremental(source: DataFrame, target: DataFrame | None, ts: str) -> DataFra
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys, ts: str, watermark: str = "1 hour",
-                  trigger: str | None = None, partition_cols=None) -> StreamingQuery:
-    """Streaming dedup within the watermark, then an idempotent upsert per micro-batch.
+                  trigger: str | None = None, partition_cols=None, dedup_keys=None) -> StreamingQuery:
+    """Streaming dedup of repeated deliveries within the watermark, then an idempotent
+    upsert per micro-batch that keeps the newest row (by ``ts``) of every key.
 
-    The batch id is written with the rows; a replayed batch (after a failure) finds its id
-    already applied and is skipped.
+    ``dedup_keys`` identify one delivery (default: key + time).  The batch id is stored with
+    the rows; a replayed batch (after a failure) finds its id applied and is skipped.
     """
     from ..sinks.writers import merge_or_create, path_exists
 
     keys = [keys] if isinstance(keys, str) else list(keys)
-    deduped = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+    ident = list(dedup_keys) if dedup_keys else keys + [ts]
+    deduped = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(ident)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -113,8 +115,8 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys, ts: str,
             done = spark.read.parquet(path).filter(F.col("_batch_id") == batch_id)
             if not done.isEmpty():
                 return
-        src = dedup_latest(batch, keys, ts).withColumn("_batch_id", F.lit(batch_id).cast("long"))
-        merge_or_create(spark, src, path, keys, partition_cols)
+        src = batch.withColumn("_batch_id", F.lit(batch_id).cast("long"))
+        merge_or_create(spark, src, path, keys, partition_cols, order=ts)
 
     return _trigger(deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert), trigger).start()
 
