@@ -517,3 +517,29 @@ def _a23(t):
                     "overallStatus", "passed",
                     F.sort_array(F.transform("failingRules", lambda r: F.concat(r["ruleId"], F.lit(":"), r["severity"])))
                     .alias("failing"))
+
+
+# --- F1: a user rule type registered by name ----------------------------------------------
+class _PositiveRule:
+    """Factory for a user rule type: values of a column must be > 0 (NULL passes)."""
+
+    def __new__(cls, name, column, severity="critical", **kw):
+        from ..quality.rules import Expression
+
+        r = Expression(name, f"`{column}` > 0", severity=severity)
+        r.rule_type = "positive"
+        return r
+
+
+@REG.query("f1_register_rule", oracle=f"""
+WITH a AS (SELECT count(*) FILTER (WHERE NOT (c_acctbal > 0)) AS n FROM customer)
+{sql_row('balance_positive', 'positive', 'warning', 'n > 0', 'n', '`c_acctbal` > 0', 'n')} FROM a
+""")
+def _f1(t):
+    """a new rule type registered by name and used from a rule document."""
+    from ..quality.rules import register_rule
+
+    register_rule("positive", _PositiveRule)
+    rs = load_rules({"rules": [{"name": "balance_positive", "type": "positive", "column": "c_acctbal",
+                                "severity": "warning"}]})
+    return _eval(t.customer, rs.rules)

@@ -35,13 +35,34 @@ def dedup(df: DataFrame, keys, order=None) -> DataFrame:
 
 
 def runs_by_day(runs: DataFrame, day_of: Column | None = None, start: str = "start_date",
-                logical: str = "logical_date") -> DataFrame:
-    """Runs grouped by UTC day, newest first inside the day; the day's state is the
-    state of its most recently started run."""
+                logical: str = "logical_date", run_id: str = "dag_run_id") -> DataFrame:
+    """Runs grouped by UTC day, newest first inside the day (``rank_in_day``); the day's
+    state is the state of its most recently started run.
+
+    The rank is computed without a window over the day (a busy day would land in one task):
+    a range-partitioned sort spreads even a hot day over several tasks, each row gets its
+    position inside its task, and a small table of per-(task, day) counts supplies the offset
+    of earlier tasks.  The day state is a partial ``max_by`` aggregation.
+    """
     day = day_of if day_of is not None else F.to_date(F.coalesce(F.col(logical), F.col(start)))
     started = F.coalesce(F.col(start), F.col(logical))
-    w = Window.partitionBy("day").orderBy(started.desc(), F.col("dag_run_id").desc())
-    ranked = runs.withColumn("day", day).withColumn("rank_in_day", F.row_number().over(w))
-    day_state = ranked.groupBy("day").agg(F.max_by("state", F.struct(started, F.col("dag_run_id"))).alias("day_state"),
-                                          F.count(F.lit(1)).alias("runs_in_day"))
-    return ranked.join(day_state, "day")
+    base = runs.withColumn("day", day).withColumn("__started", started)
+    order = [F.col("day").desc(), F.col("__started").desc(), F.col(run_id).desc()]
+    ranked = rank_within(base, "day", order)
+    day_state = base.groupBy("day").agg(F.max_by("state", F.struct("__started", F.col(run_id))).alias("day_state"),
+                                        F.count(F.lit(1)).alias("runs_in_day"))
+    return ranked.join(day_state, "day").drop("__started")
+
+
+def rank_within(df: DataFrame, group: str, order: list[Column], out: str = "rank_in_day") -> DataFrame:
+    """Dense 1-based position of each row inside its group under ``order`` (no ties when the
+    order is total), computed with a range-partitioned sort instead of a per-group window."""
+    s = df.sort(*order).withColumn("__part", F.spark_partition_id())
+    s = s.withColumn("__pos", F.monotonically_increasing_id())
+    firsts = s.groupBy("__part", group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # rows of the group held by earlier tasks (a range sort keeps a group in consecutive tasks)
+    w = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = firsts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    j = s.join(offsets.select("__part", group, "__first", "__before"), ["__part", group])
+    return j.withColumn(out, (F.col("__pos") - F.col("__first") + F.col("__before") + 1).cast("int")) \
+        .drop("__part", "__pos", "__first", "__before")
