@@ -86,7 +86,12 @@ def run_quality(spark: SparkSession, df: DataFrame, dataset: str, rules: list[Ru
             F.lit(df.schema.json()).alias("schema_json"), "column_profiles",
             F.lit(0).cast("long").alias("write_duration_ms"))
         W.append_results(auto.select(*[f.name for f in AUTO_METRICS_SCHEMA.fields]), paths["auto"])
-        results = engine.with_run_columns(ev.results, run_id, dataset, F.lit(ts).cast("timestamp"), pipeline_name)
+        try:
+            rows = ev.results.collect()              # one row per rule: the shared scan runs here
+            materialised = spark.createDataFrame([tuple(r) for r in rows], ev.results.schema)
+        except Exception:                           # a rule broke at run time: isolate it
+            materialised = engine.evaluate_resilient(df, rules, ctx)
+        results = engine.with_run_columns(materialised, run_id, dataset, F.lit(ts).cast("timestamp"), pipeline_name)
         W.append_results(results, paths["rules"])
         settings = anomaly or {}
         if settings.get("enabled", True):
@@ -119,6 +124,8 @@ def track(dataset: str, rules=None, pipeline_name: str | None = None, tables: Qu
     (persisted once, so the check and the caller's write share one computation)."""
 
     def deco(fn):
+        name = pipeline_name or fn.__name__
+
         @functools.wraps(fn)
         def wrapper(*args, **kwargs):
             df = fn(*args, **kwargs)
@@ -126,11 +133,12 @@ def track(dataset: str, rules=None, pipeline_name: str | None = None, tables: Qu
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
             rs = load_rules(rules) if isinstance(rules, (str, dict)) else (rules or [])
             if tables is None:
-                res = check(df, dataset, rs)
+                rl = rs.rules if isinstance(rs, RuleSet) else rs
+                res = engine.evaluate_resilient(df, rl, RunContext(df.sparkSession))
                 wrapper.last_report = gate(res, fail_on_critical)
             else:
                 wrapper.last_report = run_quality(df.sparkSession, df, dataset, rs, tables,
-                                                  pipeline_name=pipeline_name, fail_on_critical=fail_on_critical)
+                                                  pipeline_name=name, fail_on_critical=fail_on_critical)
             return df
 
         wrapper.last_report = None

@@ -154,3 +154,26 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def evaluate_resilient(df: DataFrame, rules: list[Rule], ctx: RunContext) -> DataFrame:
+    """Rule results, materialised (one row per rule), where a rule that fails while running
+    becomes a SKIPPED row instead of failing the run.
+
+    The happy path is the single shared job; only when it fails is each rule run alone to
+    find the one that breaks.  Results are bounded by the number of rules.
+    """
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    errors = (PySparkException, Py4JJavaError)
+    try:
+        rows = evaluate(df, rules, ctx).collect()
+    except errors:
+        rows = []
+        for r in rules:
+            try:
+                rows.extend(evaluate(df, [r], ctx).collect())
+            except errors as exc:
+                rows.extend(_skipped(ctx, r, exc).collect())
+    return ctx.spark.createDataFrame([tuple(x) for x in rows], RULE_RESULT_FIELDS)
