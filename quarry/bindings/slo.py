@@ -48,7 +48,7 @@ SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bin, quantile_cont(value, 0.95) AS
 """)
 def _a15(t):
     """P95 of the value per 10-minute bin (exact)."""
-    return O.percentile_by_bin(points(t), 0.95, "10 minutes")
+    return O.percentile_by_bin(points(t), 0.95, "10 minutes", exact=True)
 
 
 @REG.query("a15_percentile_by_bin_approx")

@@ -20,9 +20,11 @@ def _bin(bin_: str, ts: str = TS) -> Column:
     return F.window(F.col(ts).cast("timestamp"), bin_).start.cast("timestamp_ntz")
 
 
-def percentile_by_bin(points: DataFrame, q: float, bin_: str, value: str = "Val", exact: bool = True,
+def percentile_by_bin(points: DataFrame, q: float, bin_: str, value: str = "Val", exact: bool = False,
                       keys=()) -> DataFrame:
-    """Percentile of a value per time bin (exact, or approximate sketch)."""
+    """Percentile of a value per time bin.  Default: the bounded-memory sketch
+    (``percentile_approx``); ``exact=True`` holds every value of a bin in one task and is meant
+    for small bins and checks."""
     agg = (F.percentile(value, F.lit(q)) if exact else F.percentile_approx(value, F.lit(q), F.lit(10000)))
     return points.groupBy(_bin(bin_).alias("bin"), *keys).agg(agg.alias(f"p{int(round(q * 100))}"))
 

@@ -77,13 +77,38 @@ def stream_bins(stream: DataFrame, ts: str, bin_: str, watermark: str | None, ag
 
 def burn_rate_stream(stream: DataFrame, ts: str, good: Column, target: float, window: str = "1 hour",
                      slide: str = "1 minute", watermark: str | None = "10 minutes") -> DataFrame:
-    """Sliding window (e.g. 1 h every minute): SLI and burn rate = (1 - SLI) / (1 - target)."""
-    s = stream.withWatermark(ts, watermark) if watermark and stream.isStreaming else stream
-    g = s.groupBy(F.window(F.col(ts), window, slide).alias("w")).agg(
-        F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total"))
+    """Sliding window (e.g. 1 h every minute): SLI and burn rate = (1 - SLI) / (1 - target).
+
+    On a stream, Spark's sliding window with a watermark.  On a batch frame the rows are first
+    counted per ``slide`` bin (partial aggregation on the raw rows), and only those bin rows are
+    copied into the windows that contain them, so the fan-out is windows-per-bin times bins, not
+    times raw rows.
+    """
+    if stream.isStreaming:
+        s = stream.withWatermark(ts, watermark) if watermark else stream
+        g = s.groupBy(F.window(F.col(ts), window, slide).alias("w")).agg(
+            F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total"))
+        g = g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "good", "total")
+    else:
+        w_s, s_s = _seconds(window), _seconds(slide)
+        if w_s % s_s:
+            raise ValueError("window must be a multiple of slide")
+        k = w_s // s_s
+        bins = stream.groupBy(F.window(F.col(ts), slide).start.alias("b")).agg(
+            F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total"))
+        spread = bins.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "b", "good", "total") \
+            .select((F.col("b") - F.make_dt_interval(secs=F.col("i") * s_s)).alias("window_start"), "good", "total")
+        g = spread.groupBy("window_start").agg(F.sum("good").alias("good"), F.sum("total").alias("total")) \
+            .select("window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(w_s))).alias("window_end"),
+                    "good", "total")
     sli = F.col("good") / F.col("total")
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "good", "total",
-                    sli.alias("sli"), ((F.lit(1.0) - sli) / F.lit(1.0 - float(target))).alias("burn_rate"))
+    return g.select("window_start", "window_end", "good", "total", sli.alias("sli"),
+                    ((F.lit(1.0) - sli) / F.lit(1.0 - float(target))).alias("burn_rate"))
+
+
+def _seconds(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
 def incremental(source: DataFrame, target: DataFrame | None, ts: str) -> DataFrame:

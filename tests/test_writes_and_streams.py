@@ -81,3 +81,18 @@ def test_stream_ingest_batch_metrics_and_upsert(spark, tmpdir_path):
     assert got.count() == events.select("user_id").distinct().count()
     want = X.dedup_latest(events.select("user_id", "ts", "event_type"), ["user_id"], "ts")
     assert sorted(got.select("user_id", "ts").collect()) == sorted(want.select("user_id", "ts").collect())
+
+
+def test_burn_rate_stream_equals_batch(spark, tmpdir_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    land = f"{tmpdir_path}/landing_br"
+    events.repartition(2).write.parquet(land)
+    stream = X.stream_source(spark, land, events.schema)
+    good = F.col("event_type") != "error"
+    out = X.burn_rate_stream(stream, "ts", good, 0.99, "1 hour", "10 minutes", watermark=None)
+    q = out.writeStream.format("memory").queryName("burn_test").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r["window_start"], r["good"], r["total"]) for r in spark.sql("SELECT * FROM burn_test").collect())
+    batch = X.burn_rate_stream(events, "ts", good, 0.99, "1 hour", "10 minutes")
+    want = sorted((r["window_start"], r["good"], r["total"]) for r in batch.collect())
+    assert got == want
