@@ -254,15 +254,14 @@ def _w4(t):
 
 @REG.query("w6_dedup", oracle="""
 SELECT l_orderkey, l_linenumber, arg_max(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS l_partkey,
-       max(l_shipdate) AS l_shipdate, count(*) OVER () AS kept
+       max(l_shipdate) AS l_shipdate
 FROM lineitem GROUP BY l_orderkey, l_linenumber
 """)
 def _w6(t):
     """One row per key, newest by ship date (deterministic tie-break on all columns)."""
     l = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     d = W.dedup(l, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
-                    F.count(F.lit(1)).over(__import__("pyspark.sql").sql.Window.partitionBy()).alias("kept"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
 # --- T1-T5 --------------------------------------------------------------------------------
