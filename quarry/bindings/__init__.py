@@ -56,7 +56,7 @@ class Tables:
 
 
 MODULES = ["flagship", "quality", "history", "summaries", "relational", "restate", "lineage",
-           "catalog", "slo", "sinks", "streams", "privacy", "sources"]
+           "catalog", "slo", "sinks", "streams", "privacy", "sources", "functions"]
 
 
 def _modules():
