@@ -399,10 +399,17 @@ def _a1b(t):
 
 @REG.query("a2_schema_json")
 def _a2(t):
-    """A2: schema JSON of every driver table, derived from each scan's schema."""
+    """A2: per driver table, the metrics-record pair (rows written, schema JSON): one counting
+    scan per table, the schema JSON from the same frame (rows-only check: DuckDB has no Spark
+    schema JSON)."""
+    from functools import reduce
+
     from ..session import TABLES
-    rows = [(n, t[n].schema.json()) for n in TABLES]
-    return t.spark.createDataFrame(rows, "table string, schema_json string")
+    from ..quality.profile import schema_json
+
+    parts = [t[n].agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows_written"))
+             .withColumn("schema_json", F.lit(schema_json(t[n]))) for n in TABLES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 # --- R20 / R22 ----------------------------------------------------------------------------
