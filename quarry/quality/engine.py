@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import profile as prof
 from .results import RESULT_COLUMNS, RULE_RESULT_FIELDS, SKIPPED
-from .rules import Rule, RunContext
+from .rules import Rule, RunContext, UniqueKey
 
 
 def _skipped(ctx: RunContext, rule: Rule, exc: Exception) -> DataFrame:
@@ -56,8 +56,18 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     profile_in_row = with_profile and len(fields) <= chunk
     if profile_in_row:
         aggs.extend(prof.profile_aggs(fields, exact_distinct))
+    # without a profile, row rules can ride on a unique-key rule's key-grain pass (one scan)
+    carrier = None if with_profile else next((r for r in rules if isinstance(r, UniqueKey)), None)
+    if carrier is not None and usable:
+        try:
+            row = _fused_with_key(df, usable, carrier, [], ctx)
+            row.schema
+        except AnalysisException:
+            carrier = None
+    if not usable:
+        carrier = None
     try:
-        row = df.agg(*aggs)
+        row = row if carrier is not None else df.agg(*aggs)
     except AnalysisException:
         # one bad expression: find which rules analyse on their own, skip the rest
         keep = []
@@ -76,9 +86,11 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     parts: list[DataFrame] = []
     if usable:
         structs = [r.result(f"r{i}", ctx) for i, r in usable]
+        if carrier is not None:
+            structs.append(carrier.result_from(F.col("__rows"), F.col("__keys"), ctx))
         parts.append(row.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
     for r in rules:
-        if r.fused:
+        if r.fused or r is carrier:
             continue
         try:
             if getattr(r, "needs_rows", False):
@@ -131,13 +143,21 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     """Rule results for every group of ``keys`` (e.g. every partition slot) in one pass.
 
     Fused rules become one grouped aggregation (partial aggregation per task, one shuffle on
-    ``keys``); keyed rules group by ``keys`` plus their own key.  Rules that need run history
-    are evaluated per run by the history operators instead and are rejected here.
+    ``keys``); keyed rules group by ``keys`` plus their own key.  When a ``unique_key`` rule is
+    present, the fused rules ride on its key-grain aggregation (see ``_fused_with_key``), so
+    row rules and the key check share one scan.  Rules that need run history are evaluated
+    per run by the history operators instead and are rejected here.
     """
     ctx = ctx or RunContext(df.sparkSession)
     fused = [(i, r) for i, r in enumerate(rules) if r.fused]
     parts: list[DataFrame] = []
-    if fused:
+    carrier = next((r for r in rules if isinstance(r, UniqueKey)), None)
+    if fused and carrier is not None:
+        row = _fused_with_key(df, fused, carrier, keys, ctx)
+        structs = [r.result(f"r{i}", ctx) for i, r in fused] + \
+            [carrier.result_from(F.col("__rows"), F.col("__keys"), ctx)]
+        parts.append(row.select(*keys, F.explode(F.array(*structs)).alias("r")).select(*keys, "r.*"))
+    elif fused:
         aggs = [F.count(F.lit(1)).alias("__rows")]
         for i, r in fused:
             aggs.extend(r.aggs(f"r{i}", ctx))
@@ -145,7 +165,7 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
         structs = [r.result(f"r{i}", ctx) for i, r in fused]
         parts.append(row.select(*keys, F.explode(F.array(*structs)).alias("r")).select(*keys, "r.*"))
     for r in rules:
-        if r.fused:
+        if r.fused or (r is carrier and fused):
             continue
         if not hasattr(r, "evaluate_by"):
             raise ValueError(f"rule type {r.rule_type!r} cannot be evaluated per group")
@@ -156,6 +176,30 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     return out
 
 
+_MERGE = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min}
+
+
+def _fused_with_key(df: DataFrame, fused, carrier: UniqueKey, keys: list[str], ctx: RunContext) -> DataFrame:
+    """One scan for row rules and a unique-key rule.
+
+    Stage 1 aggregates at (group keys, rule key) grain — the grain the key check needs anyway —
+    computing every fused aggregate there; stage 2 rolls them up to the group keys with each
+    rule's merge (sum for counts, max for newest time) and counts distinct key rows.
+    """
+    kcols = [F.col(f"`{c}`").alias(f"__k{j}") for j, c in enumerate(carrier.columns)]
+    aggs, merges = [F.count(F.lit(1)).alias("__n")], []
+    for i, r in fused:
+        a = r.aggs(f"r{i}", ctx)
+        aggs.extend(a)
+        merges.extend([r.merge] * len(a))
+    stage1 = df.groupBy(*[F.col(k) for k in keys], *kcols).agg(*aggs)
+    names = stage1.columns[len(keys) + len(kcols) + 1:]
+    rolled = [F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), F.count(F.lit(1)).alias("__keys")]
+    rolled += [_MERGE[m](F.col(n)).alias(n) for n, m in zip(names, merges)]
+    g = stage1.groupBy(*keys) if keys else stage1
+    return g.agg(*rolled)
+
+
 def evaluate_resilient(df: DataFrame, rules: list[Rule], ctx: RunContext) -> DataFrame:
     """Rule results, materialised (one row per rule), where a rule that fails while running
     becomes a SKIPPED row instead of failing the run.
