@@ -12,7 +12,7 @@ from ..quality.profile import profile
 from ..quality.rules import (AcceptedValues, CustomSql, Expression, MaxStaleness, NotFuture, NotNull,
                              NullRate, References, Regex, RowCount, RunContext, SchemaIs, SlotsComplete,
                              UniqueKey, Uniqueness, ValueRange, load_rules)
-from ..quality.slot import slot_quality, split_valid
+from ..quality.slot import slot_quality, tag_reasons
 from . import Registry
 
 REG = Registry()
@@ -446,10 +446,10 @@ def _r22(t):
     l = t.lineitem.withColumn("l_linestatus", F.nullif("l_linestatus", F.lit("O")))
     rules = [Expression("discount_cap", "l_discount <= 0.08"), NotNull("status_not_null", column="l_linestatus"),
              ValueRange("qty_range", "l_quantity", min=2, max=48)]
-    valid, rejected = split_valid(l, rules)
-    a = valid.select(F.lit("valid").alias("side"), F.lit("").alias("reasons"), "l_orderkey")
-    b = rejected.select(F.lit("rejected").alias("side"), F.concat_ws(",", "reasons").alias("reasons"), "l_orderkey")
-    return a.unionByName(b).groupBy("side", "reasons").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("key_sum"))
+    tagged = tag_reasons(l, rules)          # one scan; split_valid filters this frame into two sides
+    side = F.when(F.size("reasons") == 0, F.lit("valid")).otherwise(F.lit("rejected"))
+    return tagged.groupBy(side.alias("side"), F.concat_ws(",", "reasons").alias("reasons")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("key_sum"))
 
 
 # --- R21 / A22 / A23 ----------------------------------------------------------------------

@@ -53,14 +53,23 @@ def service_level(points: DataFrame, good: Column, target: float, windows=BURN_A
     """O1: per window length and bin: SLI, error budget, burn rate and alert.
 
     burn = (1 - SLI) / (1 - target); alert when burn is above the window's threshold
-    (fast: 14.4 over 1 hour, slow: 3 over 6 hours).
+    (fast: 14.4 over 1 hour, slow: 3 over 6 hours).  One scan: good / total are summed per
+    finest window (partial aggregation), and coarser windows are rolled up from those bins.
     """
+    finest = min(windows, key=lambda w: _bin_seconds(w[0]))[0]
+    base = ratio_by_bin(points, good, finest, value).select("bin", "good", "total")
     parts = []
     budget = 1.0 - float(target)
     for w, threshold, severity in windows:
-        r = ratio_by_bin(points, good, w, value)
-        burn = (F.lit(1.0) - F.col("ratio")) / F.lit(budget)
-        parts.append(r.select(F.lit(w).alias("window"), "bin", "good", "total", F.col("ratio").alias("sli"),
+        if w == finest:
+            r = base
+        else:
+            if _bin_seconds(w) % _bin_seconds(finest):
+                raise ValueError("window lengths must be multiples of the finest one")
+            r = base.groupBy(_bin(w, "bin").alias("bin")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
+        sli = F.col("good") / F.nullif(F.col("total"), F.lit(0.0))
+        burn = (F.lit(1.0) - sli) / F.lit(budget)
+        parts.append(r.select(F.lit(w).alias("window"), "bin", "good", "total", sli.alias("sli"),
                               F.lit(budget).alias("error_budget"), burn.alias("burn_rate"),
                               (burn > F.lit(threshold)).alias("alert"),
                               F.when(burn > F.lit(threshold), F.lit(severity)).alias("severity")))

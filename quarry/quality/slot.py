@@ -61,3 +61,11 @@ def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]
     valid = tagged.filter(F.size("reasons") == 0).drop("reasons")
     rejected = tagged.filter(F.size("reasons") > 0)
     return valid, rejected
+
+
+def write_split(df: DataFrame, rules: list[Rule], path: str, fmt: str = "parquet") -> None:
+    """R22 sink: valid and rejected rows written by one job into one table partitioned by
+    ``_side`` (``path/_side=valid`` and ``path/_side=rejected``, the latter with ``reasons``)."""
+    side = F.when(F.size("reasons") == 0, F.lit("valid")).otherwise(F.lit("rejected"))
+    tagged = tag_reasons(df, rules).withColumn("_side", side)
+    tagged.write.mode("overwrite").format(fmt).partitionBy("_side").save(path)

@@ -96,3 +96,14 @@ def test_burn_rate_stream_equals_batch(spark, tmpdir_path):
     batch = X.burn_rate_stream(events, "ts", good, 0.99, "1 hour", "10 minutes")
     want = sorted((r["window_start"], r["good"], r["total"]) for r in batch.collect())
     assert got == want
+
+
+def test_write_split_one_job(spark, tmpdir_path):
+    from quarry.quality.slot import write_split
+
+    l = spark.read.parquet(f"{SF}/lineitem.parquet")
+    write_split(l, [Expression("d", "l_discount <= 0.05")], f"{tmpdir_path}/split")
+    back = spark.read.parquet(f"{tmpdir_path}/split")
+    assert back.count() == l.count()
+    assert back.filter("_side = 'rejected'").filter("l_discount <= 0.05").count() == 0
+    assert back.filter("_side = 'valid'").filter("l_discount > 0.05").count() == 0
