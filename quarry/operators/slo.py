@@ -57,26 +57,24 @@ def service_level(points: DataFrame, good: Column, target: float, windows=BURN_A
     finest window (partial aggregation), and coarser windows are rolled up from those bins.
     """
     finest = min(windows, key=lambda w: _bin_seconds(w[0]))[0]
+    for w, _, _ in windows:
+        if _bin_seconds(w) % _bin_seconds(finest):
+            raise ValueError("window lengths must be multiples of the finest one")
     base = ratio_by_bin(points, good, finest, value).select("bin", "good", "total")
-    parts = []
+    # each finest bin joins every window length it rolls up into (no self-union: one scan)
+    per_window = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(float(th)).alias("threshold"),
+                                     F.lit(sev).alias("sev"),
+                                     (F.col("bin") if w == finest else _bin(w, "bin")).alias("wbin"))
+                           for w, th, sev in windows])
+    rolled = (base.select("good", "total", F.explode(per_window).alias("x"))
+              .groupBy("x.window", "x.threshold", "x.sev", F.col("x.wbin").alias("bin"))
+              .agg(F.sum("good").alias("good"), F.sum("total").alias("total")))
     budget = 1.0 - float(target)
-    for w, threshold, severity in windows:
-        if w == finest:
-            r = base
-        else:
-            if _bin_seconds(w) % _bin_seconds(finest):
-                raise ValueError("window lengths must be multiples of the finest one")
-            r = base.groupBy(_bin(w, "bin").alias("bin")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
-        sli = F.col("good") / F.nullif(F.col("total"), F.lit(0.0))
-        burn = (F.lit(1.0) - sli) / F.lit(budget)
-        parts.append(r.select(F.lit(w).alias("window"), "bin", "good", "total", sli.alias("sli"),
-                              F.lit(budget).alias("error_budget"), burn.alias("burn_rate"),
-                              (burn > F.lit(threshold)).alias("alert"),
-                              F.when(burn > F.lit(threshold), F.lit(severity)).alias("severity")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sli = F.col("good") / F.nullif(F.col("total"), F.lit(0.0))
+    burn = (F.lit(1.0) - sli) / F.lit(budget)
+    return rolled.select("window", "bin", "good", "total", sli.alias("sli"), F.lit(budget).alias("error_budget"),
+                         burn.alias("burn_rate"), (burn > F.col("threshold")).alias("alert"),
+                         F.when(burn > F.col("threshold"), F.col("sev")).alias("severity"))
 
 
 def freshness_share(datasets: DataFrame, limits: DataFrame, as_of, key: str = "dataset") -> DataFrame:

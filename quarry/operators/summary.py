@@ -184,16 +184,16 @@ def last_updated(df: DataFrame, candidates: list[str]) -> DataFrame:
 
 
 def counts_by(df: DataFrame, key: str, flags: dict[str, Column] | None = None, values: list | None = None) -> DataFrame:
-    """Count per key value as columns (pivot) plus conditional totals."""
-    out = df.groupBy().pivot(key, values).agg(F.count(F.lit(1))) if values is not None else None
-    totals = df.agg(F.count(F.lit(1)).alias("total"),
-                    *[F.count_if(c).alias(n) for n, c in (flags or {}).items()])
-    if out is None:
-        return totals
-    # both are single rows: tag and merge instead of a cross join
-    a = out.select("*", *[F.lit(None).cast("long").alias(c) for c in totals.columns])
-    b = totals.select(*[F.lit(None).cast("long").alias(str(v)) for v in out.columns], "*")
-    return a.unionByName(b).agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in a.columns])
+    """Count per key value as columns plus conditional totals, in one aggregation.
+
+    With ``values`` the columns are fixed (one ``count_if`` each, like a pivot with known
+    values); without, the distinct values are looked up first (one small job) as ``pivot`` does.
+    """
+    if values is None:
+        values = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
+    per_value = [F.count_if(F.col(key) == F.lit(v)).alias(str(v)) for v in values]
+    return df.agg(*per_value, F.count(F.lit(1)).alias("total"),
+                  *[F.count_if(c).alias(n) for n, c in (flags or {}).items()])
 
 
 def union_results(dfs_by_dataset: dict[str, DataFrame]) -> DataFrame:

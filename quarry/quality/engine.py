@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import profile as prof
 from .results import RESULT_COLUMNS, RULE_RESULT_FIELDS, SKIPPED
 from .rules import Rule, RunContext, UniqueKey
@@ -83,6 +84,10 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
             aggs.extend(prof.profile_aggs(fields, exact_distinct))
         row = df.agg(*aggs)
 
+    if any(getattr(r, "needs_rows", False) for r in rules if not r.fused):
+        # history rules read the same one-row aggregate as the fused results; materialise that
+        # row once (reliable checkpoint) so the data is scanned once, not once per branch
+        row = cut_lineage(row)
     parts: list[DataFrame] = []
     if usable:
         structs = [r.result(f"r{i}", ctx) for i, r in usable]
