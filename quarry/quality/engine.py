@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import profile as prof
 from .results import RESULT_COLUMNS, RULE_RESULT_FIELDS, SKIPPED
-from .rules import Rule, RunContext, UniqueKey
+from .rules import Rule, RunContext, UniqueKey, Uniqueness
 
 
 def _skipped(ctx: RunContext, rule: Rule, exc: Exception) -> DataFrame:
@@ -58,7 +58,7 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     if profile_in_row:
         aggs.extend(prof.profile_aggs(fields, exact_distinct))
     # without a profile, row rules can ride on a unique-key rule's key-grain pass (one scan)
-    carrier = None if with_profile else next((r for r in rules if isinstance(r, UniqueKey)), None)
+    carrier = None if with_profile else _carrier(rules)
     if carrier is not None and usable:
         try:
             row = _fused_with_key(df, usable, carrier, [], ctx)
@@ -92,7 +92,7 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     if usable:
         structs = [r.result(f"r{i}", ctx) for i, r in usable]
         if carrier is not None:
-            structs.append(carrier.result_from(F.col("__rows"), F.col("__keys"), ctx))
+            structs.append(_carrier_result(carrier, ctx))
         parts.append(row.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
     for r in rules:
         if r.fused or r is carrier:
@@ -159,8 +159,7 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     carrier = next((r for r in rules if isinstance(r, UniqueKey)), None)
     if fused and carrier is not None:
         row = _fused_with_key(df, fused, carrier, keys, ctx)
-        structs = [r.result(f"r{i}", ctx) for i, r in fused] + \
-            [carrier.result_from(F.col("__rows"), F.col("__keys"), ctx)]
+        structs = [r.result(f"r{i}", ctx) for i, r in fused] + [_carrier_result(carrier, ctx)]
         parts.append(row.select(*keys, F.explode(F.array(*structs)).alias("r")).select(*keys, "r.*"))
     elif fused:
         aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -184,7 +183,20 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
 _MERGE = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min}
 
 
-def _fused_with_key(df: DataFrame, fused, carrier: UniqueKey, keys: list[str], ctx: RunContext) -> DataFrame:
+def _carrier(rules: list[Rule]):
+    """The keyed rule whose key-grain pass the row rules can share (first unique_key, else
+    first single-column uniqueness)."""
+    return next((r for r in rules if isinstance(r, UniqueKey)), None) or \
+        next((r for r in rules if isinstance(r, Uniqueness)), None)
+
+
+def _carrier_result(carrier, ctx: RunContext):
+    if isinstance(carrier, UniqueKey):
+        return carrier.result_from(F.col("__rows"), F.col("__keys"), ctx)
+    return carrier.result_from(F.col("__rows"), F.col("__keys_nn"), ctx)
+
+
+def _fused_with_key(df: DataFrame, fused, carrier, keys: list[str], ctx: RunContext) -> DataFrame:
     """One scan for row rules and a unique-key rule.
 
     Stage 1 aggregates at (group keys, rule key) grain — the grain the key check needs anyway —
@@ -199,7 +211,8 @@ def _fused_with_key(df: DataFrame, fused, carrier: UniqueKey, keys: list[str], c
         merges.extend([r.merge] * len(a))
     stage1 = df.groupBy(*[F.col(k) for k in keys], *kcols).agg(*aggs)
     names = stage1.columns[len(keys) + len(kcols) + 1:]
-    rolled = [F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), F.count(F.lit(1)).alias("__keys")]
+    rolled = [F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), F.count(F.lit(1)).alias("__keys"),
+              F.count("__k0").alias("__keys_nn")]
     rolled += [_MERGE[m](F.col(n)).alias(n) for n, m in zip(names, merges)]
     g = stage1.groupBy(*keys) if keys else stage1
     return g.agg(*rolled)
