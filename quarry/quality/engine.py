@@ -58,7 +58,7 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     if profile_in_row:
         aggs.extend(prof.profile_aggs(fields, exact_distinct))
     # without a profile, row rules can ride on a unique-key rule's key-grain pass (one scan)
-    carrier = None if with_profile else _carrier(rules)
+    carrier = None if with_profile or len(aggs) - 1 > MAX_SHARED_AGGS else _carrier(rules)
     if carrier is not None and usable:
         try:
             row = _fused_with_key(df, usable, carrier, [], ctx)
@@ -157,6 +157,8 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     fused = [(i, r) for i, r in enumerate(rules) if r.fused]
     parts: list[DataFrame] = []
     carrier = next((r for r in rules if isinstance(r, UniqueKey)), None)
+    if sum(len(r.aggs(f"r{i}", ctx)) for i, r in fused) > MAX_SHARED_AGGS:
+        carrier = None
     if fused and carrier is not None:
         row = _fused_with_key(df, fused, carrier, keys, ctx)
         structs = [r.result(f"r{i}", ctx) for i, r in fused] + [_carrier_result(carrier, ctx)]
@@ -183,6 +185,11 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
 _MERGE = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min}
 
 
+# Sharing the key pass adds every fused partial to the key-grain shuffle; past this many
+# aggregate columns a second scan is cheaper than the wider shuffle.
+MAX_SHARED_AGGS = 32
+
+
 def _carrier(rules: list[Rule]):
     """The keyed rule whose key-grain pass the row rules can share (first unique_key, else
     first single-column uniqueness)."""
