@@ -147,14 +147,17 @@ def merge_or_create(spark: SparkSession, source: DataFrame, path: str, keys, par
     return "merged"
 
 
-def compact(spark: SparkSession, path: str, partition_cols, where=None, files_per_partition: int = 1) -> None:
-    """Rewrite small files of the chosen partitions into fewer files (per partition)."""
+def compact(spark: SparkSession, path: str, partition_cols, where=None) -> None:
+    """Rewrite the small files of the chosen partitions into few right-sized files.
+
+    ``rebalance`` lets AQE aim each output file at the advisory partition size and split a
+    partition that is too large, so a hot slot is not funnelled into one task.  The slice is
+    checkpointed first because it is read from the folder it replaces.
+    """
     df = spark.read.parquet(path)
     if where is not None:
         df = df.filter(where)
-    out = df.repartition(*[F.col(c) for c in partition_cols]) if files_per_partition == 1 else \
-        df.repartition(files_per_partition, *[F.col(c) for c in partition_cols])
-    overwrite_slot(cut_lineage(out), path, partition_cols)
+    overwrite_slot(cut_lineage(df), path, partition_cols)
 
 
 def cluster_by(df: DataFrame, cols, n: int | None = None) -> DataFrame:
