@@ -44,11 +44,11 @@ def logs(t):
 
 
 @REG.query("a15_percentile_by_bin", oracle="""
-SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bin, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1
+SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS bin, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1
 """)
 def _a15(t):
     """P95 of the value per 10-minute bin (exact)."""
-    return O.percentile_by_bin(points(t), 0.95, "10 minutes", exact=True)
+    return O.percentile_by_bin(points(t), 0.95, "10 minutes", exact=True).withColumn("p95", F.round("p95", 6))
 
 
 @REG.query("a15_percentile_by_bin_approx")
@@ -102,7 +102,7 @@ WITH d AS (SELECT event_type AS dataset, max(ts) AS last_updated FROM events GRO
 l AS (SELECT event_type AS dataset, CASE WHEN event_type = 'error' THEN 12.0 ELSE 24.0 END AS max_age_hours FROM events GROUP BY 1)
 SELECT count(*) AS datasets,
        count(*) FILTER (WHERE (epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(last_updated)) / 3.6e9 <= max_age_hours) AS fresh,
-       avg(CASE WHEN (epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(last_updated)) / 3.6e9 <= max_age_hours THEN 1.0 ELSE 0.0 END) AS fresh_share
+       round(avg(CASE WHEN (epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(last_updated)) / 3.6e9 <= max_age_hours THEN 1.0 ELSE 0.0 END), 6) AS fresh_share
 FROM d JOIN l USING (dataset)
 """)
 def _o2(t):
@@ -111,7 +111,7 @@ def _o2(t):
     d = e.groupBy(F.col("event_type").alias("dataset")).agg(F.max("ts").alias("last_updated"))
     lim = e.groupBy(F.col("event_type").alias("dataset")).agg(
         F.when(F.first("event_type") == "error", 12.0).otherwise(24.0).alias("max_age_hours"))
-    return O.freshness_share(d, lim, "2024-01-31 12:00:00")
+    return O.freshness_share(d, lim, "2024-01-31 12:00:00").withColumn("fresh_share", F.round("fresh_share", 6))
 
 
 @REG.query("o3_trace", oracle="""

@@ -150,7 +150,7 @@ def _u2(t):
 @REG.query("a8_platform_quality", oracle=RESULTS_SQL + "," + A5_SQL + "," + MON_SQL + """,
 u AS (SELECT * FROM a5 UNION ALL SELECT * FROM mon)
 SELECT count(*) AS datasets, CAST(round(avg(pass_rate) * 100) AS BIGINT) AS avg_pass_pct,
-       coalesce(avg(pass_rate), 0.0) AS overall_pass_rate,
+       round(coalesce(avg(pass_rate), 0.0), 6) AS overall_pass_rate,
        count(*) FILTER (WHERE last_status NOT IN ('PASS', 'MONITORED') OR critical_failures > 0) AS issues,
        count(*) FILTER (WHERE critical_failures > 0) AS critical_datasets,
        count(*) FILTER (WHERE last_status = 'PASS') AS pass_count, count(*) FILTER (WHERE last_status = 'FAIL') AS fail_count,
@@ -159,7 +159,7 @@ FROM u
 """)
 def _a8(t):
     """Platform numbers over the overview."""
-    return S.platform_quality(overview(t))
+    return S.platform_quality(overview(t)).withColumn("overall_pass_rate", F.round("overall_pass_rate", 6))
 
 
 @REG.query("a9_pass_rate_trend", oracle=RESULTS_SQL + f"""
@@ -209,31 +209,34 @@ def _a4(t):
 
 
 @REG.query("a12_daily_volume", oracle="""
-SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS rows, sum(o_totalprice) AS amount, count(DISTINCT o_custkey) AS entities
+SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS rows, round(sum(o_totalprice), 2) AS amount, count(DISTINCT o_custkey) AS entities
 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
 """)
 def _a12(t):
     """Daily count, sum and exact distinct customers of finished orders."""
-    return S.daily_volume(t.orders, "o_orderdate", "o_totalprice", "o_custkey", F.col("o_orderstatus") == "F")
+    v = S.daily_volume(t.orders, "o_orderdate", "o_totalprice", "o_custkey", F.col("o_orderstatus") == "F")
+    return v.withColumn("amount", F.round("amount", 2))
 
 
 @REG.query("a13_group_stats", oracle="""
-SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS mean_value FROM lineitem
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean_value FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ALL
 """)
 def _a13(t):
     """Count and mean per group inside one yearly slot."""
     slot = (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & \
            (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
-    return S.group_stats(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity", slot)
+    g = S.group_stats(t.lineitem, ["l_returnflag", "l_linestatus"], "l_quantity", slot)
+    return g.withColumn("mean_value", F.round("mean_value", 6))
 
 
 @REG.query("a14_quantile_exact", oracle="""
-SELECT l_returnflag, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1
 """)
 def _a14(t):
     """A14 exact twin: P99 per flag with linear interpolation."""
-    return S.exact_quantile(t.lineitem, "l_extendedprice", 0.99, ["l_returnflag"])
+    q = S.exact_quantile(t.lineitem, "l_extendedprice", 0.99, ["l_returnflag"])
+    return q.withColumn("p99", F.round("p99", 6))
 
 
 @REG.query("a14_quantile_approx")
