@@ -121,12 +121,15 @@ def incremental(source: DataFrame, target: DataFrame | None, ts: str) -> DataFra
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys, ts: str, watermark: str = "1 hour",
-                  trigger: str | None = None, partition_cols=None, dedup_keys=None) -> StreamingQuery:
+                  trigger: str | None = None, partition_cols=None, dedup_keys=None,
+                  buckets: int = 64) -> StreamingQuery:
     """Streaming dedup of repeated deliveries within the watermark, then an idempotent
     upsert per micro-batch that keeps the newest row (by ``ts``) of every key.
 
     ``dedup_keys`` identify one delivery (default: key + time).  The batch id is stored with
-    the rows; a replayed batch (after a failure) finds its id applied and is skipped.
+    the rows; a replayed batch (after a failure) finds its id applied and is skipped.  Without
+    ``partition_cols`` the target is split into ``buckets`` hash buckets of the key, so a
+    micro-batch rewrites only the buckets its keys fall in (Parquet has no row-level merge).
     """
     from ..sinks.writers import merge_or_create, path_exists
 
@@ -141,7 +144,11 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys, ts: str,
             if not done.isEmpty():
                 return
         src = batch.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-        merge_or_create(spark, src, path, keys, partition_cols, order=ts)
+        parts = partition_cols
+        if not parts:
+            src = src.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)))
+            parts = ["_bucket"]
+        merge_or_create(spark, src, path, keys, parts, order=ts)
 
     return _trigger(deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert), trigger).start()
 
