@@ -65,7 +65,7 @@ def _c5(t):
     return C.preview(t.lineitem, F.col("l_quantity") > 45, cols, 100, cols)
 
 
-@REG.query("g1_owned_pipelines", oracle=f"""
+@REG.query("g1_owned_dags", oracle=f"""
 WITH p AS ({PIPELINES_SQL}),
 s AS (SELECT 'pipe_' || CAST(s_suppkey AS VARCHAR) AS dag_id, 'supplier@example.org' AS owner_email FROM supplier),
 u AS (SELECT p.dag_id, CASE WHEN s.dag_id IS NOT NULL THEN s.owner_email ELSE p.owner_email END AS owner_email, p.deleted_at
@@ -91,7 +91,7 @@ def _g1(t):
     return C.owned(reg)
 
 
-@REG.query("g2_pipeline_cards", oracle=f"""
+@REG.query("g2_dag_cards", oracle=f"""
 WITH p AS ({PIPELINES_SQL}), r AS ({RUNS_SQL}),
 l AS (SELECT dag_id, arg_max(state, (start_date, dag_run_id)) AS last_state FROM r GROUP BY 1),
 c AS (SELECT p.*, l.last_state, p.deleted_at IS NULL AND NOT p.is_paused AS is_active, l.last_state = 'failed' AS last_failed

@@ -136,7 +136,7 @@ def _j3(t):
     return J.live_tables(catalogue(t), live).select("name", "schema")
 
 
-@REG.query("j4_active_pipelines", oracle=W_ + "SELECT dag_id, owner_alias FROM p WHERE deleted_at IS NULL")
+@REG.query("j4_active_dags", oracle=W_ + "SELECT dag_id, owner_alias FROM p WHERE deleted_at IS NULL")
 def _j4(t):
     """Pipelines minus soft-deleted deployments (left anti join)."""
     p = pipelines(t)
@@ -280,7 +280,7 @@ def _t2(t):
     return S.top_k(g, "cost", 8, "l_suppkey")
 
 
-@REG.query("t3_recent_pipelines", oracle=W_ + """
+@REG.query("t3_recent_dags", oracle=W_ + """
 , l AS (SELECT dag_id, max(start_date) AS last_run_at FROM r GROUP BY 1)
 SELECT p.dag_id, l.last_run_at FROM p LEFT JOIN l ON p.dag_id = l.dag_id ORDER BY l.last_run_at DESC NULLS LAST, p.dag_id LIMIT 14
 """)

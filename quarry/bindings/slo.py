@@ -152,7 +152,7 @@ def usage(t):
                              F.col("l_extendedprice").alias("Cost"), F.lit("USD").alias("Currency"))
 
 
-@REG.query("a18_cost_by_pipeline", oracle="""
+@REG.query("a18_cost_by_tag", oracle="""
 SELECT coalesce(nullif(l_linestatus, 'O'), 'untagged') AS pipeline, round(sum(l_extendedprice), 2) AS cost FROM lineitem GROUP BY 1
 """)
 def _a18(t):
