@@ -71,3 +71,33 @@ def test_schema_diff_and_version(spark):
     assert v["breaking"] and v["version"] == 3
     only_add = T.StructType(old.fields + [T.StructField("x", T.StringType())])
     assert next_version(schema_diff(spark, old, only_add), 2).first()["version"] == 2
+
+
+def test_rank_within_hot_day_spans_partitions(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators.windows import runs_by_day
+
+    t0 = datetime(2024, 1, 10)
+    rows = [(f"r{i:04d}", "success" if i % 3 else "failed", t0 + timedelta(seconds=i * 7), None) for i in range(600)]
+    rows += [(f"s{i:04d}", "success", t0 + timedelta(days=1 + i % 5, seconds=i), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "dag_run_id string, state string, start_date timestamp, logical_date timestamp")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # keep 8 sort ranges
+    try:
+        out = runs_by_day(df.repartition(8)).collect()
+        spread = df.sort(F.to_date("start_date").desc(), F.col("start_date").desc()) \
+            .filter(F.to_date("start_date") == F.lit("2024-01-10").cast("date")).select(F.spark_partition_id()).distinct()
+        assert spread.count() > 1                                                   # the hot day spans tasks
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    by_day = {}
+    for r in rows:
+        by_day.setdefault(r[2].date(), []).append(r)
+    want = {}
+    for d, rs in by_day.items():
+        for i, r in enumerate(sorted(rs, key=lambda x: (x[2], x[0]), reverse=True)):
+            want[r[0]] = (i + 1, len(rs), rs and sorted(rs, key=lambda x: (x[2], x[0]))[-1][1])
+    got = {r["dag_run_id"]: (r["rank_in_day"], r["runs_in_day"], r["day_state"]) for r in out}
+    assert got == want
