@@ -414,20 +414,32 @@ def _a2(t):
 
 # --- R20 / R22 ----------------------------------------------------------------------------
 @REG.query("r20_slot_quality", oracle="""
+WITH c AS (SELECT CAST(ts AS DATE) AS slot, event_type, count(*) AS c FROM events GROUP BY ALL),
+m AS (SELECT slot, map_from_entries(list_sort(list({'d': event_type, 'c': c}))) AS counts_by_event_type FROM c GROUP BY slot)
 SELECT CAST(ts AS DATE) AS slot, count(*) AS rows, count(DISTINCT user_id) AS distinct_keys,
        min(ts) AS min_ts, max(ts) AS max_ts,
        round(count(*) FILTER (WHERE nullif(event_type, 'error') IS NULL) * 100.0 / count(*), 4) AS null_pct_event_type,
        count(*) - count(DISTINCT event_id) AS duplicate_rows,
        count(*) FILTER (WHERE value >= 0 AND nullif(event_type, 'error') IS NOT NULL) AS valid_rows,
        count(*) - count(*) FILTER (WHERE value >= 0 AND nullif(event_type, 'error') IS NOT NULL) AS invalid_rows,
-       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours
-FROM events GROUP BY CAST(ts AS DATE)
+       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours,
+       round((epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts))) / 60000000.0, 2) AS lag_minutes,
+       any_value(m.counts_by_event_type) AS counts_by_event_type, true AS schema_drift
+FROM events JOIN m ON CAST(ts AS DATE) = m.slot GROUP BY CAST(ts AS DATE)
 """)
 def _r20(t):
-    """Per-slot quality record of events by day."""
-    e = t.events.withColumn("event_type", F.nullif("event_type", F.lit("error")))
-    return slot_quality(e, slot=F.to_date("ts"), keys=["user_id"], ts="ts", critical_cols=["event_type"],
-                        unique_key=["event_id"], valid=F.expr("value >= 0 AND event_type IS NOT NULL"))
+    """Per-slot quality record of events by day (volume, keys, times, lag, NULLs,
+    duplicates, validity, counts by event type, schema drift)."""
+    raw = t.events
+    e = raw.withColumn("event_type_n", F.nullif("event_type", F.lit("error")))
+    # contract: the raw columns plus the derived one, with value declared decimal -> drift (retyped)
+    contract = T.StructType([T.StructField(f.name, T.DecimalType(18, 2) if f.name == "value" else f.dataType)
+                             for f in e.schema.fields])
+    q = slot_quality(e, slot=F.to_date("ts"), keys=["user_id"], ts="ts", critical_cols=["event_type_n"],
+                     unique_key=["event_id"], valid=F.expr("value >= 0 AND event_type_n IS NOT NULL"),
+                     expected_end=F.col("slot").cast("timestamp") + F.expr("INTERVAL 1 DAY"), dimension="event_type",
+                     expected_schema=contract)
+    return q.withColumnRenamed("null_pct_event_type_n", "null_pct_event_type")
 
 
 @REG.query("r22_split_valid", oracle="""
@@ -477,15 +489,19 @@ UNION ALL {sql_row('avg_discount_pct', 'custom_sql', 'warning', 'NOT coalesce(d
 
 
 @REG.query("r21_layer_gate", oracle=_LINEITEM_RESULTS_SQL + """
-SELECT rule_name, status, check_family,
+SELECT rule_name, status, rule_type, layer,
        CASE WHEN status NOT IN ('FAIL', 'WARN') THEN 'open'
-            WHEN check_family IN ('schema', 'content') THEN 'hard' ELSE 'soft' END AS gate,
-       CASE WHEN status NOT IN ('FAIL', 'WARN') THEN false ELSE check_family IN ('schema', 'content') END AS blocks
-FROM res
+            WHEN (layer = 'silver' AND rule_type IN ('schema', 'not_null', 'unique_key', 'uniqueness'))
+              OR (layer = 'gold' AND rule_type IN ('schema', 'unique_key', 'uniqueness')) THEN 'hard'
+            ELSE 'soft' END AS gate
+FROM res, (VALUES ('bronze'), ('silver'), ('gold')) l(layer)
 """)
 def _r21(t):
-    """Hard / soft gate of each silver result by rule family."""
-    return layer_gate(_lineitem_results(t), "silver").select("rule_name", "status", "check_family", "gate", "blocks")
+    """Hard / soft gate of each result for bronze, silver and gold."""
+    res = _lineitem_results(t)
+    parts = [layer_gate(res, layer).select("rule_name", "status", "rule_type", F.lit(layer).alias("layer"), "gate")
+             for layer in ("bronze", "silver", "gold")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @REG.query("a22_quality_facet", oracle=_LINEITEM_RESULTS_SQL + """

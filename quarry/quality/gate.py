@@ -106,22 +106,21 @@ def quality_facet_v1(results: DataFrame) -> DataFrame:
         F.when(F.size("failingRules") > 0, F.col("failingRules")).alias("failingRules"))).alias("facet_json"))
 
 
-# Which rule families block a layer (hard gate) and which only warn (soft gate).
-LAYER_GATES = {
-    "bronze": {"hard": ["schema"], "soft": ["content", "volume", "freshness"]},
-    "silver": {"hard": ["schema", "content"], "soft": ["volume", "freshness"]},
-    "gold": {"hard": ["schema", "content", "volume"], "soft": ["freshness"]},
+# Rule types whose failure blocks a layer (hard gate); every other failing rule
+# only alerts (soft gate).  Silver: null key, duplicate key, type / schema drift.  Gold: duplicate
+# key, schema drift.  Bronze: schema drift is reported, nothing blocks.
+HARD_GATES = {
+    "bronze": (),
+    "silver": ("schema", "not_null", "unique_key", "uniqueness"),
+    "gold": ("schema", "unique_key", "uniqueness"),
 }
 
 
 def layer_gate(results: DataFrame, layer: str) -> DataFrame:
-    """Per result, whether its failure blocks the layer (hard) or warns (soft)."""
-    g = LAYER_GATES.get(layer, LAYER_GATES["silver"])
-    fam = F.coalesce(F.col("check_family"), F.lit("content"))
+    """Per result, whether its failure blocks the layer (hard) or only alerts (soft)."""
+    hard = HARD_GATES.get(layer, HARD_GATES["silver"])
     failed = F.col("status").isin(FAIL, WARN)
+    is_hard = F.col("rule_type").isin(*hard) if hard else F.lit(False)
     return results.withColumn(
-        "gate",
-        F.when(~failed, F.lit("open"))
-        .when(fam.isin(*g["hard"]), F.lit("hard"))
-        .otherwise(F.lit("soft")),
+        "gate", F.when(~failed, F.lit("open")).when(is_hard, F.lit("hard")).otherwise(F.lit("soft"))
     ).withColumn("blocks", F.col("gate") == "hard")

@@ -9,9 +9,13 @@ from .rules import AcceptedValues, Expression, NotNull, Regex, Rule, ValueRange,
 
 
 def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, critical_cols: list[str],
-                 unique_key: list[str] | None = None, valid: Column | None = None) -> DataFrame:
-    """One aggregation per slot: volume, distinct keys, min/max time and span, NULL percent
-    of critical columns, duplicate rows on the unique key, valid / invalid row counts."""
+                 unique_key: list[str] | None = None, valid: Column | None = None,
+                 expected_end: Column | None = None, dimension: str | None = None,
+                 expected_schema=None) -> DataFrame:
+    """One record per slot: volume, distinct keys, min/max event time and span, lag of the
+    newest event behind the slot's expected end (minutes), NULL percent of critical columns,
+    duplicate rows on the unique key, valid / invalid rows, counts by a key dimension, and
+    whether the schema drifted from the contract (metadata, the same for every slot)."""
     slot_c = F.col(slot) if isinstance(slot, str) else slot
     n = F.count(F.lit(1))
     aggs = [n.alias("rows"), F.count_distinct(*[F.col(k) for k in keys]).alias("distinct_keys"),
@@ -23,9 +27,23 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
     if valid is not None:
         aggs.append(F.count_if(valid).alias("valid_rows"))
         aggs.append((n - F.count_if(valid)).alias("invalid_rows"))
-    aggs.append(F.round((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp")))
-                        / F.lit(3_600_000_000.0), 4).alias("span_hours"))
-    return df.groupBy(slot_c.alias("slot")).agg(*aggs)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    aggs.append(F.round((micros(F.max(ts)) - micros(F.min(ts))) / F.lit(3_600_000_000.0), 4).alias("span_hours"))
+    out = df.groupBy(slot_c.alias("slot")).agg(*aggs)
+    if expected_end is not None:
+        out = out.withColumn("lag_minutes", F.round((micros(expected_end) - micros(F.col("max_ts"))) / F.lit(60_000_000.0), 2))
+    if dimension is not None:
+        # counts by a low-cardinality key dimension: (slot, value) counts, then one map per slot
+        d = df.groupBy(slot_c.alias("slot"), F.col(dimension).alias("d")).agg(n.alias("c"))
+        d = d.groupBy("slot").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "c")))).alias(
+            f"counts_by_{dimension}"))
+        out = out.join(d, "slot", "left")
+    if expected_schema is not None:
+        from ..operators.setops import schema_diff
+
+        drift = schema_diff(df.sparkSession, expected_schema, df.schema).filter(F.col("change") != "nullability")
+        out = out.withColumn("schema_drift", F.lit(not drift.isEmpty()))
+    return out
 
 
 def row_failure(rule: Rule) -> Column:
