@@ -424,7 +424,7 @@ SELECT CAST(ts AS DATE) AS slot, count(*) AS rows, count(DISTINCT user_id) AS di
        count(*) - count(*) FILTER (WHERE value >= 0 AND nullif(event_type, 'error') IS NOT NULL) AS invalid_rows,
        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours,
        round((epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts))) / 60000000.0, 2) AS lag_minutes,
-       any_value(m.counts_by_event_type) AS counts_by_event_type, true AS schema_drift
+       CAST(to_json(any_value(m.counts_by_event_type)) AS VARCHAR) AS counts_by_event_type, true AS schema_drift
 FROM events JOIN m ON CAST(ts AS DATE) = m.slot GROUP BY CAST(ts AS DATE)
 """)
 def _r20(t):
@@ -439,7 +439,8 @@ def _r20(t):
                      unique_key=["event_id"], valid=F.expr("value >= 0 AND event_type_n IS NOT NULL"),
                      expected_end=F.col("slot").cast("timestamp") + F.expr("INTERVAL 1 DAY"), dimension="event_type",
                      expected_schema=contract)
-    return q.withColumnRenamed("null_pct_event_type_n", "null_pct_event_type")
+    return q.withColumnRenamed("null_pct_event_type_n", "null_pct_event_type") \
+        .withColumn("counts_by_event_type", F.to_json("counts_by_event_type"))
 
 
 @REG.query("r22_split_valid", oracle="""
