@@ -63,13 +63,12 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
 
     # lines: split on \n, a line counts if it has a word
     stop = np.flatnonzero(buf == 10)
-    ends = np.union1d(stop, offs[1:])
-    starts = np.union1d(np.concatenate([stop + 1, offs[:-1]]), np.zeros(0, np.int64))
+    starts = np.union1d(stop + 1, offs[:-1])
     starts = starts[starts < len(buf)]
-    ends = ends[np.searchsorted(ends, starts)] if len(starts) else starts
-    n_in = np.searchsorted(w.start, ends) - np.searchsorted(w.start, starts)
-    starts, ends = starts[n_in > 0], ends[n_in > 0]
     line_doc = np.searchsorted(offs, starts, side="right") - 1
+    ends = np.minimum(np.append(stop, len(buf))[np.searchsorted(stop, starts)], offs[line_doc + 1])
+    has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
+    starts, ends, line_doc = starts[has_word], ends[has_word], line_doc[has_word]
     key = tn.span_hash(buf, starts, ends, tn.BYTE_CODE) if len(starts) else np.zeros(0, np.uint64)
     order = np.lexsort((np.arange(len(key)), key, line_doc))
     k, d = key[order], line_doc[order]
