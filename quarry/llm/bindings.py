@@ -6,7 +6,7 @@ import public_tokenizers
 
 from quarry.bindings import Registry
 
-from . import op1_quality, op2_mix, op3_tokens, op10_decontam
+from . import op1_quality, op2_mix, op3_tokens, op8_ngram_join, op10_decontam
 
 REG = Registry()
 
@@ -26,6 +26,11 @@ def _op3(t):
     return op3_tokens.read(op3_tokens.write(t.documents, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@REG.query("op8_ngram_jaccard")
+def _op8(t):
+    return op8_ngram_join.link(t.documents)
+
+
 @REG.query("op10_decontaminate")
 def _op10(t):
     return op10_decontam.find(t.documents, t.benchmark)

@@ -23,7 +23,7 @@ from . import textnp as tn
 
 #: fixed values: largest share of word characters inside repeated windows of n words, and
 #: inside repeated lines
-MAX_SHARE = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+MAX_SHARE = {5: 0.45, 6: 0.43, 7: 0.41, 8: 0.39, 9: 0.37, 10: 0.35}
 MAX_LINE_SHARE = 0.30
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
