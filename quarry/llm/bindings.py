@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from quarry.bindings import Registry
 
-from . import op1_quality, op2_mix, op3_tokens, op8_ngram_join, op10_decontam
+from . import op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op8_ngram_join, op9_licenses, op10_decontam
 
 REG = Registry()
 
@@ -26,11 +27,28 @@ def _op3(t):
     return op3_tokens.read(op3_tokens.write(t.documents, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@REG.query("op4_lm_scores")
+def _op4(t):
+    return op4_interpolation.score(t.documents)
+
+
+@REG.query("op5_secret_scan")
+def _op5(t):
+    return op5_secrets.scan(t.documents)
+
+
 @REG.query("op8_ngram_jaccard")
 def _op8(t):
     return op8_ngram_join.link(t.documents)
 
 
+@REG.query("op9_license_scan")
+def _op9(t):
+    # documents have no path: source and language are directories, in shelves of 1,000 ids
+    shelf = F.floor(F.col("doc_id") / 1000).cast("string")
+    return op9_licenses.scan(t.documents, F.concat_ws("/", "source", "lang", shelf, F.col("doc_id").cast("string")))
+
+
 @REG.query("op10_decontaminate")
 def _op10(t):
     return op10_decontam.find(t.documents, t.benchmark)

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .components import components
-from .packs import answer, ask, bucket_bits, bucket_cuts, get_u32, join_replies, pack, put_u32, squeeze, unsqueeze
+from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_u32, join_replies, pack, put_u32, squeeze,
+                    unframe, unsqueeze)
 from .staging import stage
 
 SHINGLE = 4
@@ -84,8 +85,7 @@ def _ask_counts(bits: int, n: int):
         count = np.minimum(count, 65535).astype("<u2")
 
         def write(a: int, b: int) -> bytes:
-            c, k = squeeze(count[a:b]), put_u32(low[a:b])
-            return len(c).to_bytes(4, "little") + c + k
+            return frames(squeeze(count[a:b]), put_u32(low[a:b]))
 
         return keys, write
 
@@ -95,8 +95,8 @@ def _ask_counts(bits: int, n: int):
 def _levels(payloads: list[bytes], _blocks: list[int]) -> list[bytes]:
     parts = []
     for p in payloads:
-        m = int.from_bytes(p[:4], "little")
-        parts.append((get_u32(p[4 + m:]), np.frombuffer(unsqueeze(p[4:4 + m]), "<u2")))
+        counts, keys = unframe(p)
+        parts.append((get_u32(keys), np.frombuffer(unsqueeze(counts), "<u2")))
     keys = np.concatenate([k for k, _ in parts])
     uniq, inv = np.unique(keys, return_inverse=True)
     df = np.bincount(inv, weights=np.concatenate([c for _, c in parts]).astype(np.float64))

@@ -5,7 +5,7 @@ folder.  Several operators need, for every n-gram of every block, a figure over
 corpus.  They ask and answer in bulk:
 
 * ``ask``: a block sends its distinct keys, cut into buckets by their top bits, one binary row
-  per bucket (``bucket``, ``block``, ``payload``);
+  per bucket (``bucket``, ``block``, ``part``, ``payload``);
 * ``answer``: a bucket sees the keys of all blocks, and replies to each with an array that
   lines up with the keys it sent;
 * ``join_replies``: block and replies meet again.
@@ -40,7 +40,7 @@ def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _seal(batch: pa.RecordBatch) -> bytes:
+def seal(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
@@ -54,42 +54,50 @@ def unseal(payload: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged blocks: ``block``, ``n_bytes``, ``payload``.  Rows are kept as they are."""
+def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text",
+         part_of: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+    """Staged blocks: ``block``, ``part``, ``n_bytes``, ``payload``.  Rows are kept as they are.
+
+    ``part_of`` deals rows by their ids into parts; a block holds rows of one part.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, seq = TaskContext.get().partitionId() << 40, 0
-        held: list[pa.RecordBatch] = []
-        size = rows = 0
+        held: dict[int, list] = {}
 
-        def flush():
-            nonlocal held, size, rows, seq
-            ids = pa.concat_arrays([h.column(0) for h in held])
-            text = pa.concat_arrays([h.column(1) for h in held])
+        def flush(part: int):
+            nonlocal seq
+            batches, size, _ = held.pop(part)
+            ids = pa.concat_arrays([h.column(0) for h in batches])
+            text = pa.concat_arrays([h.column(1) for h in batches])
             rid = pa.array(base + (seq << 20) + np.arange(len(ids), dtype=np.int64))
-            body = _seal(pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"]))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([base + (seq << 20)], pa.int64()), pa.array([size], pa.int64()), pa.array([body], pa.binary())],
-                ["block", "n_bytes", "payload"])
-            held, size, rows, seq = [], 0, 0, seq + 1
-            return out
+            body = seal(pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"]))
+            seq += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + (seq - 1 << 20)], pa.int64()), pa.array([part], pa.int32()),
+                 pa.array([size], pa.int64()), pa.array([body], pa.binary())], ["block", "part", "n_bytes", "payload"])
 
         for b in batches:
             for lo, hi in tn.chunks(b.column(1)):
                 for at in range(lo, hi, BLOCK_ROWS):
-                    part = b.slice(at, min(hi, at + BLOCK_ROWS) - at)
-                    held.append(pa.RecordBatch.from_arrays(
-                        [part.column(0).cast(pa.int64()), part.column(1).cast(pa.string())], ["doc_id", "text"]))
-                    size += len(tn.flat(part.column(1))[0])
-                    rows += len(part)
-                    if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
-                        yield flush()
-        if held:
-            yield flush()
+                    piece = b.slice(at, min(hi, at + BLOCK_ROWS) - at)
+                    piece = pa.RecordBatch.from_arrays(
+                        [piece.column(0).cast(pa.int64()), piece.column(1).cast(pa.string())], ["doc_id", "text"])
+                    of = np.zeros(len(piece), np.int64) if part_of is None else part_of(piece.column(0))
+                    for part in np.unique(of).tolist():
+                        sub = piece if part_of is None else piece.filter(pa.array(of == part))
+                        got = held.setdefault(part, [[], 0, 0])
+                        got[0].append(sub)
+                        got[1] += len(tn.flat(sub.column(1))[0])
+                        got[2] += len(sub)
+                        if got[1] >= BLOCK_BYTES or got[2] >= BLOCK_ROWS:
+                            yield flush(part)
+        for part in list(held):
+            yield flush(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "block long, n_bytes long, payload binary"), name)
+    return stage(rows.mapInArrow(run, "block long, part int, n_bytes long, payload binary"), name)
 
 
 def bucket_bits(packs: DataFrame) -> int:
@@ -99,20 +107,21 @@ def bucket_bits(packs: DataFrame) -> int:
 
 
 def ask(packs: DataFrame, bits: int, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, Callable[[int, int], bytes]]]) -> DataFrame:
-    """Rows (bucket, block, payload).  ``keys_of`` gives a block's sorted keys and a function
+    """Rows (bucket, block, part, payload).  ``keys_of`` gives a block's sorted keys and a function
     that writes the payload of a range of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for block, part, payload in zip(*(c.to_pylist() for c in b.columns)):
                 keys, write = keys_of(unseal(payload))
                 cut = bucket_cuts(keys, bits)
                 got = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(got, pa.int32()), pa.array([block] * len(got), pa.int64()),
+                     pa.array([part] * len(got), pa.int32()),
                      pa.array([write(cut[k], cut[k + 1]) for k in got.tolist()], pa.binary())],
-                    ["bucket", "block", "payload"])
+                    ["bucket", "block", "part", "payload"])
 
-    return packs.select("block", "payload").mapInArrow(run, "bucket int, block long, payload binary")
+    return packs.select("block", "part", "payload").mapInArrow(run, "bucket int, block long, part int, payload binary")
 
 
 def bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -160,3 +169,38 @@ def put_u32(x: np.ndarray) -> bytes:
 def get_u32(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(unsqueeze(raw), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+
+def put_u64(x: np.ndarray) -> bytes:
+    """Sorted u64 values: differences, byte planes, zstd."""
+    d = np.diff(x, prepend=x[:1] * 0).astype("<u8")
+    return squeeze(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T))
+
+
+def get_u64(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def put_counts(x: np.ndarray) -> bytes:
+    """Non-negative counts: byte planes, zstd."""
+    return squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def get_counts(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def frames(*parts: bytes) -> bytes:
+    """Several byte strings as one."""
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def unframe(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at:at + 4], "little")
+        out.append(raw[at + 4:at + 4 + n])
+        at += 4 + n
+    return out
