@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.bindings import Registry
 
-from . import op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op6_repeats, op8_ngram_join, op9_licenses, op10_decontam
+from . import op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op6_repeats, op7_lines, op8_ngram_join, op9_licenses, op10_decontam
 
 REG = Registry()
 
@@ -42,6 +42,11 @@ def _op6(t):
     return op6_repeats.dedup(t.documents)
 
 
+@REG.query("op7_line_dedup")
+def _op7(t):
+    return op7_lines.dedup(t.documents)
+
+
 @REG.query("op8_ngram_jaccard")
 def _op8(t):
     return op8_ngram_join.link(t.documents)
