@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import op1_quality, op2_mix, op3_tokens, op10_decontam
+from quarry.llm import op1_quality, op2_mix, op3_tokens, op8_ngram_join, op10_decontam
 from quarry.llm.staging import stage
 from quarry.session import read_table
 
@@ -21,6 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_quality.keep(docs)
 
 
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op8_ngram_join.keep_one(docs, shingle=5, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_tokens.read(op3_tokens.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-STAGES = [("quality_rules", quality), ("decontaminate", decontaminate),
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", ngram_join), ("decontaminate", decontaminate),
           ("mix_sources", mix_sources), ("token_blocks", encode)]
 
 
