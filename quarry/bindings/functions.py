@@ -57,18 +57,28 @@ def _runs(t):
 @REG.query("fn_human_formats", oracle="""
 WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice * l_quantity * 1000 AS n, l_extendedprice * 977 AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey,
-       CASE WHEN n >= 1e9 THEN 'B' WHEN n >= 1e6 THEN 'M' WHEN n >= 1e3 THEN 'K' ELSE '' END AS count_unit,
-       CASE WHEN b IS NULL OR b = 0 THEN '—' WHEN b >= 1073741824 THEN 'GB' WHEN b >= 1048576 THEN 'MB' ELSE 'KB' END AS byte_unit,
+       CASE WHEN n >= 1e9 THEN format('{:,.1f}', n / 1e9) || 'B' WHEN n >= 1e6 THEN format('{:,.1f}', n / 1e6) || 'M'
+            WHEN n >= 1e3 THEN format('{:,.1f}', n / 1e3) || 'K' ELSE format('{:,.0f}', n) END AS count_text,
+       CASE WHEN b IS NULL OR b = 0 THEN '—' WHEN b >= 1073741824 THEN format('{:,.1f}', b / 1073741824) || ' GB'
+            WHEN b >= 1048576 THEN format('{:,.1f}', b / 1048576) || ' MB' ELSE format('{:,.1f}', b / 1024) || ' KB' END AS byte_text,
        round(l_quantity * 100.0 / nullif(l_linenumber, 0), 2) AS pct
 FROM v
 """)
 def _human(t):
-    """§2.9 number formats: K/M/B counts and KB/MB/GB sizes (unit chosen), NULLIF-guarded percent."""
+    """§2.9 number formats: K/M/B counts and KB/MB/GB sizes, NULLIF-guarded percent."""
     l = t.lineitem
-    n = F.col("l_extendedprice") * F.col("l_quantity") * 1000
-    b = F.col("l_extendedprice") * 977
-    hc, hb = X.human_count(n), X.human_bytes(b)
     return l.select("l_orderkey", "l_linenumber", "l_partkey",
-                    F.regexp_extract(hc, "([KMB]?)$", 1).alias("count_unit"),
-                    F.when(hb == "—", hb).otherwise(F.regexp_extract(hb, "([KMG]B)$", 1)).alias("byte_unit"),
+                    X.human_count(F.col("l_extendedprice") * F.col("l_quantity") * 1000).alias("count_text"),
+                    X.human_bytes(F.col("l_extendedprice") * 977).alias("byte_text"),
                     X.pct("l_quantity", "l_linenumber").alias("pct"))
+
+
+@REG.query("fn_logs_and_months", oracle="""
+SELECT event_id, regexp_extract(event_type || ' user=' || user_id || ', done', 'user=([0-9]+)', 1) AS user_text,
+       date_trunc('month', ts) AS month FROM events
+""")
+def _logs(t):
+    """§2.9: a field read from a log line by pattern, and a time truncated to its month."""
+    line = F.concat(F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"), F.lit(", done"))
+    return t.events.select("event_id", X.log_field(line, "user").alias("user_text"),
+                           X.month_start("ts").cast("timestamp_ntz").alias("month"))

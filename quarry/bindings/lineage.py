@@ -71,25 +71,31 @@ def _l2u(t):
 
 
 def column_edges(t):
-    e = dag_edges(t)
-    a = e.select(F.col("src").alias("src_dataset"), F.lit("key").alias("src_column"),
-                 F.col("dst").alias("dst_dataset"), F.lit("key").alias("dst_column"))
-    b = e.select(F.col("src").alias("src_dataset"), F.lit("name").alias("src_column"),
-                 F.col("dst").alias("dst_dataset"), F.lit("parent_name").alias("dst_column"))
-    return a.unionByName(b)
+    """Column edges between ``layer.table`` names, each written by a job named after its target
+    and the first letter of its source."""
+    e = dag_edges(t).select(F.concat(F.lit("gold."), "src").alias("src_dataset"), F.concat(F.lit("gold."), "dst").alias("dst_dataset"),
+                            F.concat(F.lit("load "), "dst", F.lit(" "), F.substring("src", 1, 1)).alias("job"))
+    pairs = F.array(F.struct(F.lit("key").alias("s"), F.lit("key").alias("d")),
+                    F.struct(F.lit("name").alias("s"), F.lit("parent.name").alias("d")),
+                    F.struct(F.lit("parent.name").alias("s"), F.lit("root.name").alias("d")))
+    return e.withColumn("p", F.explode(pairs)).select(
+        "src_dataset", F.col("p.s").alias("src_column"), "dst_dataset", F.col("p.d").alias("dst_column"), "job")
 
 
 @REG.query("l3_impact", oracle="WITH RECURSIVE " + DAG_EDGES_SQL + """,
-ce AS (SELECT src || '.key' AS s, dst || '.key' AS d FROM e UNION ALL SELECT src || '.name', dst || '.parent_name' FROM e),
-w(name, depth) AS (SELECT 'america.key', 0 UNION SELECT ce.d, w.depth + 1 FROM w JOIN ce ON ce.s = w.name WHERE w.depth < 8),
-r AS (SELECT name, min(depth) AS depth FROM w WHERE name <> 'america.key' GROUP BY name)
-SELECT split_part(name, '.', 1) AS dataset, count(*) AS columns, min(depth) AS min_depth,
-       list_sort(list(DISTINCT split_part(name, '.', 2))) AS column_names
-FROM r GROUP BY 1
+ce AS (SELECT 'gold.' || src AS sd, c.s AS sc, 'gold.' || dst AS dd, c.d AS dc, 'load ' || dst || ' ' || substr(src, 1, 1) AS job
+       FROM e, (VALUES ('key', 'key'), ('name', 'parent.name'), ('parent.name', 'root.name')) c(s, d)),
+w(ds, col, depth) AS (SELECT DISTINCT sd, sc, 0 FROM ce WHERE sd = 'gold.america'
+                      UNION SELECT dd, dc, depth + 1 FROM w JOIN ce ON sd = ds AND sc = col),
+r AS (SELECT ds, col, min(depth) AS depth FROM w GROUP BY ALL),
+j AS (SELECT dd, count(DISTINCT job) AS jobs FROM ce JOIN r a ON sd = a.ds AND sc = a.col JOIN r b ON dd = b.ds AND dc = b.col AND b.depth > 0
+      GROUP BY dd)
+SELECT ds AS dataset, count(*) AS columns, min(depth) AS min_depth, list_sort(list(DISTINCT col)) AS column_names, any_value(jobs) AS jobs
+FROM r JOIN j ON dd = ds WHERE depth > 0 GROUP BY ds
 """)
 def _l3(t):
-    """L3: downstream impact of one column over column-level edges, counts per dataset."""
-    return L.impact(column_edges(t), "america", "key")
+    """L3: downstream impact of a dataset over column-level edges: columns, depth and jobs."""
+    return L.impact(column_edges(t), "gold.america")
 
 
 @REG.query("l4_task_levels", oracle="WITH RECURSIVE " + DAG_EDGES_SQL + """,

@@ -11,18 +11,15 @@ REG = Registry()
 
 
 @REG.query("p12_mask_pii", oracle="""
+WITH e AS (SELECT *, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z][A-Za-z]+', '<EMAIL>', 'g') AS a FROM documents),
+i AS (SELECT *, regexp_replace(a, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}', '<IP>', 'g') AS b FROM e)
 SELECT doc_id, sha256('salt-1' || CAST(doc_id AS VARCHAR)) AS doc_token,
-       length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z][A-Za-z]+', '<EMAIL>', 'g')) AS masked_len,
-       length(text) - length(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z][A-Za-z]+', '', 'g')) AS email_chars
-FROM documents
+       md5(regexp_replace(b, '\\+?[0-9][0-9 ()-]{7,}[0-9]', '<PHONE>', 'g')) AS text FROM i
 """)
 def _p12(t):
-    """Salted hash of the id and e-mail addresses replaced in the whole text."""
-    d = t.documents.select("doc_id", F.col("doc_id").alias("doc_token"), "text", F.col("text").alias("raw"))
-    m = mask_pii(d, {"doc_token": "hash"}, "salt-1")
-    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]+"
-    return m.select("doc_id", "doc_token", F.length(F.regexp_replace("text", email, "<EMAIL>")).alias("masked_len"),
-                    (F.length("raw") - F.length(F.regexp_replace("raw", email, ""))).alias("email_chars"))
+    """Salted hash of the id, and personal data replaced in the whole text (``scrub``)."""
+    d = t.documents.select("doc_id", F.col("doc_id").alias("doc_token"), "text")
+    return mask_pii(d, {"doc_token": "hash", "text": "scrub"}, "salt-1").withColumn("text", F.md5("text"))
 
 
 @REG.query("p12_mask_columns", oracle="""

@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from ..quality import engine
 from ..quality.gate import layer_gate, quality_facet, quality_facet_v1, run_status
 from ..quality.profile import profile
-from ..quality.rules import (AcceptedValues, CustomSql, Expression, MaxStaleness, NotFuture, NotNull,
+from ..quality.rules import (Rule, AcceptedValues, CustomSql, Expression, MaxStaleness, NotFuture, NotNull,
                              NullRate, References, Regex, RowCount, RunContext, SchemaIs, SlotsComplete,
                              UniqueKey, Uniqueness, ValueRange, load_rules)
 from ..quality.slot import slot_quality, tag_reasons
+from ..session import TABLES
 from . import Registry
 
 REG = Registry()
@@ -127,16 +128,19 @@ def _r7(t):
 @REG.query("r8_custom_sql", oracle=f"""
 WITH a AS (SELECT CAST(trunc(CAST(count(*) AS DOUBLE)) AS BIGINT) AS v FROM orders WHERE o_totalprice < 0),
 b AS (SELECT CAST(trunc(avg(o_totalprice) / 1000) AS BIGINT) AS v FROM orders),
-c AS (SELECT CAST(trunc(count(*) / 10.0) AS BIGINT) AS v FROM orders WHERE o_orderstatus = 'P')
+c AS (SELECT CAST(trunc(count(*) / 10.0) AS BIGINT) AS v FROM orders WHERE o_orderstatus = 'P'),
+d AS (SELECT 9007199254740990 + count(DISTINCT o_orderstatus) AS v FROM orders)
 {sql_row('no_negative_totals', 'custom_sql', 'critical', 'NOT coalesce(v = 0, false)', 'v', '0', 'CASE WHEN v = 0 THEN 0 ELSE coalesce(abs(v - 0), 0) END', fail='FAIL')} FROM a
 UNION ALL {sql_row('mean_total_thousands', 'custom_sql', 'warning', 'NOT coalesce(v = 150, false)', 'v', '150', 'CASE WHEN v = 150 THEN 0 ELSE coalesce(abs(v - 150), 0) END', fail='WARN')} FROM b
 UNION ALL {sql_row('pending_tenths', 'custom_sql', 'critical', 'NOT coalesce(v = 3, false)', 'v', '3', 'CASE WHEN v = 3 THEN 0 ELSE coalesce(abs(v - 3), 0) END', fail='FAIL')} FROM c
+UNION ALL {sql_row('wide_integer', 'custom_sql', 'critical', 'NOT coalesce(v = 9007199254740994, false)', 'v', '9007199254740994', 'CASE WHEN v = 9007199254740994 THEN 0 ELSE coalesce(abs(v - 9007199254740994), 0) END', fail='FAIL')} FROM d
 """)
 def _r8(t):
     """Scalar query over {table}, truncated to bigint and compared; warning -> WARN."""
     rules = [CustomSql("no_negative_totals", "SELECT count(*) FROM {table} WHERE o_totalprice < 0", 0, "critical"),
              CustomSql("mean_total_thousands", "SELECT avg(o_totalprice) / 1000 FROM {table}", 150),
-             CustomSql("pending_tenths", "SELECT count(*) / 10.0 FROM {table} WHERE o_orderstatus = 'P'", 3, "critical")]
+             CustomSql("pending_tenths", "SELECT count(*) / 10.0 FROM {table} WHERE o_orderstatus = 'P'", 3, "critical"),
+             CustomSql("wide_integer", "SELECT 9007199254740990 + count(DISTINCT o_orderstatus) FROM {table}", 9007199254740994, "critical")]
     return _eval(t.orders, rules)
 
 
@@ -262,12 +266,16 @@ def _r14(t):
 # --- R15 / J5 -----------------------------------------------------------------------------
 @REG.query("r15_slots_complete", oracle=f"""
 WITH cal AS (SELECT CAST(d AS DATE) AS d FROM range(DATE '1995-01-01', DATE '2001-08-01' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)),
-a AS (SELECT count(*) AS n FROM cal WHERE d NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders))
+a AS (SELECT count(*) AS n FROM cal WHERE d NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders)),
+h AS (SELECT count(*) AS n FROM range(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-02-02 00:00:00', INTERVAL 1 HOUR) t(d)
+      WHERE d NOT IN (SELECT DISTINCT date_trunc('hour', ts) FROM events))
 {sql_row('orders_daily_complete', 'slots_complete', 'critical', 'n > 0', 'n', '0', 'n', 'volume')} FROM a
+UNION ALL {sql_row('events_hourly_complete', 'slots_complete', 'critical', 'n > 0', 'n', '0', 'n', 'volume')} FROM h
 """)
 def _r15(t):
-    """Every calendar day between two dates has rows."""
-    return _eval(t.orders, [SlotsComplete("orders_daily_complete", "o_orderdate", "1995-01-01", "2001-08-01")])
+    """Every calendar day, and every hour, between two dates has rows."""
+    days = _eval(t.orders, [SlotsComplete("orders_daily_complete", "o_orderdate", "1995-01-01", "2001-08-01")])
+    return days.unionByName(_eval(t.events, [SlotsComplete("events_hourly_complete", "ts", "2024-01-01", "2024-02-01", step="1 hour")]))
 
 
 # --- R23 ----------------------------------------------------------------------------------
@@ -397,19 +405,24 @@ def _a1b(t):
     return profile(t.lineitem)
 
 
-@REG.query("a2_schema_json")
+A2_SQL = " UNION ALL ".join(f"""
+SELECT '{n}' AS "table", (SELECT count(*) FROM {n}) AS rows_written, count(*) AS fields,
+       string_agg(column_name, ',' ORDER BY ordinal_position) AS names FROM information_schema.columns WHERE table_name = '{n}'
+""" for n in TABLES)
+
+
+@REG.query("a2_schema_json", oracle=A2_SQL)
 def _a2(t):
-    """A2: per driver table, the metrics-record pair (rows written, schema JSON): one counting
-    scan per table, the schema JSON from the same frame (rows-only check: DuckDB has no Spark
-    schema JSON)."""
+    """A2: per driver table, rows written and the stored schema JSON, read back to its fields."""
     from functools import reduce
 
-    from ..session import TABLES
     from ..quality.profile import schema_json
 
     parts = [t[n].agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows_written"))
              .withColumn("schema_json", F.lit(schema_json(t[n]))) for n in TABLES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    fields = F.from_json("schema_json", "fields array<struct<name string>>")["fields"]["name"]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(
+        "table", "rows_written", F.size(fields).cast("long").alias("fields"), F.array_join(fields, ",").alias("names"))
 
 
 # --- R20 / R22 ----------------------------------------------------------------------------
@@ -419,7 +432,7 @@ m AS (SELECT slot, map_from_entries(list_sort(list({'d': event_type, 'c': c})))
 SELECT CAST(ts AS DATE) AS slot, count(*) AS rows, count(DISTINCT user_id) AS distinct_keys,
        min(ts) AS min_ts, max(ts) AS max_ts,
        round(count(*) FILTER (WHERE nullif(event_type, 'error') IS NULL) * 100.0 / count(*), 4) AS null_pct_event_type,
-       count(*) - count(DISTINCT event_id) AS duplicate_rows,
+       count(*) - count(DISTINCT (user_id, coalesce(nullif(event_type, 'error'), '-'))) AS duplicate_rows,
        count(*) FILTER (WHERE value >= 0 AND nullif(event_type, 'error') IS NOT NULL) AS valid_rows,
        count(*) - count(*) FILTER (WHERE value >= 0 AND nullif(event_type, 'error') IS NOT NULL) AS invalid_rows,
        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0, 4) AS span_hours,
@@ -436,7 +449,7 @@ def _r20(t):
     contract = T.StructType([T.StructField(f.name, T.DecimalType(18, 2) if f.name == "value" else f.dataType)
                              for f in e.schema.fields])
     q = slot_quality(e, slot=F.to_date("ts"), keys=["user_id"], ts="ts", critical_cols=["event_type_n"],
-                     unique_key=["event_id"], valid=F.expr("value >= 0 AND event_type_n IS NOT NULL"),
+                     unique_key=["user_id", "event_type_n"], valid=F.expr("value >= 0 AND event_type_n IS NOT NULL"),
                      expected_end=F.col("slot").cast("timestamp") + F.expr("INTERVAL 1 DAY"), dimension="event_type",
                      expected_schema=contract)
     return q.withColumnRenamed("null_pct_event_type_n", "null_pct_event_type") \
@@ -555,15 +568,43 @@ class _PositiveRule:
         return r
 
 
+class _MostAt(Rule):
+    """A user rule with an aggregate of its own kind: the largest value is at most a limit."""
+
+    rule_type = "most_at"
+
+    def __init__(self, name, column, limit, severity="critical", **kw):
+        super().__init__(name, severity)
+        self.column, self.limit = column, limit
+
+    def aggs(self, p, ctx=None):
+        return [F.max(self.column).alias(f"{p}_most")]
+
+    def result(self, p, ctx):
+        most = F.col(f"{p}_most")
+        return self._result(ctx, most > self.limit, F.lit("largest value"), most.cast("string"), str(self.limit), F.lit(0))
+
+
 @REG.query("f1_register_rule", oracle=f"""
-WITH a AS (SELECT count(*) FILTER (WHERE NOT (c_acctbal > 0)) AS n FROM customer)
-{sql_row('balance_positive', 'positive', 'warning', 'n > 0', 'n', '`c_acctbal` > 0', 'n')} FROM a
+WITH a AS (SELECT count(*) FILTER (WHERE NOT (c_acctbal > 0)) AS n, max(c_nationkey) AS m FROM customer)
+SELECT * FROM ({sql_row('balance_positive', 'positive', 'warning', 'n > 0', 'n', '`c_acctbal` > 0', 'n')} FROM a), (SELECT 'document' AS beside)
+UNION ALL SELECT * FROM ({sql_row('nation_most', 'most_at', 'critical', 'm > 20', 'm', '20', '0')} FROM a),
+  (SELECT unnest(['alone', 'a key rule', 'a key rule and 40 more']) AS beside)
 """)
 def _f1(t):
-    """a new rule type registered by name and used from a rule document."""
+    """new rule types registered by name and used from a rule document; one with a maximum
+    gives the same answer alone, beside a key rule, and beside 40 more rules."""
     from ..quality.rules import register_rule
 
     register_rule("positive", _PositiveRule)
-    rs = load_rules({"rules": [{"name": "balance_positive", "type": "positive", "column": "c_acctbal",
-                                "severity": "warning"}]})
-    return _eval(t.customer, rs.rules)
+    register_rule("most_at", _MostAt)
+    doc = load_rules({"rules": [{"name": "balance_positive", "type": "positive", "column": "c_acctbal",
+                                 "severity": "warning"}]})
+    most = {"name": "nation_most", "type": "most_at", "column": "c_nationkey", "limit": 20}
+    key = {"name": "pk", "type": "unique_key", "columns": ["c_mktsegment"]}
+    more = [{"name": f"range_{k}", "type": "value_range", "column": "c_acctbal", "min": -k} for k in range(40)]
+    out = _eval(t.customer, doc.rules).withColumn("beside", F.lit("document"))
+    for name, extra in (("alone", []), ("a key rule", [key]), ("a key rule and 40 more", [key, *more])):
+        got = _eval(t.customer, load_rules({"rules": [most, *extra]}).rules).filter("rule_name = 'nation_most'")
+        out = out.unionByName(got.withColumn("beside", F.lit(name)))
+    return out

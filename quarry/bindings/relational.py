@@ -82,10 +82,13 @@ def _p11(t):
                               "status": F.lower(F.trim("o_orderstatus"))}, F.col("o_orderstatus") != "P")
 
 
-@REG.query("p13_dev_sample")
+@REG.query("p13_dev_sample", oracle="""
+SELECT event_id, ts, user_id, event_type, value, props FROM events
+WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY AND substr(md5(CAST(event_id AS VARCHAR)), 1, 8) < '1999999a'
+""")
 def _p13(t):
-    """Last 30 days of events, 10% sample with a fixed seed (rows-only check)."""
-    return P.dev_sample(t.events, "ts", 30, 0.1, 42, "2024-01-31 00:00:00")
+    """Last 30 days of events, a 10% sample by a hash of the key."""
+    return P.dev_sample(t.events, "ts", 30, 0.1, "event_id", "2024-01-31 00:00:00")
 
 
 @REG.query("p8_search_tables", oracle=W_ + """
@@ -145,20 +148,23 @@ def _j4(t):
 
 @REG.query("j8_overlapping_ranges", oracle="""
 WITH q AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS s,
-                  CAST(o_orderdate AS DATE) + CAST(floor(o_totalprice / 5000) AS INTEGER) AS e, o_orderstatus FROM orders)
-SELECT a.o_custkey, a.o_orderkey AS request_id, b.o_orderkey AS active_id, a.s AS request_start, a.e AS request_end,
-       b.s AS active_start, b.e AS active_end
-FROM q a JOIN q b ON a.o_custkey = b.o_custkey AND a.s <= b.e AND b.s <= a.e
-WHERE a.o_orderstatus = 'O' AND b.o_orderstatus = 'F'
+                  CAST(o_orderdate AS DATE) + CAST(floor(o_totalprice / 5000) AS INTEGER) AS e, o_orderstatus FROM orders),
+x AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+      FROM q WHERE o_orderstatus = 'F'),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s, e) AS grp FROM x),
+m AS (SELECT o_custkey, grp, min(s) AS busy_from, max(e) AS busy_to FROM g GROUP BY ALL)
+SELECT q.o_custkey, q.o_orderkey AS request_id, q.s, q.e, count(m.grp) > 0 AS conflict, count(m.grp) AS n_ranges,
+       min(busy_from) AS busy_from, min(busy_to) AS busy_to
+FROM q LEFT JOIN m ON q.o_custkey = m.o_custkey AND q.s <= busy_to AND busy_from <= q.e
+WHERE q.o_orderstatus = 'O' GROUP BY ALL
 """)
 def _j8(t):
-    """Overlapping date ranges of the same key (bucketed range join)."""
+    """Each range with whether it overlaps a range of the same key (merged, bucketed)."""
     q = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("s"),
                         F.date_add(F.to_date("o_orderdate"), F.floor(F.col("o_totalprice") / 5000).cast("int")).alias("e"),
                         "o_orderstatus")
-    req = q.filter("o_orderstatus = 'O'").withColumnRenamed("o_orderkey", "request_id")
-    act = q.filter("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "active_id")
-    return J.overlapping(req, act, "o_custkey", "s", "e")
+    req = q.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("request_id"), "s", "e")
+    return J.overlapping(req, q.filter("o_orderstatus = 'F'"), "o_custkey", "s", "e")
 
 
 @REG.query("j7_upsert_join", oracle="""
@@ -211,9 +217,9 @@ def _j10(t):
 SELECT s_name, count(*) AS lines, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1
 """)
 def _j11(t):
-    """Broadcast of a side whose row count is checked against a bound."""
+    """Join with a side expected small; its bytes decide the strategy at run time."""
     l, s = t.lineitem, t.supplier
-    j = J.join_small(l, s, l.l_suppkey == s.s_suppkey, max_rows=100_000)
+    j = J.join_small(l, s, l.l_suppkey == s.s_suppkey)
     return j.groupBy("s_name").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
 

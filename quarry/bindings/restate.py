@@ -36,19 +36,26 @@ reg AS (SELECT 'rs_' || CAST(o_orderkey AS VARCHAR) AS restatement_id, lower(o_o
 
 
 def tracker(t):
-    s = (t.orders.groupBy(F.to_date("o_orderdate").alias("slot"))
-         .agg(F.when(F.count_if(F.col("o_orderstatus") == "P") > 0, "failed").otherwise("success").alias("status"))
-         .select(F.lit("silver/orders").alias("dataset"), F.lit("silver").alias("layer"), "slot", "status"))
+    """An append-only tracker: a marker per order (its day is the slot), so slots have retries."""
+    o = t.orders
+    status = (F.when(F.col("o_orderstatus") == "P", "failed").when(F.col("o_totalprice") > 350000, "DQ_FAILED")
+              .otherwise("success"))
+    at = F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") % 86400)
+    s = o.select(F.lit("silver/orders").alias("dataset"), F.lit("silver").alias("layer"), F.to_date("o_orderdate").alias("slot"),
+                 status.alias("status"), at.alias("completed_at"))
     b = (t.lineitem.select(F.to_date("l_shipdate").alias("slot")).distinct()
-         .select(F.lit("bronze/lineitem").alias("dataset"), F.lit("bronze").alias("layer"), "slot", F.lit("success").alias("status")))
+         .select(F.lit("bronze/lineitem").alias("dataset"), F.lit("bronze").alias("layer"), "slot", F.lit("success").alias("status"),
+                 F.col("slot").cast("timestamp_ntz").alias("completed_at")))
     return s.unionByName(b)
 
 
 TRACKER_SQL = """
-trk AS (SELECT 'silver/orders' AS dataset, 'silver' AS layer, CAST(o_orderdate AS DATE) AS slot,
-               CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'P') > 0 THEN 'failed' ELSE 'success' END AS status
-        FROM orders GROUP BY 3
-        UNION ALL SELECT DISTINCT 'bronze/lineitem', 'bronze', CAST(l_shipdate AS DATE), 'success' FROM lineitem)
+log AS (SELECT 'silver/orders' AS dataset, 'silver' AS layer, CAST(o_orderdate AS DATE) AS slot,
+               CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN o_totalprice > 350000 THEN 'DQ_FAILED' ELSE 'success' END AS status,
+               o_orderdate + to_seconds(o_orderkey % 86400) AS completed_at FROM orders
+        UNION ALL SELECT DISTINCT 'bronze/lineitem', 'bronze', CAST(l_shipdate AS DATE), 'success', CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)
+        FROM lineitem),
+trk AS (SELECT dataset, layer, slot, arg_max(status, (completed_at, status)) AS status FROM log GROUP BY ALL)
 """
 
 
@@ -64,7 +71,7 @@ def _b1(t):
 
 
 @REG.query("b2_restate", oracle="WITH " + TRACKER_SQL + """
-SELECT dataset, layer, slot, status FROM trk
+SELECT dataset, layer, slot, status, completed_at FROM log
 WHERE NOT (dataset = 'silver/orders' AND slot BETWEEN DATE '2001-06-01' AND DATE '2001-06-30')
 """)
 def _b2(t):
@@ -93,27 +100,35 @@ def _b3(t):
 
 
 @REG.query("b4_conflicts", oracle="WITH " + REGISTRY_SQL + """
-, q AS (SELECT * FROM reg WHERE triggered_at >= TIMESTAMP '2001-01-01'),
-a AS (SELECT * FROM reg WHERE status IN ('pending', 'running'))
-SELECT q.dataset_id, q.restatement_id AS request_id, a.restatement_id AS active_id,
-       q.date_range_start AS request_start, q.date_range_end AS request_end,
-       a.date_range_start AS active_start, a.date_range_end AS active_end
-FROM q JOIN a ON q.dataset_id = a.dataset_id AND q.date_range_start <= a.date_range_end AND a.date_range_start <= q.date_range_end
+, a AS (SELECT dataset_id, date_range_start AS s, date_range_end AS e FROM reg WHERE status IN ('pending', 'running')),
+x AS (SELECT *, max(e) OVER (PARTITION BY dataset_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM a),
+g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id ORDER BY s, e) AS grp FROM x),
+m AS (SELECT dataset_id, grp, min(s) AS busy_from, max(e) AS busy_to FROM g GROUP BY ALL)
+SELECT r.dataset_id, restatement_id AS request_id, date_range_start, date_range_end, count(m.grp) > 0 AS conflict,
+       count(m.grp) AS n_ranges, min(busy_from) AS busy_from, min(busy_to) AS busy_to
+FROM reg r LEFT JOIN m ON r.dataset_id = m.dataset_id AND date_range_start <= busy_to AND busy_from <= date_range_end
+GROUP BY ALL
 """)
 def _b4(t):
-    """Requests of 2001 that overlap an active restatement of the same dataset."""
+    """Every request with whether it overlaps an active restatement of its dataset."""
     reg = registry(t)
-    req = reg.filter(F.col("triggered_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return R.conflicts(reg, req)
+    return R.conflicts(reg, reg)
 
 
 @REG.query("b5_cascade", oracle="WITH RECURSIVE " + DAG_EDGES_SQL + """,
-w(name, depth) AS (SELECT 'africa', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.name WHERE w.depth < 8)
+ch AS (SELECT * FROM e
+       UNION SELECT DISTINCT lower(o_orderpriority), 'month 1' FROM orders
+       UNION SELECT DISTINCT 'month ' || month(o_orderdate), 'month ' || (month(o_orderdate) + 1) FROM orders),
+w(name, depth) AS (SELECT 'africa', 0 UNION SELECT ch.dst, w.depth + 1 FROM w JOIN ch ON ch.src = w.name)
 SELECT name, max(depth) AS phase FROM w GROUP BY name
 """)
 def _b5(t):
-    """Restatement cascade from a region to all downstream datasets, parents first."""
-    return R.cascade(dag_edges(t), "africa", "all")
+    """Cascade from a region to all downstream datasets, 16 hops deep, parents first."""
+    o, month = t.orders, F.month("o_orderdate")
+    name = lambda n: F.concat(F.lit("month "), n.cast("string"))
+    head = o.select(F.lower("o_orderpriority").alias("src"), F.lit("month 1").alias("dst"))
+    chain = o.select(name(month).alias("src"), name(month + 1).alias("dst"))
+    return R.cascade(dag_edges(t).unionByName(head).unionByName(chain).distinct(), "africa", "all")
 
 
 @REG.query("b6_restatement_progress", oracle="WITH " + TRACKER_SQL + """
@@ -121,13 +136,14 @@ def _b5(t):
         UNION ALL SELECT 'bronze', CAST(d AS DATE) FROM range(DATE '2001-06-01', DATE '2001-08-31', INTERVAL 1 DAY) r(d)),
 j AS (SELECT s.layer, s.slot, trk.status FROM s LEFT JOIN trk ON s.layer = trk.layer AND s.slot = trk.slot)
 SELECT layer, count(*) AS slots, count(*) FILTER (WHERE status = 'success') AS done,
-       count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IS NULL) AS pending,
-       CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial_failure'
+       count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'DQ_FAILED') AS dq_failed,
+       count(*) FILTER (WHERE status IS NULL) AS pending,
+       CASE WHEN count(*) FILTER (WHERE status IN ('failed', 'DQ_FAILED')) > 0 THEN 'partial_failure'
             WHEN count(*) FILTER (WHERE status = 'success') = count(*) THEN 'completed' ELSE 'running' END AS state
 FROM j GROUP BY layer
 """)
 def _b6(t):
-    """Restatement progress by layer over June-August 2001."""
+    """Restatement progress by layer over June-August 2001, newest marker of each slot."""
     cal = R.calendar(t.spark, "2001-06-01", "2001-08-30")
     slots = cal.select(F.lit("silver").alias("layer"), "slot").unionByName(cal.select(F.lit("bronze").alias("layer"), "slot"))
     return R.restatement_progress(slots, tracker(t))

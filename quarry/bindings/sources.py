@@ -66,28 +66,28 @@ def _s4(t):
     spark = t.spark
     base = scratch_path(spark, "s4")
     t.customer.write.parquet(f"{base}/landing/customers")
-    reg = t.customer.limit(1).select(
-        F.lit("crm").alias("name"), F.lit("local").alias("source_type"),
-        F.create_map(F.lit("root"), F.lit(base), F.lit("base_path"), F.lit("landing"), F.lit("format"), F.lit("parquet")).alias("config"))
+    reg = spark.createDataFrame([("crm", "local", {"root": base, "base_path": "landing", "format": "parquet"})],
+                                "name string, source_type string, config map<string,string>")
     df = S.read_registered(spark, reg, "crm", "customers")
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("nations"))
 
 
 @REG.query("s8_read_slot", oracle="""
-SELECT 'bronze' AS layer, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-07-04'
-UNION ALL SELECT 'silver', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1997-07-04'
+SELECT 'bronze' AS layer, count(*) AS n, 1 AS partitions FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'
+UNION ALL SELECT 'silver', count(*), 1 FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'
 """)
 def _s8(t):
-    """Slot filter on partition columns of bronze (y/m/d) and silver (__date) tables."""
-    spark = t.spark
-    base = scratch_path(spark, "s8")
-    # staged with coarse (year) folders to keep the file count small; the slot filter is the same
-    W.append(stamp_bronze_from_rows(t.orders, "o_orderdate"), f"{base}/b", ["__year"])
-    W.append(stamp_datekey(t.orders, time_col="o_orderdate").withColumn("__y", F.year("o_orderdate")), f"{base}/s", ["__y"])
-    slot = datetime(1997, 7, 4)
-    b = S.read_slot(spark.read.parquet(f"{base}/b"), "bronze", slot).agg(F.count(F.lit(1)).alias("n"))
-    s = S.read_slot(spark.read.parquet(f"{base}/s"), "silver", slot).agg(F.count(F.lit(1)).alias("n"))
-    return b.select(F.lit("bronze").alias("layer"), "n").unionByName(s.select(F.lit("silver").alias("layer"), "n"))
+    """Slot filter on partition columns of bronze (y/m/d) and silver (__date) tables; only
+    the slot's partition is read."""
+    spark, base = t.spark, scratch_path(t.spark, "s8")
+    W.append(stamp_bronze_from_rows(t.events, "ts"), f"{base}/b", ["__year", "__month", "__day"])
+    W.append(stamp_datekey(t.events.withColumn("__at", F.date_trunc("day", "ts")), time_col="__at"), f"{base}/s", ["__date"])
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    parts = []
+    for layer in ("bronze", "silver"):
+        rows = S.read_slot(spark.read.parquet(f"{base}/{layer[0]}"), layer, datetime(2024, 1, 10))
+        parts.append(rows.agg(F.lit(layer).alias("layer"), F.count(F.lit(1)).alias("n"), F.count_distinct(folder).alias("partitions")))
+    return parts[0].unionByName(parts[1])
 
 
 @REG.query("s11_ingest_csv", oracle="""
@@ -118,14 +118,25 @@ def _s13(t):
     return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@REG.query("s15_ingest_manifest", oracle="SELECT sum(1) AS files_rows, count(*) AS rows FROM orders")
+@REG.query("s15_ingest_manifest", oracle="""
+SELECT 'whole' AS folder, count(*) AS rows, true AS sized, true AS same FROM orders
+UNION ALL SELECT 'turned', count(*), true, true FROM orders
+UNION ALL SELECT 'doubled', 2 * count(*) FILTER (WHERE o_orderstatus = 'P') + count(*), true, false FROM orders
+""")
 def _s15(t):
-    """Per-file size, rows and order-free checksum of a landing folder."""
-    spark = t.spark
-    base = scratch_path(spark, "s15")
-    t.orders.repartition(4).write.parquet(base)
-    m = S.ingest_manifest(spark.read.parquet(base))
-    return m.agg(F.sum("rows").alias("files_rows"), F.sum("rows").alias("rows"))
+    """Per-file size, rows and checksum: the order of rows does not matter, repeats do."""
+    spark, o = t.spark, t.orders
+    twice = o.filter("o_orderstatus = 'P'")
+    out = None
+    for name, df in (("whole", o), ("turned", o.sort(F.col("o_orderkey").desc())), ("doubled", o.unionAll(twice).unionAll(twice))):
+        base = scratch_path(spark, f"s15-{name}")
+        df.repartition(4).write.parquet(base)
+        m = S.ingest_manifest(spark.read.parquet(base)).agg(
+            F.sum("rows").alias("rows"), (F.min("file_size") > 0).alias("sized"), F.sum("checksum").alias("sum"))
+        m = m.select(F.lit(name).alias("folder"), "rows", "sized", "sum")
+        out = m if out is None else out.unionByName(m)
+    first = out.filter("folder = 'whole'").select(F.col("sum").alias("first"))
+    return out.crossJoin(F.broadcast(first)).select("folder", "rows", "sized", (F.col("sum") == F.col("first")).alias("same"))
 
 
 @REG.query("s10_assert_not_empty", oracle="SELECT count(*) AS n FROM region")

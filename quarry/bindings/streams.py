@@ -1,9 +1,11 @@
-"""Bindings for streaming operators in their batch form (X4-X8); the stream runs are in tests."""
+"""Bindings for streaming operators: batch forms, and ``availableNow`` runs over staged files whose
+output is read back (S14, K19, X1, X3, X7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..streaming import streams as X
 from . import Registry
 
@@ -24,19 +26,68 @@ def _x4(t):
 
 
 @REG.query("x5_burn_rate_stream", oracle="""
-WITH w AS (SELECT s AS window_start FROM range(TIMESTAMP '2023-12-31 23:01:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 MINUTE) r(s)),
-j AS (SELECT w.window_start, count(*) FILTER (WHERE e.event_type <> 'error') AS good, count(*) AS total
-      FROM w JOIN events e ON e.ts >= w.window_start AND e.ts < w.window_start + INTERVAL 1 HOUR GROUP BY 1)
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, good, total,
+WITH w AS (SELECT s AS window_start, l AS span, h.name FROM range(TIMESTAMP '2023-12-31 18:01:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 MINUTE) r(s),
+           (VALUES (INTERVAL 1 HOUR, '1 hour'), (INTERVAL 6 HOUR, '6 hours')) h(l, name)),
+j AS (SELECT name, window_start, span, count(*) FILTER (WHERE e.event_type <> 'error') AS good, count(*) AS total
+      FROM w JOIN events e ON e.ts >= w.window_start AND e.ts < w.window_start + span GROUP BY ALL)
+SELECT name AS "window", window_start, window_start + span AS window_end, good, total,
        round(good / total, 6) AS sli, round((1.0 - good / total) / 0.01, 6) AS burn_rate FROM j
 """)
 def _x5(t):
-    """1-hour window sliding every minute: SLI and burn rate."""
+    """1-hour and 6-hour windows sliding every minute: SLI and burn rate."""
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    b = X.burn_rate_stream(e, "ts", F.col("event_type") != "error", 0.99, "1 hour", "1 minute")
-    return b.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window_end").cast("timestamp_ntz").alias("window_end"), "good", "total",
-                    F.round("sli", 6).alias("sli"), F.round("burn_rate", 6).alias("burn_rate"))
+    out = None
+    for window, slide in X.BURN_WINDOWS:
+        b = X.burn_rate_stream(e, "ts", F.col("event_type") != "error", 0.99, window, slide)
+        b = b.select(F.lit(window).alias("window"), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "good", "total",
+                     F.round("sli", 6).alias("sli"), F.round("burn_rate", 6).alias("burn_rate"))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+def staged_stream(t, name, files=4):
+    """Events written as ``files`` files and read as a stream, one file per micro-batch."""
+    base = scratch_path(t.spark, name)
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartition(files).write.parquet(f"{base}/landing")
+    return X.stream_source(t.spark, f"{base}/landing", e.schema, max_files_per_trigger=1), base
+
+
+@REG.query("x1_stream_ingest", oracle="SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, true AS stamped FROM events GROUP BY 1")
+def _x1(t):
+    """Staged files streamed into a partitioned folder, four micro-batches."""
+    stream, base = staged_stream(t, "x1")
+    X.stream_ingest(stream, f"{base}/table", f"{base}/checkpoint", "availableNow", ["event_type"]).awaitTermination()
+    return t.spark.read.parquet(f"{base}/table").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"), F.bool_and(F.col("_ingested_at").isNotNull()).alias("stamped"))
+
+
+@REG.query("x3_batch_metrics", oracle="SELECT 4 AS batches, count(*) AS rows, true AS sized FROM events")
+def _x3(t):
+    """Batch id and row count recorded for every micro-batch."""
+    stream, base = staged_stream(t, "x3")
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True) \
+        .foreachBatch(X.batch_metrics(f"{base}/metrics", every=1)).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{base}/metrics").agg(F.count_distinct("batch_id").alias("batches"), F.sum("rows").alias("rows"),
+                                                       (F.min("bytes") > 0).alias("sized"))
+
+
+@REG.query("x7_stream_upsert", oracle="""
+SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, value, props, event_type, event_id)) IS NOT NULL AS found, 1 AS rows FROM events GROUP BY 1
+""")
+def _x7s(t):
+    """Stream upsert keeps the newest row of every user; keys repeat inside the first batch
+    and every delivery comes twice."""
+    base = scratch_path(t.spark, "x7")
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e.unionByName(e).repartition(3).write.parquet(f"{base}/landing")
+    stream = X.stream_source(t.spark, f"{base}/landing", e.schema, max_files_per_trigger=1)
+    X.stream_upsert(stream, f"{base}/table", f"{base}/checkpoint", ["user_id"], "ts", watermark="90 days",
+                    dedup_keys=["event_id"], buckets=4).awaitTermination()
+    return t.spark.read.parquet(f"{base}/table").groupBy("user_id").agg(
+        F.max("ts").cast("timestamp_ntz").alias("ts"), F.bool_and(F.col("event_id").isNotNull()).alias("found"), F.count(F.lit(1)).alias("rows"))
 
 
 @REG.query("x6_incremental", oracle="""

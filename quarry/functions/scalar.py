@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,14 +44,14 @@ def container_of(path) -> Column:
 
 def dataset_from_table(table, suffix: str) -> Column:
     """``silver_orders_rules`` -> ``silver/orders``: strip the suffix, first ``_`` becomes ``/``."""
-    base = F.regexp_replace(_c(table), f"{suffix}$", "")
+    base = F.regexp_replace(_c(table), f"{re.escape(suffix)}$", "")
     return F.regexp_replace(base, "^([^_]*)_", "$1/")
 
 
 def tag_value(tag, prefix: str) -> Column:
     """``source:Foo`` -> ``foo`` when the tag has the prefix, else NULL."""
     t = _c(tag)
-    return F.when(t.startswith(f"{prefix}:"), F.lower(F.substring(t, len(prefix) + 2, 1 << 20)))
+    return F.when(t.startswith(f"{prefix}:"), F.lower(F.regexp_replace(t, F.lit(f"^{re.escape(prefix)}:"), F.lit(""))))
 
 
 def run_date_from_id(run_id) -> Column:
@@ -96,6 +98,17 @@ def pct(part, whole, digits: int = 2) -> Column:
     return F.round(_c(part) * 100.0 / F.nullif(_c(whole), F.lit(0)), digits)
 
 
+def log_field(line, field: str) -> Column:
+    """FN7: the value of ``field=value`` or ``"field": "value"`` in a log line, else NULL."""
+    got = F.regexp_extract(_c(line), rf"""\b{re.escape(field)}"?\s*[=:]\s*"?([^\s",;}}]+)""", 1)
+    return F.nullif(got, F.lit(""))
+
+
+def month_start(ts) -> Column:
+    """FN12: the time truncated to its month."""
+    return F.date_trunc("month", _c(ts))
+
+
 def clean_string(c) -> Column:
     """``lower(trim(c))``."""
     return F.lower(F.trim(_c(c)))

@@ -1,13 +1,12 @@
 """Joins (J1-J12).
 
 Strategy notes: joins are declared and left to Catalyst/AQE (sort-merge by default, switched
-to broadcast at runtime when a side is small).  An explicit broadcast is only issued by
-``join_small`` after a bounded row-count check of the small side.
+to broadcast at runtime when a side is small in bytes).  No operator forces a broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import layer_label
@@ -51,9 +50,12 @@ def active_pipelines(pipelines: DataFrame, deployments: DataFrame, key: str = "d
 
 def upsert_join(target: DataFrame, source: DataFrame, keys) -> DataFrame:
     """J7/K11 join form: full outer join on keys; a key in the source takes all source values
-    (update all), other target rows stay, new source keys are inserted."""
+    (update all), other target rows stay, new source keys are inserted.  A source key with
+    different rows raises."""
+    from ..sinks.merge import one_per_key
+
     keys = _keys(keys)
-    s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("__in_s"))
+    s = one_per_key(source, keys).select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("__in_s"))
     t = target.select(*[F.col(c).alias(f"t__{c}") for c in target.columns])
     cond = None
     for k in keys:
@@ -67,27 +69,47 @@ def upsert_join(target: DataFrame, source: DataFrame, keys) -> DataFrame:
     return j.select(*cols)
 
 
+def merged_ranges(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Per key, the disjoint unions of its closed day ranges that overlap or touch."""
+    # points where a range starts (+1) or has ended (-1), one row per key and day
+    s = ranges.select(key, F.to_date(start).alias("__d"), F.lit(1).alias("__v"))
+    e = ranges.select(key, F.date_add(F.to_date(end), 1).alias("__d"), F.lit(-1).alias("__v"))
+    days = s.unionByName(e).groupBy(key, "__d").agg(F.sum("__v").alias("__v"))
+    w = Window.partitionBy(key).orderBy("__d")
+    open_ = days.withColumn("__open", F.sum("__v").over(w)) \
+        .withColumn("__was", F.coalesce(F.lag("__open").over(w), F.lit(0)))
+    edges = open_.filter(((F.col("__was") == 0) & (F.col("__open") > 0)) | ((F.col("__open") == 0) & (F.col("__was") > 0)))
+    out = edges.withColumn("__to", F.lead("__d").over(w)).filter("__open > 0")
+    return out.select(key, F.col("__d").alias("busy_from"), F.date_sub("__to", 1).alias("busy_to"))
+
+
 def overlapping(requests: DataFrame, active: DataFrame, key: str, start: str, end: str,
-                bucket_days: int = 31, req_id: str = "request_id", act_id: str = "active_id") -> DataFrame:
-    """Pairs (request, active) of the same key whose [start, end] ranges overlap.
+                bucket_days: int = 31, req_id: str = "request_id") -> DataFrame:
+    """Every request with whether it overlaps an active range of its key.
 
-    Range join as equi-join on (key, time bucket): each range is exploded to the buckets it
-    touches, and a pair is emitted only in the first bucket both share, so no pair repeats
-    and a hot key is split across buckets instead of landing in one task.
+    The active ranges of a key are first merged to disjoint ones, so the result has one row per
+    request and the join cannot square: a request meets the merged ranges of the months it
+    covers.  ``busy_from``/``busy_to`` is the first merged range it overlaps; ``n_ranges`` how many.
     """
-    def buckets(df, pfx):
-        s = F.floor(F.unix_date(F.to_date(F.col(start))) / bucket_days)
-        e = F.floor(F.unix_date(F.to_date(F.col(end))) / bucket_days)
-        return df.select(*[F.col(c).alias(f"{pfx}{c}") for c in df.columns],
-                         s.alias(f"{pfx}b0"), F.explode(F.sequence(s, e)).alias(f"{pfx}b"))
-
-    r, a = buckets(requests, "r_"), buckets(active, "a_")
-    j = r.join(a, (F.col(f"r_{key}") == F.col(f"a_{key}")) & (F.col("r_b") == F.col("a_b")))
-    j = j.filter((F.col(f"r_{start}") <= F.col(f"a_{end}")) & (F.col(f"a_{start}") <= F.col(f"r_{end}"))
-                 & (F.col("r_b") == F.greatest(F.col("r_b0"), F.col("a_b0"))))
-    return j.select(F.col(f"r_{key}").alias(key), F.col(f"r_{req_id}").alias(req_id), F.col(f"a_{act_id}").alias(act_id),
-                    F.col(f"r_{start}").alias("request_start"), F.col(f"r_{end}").alias("request_end"),
-                    F.col(f"a_{start}").alias("active_start"), F.col(f"a_{end}").alias("active_end"))
+    def buckets(df, a, b):
+        s = F.floor(F.unix_date(F.to_date(F.col(a))) / bucket_days)
+        e = F.floor(F.unix_date(F.to_date(F.col(b))) / bucket_days)
+        return df.withColumn("__b0", s).withColumn("__b", F.explode(F.sequence(s, e)))
+
+    busy = buckets(merged_ranges(active, key, start, end), "busy_from", "busy_to") \
+        .select(F.col(key).alias("__k"), "__b", F.col("__b0").alias("__a0"), "busy_from", "busy_to")
+    r = buckets(requests.select(key, req_id, start, end), start, end).select(
+        F.col(key).alias("__rk"), F.col(req_id).alias("__rid"), F.col(start).alias("__rs"), F.col(end).alias("__re"),
+        F.col("__b").alias("__rb"), F.col("__b0").alias("__r0"))
+    hits = r.join(busy, (F.col("__rk") == F.col("__k")) & (F.col("__rb") == F.col("__b"))
+                  & (F.to_date("__rs") <= F.col("busy_to")) & (F.to_date("__re") >= F.col("busy_from"))
+                  & (F.col("__rb") == F.greatest("__r0", "__a0")))
+    found = hits.groupBy("__rk", "__rid").agg(F.count(F.lit(1)).alias("n_ranges"),
+                                              F.min(F.struct("busy_from", "busy_to")).alias("__m"))
+    j = requests.join(found, (F.col(key) == F.col("__rk")) & (F.col(req_id) == F.col("__rid")), "left")
+    return j.select(*[requests[c] for c in requests.columns], F.col("n_ranges").isNotNull().alias("conflict"),
+                    F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"),
+                    F.col("__m.busy_from").alias("busy_from"), F.col("__m.busy_to").alias("busy_to"))
 
 
 def resolve_nodes(nodes: DataFrame, catalogue: DataFrame, node: str = "name") -> DataFrame:
@@ -109,15 +131,14 @@ def serve_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.join(right, on, how)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``small`` only when it provably has at most ``max_rows`` rows.
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side that is expected to be small.
 
-    The check reads at most ``max_rows + 1`` rows of ``small``; beyond the bound the join is
-    left to a shuffle join (AQE may still broadcast using runtime sizes).
+    The size decides at run time: AQE measures the small side's shuffled bytes and broadcasts it
+    below ``spark.sql.autoBroadcastJoinThreshold``; otherwise it stays a shuffle join, with
+    skewed partitions split.
     """
-    n = small.limit(max_rows + 1).count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+    return big.join(small, on, how)
 
 
 def with_last_run(pipelines: DataFrame, runs: DataFrame, key: str = "dag_id", order: str = "start_date",

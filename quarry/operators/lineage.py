@@ -3,12 +3,12 @@
 Traversals are iterative joins of a frontier with the edge table.  Each hop is one join plus
 an anti join against the visited set; every ``checkpoint_every`` hops the visited set is cut
 with a reliable checkpoint (shared checkpoint folder), so plans do not grow with depth.
-The loop stops when the frontier is empty or at ``max_depth``.
+The loop stops when the frontier is empty, or at a depth the caller names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tag_value
@@ -32,102 +32,100 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError("direction is 'upstream' or 'downstream'")
 
 
-def reach(edges: DataFrame, start: str, direction: str = "downstream", max_depth: int = 8,
-          checkpoint_every: int = 3) -> DataFrame:
-    """L2: nodes reachable from ``start`` with their shortest depth (1..max_depth).
+def _cols(df: DataFrame, prefix: str) -> list:
+    return [F.col(c).alias(f"{prefix}{c}") for c in df.columns]
 
-    Breadth-first: a node is kept at the first hop that reaches it; the start node is not
-    reported; cycles end because visited nodes are removed from the frontier.
+
+def walk(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, checkpoint_every: int = 3) -> DataFrame:
+    """Nodes reachable from ``starts`` with their shortest depth, 0 for the starts themselves.
+
+    ``starts`` has the node's columns; ``edges`` has the same columns twice, as ``a_..`` and
+    ``b_..``.  Breadth-first: a node is kept at the first hop that reaches it, so cycles end.
+    Without ``max_depth`` the walk goes on until a hop finds nothing new.
     """
-    spark = edges.sparkSession
-    # the edge table is read once per hop: materialise it once (reliable checkpoint)
-    e = cut_lineage(_oriented(edges, direction).distinct())
-    visited = spark.range(1).select(F.lit(start).alias("name"), F.lit(0).alias("depth"))
-    frontier = visited.select("name")
-    for d in range(1, max_depth + 1):
-        nxt = (frontier.join(e, frontier["name"] == e["a"]).select(F.col("b").alias("name")).distinct()
-               .join(visited.select("name"), "name", "left_anti"))
-        nxt = cut_lineage(nxt)      # the frontier is computed once; the emptiness test reads it
-        if nxt.isEmpty():
+    names = starts.columns
+    e = cut_lineage(edges.distinct())  # read once per hop
+    frontier = cut_lineage(starts.distinct())
+    visited, d = frontier.withColumn("depth", F.lit(0)), 0
+    while max_depth is None or d < max_depth:
+        d += 1
+        found = Observation()
+        step = (frontier.select(*_cols(frontier, "a_")).join(e, [f"a_{c}" for c in names])
+                .select(*[F.col(f"b_{c}").alias(c) for c in names]).distinct()
+                .join(visited.select(*names), names, "left_anti"))
+        step = cut_lineage(step.observe(found, F.count(F.lit(1)).alias("n")))
+        if not found.get["n"]:
             break
-        visited = visited.unionByName(nxt.select("name", F.lit(d).alias("depth")))
+        visited = visited.unionByName(step.withColumn("depth", F.lit(d)))
         if d % checkpoint_every == 0:
             visited = cut_lineage(visited)
-        frontier = nxt
-    return visited.filter(F.col("depth") > 0).select("name", "depth", F.lit(direction).alias("direction"))
-
-
-def path_depths(edges: DataFrame, start: str, max_depth: int = 8, checkpoint_every: int = 3) -> DataFrame:
-    """Every (node, depth) at which a walk of at most ``max_depth`` hops from ``start`` arrives
-    (distinct pairs, so the set is bounded by nodes x depth even with cycles)."""
-    spark = edges.sparkSession
-    e = cut_lineage(_oriented(edges, "downstream").distinct())
-    level = spark.range(1).select(F.lit(start).alias("name"))
-    out = None
-    for d in range(1, max_depth + 1):
-        level = cut_lineage(level.join(e, level["name"] == e["a"]).select(F.col("b").alias("name")).distinct())
-        if level.isEmpty():
-            break
-        step = level.select("name", F.lit(d).alias("depth"))
-        out = step if out is None else out.unionByName(step)
-    if out is None:
-        return spark.createDataFrame([], "name string, depth int")
-    return out
+        frontier = step
+    return visited
+
+
+def reach(edges: DataFrame, start: str, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """L2: nodes reachable from ``start`` with their shortest depth; the start is not reported."""
+    e = _oriented(edges, direction).select(F.col("a").alias("a_name"), F.col("b").alias("b_name"))
+    me = edges.sparkSession.range(1).select(F.lit(start).alias("name"))
+    return walk(e, me, max_depth).filter("depth > 0").select("name", "depth", F.lit(direction).alias("direction"))
 
 
-def impact(column_edges: DataFrame, dataset: str, column: str | None = None, max_depth: int = 8) -> DataFrame:
+def impact(column_edges: DataFrame, dataset: str, column: str | None = None, max_depth: int | None = None) -> DataFrame:
     """L3: downstream impact of a dataset (or one of its columns) over column-level edges
-    ``(src_dataset, src_column) -> (dst_dataset, dst_column)``: reached columns with depth,
-    plus per-dataset counts."""
-    e = column_edges.select(F.concat_ws(".", "src_dataset", "src_column").alias("src"),
-                            F.concat_ws(".", "dst_dataset", "dst_column").alias("dst"))
+    ``(src_dataset, src_column) -> (dst_dataset, dst_column)``, optionally with the ``job`` that
+    writes them: per reached dataset its columns, least depth and distinct jobs.  Datasets and
+    columns stay apart, so names may hold dots."""
+    jobs = column_edges if "job" in column_edges.columns else column_edges.withColumn("job", F.lit(None).cast("string"))
+    e = column_edges.select(F.col("src_dataset").alias("a_dataset"), F.col("src_column").alias("a_column"),
+                            F.col("dst_dataset").alias("b_dataset"), F.col("dst_column").alias("b_column"))
+    starts = column_edges.filter(F.col("src_dataset") == dataset).select(
+        F.col("src_dataset").alias("dataset"), F.col("src_column").alias("column"))
     if column is not None:
-        r = reach(e, f"{dataset}.{column}", "downstream", max_depth)
-    else:
-        starts = column_edges.filter(F.col("src_dataset") == dataset).select("src_column").distinct()
-        # a virtual root linked to every column of the dataset
-        root = f"{dataset}.*"
-        e = e.unionByName(starts.select(F.lit(root).alias("src"), F.concat_ws(".", F.lit(dataset), "src_column").alias("dst")))
-        r = reach(e, root, "downstream", max_depth + 1).withColumn("depth", F.col("depth") - 1).filter("depth > 0")
-    parts = F.split("name", r"\.")
-    cols = r.select(parts.getItem(0).alias("dataset"), parts.getItem(1).alias("column"), "depth")
-    return cols.groupBy("dataset").agg(F.count(F.lit(1)).alias("columns"), F.min("depth").alias("min_depth"),
-                                       F.sort_array(F.collect_set("column")).alias("column_names"))
-
-
-def task_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+        starts = starts.filter(F.col("column") == column)
+    seen = walk(e, starts, max_depth)
+    r = seen.filter("depth > 0")
+    cols = r.groupBy("dataset").agg(F.count(F.lit(1)).alias("columns"), F.min("depth").alias("min_depth"),
+                                    F.sort_array(F.collect_set("column")).alias("column_names"))
+    # jobs that write a reached column from a column of the walk
+    by = (jobs.join(seen.select(F.col("dataset").alias("src_dataset"), F.col("column").alias("src_column")),
+                    ["src_dataset", "src_column"], "left_semi")
+          .join(r.select(F.col("dataset").alias("dst_dataset"), F.col("column").alias("dst_column")),
+                ["dst_dataset", "dst_column"], "left_semi")
+          .groupBy(F.col("dst_dataset").alias("dataset")).agg(F.count_distinct("job").alias("jobs")))
+    return cols.join(by, "dataset", "left").withColumn("jobs", F.coalesce("jobs", F.lit(0)))
+
+
+def task_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """L4: longest-path level of each task (Kahn order, iteratively in Spark).
 
-    Round k settles every task whose parents are all settled; its level is one more than the
-    highest parent level.  Tasks left in a cycle get one more than their highest settled
-    parent, or 0 when none is settled.
+    A round settles the tasks whose parents are all settled; only the edges that leave the last
+    round's tasks are joined, and each open task keeps the number of its parents still missing.
+    It ends when a round settles nothing.  Tasks left in a cycle get one more than their highest
+    settled parent, or 0 when none is settled.
     """
-    spark = edges.sparkSession
     e = cut_lineage(edges.select("src", "dst").distinct())
     if nodes is None:
         nodes = e.select(F.col("src").alias("task")).union(e.select(F.col("dst").alias("task"))).distinct()
-    indeg = e.groupBy(F.col("dst").alias("task")).agg(F.count(F.lit(1)).alias("indeg"))
-    nodes = nodes.join(indeg, "task", "left").select("task", F.coalesce("indeg", F.lit(0)).alias("indeg"))
-    nodes = cut_lineage(nodes)
-    settled = nodes.filter("indeg = 0").select("task", F.lit(0).alias("level"))
-    rounds = max_rounds or 10_000
-    for i in range(rounds):
-        # parents of unsettled tasks, with the settled level when known
-        cand = (e.join(settled.withColumnRenamed("task", "src"), "src", "left")
-                .groupBy(F.col("dst").alias("task"))
-                .agg(F.count(F.lit(1)).alias("parents"), F.count("level").alias("settled_parents"),
-                     F.max("level").alias("max_parent")))
-        new = (cand.filter("parents = settled_parents")
-               .join(settled.select("task"), "task", "left_anti")
-               .select("task", (F.col("max_parent") + 1).alias("level")))
-        new = cut_lineage(new)
-        if new.isEmpty():
+    indeg = e.groupBy(F.col("dst").alias("task")).agg(F.count(F.lit(1)).alias("missing"))
+    start = nodes.join(indeg, "task", "left").select("task", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).alias("level"))
+    open_ = cut_lineage(start)
+    settled, k = None, 0
+    while True:
+        ready = open_.filter("missing = 0").select("task", "level")
+        settled = ready if settled is None else settled.unionByName(ready)
+        hit = (ready.join(e, ready["task"] == e["src"]).groupBy(F.col("dst").alias("task"))
+               .agg(F.count(F.lit(1)).alias("less"), (F.max("level") + 1).alias("up")))
+        n = Observation()
+        rest = open_.filter("missing > 0").join(hit, "task", "left").select(
+            "task", (F.col("missing") - F.coalesce("less", F.lit(0))).alias("missing"),
+            F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
+        open_ = cut_lineage(rest.observe(n, F.count_if(F.col("missing") == 0).alias("ready")))
+        k += 1
+        if k % 4 == 0:
+            settled = cut_lineage(settled)
+        if not n.get["ready"]:
             break
-        settled = cut_lineage(settled.unionByName(new))
-    rest = (e.join(settled.withColumnRenamed("task", "src"), "src")
-            .groupBy(F.col("dst").alias("task")).agg((F.max("level") + 1).alias("relaxed")))
-    return (nodes.select("task").join(settled, "task", "left").join(rest, "task", "left")
-            .select("task", F.coalesce("level", "relaxed", F.lit(0)).alias("level")))
+    return settled.unionByName(open_.select("task", "level"))
 
 
 def declare_inputs(edges: DataFrame, inputs: DataFrame, job_output: str | None = None) -> DataFrame:

@@ -33,8 +33,3 @@ def mask_pii(df: DataFrame, policies: dict[str, str], salt: str = "") -> DataFra
     """Apply a policy per column, other columns unchanged (narrow, no shuffle)."""
     return df.select(*[mask_value(F.col(c), policies[c], salt).alias(c) if c in policies else F.col(c)
                        for c in df.columns])
-
-
-def pii_counts(df: DataFrame, text: str) -> Column:
-    """Number of e-mail addresses in a text column (for checks)."""
-    return F.size(F.regexp_extract_all(F.col(text), F.lit(EMAIL), 0))

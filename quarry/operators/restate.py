@@ -19,16 +19,35 @@ def calendar(spark: SparkSession, start, end, step: str = "1 day") -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(_d(start), _d(end), F.expr(f"INTERVAL {step}"))).alias("slot"))
 
 
-def missing_dates(df: DataFrame, column: str, start, end) -> DataFrame:
-    """Expected calendar days minus the days present in ``df`` (left anti join).
+STEP_UNITS = ("hour", "day", "week", "month", "quarter", "year")
+
+
+def missing_slots(df: DataFrame, column: str, start, end, step: str = "1 day") -> DataFrame:
+    """Expected slots minus the slots present in ``df`` (left anti join).
 
-    The present side is a partial-aggregated distinct of ``to_date(column)``.
+    ``step`` is ``1 <unit>``; times are truncated to the unit.  With hourly steps the calendar
+    covers every hour of the last day.  The present side is a partially aggregated distinct.
     """
-    present = df.select(F.to_date(column).alias("slot")).distinct()
-    cal = calendar(df.sparkSession, start, end)
+    n, unit = step.split()
+    unit = unit.rstrip("s")
+    if int(n) != 1 or unit not in STEP_UNITS:
+        raise ValueError(f"step is one of {STEP_UNITS}, once")
+    if unit == "day":
+        slot, cal = F.to_date(column), calendar(df.sparkSession, start, end, step)
+    else:
+        slot = F.date_trunc(unit, F.col(column).cast("timestamp_ntz")).cast("timestamp_ntz")
+        last = F.date_add(_d(end), 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 SECOND")
+        cal = df.sparkSession.range(1).select(F.explode(F.sequence(
+            F.date_trunc(unit, _d(start).cast("timestamp_ntz")).cast("timestamp_ntz"), last, F.expr(f"INTERVAL {step}"))).alias("slot"))
+    present = df.select(slot.alias("slot")).distinct()
     return cal.join(present, "slot", "left_anti")
 
 
+def missing_dates(df: DataFrame, column: str, start, end) -> DataFrame:
+    """J5 with daily slots."""
+    return missing_slots(df, column, start, end)
+
+
 def expand_slots(spark: SparkSession, from_date, to_date, max_days: int = 90) -> DataFrame:
     """B1: a date range to daily slots; ``from <= to`` and at most ``max_days`` days.
 
@@ -54,28 +73,57 @@ def expand_slots_of(bounds: DataFrame, max_days: int = 90) -> DataFrame:
 
 def _expand(base: DataFrame, max_days: int) -> DataFrame:
     span = F.datediff("t", "f") + 1
-    checked = base.select(
-        "*",
-        F.when(F.col("f") > F.col("t"), F.raise_error(F.lit("from_date after to_date")))
-        .when(span > max_days, F.raise_error(F.lit(f"range longer than {max_days} days"))).alias("_ok"))
-    return checked.select(*[c for c in base.columns if c not in ("f", "t")],
-                          F.explode(F.sequence("f", "t")).alias("slot")).select(
+    # the check feeds the sequence itself, so it cannot be pruned away
+    last = F.when(F.col("f") > F.col("t"), F.raise_error(F.lit("from_date after to_date")).cast("date")) \
+        .when(span > max_days, F.raise_error(F.lit(f"range longer than {max_days} days")).cast("date")).otherwise(F.col("t"))
+    keep = [c for c in base.columns if c not in ("f", "t")]
+    return base.select(*keep, F.explode(F.sequence("f", last)).alias("slot")).select(
         "*", F.date_format(F.col("slot").cast("timestamp_ntz"), "dd_MM_yyyy_HH").alias("date_key"))
 
 
+def latest_status(tracker: DataFrame, keys) -> DataFrame:
+    """The newest marker of each slot of an append-only tracker (``completed_at``, when there)."""
+    from .windows import latest_per
+
+    keys = list(keys)
+    return latest_per(tracker, keys, ["completed_at"]) if "completed_at" in tracker.columns else tracker
+
+
 def pending_slots(slots: DataFrame, tracker: DataFrame, restate: bool = False, keys=("dataset", "slot")) -> DataFrame:
-    """Slots that still need a run: those without a tracker marker, or all when restating."""
+    """Slots that still need a run: those whose newest marker is no success, or all when
+    restating."""
     if restate:
         return slots
-    done = tracker.filter(F.col("status") == "success").select(*keys)
+    done = latest_status(tracker, keys).filter(F.col("status") == "success").select(*keys)
     return slots.join(done, list(keys), "left_anti")
 
 
+CLEARED = "cleared"
+
+
 def restate(tracker: DataFrame, slots: DataFrame, keys=("dataset", "slot")) -> DataFrame:
     """B2: tracker with the markers of the given slots cleared (those slots will re-run)."""
     return tracker.join(slots.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def clear_markers(spark: SparkSession, tracker_path: str, slots: DataFrame, keys=("table", "partition")) -> int:
+    """B2 on a stored tracker: appends a ``cleared`` marker for each given slot that has one, so
+    a restatement that dies half-way does not look done.  Returns how many were cleared."""
+    from ..sinks import writers as W
+
+    t = latest_status(W.read_tracker(spark, tracker_path), keys)
+    hit = t.filter(F.col("status") != CLEARED).join(slots.select(*keys).distinct(), list(keys), "left_semi")
+    hit = hit.withColumn("status", F.lit(CLEARED)).withColumn("rows_written", F.lit(0).cast("long")) \
+        .withColumn("completed_at", F.current_timestamp())
+    from ..session import cut_lineage
+
+    rows = cut_lineage(hit)
+    n = rows.count()
+    if n:
+        W.append(rows, tracker_path)
+    return n
+
+
 def restatement_history(registry: DataFrame, dataset: str | None, days: int, as_of) -> DataFrame:
     """Restatements of the last ``days`` days (one dataset or all) with the row delta."""
     a = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
@@ -89,41 +137,53 @@ ACTIVE_STATES = ("pending", "running")
 
 
 def conflicts(registry: DataFrame, requests: DataFrame, bucket_days: int = 31) -> DataFrame:
-    """Requested restatements that overlap an active one of the same dataset."""
+    """Every requested restatement with whether it overlaps an active one of its dataset."""
     from .joins import overlapping
 
-    active = registry.filter(F.col("status").isin(*ACTIVE_STATES)).select(
-        "dataset_id", F.col("restatement_id").alias("active_id"), "date_range_start", "date_range_end")
+    active = registry.filter(F.col("status").isin(*ACTIVE_STATES)).select("dataset_id", "date_range_start", "date_range_end")
     req = requests.select("dataset_id", F.col("restatement_id").alias("request_id"), "date_range_start", "date_range_end")
     return overlapping(req, active, "dataset_id", "date_range_start", "date_range_end", bucket_days)
 
 
-def cascade(edges: DataFrame, dataset: str, depth: str = "all", max_depth: int = 8) -> DataFrame:
+def cascade(edges: DataFrame, dataset: str, depth: str = "all") -> DataFrame:
     """Datasets to restate and their phase (parents first).
 
     ``self`` -> the dataset alone; ``children`` -> plus direct downstream; ``all`` -> every
-    downstream dataset within ``max_depth`` hops.  The phase of a node is its longest path
-    from the dataset (bounded by ``max_depth``), so every parent runs in an earlier phase.
+    downstream dataset, however far.  The phase is the longest path from the dataset inside the
+    chosen set, so every parent runs in an earlier phase (tasks of a cycle: see ``task_levels``).
     """
-    from .lineage import path_depths
+    from .lineage import reach, task_levels
 
-    spark = edges.sparkSession
-    me = spark.range(1).select(F.lit(dataset).alias("name"), F.lit(0).alias("phase"))
+    me = edges.sparkSession.range(1).select(F.lit(dataset).alias("name"))
     if depth == "self":
-        return me
-    limit = 1 if depth == "children" else max_depth
-    d = path_depths(edges, dataset, limit).groupBy("name").agg(F.max("depth").alias("phase"))
-    return me.unionByName(d.filter(F.col("name") != dataset))
+        return me.withColumn("phase", F.lit(0))
+    down = reach(edges, dataset, "downstream", 1 if depth == "children" else None)
+    if depth == "children":
+        return me.withColumn("phase", F.lit(0)).unionByName(down.select("name", F.col("depth").alias("phase")))
+    chosen = me.unionByName(down.select("name"))
+    # edges back into the start would make it wait for its own descendants
+    inner = (edges.filter(F.col("dst") != dataset)
+             .join(chosen.withColumnRenamed("name", "src"), "src", "left_semi")
+             .join(chosen.withColumnRenamed("name", "dst"), "dst", "left_semi"))
+    levels = task_levels(inner, chosen.withColumnRenamed("name", "task"))
+    return levels.select(F.col("task").alias("name"), F.col("level").alias("phase"))
+
+
+#: a slot whose data was written but whose quality gate failed
+DQ_FAILED = "DQ_FAILED"
 
 
 def restatement_progress(slots: DataFrame, tracker: DataFrame, keys=("layer", "slot")) -> DataFrame:
-    """Per layer, slots done / failed / pending and an overall status."""
-    t = tracker.select(*keys, "status")
+    """Per layer, slots done / failed / failed on quality / pending and an overall status,
+    from each slot's newest marker."""
+    t = latest_status(tracker, keys).select(*keys, "status")
     j = slots.select(*keys).distinct().join(t, list(keys), "left")
+    status = F.col("status")
     g = j.groupBy(keys[0]).agg(
         F.count(F.lit(1)).alias("slots"),
-        F.count_if(F.col("status") == "success").alias("done"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(F.col("status").isNull()).alias("pending"))
-    return g.withColumn("state", F.when(F.col("failed") > 0, "partial_failure")
+        F.count_if(status == "success").alias("done"),
+        F.count_if(status == "failed").alias("failed"),
+        F.count_if(status == DQ_FAILED).alias("dq_failed"),
+        F.count_if(status.isNull() | (status == CLEARED)).alias("pending"))
+    return g.withColumn("state", F.when(F.col("failed") + F.col("dq_failed") > 0, "partial_failure")
                         .when(F.col("done") == F.col("slots"), "completed").otherwise("running"))

@@ -44,8 +44,3 @@ def next_version(diff: DataFrame, current: int) -> DataFrame:
         F.count_if(breaking).alias("breaking_changes"),
     ).select("changes", "breaking_changes", (F.col("breaking_changes") > 0).alias("breaking"),
              F.when(F.col("breaking_changes") > 0, F.lit(current + 1)).otherwise(F.lit(current)).alias("version"))
-
-
-def except_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` not in ``b`` with multiplicity (EXCEPT ALL)."""
-    return a.exceptAll(b)

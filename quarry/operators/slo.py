@@ -7,7 +7,7 @@ Namespace, ContainerName, LogMessage`` (JSON text or plain text).  JSON fields a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TS = "TimeGenerated"
@@ -23,9 +23,13 @@ def _bin(bin_: str, ts: str = TS) -> Column:
 def percentile_by_bin(points: DataFrame, q: float, bin_: str, value: str = "Val", exact: bool = False,
                       keys=()) -> DataFrame:
     """Percentile of a value per time bin.  Default: the bounded-memory sketch
-    (``percentile_approx``); ``exact=True`` holds every value of a bin in one task and is meant
-    for small bins and checks."""
-    agg = (F.percentile(value, F.lit(q)) if exact else F.percentile_approx(value, F.lit(q), F.lit(10000)))
+    (``percentile_approx``); ``exact=True`` ranks the distinct values by their counts, so a bin
+    is never held whole."""
+    if exact:
+        from .summary import exact_quantile
+
+        return exact_quantile(points.withColumn("bin", _bin(bin_)), value, q, ["bin", *keys])
+    agg = F.percentile_approx(value, F.lit(q), F.lit(10000))
     return points.groupBy(_bin(bin_).alias("bin"), *keys).agg(agg.alias(f"p{int(round(q * 100))}"))
 
 
@@ -37,10 +41,17 @@ def ratio_by_bin(points: DataFrame, good: Column, bin_: str, value: str = "Val",
 
 
 def counter_rate(points: DataFrame, keys, bin_: str, value: str = "Val") -> DataFrame:
-    """Counter increase per second inside each bin: (max - min) / bin seconds."""
-    secs = _bin_seconds(bin_)
-    return points.groupBy(_bin(bin_).alias("bin"), *keys).agg(
-        ((F.max(value) - F.min(value)) / F.lit(float(secs))).alias("rate_per_s"))
+    """Counter increase per second inside each bin.
+
+    The increase is the sum of the steps up between neighbouring points of a series in the bin;
+    after a reset the new value counts in full.
+    """
+    secs, keys = _bin_seconds(bin_), [keys] if isinstance(keys, str) else list(keys)
+    w = Window.partitionBy("bin", *keys).orderBy(TS, value)
+    prev = F.lag(value).over(w)
+    step = F.when(prev.isNull(), F.lit(0.0)).when(F.col(value) >= prev, F.col(value) - prev).otherwise(F.col(value))
+    return (points.withColumn("bin", _bin(bin_)).withColumn("__step", step)
+            .groupBy("bin", *keys).agg((F.sum("__step") / F.lit(float(secs))).alias("rate_per_s")))
 
 
 def _bin_seconds(bin_: str) -> int:

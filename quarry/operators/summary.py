@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 FAIL, WARN, PASS = "FAIL", "WARN", "PASS"
 
 
@@ -31,35 +33,28 @@ def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_flags(rule_results: DataFrame, dataset_col: str = "dataset") -> DataFrame:
-    """Per run: newest time, and whether it had a critical FAIL or any WARN."""
+    """Per run: its newest time, and whether any rule blocked it or warned."""
+    blocked = (F.col("status") == FAIL) & (F.lower("severity") == "critical")
     return rule_results.groupBy(dataset_col, "run_id").agg(
-        F.max("run_timestamp").alias("last_ts"),
-        F.max(F.when((F.col("status") == FAIL) & (F.upper("severity") == "CRITICAL"), 1).otherwise(0)).alias("crit"),
-        F.max(F.when(F.col("status") == WARN, 1).otherwise(0)).alias("warn"),
-    )
+        F.max("run_timestamp").alias("seen_at"), F.bool_or(blocked).alias("blocked"),
+        F.bool_or(F.col("status") == WARN).alias("warned"))
 
 
 def summary_by_rules(rule_results: DataFrame, dataset_col: str = "dataset") -> DataFrame:
     """A5: run -> dataset summary from rule-result rows (two-level aggregation).
 
-    A run passes when it has neither a critical FAIL nor a WARN.  The last status is the
-    status of the newest run (ties broken by run id).
+    A run is clean when nothing blocked it and nothing warned.  The last status is that of the
+    newest run (ties broken by run id).  Output columns are fixed.
     """
-    runs = run_flags(rule_results, dataset_col)
-    status = F.when(F.col("crit") > 0, F.lit(FAIL)).when(F.col("warn") > 0, F.lit(WARN)).otherwise(F.lit(PASS))
-    g = runs.groupBy(dataset_col).agg(
+    clean = ~F.col("blocked") & ~F.col("warned")
+    outcome = F.when(clean, F.lit(PASS)).when(F.col("blocked"), F.lit(FAIL)).otherwise(F.lit(WARN))
+    return run_flags(rule_results, dataset_col).groupBy(F.col(dataset_col).alias("dataset")).agg(
         F.count(F.lit(1)).alias("total_runs"),
-        F.sum(F.when((F.col("crit") == 0) & (F.col("warn") == 0), 1).otherwise(0)).alias("passes"),
-        F.sum("crit").alias("critical_failures"),
-        F.sum("warn").alias("warnings"),
-        F.max("last_ts").alias("last_run_at"),
-        F.max_by(status, F.struct("last_ts", "run_id")).alias("last_status"),
-    )
-    return g.select(
-        F.col(dataset_col).alias("dataset"), "total_runs",
-        F.when(F.col("total_runs") > 0, F.round(F.col("passes") / F.col("total_runs"), 4)).otherwise(0.0).alias("pass_rate"),
-        "last_run_at", F.col("critical_failures").cast("long").alias("critical_failures"),
-        F.col("warnings").cast("long").alias("warnings"), "last_status")
+        F.round(F.avg(clean.cast("double")), 4).alias("pass_rate"),
+        F.max("seen_at").alias("last_run_at"),
+        F.count_if(F.col("blocked")).alias("critical_failures"),
+        F.count_if(F.col("warned")).alias("warnings"),
+        F.max_by(outcome, F.struct("seen_at", "run_id")).alias("last_status"))
 
 
 def summary_by_runs(run_summaries: DataFrame) -> DataFrame:
@@ -168,9 +163,38 @@ def quantile_metric(df: DataFrame, col: str, q: float = 0.99, accuracy: int = 10
 
 
 def exact_quantile(df: DataFrame, col: str, q: float = 0.99, keys=None) -> DataFrame:
-    """Exact twin of A14 (``percentile`` with linear interpolation)."""
-    agg = F.percentile(F.col(col), F.lit(q)).alias(f"p{int(round(q * 100))}")
-    return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
+    """Exact twin of A14 (linear interpolation, as SQL's ``percentile_cont``).
+
+    Values are first counted (partial aggregation), spread over tasks by a range sort of
+    (group, value), and ranked through running counts of each task plus the counts of earlier
+    tasks; only the two values around the wanted rank of a group meet.  No task holds a group.
+    """
+    keys = list(keys or [])
+    name = f"p{int(round(q * 100))}"
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    s = cut_lineage(counts.repartitionByRange(*[F.col(k) for k in keys], F.col("__v")).withColumn("__p", F.spark_partition_id()))
+    per = s.groupBy(*keys, "__p").agg(F.sum("__n").alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.withColumn("__off", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+    total = offs.groupBy(*keys).agg(F.sum("__m").alias("__all"))
+    offs = _null_join(offs.drop("__m"), total, keys)
+    inside = Window.partitionBy(*keys, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = _null_join(s.withColumn("__run", F.sum("__n").over(inside)), offs, [*keys, "__p"])
+    last = F.col("__off") + F.col("__run")            # 1-based rank of the value's last row
+    first = last - F.col("__n")                        # 0-based rank of its first
+    want = F.lit(float(q)) * (F.col("__all") - 1)
+    near = r.filter((first <= F.ceil(want)) & (last - 1 >= F.floor(want)))
+    frac = want - F.floor(want)
+    g = near.withColumn("__frac", frac).groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.max("__frac").alias("__f"))
+    return g.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(name))
+
+
+def _null_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Inner join on ``keys`` with NULL equal to NULL; without keys the one row of ``right``."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(r, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys]).drop(*[f"__r_{k}" for k in keys])
 
 
 def last_updated(df: DataFrame, candidates: list[str]) -> DataFrame:
@@ -184,16 +208,16 @@ def last_updated(df: DataFrame, candidates: list[str]) -> DataFrame:
 
 
 def counts_by(df: DataFrame, key: str, flags: dict[str, Column] | None = None, values: list | None = None) -> DataFrame:
-    """Count per key value as columns plus conditional totals, in one aggregation.
+    """Count per key value plus conditional totals, in one aggregation.
 
-    With ``values`` the columns are fixed (one ``count_if`` each, like a pivot with known
-    values); without, the distinct values are looked up first (one small job) as ``pivot`` does.
+    With ``values`` one row with a column per value (``count_if`` each, like a pivot with known
+    values); without, one row per value found, so the number of values is unbounded.
     """
+    totals = [F.count_if(c).alias(n) for n, c in (flags or {}).items()]
     if values is None:
-        values = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *totals)
     per_value = [F.count_if(F.col(key) == F.lit(v)).alias(str(v)) for v in values]
-    return df.agg(*per_value, F.count(F.lit(1)).alias("total"),
-                  *[F.count_if(c).alias(n) for n, c in (flags or {}).items()])
+    return df.agg(*per_value, F.count(F.lit(1)).alias("total"), *totals)
 
 
 def union_results(dfs_by_dataset: dict[str, DataFrame]) -> DataFrame:

@@ -72,6 +72,9 @@ def model(df: DataFrame, mapping: dict[str, Column | str], where: Column | str |
     return df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in mapping.items()])
 
 
-def dev_sample(df: DataFrame, ts: str, days: int, fraction: float, seed: int, as_of) -> DataFrame:
-    """Recent window (last ``days`` days) sampled with a fixed seed, for development."""
-    return recent(df, ts, days, as_of).sample(withReplacement=False, fraction=float(fraction), seed=int(seed))
+def dev_sample(df: DataFrame, ts: str, days: int, fraction: float, key: str, as_of, salt: str = "") -> DataFrame:
+    """Recent window (last ``days`` days), and the rows whose hashed key falls in the first
+    ``fraction`` of the hash range: the same keys on every run, whatever the partitioning."""
+    bound = f"{round(fraction * (1 << 32)):08x}"
+    digest = F.substring(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), 1, 8)
+    return recent(df, ts, days, as_of).filter(digest < bound if fraction < 1 else F.lit(True))

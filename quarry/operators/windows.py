@@ -1,8 +1,7 @@
 """Window-style operators.
 
-Per-group picks use ``max_by``/``min_by`` aggregations (partial aggregation, skew-safe) rather
-than ``row_number`` over a window, which would sort a whole hot group inside one task.
-``row_number`` is used only for ranks inside small groups (W4's runs of one day).
+Picks of one row per key use ``row_number() = 1``: one shuffle on the key, with Spark's window
+group limit keeping one row per key and task before it.  Ranks of all rows use a range sort.
 """
 
 from __future__ import annotations
@@ -10,20 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _order(order) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
 def latest_per(df: DataFrame, keys, order, ascending: bool = False) -> DataFrame:
-    """One row per key, the newest by ``order`` (all other columns break ties)."""
-    keys = _order(keys)
-    order = _order(order)
-    rest = [c for c in df.columns if c not in keys]
-    tie = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
-    pick = F.min_by if ascending else F.max_by
-    g = df.groupBy(*keys).agg(pick(F.struct(*[F.col(c) for c in rest]), tie).alias("__r"))
-    return g.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+    """One row per key, the newest by ``order`` (all other columns break ties).
+
+    One shuffle on the key and ``row_number``; Spark keeps only each task's best rows of a key
+    before the shuffle (window group limit), so a hot key does not travel whole.
+    """
+    keys, order = _order(keys), _order(order)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    by = [F.col(c).asc() if ascending else F.col(c).desc() for c in order + rest]
+    w = Window.partitionBy(*keys).orderBy(*by)
+    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
 def dedup(df: DataFrame, keys, order=None) -> DataFrame:
@@ -57,8 +60,9 @@ def runs_by_day(runs: DataFrame, day_of: Column | None = None, start: str = "sta
 def rank_within(df: DataFrame, group: str, order: list[Column], out: str = "rank_in_day") -> DataFrame:
     """Dense 1-based position of each row inside its group under ``order`` (no ties when the
     order is total), computed with a range-partitioned sort instead of a per-group window."""
-    s = df.sort(*order).withColumn("__part", F.spark_partition_id())
-    s = s.withColumn("__pos", F.monotonically_increasing_id())
+    # the sorted frame is written once: positions and offsets must come from the same tasks
+    s = cut_lineage(df.sort(*order).withColumn("__part", F.spark_partition_id())
+                    .withColumn("__pos", F.monotonically_increasing_id()))
     firsts = s.groupBy("__part", group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
     # rows of the group held by earlier tasks (a range sort keeps a group in consecutive tasks)
     w = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

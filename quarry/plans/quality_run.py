@@ -9,12 +9,12 @@ window over the stored metrics; the gate decides last.
 from __future__ import annotations
 
 import functools
+import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from ..quality.history import detect_anomalies
 from ..quality.profile import profiles_json
 from ..quality.results import AUTO_METRICS_SCHEMA
 from ..quality.rules import Rule, RuleSet, RunContext, load_rules
+from ..session import scratch_path
 from ..sinks import writers as W
 from ..sources.readers import read_slot
 
@@ -63,8 +64,12 @@ class QualityTables:
 def run_quality(spark: SparkSession, df: DataFrame, dataset: str, rules: list[Rule] | RuleSet,
                 tables: QualityTables, run_id: str | None = None, pipeline_name: str | None = None,
                 run_timestamp: datetime | None = None, fail_on_critical: bool = True,
-                anomaly: dict | None = None, warn_on_warning: bool = False) -> dict:
-    """Profile + rules in one pass, append the three tables, anomalies, gate."""
+                anomaly: dict | None = None, warn_on_warning: bool = False, environment: str | None = None,
+                write_duration_ms: int | None = None) -> dict:
+    """Profile + rules in one pass, append the three tables, anomalies, gate.
+
+    ``write_duration_ms`` is the caller's write time; without it, the time of this evaluation.
+    """
     if isinstance(rules, RuleSet):
         anomaly = anomaly if anomaly is not None else rules.anomaly
         rules = rules.rules
@@ -75,33 +80,27 @@ def run_quality(spark: SparkSession, df: DataFrame, dataset: str, rules: list[Ru
     if W.path_exists(spark, paths["auto"]):
         history = W.read_results(spark, paths["auto"]).filter(F.col("dataset_path") == dataset)
     ctx = RunContext(spark, as_of=ts, history=history, warn_on_warning=warn_on_warning)
-    ev = engine.evaluate_all(df, rules, ctx, with_profile=True)
-    ev.aggregate.persist(StorageLevel.MEMORY_AND_DISK)  # one row: the scan runs once for all writes
-    try:
-        prof = profiles_json(ev.profile)
-        auto = prof.select(
-            F.lit(run_id).alias("run_id"), F.lit(pipeline_name).cast("string").alias("pipeline_name"),
-            F.lit(dataset).alias("dataset_path"), F.lit(None).cast("string").alias("environment"),
-            F.lit(ts).cast("timestamp").alias("run_timestamp"), F.col("rows_written").cast("long"),
-            F.lit(df.schema.json()).alias("schema_json"), "column_profiles",
-            F.lit(0).cast("long").alias("write_duration_ms"))
-        W.append_results(auto.select(*[f.name for f in AUTO_METRICS_SCHEMA.fields]), paths["auto"])
-        try:
-            rows = ev.results.collect()              # one row per rule: the shared scan runs here
-            materialised = spark.createDataFrame([tuple(r) for r in rows], ev.results.schema)
-        except Exception:                           # a rule broke at run time: isolate it
-            materialised = engine.evaluate_resilient(df, rules, ctx)
-        results = engine.with_run_columns(materialised, run_id, dataset, F.lit(ts).cast("timestamp"), pipeline_name)
-        W.append_results(results, paths["rules"])
-        settings = anomaly or {}
-        if settings.get("enabled", True):
-            allm = W.read_results(spark, paths["auto"]).filter(F.col("dataset_path") == dataset)
-            an = detect_anomalies(allm, settings).filter(F.col("run_id") == run_id)
-            W.append_results(an, paths["anomaly"])
-        stored = W.read_results(spark, paths["rules"]).filter(F.col("run_id") == run_id)
-        return gate(stored, fail_on_critical)
-    finally:
-        ev.aggregate.unpersist()
+    started = time.monotonic()
+    # everything is computed before the first append, so a broken rule costs only its own row
+    ev = engine.evaluate_resilient(df, rules, ctx, with_profile=True)
+    prof = profiles_json(ev.profile)
+    auto = prof.select(
+        F.lit(run_id).alias("run_id"), F.lit(pipeline_name).cast("string").alias("pipeline_name"),
+        F.lit(dataset).alias("dataset_path"), F.lit(environment).cast("string").alias("environment"),
+        F.lit(ts).cast("timestamp").alias("run_timestamp"), F.col("rows_written").cast("long"),
+        F.lit(df.schema.json()).alias("schema_json"), "column_profiles",
+        F.lit(int((time.monotonic() - started) * 1000) if write_duration_ms is None else write_duration_ms)
+        .cast("long").alias("write_duration_ms"))
+    W.append_results(auto.select(*[f.name for f in AUTO_METRICS_SCHEMA.fields]), paths["auto"])
+    results = engine.with_run_columns(ev.results, run_id, dataset, F.lit(ts).cast("timestamp"), pipeline_name)
+    W.append_results(results, paths["rules"])
+    settings = anomaly or {}
+    if settings.get("enabled", True):
+        allm = W.read_results(spark, paths["auto"]).filter(F.col("dataset_path") == dataset)
+        an = detect_anomalies(allm, settings).filter(F.col("run_id") == run_id)
+        W.append_results(an, paths["anomaly"])
+    stored = W.read_results(spark, paths["rules"]).filter(F.col("run_id") == run_id)
+    return gate(stored, fail_on_critical)
 
 
 def gate_slot(spark: SparkSession, table: str, layer: str, slot: datetime, rules, tables: QualityTables,
@@ -119,9 +118,12 @@ def check(df: DataFrame, dataset: str, rules, spark: SparkSession | None = None,
 
 
 def track(dataset: str, rules=None, pipeline_name: str | None = None, tables: QualityTables | None = None,
-          fail_on_critical: bool = True, persist: bool = True):
-    """decorator for ``fn(...) -> DataFrame``: runs the quality run on the returned frame
-    (persisted once, so the check and the caller's write share one computation)."""
+          fail_on_critical: bool = True, materialise: bool = True, environment: str | None = None):
+    """decorator for ``fn(...) -> DataFrame``: runs the quality run on the returned frame.
+
+    The frame is written once to the shared scratch folder, so the check and the caller's write
+    share one computation and nothing stays pinned on executors; ``materialise=False`` leaves it
+    lazy."""
 
     def deco(fn):
         name = pipeline_name or fn.__name__
@@ -129,16 +131,22 @@ def track(dataset: str, rules=None, pipeline_name: str | None = None, tables: Qu
         @functools.wraps(fn)
         def wrapper(*args, **kwargs):
             df = fn(*args, **kwargs)
-            if persist:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            spent = None
+            if materialise:
+                started = time.monotonic()
+                path = scratch_path(df.sparkSession, "track")
+                df.write.parquet(path)
+                df = df.sparkSession.read.schema(df.schema).parquet(path)
+                spent = int((time.monotonic() - started) * 1000)
             rs = load_rules(rules) if isinstance(rules, (str, dict)) else (rules or [])
             if tables is None:
                 rl = rs.rules if isinstance(rs, RuleSet) else rs
-                res = engine.evaluate_resilient(df, rl, RunContext(df.sparkSession))
+                res = engine.evaluate_resilient(df, rl, RunContext(df.sparkSession)).results
                 wrapper.last_report = gate(res, fail_on_critical)
             else:
-                wrapper.last_report = run_quality(df.sparkSession, df, dataset, rs, tables,
-                                                  pipeline_name=name, fail_on_critical=fail_on_critical)
+                wrapper.last_report = run_quality(df.sparkSession, df, dataset, rs, tables, pipeline_name=name,
+                                                  fail_on_critical=fail_on_critical, environment=environment,
+                                                  write_duration_ms=spent)
             return df
 
         wrapper.last_report = None

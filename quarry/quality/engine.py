@@ -6,8 +6,8 @@ Plan shape (per run):
   Spark runs it as partial aggregation on each task plus a single-row final merge;
 * each keyed rule adds one ``groupBy`` on its key (partial aggregation first, so a hot key
   collapses to one row per task before the shuffle);
-* history rules read the same one-row aggregate (Spark reuses the exchange) and the metrics
-  history, which has one row per earlier run.
+* history rules read the same one-row aggregate (checkpointed once) and the metrics history,
+  which has one row per earlier run.
 
 Results are a lazy union: nothing is collected here.
 """
@@ -23,12 +23,17 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import profile as prof
 from .results import RESULT_COLUMNS, RULE_RESULT_FIELDS, SKIPPED
-from .rules import Rule, RunContext, UniqueKey, Uniqueness
+from .rules import Rule, RunContext
+
+
+def first_line(exc: Exception) -> str:
+    """The whole first line of an error's text."""
+    return (str(exc).splitlines() or [type(exc).__name__])[0]
 
 
 def _skipped(ctx: RunContext, rule: Rule, exc: Exception) -> DataFrame:
     row = (rule.name, rule.rule_type, rule.severity, SKIPPED,
-           f"rule could not be evaluated: {str(exc).splitlines()[0][:300]}", None, None, 0,
+           f"rule could not be evaluated: {first_line(exc)}", None, None, 0,
            "content")
     return ctx.spark.createDataFrame([row], RULE_RESULT_FIELDS)
 
@@ -41,82 +46,46 @@ class Evaluation:
 
 
 def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile: bool = False,
-                 exact_distinct: bool = False, chunk: int = 200) -> Evaluation:
-    fused = [r for r in rules if r.fused]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+                 exact_distinct: bool = False, materialise: bool = False) -> Evaluation:
+    """One keyless aggregation for all row rules (and the profile), one key-only pass per keyed
+    rule.  ``materialise`` checkpoints the aggregate row, so everything read from it scans once."""
     usable: list[tuple[int, Rule]] = []
     skipped: list[DataFrame] = []
-    for i, r in enumerate(fused):
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, r in enumerate(r for r in rules if r.fused):
         try:
             exprs = r.aggs(f"r{i}", ctx)
-            usable.append((i, r))
+            if exprs:
+                df.agg(*exprs).schema  # analysis only
             aggs.extend(exprs)
+            usable.append((i, r))
         except (AnalysisException, ValueError) as exc:
             skipped.append(_skipped(ctx, r, exc))
     fields = list(df.schema.fields)
-    profile_in_row = with_profile and len(fields) <= chunk
-    if profile_in_row:
+    if with_profile:
         aggs.extend(prof.profile_aggs(fields, exact_distinct))
-    # without a profile, row rules can ride on a unique-key rule's key-grain pass (one scan)
-    carrier = None if with_profile or len(aggs) - 1 > MAX_SHARED_AGGS else _carrier(rules)
-    if carrier is not None and usable:
-        try:
-            row = _fused_with_key(df, usable, carrier, [], ctx)
-            row.schema
-        except AnalysisException:
-            carrier = None
-    if not usable:
-        carrier = None
-    try:
-        row = row if carrier is not None else df.agg(*aggs)
-    except AnalysisException:
-        # one bad expression: find which rules analyse on their own, skip the rest
-        keep = []
-        for i, r in usable:
-            try:
-                df.agg(*r.aggs(f"r{i}", ctx)).schema
-                keep.append((i, r))
-            except AnalysisException as exc:
-                skipped.append(_skipped(ctx, r, exc))
-        usable = keep
-        aggs = [F.count(F.lit(1)).alias("__rows")] + [e for i, r in usable for e in r.aggs(f"r{i}", ctx)]
-        if profile_in_row:
-            aggs.extend(prof.profile_aggs(fields, exact_distinct))
-        row = df.agg(*aggs)
-
-    if any(getattr(r, "needs_rows", False) for r in rules if not r.fused):
-        # history rules read the same one-row aggregate as the fused results; materialise that
-        # row once (reliable checkpoint) so the data is scanned once, not once per branch
+    row = df.agg(*aggs)
+    if materialise or any(getattr(r, "needs_rows", False) for r in rules if not r.fused):
         row = cut_lineage(row)
     parts: list[DataFrame] = []
     if usable:
         structs = [r.result(f"r{i}", ctx) for i, r in usable]
-        if carrier is not None:
-            structs.append(_carrier_result(carrier, ctx))
         parts.append(row.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
     for r in rules:
-        if r.fused or r is carrier:
+        if r.fused:
             continue
         try:
-            if getattr(r, "needs_rows", False):
-                parts.append(r.from_rows(row, ctx))
-            else:
-                parts.append(r.evaluate(df, ctx))
+            parts.append(r.from_rows(row, ctx) if getattr(r, "needs_rows", False) else r.evaluate(df, ctx))
         except (AnalysisException, ValueError, KeyError) as exc:
             parts.append(_skipped(ctx, r, exc))
     parts.extend(skipped)
     results = parts[0] if parts else _empty_results(ctx)
     for p in parts[1:]:
         results = results.unionByName(p)
-
     profile_df = None
     if with_profile:
-        if profile_in_row:
-            profile_df = (row.select(F.col("__rows").alias("rows"),
-                                     F.explode(prof.profile_rows(fields)).alias("c"))
-                          .select(*[F.col(f"c.{n}").alias(n) for n in prof.PROFILE_COLUMNS], "rows"))
-        else:
-            profile_df = prof.profile(df, chunk=chunk, exact_distinct=exact_distinct)
+        profile_df = (row.select(F.col("__rows").alias("rows"), F.explode(prof.profile_rows(fields)).alias("c"))
+                      .select(*[F.col(f"c.{n}").alias(n) for n in prof.PROFILE_COLUMNS], "rows"))
     return Evaluation(row, results, profile_df)
 
 
@@ -148,22 +117,14 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     """Rule results for every group of ``keys`` (e.g. every partition slot) in one pass.
 
     Fused rules become one grouped aggregation (partial aggregation per task, one shuffle on
-    ``keys``); keyed rules group by ``keys`` plus their own key.  When a ``unique_key`` rule is
-    present, the fused rules ride on its key-grain aggregation (see ``_fused_with_key``), so
-    row rules and the key check share one scan.  Rules that need run history are evaluated
-    per run by the history operators instead and are rejected here.
+    ``keys``); keyed rules group by ``keys`` plus their own key, reading only those columns.
+    Rules that need run history are evaluated per run by the history operators instead and are
+    rejected here.
     """
     ctx = ctx or RunContext(df.sparkSession)
     fused = [(i, r) for i, r in enumerate(rules) if r.fused]
     parts: list[DataFrame] = []
-    carrier = next((r for r in rules if isinstance(r, UniqueKey)), None)
-    if sum(len(r.aggs(f"r{i}", ctx)) for i, r in fused) > MAX_SHARED_AGGS:
-        carrier = None
-    if fused and carrier is not None:
-        row = _fused_with_key(df, fused, carrier, keys, ctx)
-        structs = [r.result(f"r{i}", ctx) for i, r in fused] + [_carrier_result(carrier, ctx)]
-        parts.append(row.select(*keys, F.explode(F.array(*structs)).alias("r")).select(*keys, "r.*"))
-    elif fused:
+    if fused:
         aggs = [F.count(F.lit(1)).alias("__rows")]
         for i, r in fused:
             aggs.extend(r.aggs(f"r{i}", ctx))
@@ -171,7 +132,7 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
         structs = [r.result(f"r{i}", ctx) for i, r in fused]
         parts.append(row.select(*keys, F.explode(F.array(*structs)).alias("r")).select(*keys, "r.*"))
     for r in rules:
-        if r.fused or (r is carrier and fused):
+        if r.fused:
             continue
         if not hasattr(r, "evaluate_by"):
             raise ValueError(f"rule type {r.rule_type!r} cannot be evaluated per group")
@@ -182,67 +143,36 @@ def evaluate_by(df: DataFrame, rules: list[Rule], keys: list[str], ctx: RunConte
     return out
 
 
-_MERGE = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min}
-
-
-# Sharing the key pass adds every fused partial to the key-grain shuffle; past this many
-# aggregate columns a second scan is cheaper than the wider shuffle.
-MAX_SHARED_AGGS = 32
-
-
-def _carrier(rules: list[Rule]):
-    """The keyed rule whose key-grain pass the row rules can share (first unique_key, else
-    first single-column uniqueness)."""
-    return next((r for r in rules if isinstance(r, UniqueKey)), None) or \
-        next((r for r in rules if isinstance(r, Uniqueness)), None)
-
+def run_errors() -> tuple:
+    """What a job that fails while running raises on the driver."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
-def _carrier_result(carrier, ctx: RunContext):
-    if isinstance(carrier, UniqueKey):
-        return carrier.result_from(F.col("__rows"), F.col("__keys"), ctx)
-    return carrier.result_from(F.col("__rows"), F.col("__keys_nn"), ctx)
+    return PySparkException, Py4JJavaError
 
 
-def _fused_with_key(df: DataFrame, fused, carrier, keys: list[str], ctx: RunContext) -> DataFrame:
-    """One scan for row rules and a unique-key rule.
+def evaluate_resilient(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile: bool = False) -> Evaluation:
+    """``evaluate_all``, materialised (reliable checkpoints), where a rule that fails while
+    running becomes a SKIPPED row instead of failing the run.
 
-    Stage 1 aggregates at (group keys, rule key) grain — the grain the key check needs anyway —
-    computing every fused aggregate there; stage 2 rolls them up to the group keys with each
-    rule's merge (sum for counts, max for newest time) and counts distinct key rows.
-    """
-    kcols = [F.col(f"`{c}`").alias(f"__k{j}") for j, c in enumerate(carrier.columns)]
-    aggs, merges = [F.count(F.lit(1)).alias("__n")], []
-    for i, r in fused:
-        a = r.aggs(f"r{i}", ctx)
-        aggs.extend(a)
-        merges.extend([r.merge] * len(a))
-    stage1 = df.groupBy(*[F.col(k) for k in keys], *kcols).agg(*aggs)
-    names = stage1.columns[len(keys) + len(kcols) + 1:]
-    rolled = [F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), F.count(F.lit(1)).alias("__keys"),
-              F.count("__k0").alias("__keys_nn")]
-    rolled += [_MERGE[m](F.col(n)).alias(n) for n, m in zip(names, merges)]
-    g = stage1.groupBy(*keys) if keys else stage1
-    return g.agg(*rolled)
-
-
-def evaluate_resilient(df: DataFrame, rules: list[Rule], ctx: RunContext) -> DataFrame:
-    """Rule results, materialised (one row per rule), where a rule that fails while running
-    becomes a SKIPPED row instead of failing the run.
-
-    The happy path is the single shared job; only when it fails is each rule run alone to
-    find the one that breaks.  Results are bounded by the number of rules.
+    The happy path is one shared job and one per keyed rule.  Only when that fails is each rule
+    run alone to find those that break; the rest then run together again.
     """
-    from pyspark.errors import PySparkException
-    from py4j.protocol import Py4JJavaError
+    def settled(kept: list[Rule]) -> Evaluation:
+        ev = evaluate_all(df, kept, ctx, with_profile, materialise=True)
+        return Evaluation(ev.aggregate, cut_lineage(ev.results), ev.profile)
 
-    errors = (PySparkException, Py4JJavaError)
     try:
-        rows = evaluate(df, rules, ctx).collect()
-    except errors:
-        rows = []
+        return settled(rules)
+    except run_errors():
+        kept, broken = [], []
         for r in rules:
             try:
-                rows.extend(evaluate(df, [r], ctx).collect())
-            except errors as exc:
-                rows.extend(_skipped(ctx, r, exc).collect())
-    return ctx.spark.createDataFrame([tuple(x) for x in rows], RULE_RESULT_FIELDS)
+                cut_lineage(evaluate(df, [r], ctx))
+                kept.append(r)
+            except run_errors() as exc:
+                broken.append(_skipped(ctx, r, exc))
+        ev = settled(kept)
+        for b in broken:
+            ev.results = ev.results.unionByName(b)
+        return ev

@@ -25,7 +25,7 @@ def _is_crit_fail() -> Column:
 def run_status(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Overall status per run: FAIL if any FAIL, else WARN if any WARN, else PASS.
 
-    Also the sorted list of critical failures and counts by status.
+    Also the sorted list of critical failures, counts by status and the newest time.
     """
     keys = keys or []
     agg = [
@@ -36,6 +36,8 @@ def run_status(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.count_if(F.col("status") == "SKIPPED").alias("skipped"),
         F.sort_array(F.collect_list(F.when(_is_crit_fail(), F.col("rule_name")))).alias("critical_failures"),
     ]
+    if "run_timestamp" in results.columns:
+        agg.append(F.max("run_timestamp").alias("run_at"))
     g = results.groupBy(*keys).agg(*agg) if keys else results.agg(*agg)
     return g.withColumn(
         "overall_status",

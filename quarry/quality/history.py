@@ -135,9 +135,8 @@ def spc(metrics: DataFrame, days: int = 30, z: float = 3.0, min_runs: int = 7,
     h = h.withColumn("z_score", zc).withColumn("is_anomaly", F.abs(zc) > F.lit(float(z)))
     sev = (F.when(~F.col("is_anomaly"), F.lit("info"))
            .when(F.abs(F.col("z_score")) > F.lit(float(z) * 1.5), F.lit("critical")).otherwise(F.lit("warning")))
-    msg = F.when(F.col("is_anomaly"), F.format_string("ANOMALY: %s=%.4f (mean=%.4f, stddev=%.4f, z=%.2f)",
-                                                       "metric_name", "value", "mean_30d", "stddev_30d", "z_score")) \
-        .otherwise(F.format_string("OK: %s=%.4f (z=%.2f)", "metric_name", "value", "z_score"))
+    msg = F.format_string("%s is %.4f, %.2f standard deviations from its %d-day mean %.4f (spread %.4f)",
+                          "metric_name", "value", "z_score", F.lit(int(days)), "mean_30d", "stddev_30d")
     return h.select("run_id", "dataset_path", "run_timestamp", "metric_name", F.col("value").alias("current_value"),
                     "mean_30d", "stddev_30d", "z_score", "is_anomaly", sev.alias("severity"), msg.alias("message"))
 

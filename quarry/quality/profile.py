@@ -87,19 +87,13 @@ def profile_rows(fields: list[T.StructField], prefix: str = "p", rows_col: str =
     return F.array(*items)
 
 
-def profile(df: DataFrame, chunk: int = 200, exact_distinct: bool = False) -> DataFrame:
-    """A1: long-form profile, one row per column (``PROFILE_COLUMNS`` plus ``rows``)."""
+def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
+    """A1: long-form profile, one row per column (``PROFILE_COLUMNS`` plus ``rows``), in one
+    scan whatever the width."""
     fields = list(df.schema.fields)
-    parts = []
-    for start in range(0, max(len(fields), 1), chunk):
-        part = fields[start:start + chunk]
-        row = df.agg(F.count(F.lit(1)).alias("__rows"), *profile_aggs(part, exact_distinct))
-        long = row.select(F.col("__rows").alias("rows"), F.explode(profile_rows(part)).alias("c"))
-        parts.append(long.select(*[F.col(f"c.{n}").alias(n) for n in PROFILE_COLUMNS], "rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    row = df.agg(F.count(F.lit(1)).alias("__rows"), *profile_aggs(fields, exact_distinct))
+    long = row.select(F.col("__rows").alias("rows"), F.explode(profile_rows(fields)).alias("c"))
+    return long.select(*[F.col(f"c.{n}").alias(n) for n in PROFILE_COLUMNS], "rows")
 
 
 def schema_json(df: DataFrame) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .rules import AcceptedValues, Expression, NotNull, Regex, Rule, ValueRange, _col, not_in, out_of_range
 
 
@@ -18,18 +19,20 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
     whether the schema drifted from the contract (metadata, the same for every slot)."""
     slot_c = F.col(slot) if isinstance(slot, str) else slot
     n = F.count(F.lit(1))
-    aggs = [n.alias("rows"), F.count_distinct(*[F.col(k) for k in keys]).alias("distinct_keys"),
-            F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")]
+    aggs = [n.alias("rows"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")]
     for c in critical_cols:
         aggs.append(F.round(F.count_if(F.col(c).isNull()) * 100.0 / n, 4).alias(f"null_pct_{c}"))
-    if unique_key:
-        aggs.append((n - F.count_distinct(*[F.col(k) for k in unique_key])).alias("duplicate_rows"))
     if valid is not None:
         aggs.append(F.count_if(valid).alias("valid_rows"))
         aggs.append((n - F.count_if(valid)).alias("invalid_rows"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     aggs.append(F.round((micros(F.max(ts)) - micros(F.min(ts))) / F.lit(3_600_000_000.0), 4).alias("span_hours"))
     out = df.groupBy(slot_c.alias("slot")).agg(*aggs)
+    out = out.join(_key_rows(df, slot_c, keys).select("slot", F.col("keys").alias("distinct_keys")), "slot")
+    if unique_key:
+        # a NULL key is a value, as in R6
+        dup = _key_rows(df, slot_c, unique_key).select("slot", (F.col("n") - F.col("keys")).alias("duplicate_rows"))
+        out = out.join(dup, "slot")
     if expected_end is not None:
         out = out.withColumn("lag_minutes", F.round((micros(expected_end) - micros(F.col("max_ts"))) / F.lit(60_000_000.0), 2))
     if dimension is not None:
@@ -46,6 +49,12 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
     return out
 
 
+def _key_rows(df: DataFrame, slot: Column, keys: list[str]) -> DataFrame:
+    """Per slot: rows and distinct key rows, through one aggregation at (slot, key)."""
+    per = df.groupBy(slot.alias("slot"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+
+
 def row_failure(rule: Rule) -> Column:
     """Per-row failure predicate of a row rule (NULL outcome counts as pass)."""
     if isinstance(rule, NotNull):
@@ -73,12 +82,16 @@ def tag_reasons(df: DataFrame, rules: list[Rule], out: str = "reasons") -> DataF
 
 
 def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with ``reasons``).  Every input row lands on exactly one
-    side.  Write both with one action by writing ``tag_reasons`` partitioned by validity."""
+    """(valid rows, rejected rows with ``reasons``); every input row lands on one side.
+
+    The tagged rows are written once (``write_split``), so the input is scanned once and each
+    side reads its own partition."""
+    path = scratch_path(df.sparkSession, "split")
+    write_split(df, rules, path)
     tagged = tag_reasons(df, rules)
-    valid = tagged.filter(F.size("reasons") == 0).drop("reasons")
-    rejected = tagged.filter(F.size("reasons") > 0)
-    return valid, rejected
+    spark, schema = df.sparkSession, tagged.withColumn("_side", F.lit("")).schema
+    back = spark.read.schema(schema).parquet(path)
+    return (back.filter("_side = 'valid'").drop("reasons", "_side"), back.filter("_side = 'rejected'").drop("_side"))
 
 
 def write_split(df: DataFrame, rules: list[Rule], path: str, fmt: str = "parquet") -> None:

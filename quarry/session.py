@@ -7,6 +7,7 @@ session already has.  ``local_session`` is for tests and the bench only.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +48,17 @@ def pin_utc(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when nothing is set (tests,
-    a bare local session) is a folder under the system temp dir chosen.
+    Reads ``spark.checkpoint.dir`` from the session.  Only when nothing is set and the master is
+    local (tests) is a folder under the system temp dir chosen; on a cluster that raises, since
+    executors would not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = os.path.join(os.environ.get("TMPDIR", "/tmp"), "quarry-checkpoints")
     sc.setCheckpointDir(conf_dir)

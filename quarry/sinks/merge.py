@@ -12,7 +12,9 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys, order: str | None =
     Without ``order``: target rows whose key is in the source are replaced by the source row
     (left anti join + union: one shuffle on the key).  With ``order``: per key the newest row
     of target and source wins (a late, older source row does not overwrite a newer one).
-    Upserting the same source twice gives the same result as once.
+    A source key that occurs in rows with different values raises without ``order`` (a MERGE
+    would refuse it too); exact repeats count once.  Upserting the same source twice gives the
+    same result as once.  NULL keys are equal to each other.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     src = source.select(*target.columns)
@@ -20,8 +22,25 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys, order: str | None =
         from ..operators.windows import latest_per
 
         return latest_per(target.unionByName(src), keys, [order])
-    kept = target.join(src.select(*keys), keys, "left_anti")
-    return kept.unionByName(src)
+    return _without(target, src, keys).unionByName(one_per_key(src, keys))
+
+
+def one_per_key(df: DataFrame, keys) -> DataFrame:
+    """The rows of ``df``, exact repeats once; a key with different rows raises when run."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest]) if rest else F.struct(F.lit(1))
+    text = F.to_json(row)
+    g = df.groupBy(*keys).agg(F.first(row).alias("__r"), F.min(text).alias("__lo"), F.max(text).alias("__hi"))
+    checked = F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__r")).otherwise(
+        F.raise_error(F.lit("a merge source holds one key with different rows")))
+    g = g.withColumn("__c", checked)
+    return g.select(*[F.col(c) if c in keys else F.col(f"__c.{c}").alias(c) for c in df.columns])
+
+
+def _without(df: DataFrame, other: DataFrame, keys) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``other`` (NULL keys are equal)."""
+    k = other.select(*[F.col(c).alias(f"__k_{c}") for c in keys]).distinct()
+    return df.join(k, [df[c].eqNullSafe(k[f"__k_{c}"]) for c in keys], "left_anti")
 
 
 def change_feed(old: DataFrame, new: DataFrame, keys) -> DataFrame:
@@ -33,7 +52,7 @@ def change_feed(old: DataFrame, new: DataFrame, keys) -> DataFrame:
     n = new.select(*[F.col(c).alias(f"n__{c}") for c in new.columns], F.lit(True).alias("__n"))
     cond = None
     for k in keys:
-        e = F.col(f"o__{k}") == F.col(f"n__{k}")
+        e = F.col(f"o__{k}").eqNullSafe(F.col(f"n__{k}"))
         cond = e if cond is None else cond & e
     j = o.join(n, cond, "full_outer")
     same = F.lit(True)
@@ -54,7 +73,6 @@ def change_feed(old: DataFrame, new: DataFrame, keys) -> DataFrame:
 def apply_changes(old: DataFrame, changes: DataFrame, keys) -> DataFrame:
     """Apply a change feed to a snapshot (inverse of ``change_feed``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    touched = changes.select(*keys).distinct()
-    kept = old.join(touched, keys, "left_anti")
+    kept = _without(old, changes, keys)
     add = changes.filter(F.col("_change_type").isin("insert", "update_postimage")).drop("_change_type")
     return kept.unionByName(add.select(*old.columns))

@@ -73,12 +73,24 @@ def write_guarded(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> i
     return int(obs.get.get("rows", 0) or 0)
 
 
-def register(spark: SparkSession, db: str, table: str, path: str, fmt: str = FMT, partitioned: bool = False) -> str:
-    """K6: ``CREATE TABLE IF NOT EXISTS db.table USING fmt LOCATION path`` (+ partitions)."""
+def register(spark: SparkSession, db: str, table: str, path: str, fmt: str = FMT, partitioned: bool = False,
+             slots: DataFrame | None = None) -> str:
+    """K6: ``CREATE TABLE IF NOT EXISTS db.table USING fmt LOCATION path`` (+ partitions).
+
+    ``slots`` holds the partition values just written (one row per slot): only those are added,
+    so a slot's run does not list the whole table.  Without it all partitions are recovered,
+    which is for adopting an existing folder.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     name = f"`{db}`.`{table}`"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{path}'")
-    if partitioned:
+    if partitioned and slots is not None:
+        rows = [r.asDict() for r in slots.distinct().collect()]
+        specs = ["PARTITION (" + ", ".join(f"`{k}` = '{v}'" for k, v in r.items()) + ")" for r in rows]
+        if specs:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
+            spark.catalog.refreshTable(name)
+    elif partitioned:
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return f"{db}.{table}"
 
@@ -96,13 +108,28 @@ def dq_table(dataset: str, kind: str, base: str) -> tuple[str, str]:
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """K7: append quality rows; readers use ``read_results`` (schema merge)."""
-    append(df, path)
+    """K7: append quality rows, one file per run, under the run's date.
+
+    A run's rows are few (one per rule, metric or column), so one file holds them; readers of a
+    time range open only its days.  ``compact_results`` merges a day's files.
+    """
+    day = F.date_format("run_timestamp", "yyyy_MM_dd")
+    append(df.withColumn(RESULTS_DAY, day).coalesce(1), path, [RESULTS_DAY])
+
+
+RESULTS_DAY = "_run_day"
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Read a quality table whose files may carry older / newer schemas."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).drop(RESULTS_DAY)
+
+
+def compact_results(spark: SparkSession, path: str, day: str | None = None) -> None:
+    """One file per day (or of one day, ``yyyy_MM_dd``)."""
+    df = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
+    df = df.filter(F.col(RESULTS_DAY) == day) if day else df
+    overwrite_slot(cut_lineage(df), path, [RESULTS_DAY])
 
 
 TRACKER_SCHEMA = ("version string, job string, table string, partition string, status string, "
@@ -122,31 +149,61 @@ def read_tracker(spark: SparkSession, tracker_path: str) -> DataFrame:
     return spark.read.parquet(tracker_path)
 
 
+def latest_marks(tracker: DataFrame, keys=("table", "partition")) -> DataFrame:
+    """The newest marker of each slot; older ones are history."""
+    from ..operators.windows import latest_per
+
+    return latest_per(tracker, list(keys), ["completed_at"])
+
+
 def merge_or_create(spark: SparkSession, source: DataFrame, path: str, keys, partition_cols=None,
                     order: str | None = None) -> str:
     """First load creates the table; later loads upsert by key.
 
-    Only the partitions the source touches are read, merged and replaced; the merged slice is
-    checkpointed before the overwrite because it is read from the same folder.
+    The first load is an upsert into an empty table, so keys that repeat in it are settled the
+    same way.  Later, only partitions that the source touches are read, merged and replaced:
+    those it writes to, and those that hold one of its keys now, so a key whose partition
+    changes leaves its old place.  The merged slice is checkpointed before the overwrite because
+    it is read from the same folder.
     """
     from .merge import merge_upsert
 
+    keys = [keys] if isinstance(keys, str) else list(keys)
     if not path_exists(spark, path):
-        _writer(source, "overwrite", partition_cols).save(path)
+        merged = merge_upsert(source.limit(0), source, keys, order)
+        _writer(rebalance(merged, partition_cols), "overwrite", partition_cols).save(path)
         return "created"
     target = spark.read.parquet(path)
-    if partition_cols:
-        touched = source.select(*partition_cols).distinct()
-        target = target.join(touched, list(partition_cols), "left_semi")
-    merged = merge_upsert(target, source.select(*target.columns), keys, order)
-    merged = cut_lineage(merged)
-    if partition_cols:
-        overwrite_slot(merged, path, partition_cols)
-    else:
-        _writer(merged, "overwrite").save(path)
+    source = source.select(*target.columns)
+    if not partition_cols:
+        _writer(cut_lineage(merge_upsert(target, source, keys, order)), "overwrite").save(path)
+        return "merged"
+    parts = list(partition_cols)
+    same = [target[k].eqNullSafe(F.col(f"__s_{k}")) for k in keys]
+    source_keys = source.select(*[F.col(k).alias(f"__s_{k}") for k in keys]).distinct()
+    held = target.join(source_keys, same, "left_semi").select(*parts)
+    touched = cut_lineage(source.select(*parts).unionByName(held).distinct())
+    slice_ = target.join(touched, parts, "left_semi")
+    merged = cut_lineage(merge_upsert(slice_, source, keys, order))
+    overwrite_slot(merged, path, parts)
+    # a partition whose rows all moved away gets no row to replace it with
+    _drop_partitions(spark, path, parts, touched.join(merged.select(*parts).distinct(), parts, "left_anti"))
     return "merged"
 
 
+def _drop_partitions(spark: SparkSession, path: str, parts: list[str], gone: DataFrame) -> None:
+    """Deletes the folders of the partitions in ``gone`` (one row per partition)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    catalog = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in gone.toLocalIterator():
+        folder = root
+        for c in parts:
+            folder = jvm.org.apache.hadoop.fs.Path(folder, catalog.getPartitionPathString(c, None if row[c] is None else str(row[c])))
+        fs.delete(folder, True)
+
+
 def compact(spark: SparkSession, path: str, partition_cols, where=None) -> None:
     """Rewrite the small files of the chosen partitions into few right-sized files.
 
@@ -174,19 +231,25 @@ def expire(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
 
 
 def expire_table(spark: SparkSession, path: str, ts: str, days: int, as_of, partition_cols) -> None:
-    """K15 on a table: rewrite only the partitions that hold expired rows."""
+    """K15 on a table: partitions with only expired rows are dropped, mixed ones rewritten; the
+    others are not read beyond their time column.  A row without a time stays."""
     df = spark.read.parquet(path)
+    parts = list(partition_cols)
     a = F.lit(as_of).cast("timestamp_ntz")
-    old = df.filter(F.col(ts) < a - F.expr(f"INTERVAL {int(days)} DAYS")).select(*partition_cols).distinct()
-    touched = df.join(old, list(partition_cols), "left_semi")
-    kept = cut_lineage(expire(touched, ts, days, as_of))
-    overwrite_slot(kept, path, partition_cols)
+    old = F.coalesce(F.col(ts) < a - F.expr(f"INTERVAL {int(days)} DAYS"), F.lit(False))
+    state = cut_lineage(df.groupBy(*parts).agg(F.count_if(old).alias("__old"), F.count(F.lit(1)).alias("__all")).filter("__old > 0"))
+    mixed = state.filter("__old < __all").select(*parts)
+    same = [df[c].eqNullSafe(F.col(f"__m_{c}")) for c in parts]
+    touched = df.join(mixed.select(*[F.col(c).alias(f"__m_{c}") for c in parts]), same, "left_semi")
+    overwrite_slot(cut_lineage(touched.filter(~old)), path, parts)
+    _drop_partitions(spark, path, parts, state.filter("__old = __all").select(*parts))
 
 
 def refresh_gold(spark: SparkSession, query, path: str, partition_cols=None) -> None:
-    """Rebuild a table from a query (SQL text or DataFrame), replacing it whole."""
+    """Rebuild a table from a query (SQL text or DataFrame), replacing it whole, also the
+    partitions that the new result no longer has (static overwrite)."""
     df = spark.sql(query) if isinstance(query, str) else query
-    _writer(cut_lineage(df), "overwrite", partition_cols).save(path)
+    _writer(cut_lineage(df), "overwrite", partition_cols, options={"partitionOverwriteMode": "static"}).save(path)
 
 
 def archive_json(df: DataFrame, ts: str, path: str) -> None:
@@ -197,4 +260,4 @@ def archive_json(df: DataFrame, ts: str, path: str) -> None:
 
 __all__ = ["overwrite_slot", "append", "write_guarded", "register", "dq_table", "append_results", "read_results",
            "mark_done", "read_tracker", "merge_or_create", "compact", "cluster_by", "expire", "expire_table",
-           "refresh_gold", "archive_json", "DATE_KEY_COLUMN"]
+           "refresh_gold", "archive_json", "latest_marks", "compact_results", "DATE_KEY_COLUMN"]

@@ -116,10 +116,11 @@ def latest_version(df: DataFrame, version_col: str = "version") -> DataFrame:
 
 
 def ingest_manifest(df: DataFrame) -> DataFrame:
-    """Per input file: size, row count, order-free checksum of the rows, ingest time."""
+    """Per input file: size, row count, checksum of the rows (a sum of row hashes: free of
+    order, and repeated rows count), ingest time."""
     cols = [F.col(f"`{c}`") for c in df.columns]
     return df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_size").alias("__s")) \
         .groupBy("__f").agg(F.max("__s").alias("file_size"), F.count(F.lit(1)).alias("rows"),
-                            F.bit_xor(F.xxhash64(*cols)).alias("checksum")) \
+                            F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("checksum")) \
         .select(F.col("__f").alias("file"), "file_size", "rows", "checksum",
                 F.current_timestamp().alias("ingested_at"))

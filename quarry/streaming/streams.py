@@ -75,28 +75,33 @@ def stream_bins(stream: DataFrame, ts: str, bin_: str, watermark: str | None, ag
                     *[c for c in g.columns if c not in ("w", *keys)])
 
 
+# Burn-rate windows, evaluated each minute.
+BURN_WINDOWS = (("1 hour", "1 minute"), ("6 hours", "1 minute"))
+
+
 def burn_rate_stream(stream: DataFrame, ts: str, good: Column, target: float, window: str = "1 hour",
                      slide: str = "1 minute", watermark: str | None = "10 minutes") -> DataFrame:
     """Sliding window (e.g. 1 h every minute): SLI and burn rate = (1 - SLI) / (1 - target).
 
-    On a stream, Spark's sliding window with a watermark.  On a batch frame the rows are first
-    counted per ``slide`` bin (partial aggregation on the raw rows), and only those bin rows are
-    copied into the windows that contain them, so the fan-out is windows-per-bin times bins, not
-    times raw rows.
+    Rows are first counted per ``slide`` bin, and only those bin rows are copied into the windows
+    that contain them, so the fan-out is windows-per-bin times bins, not times raw rows.  On a
+    stream that is a chain of two windows under one watermark.  ``BURN_WINDOWS`` names the fixed
+    pairs of window and slide.
     """
+    w_s, s_s = _seconds(window), _seconds(slide)
+    if w_s % s_s:
+        raise ValueError("window must be a multiple of slide")
+    bins = F.window(F.col(ts), slide)
+    counted = [F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total")]
     if stream.isStreaming:
+        # chained windows: raw rows are counted once per slide, only bin rows are copied
         s = stream.withWatermark(ts, watermark) if watermark else stream
-        g = s.groupBy(F.window(F.col(ts), window, slide).alias("w")).agg(
-            F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total"))
+        b = s.groupBy(bins.alias("b")).agg(*counted)
+        g = b.groupBy(F.window(F.window_time("b"), window, slide).alias("w")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
         g = g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "good", "total")
     else:
-        w_s, s_s = _seconds(window), _seconds(slide)
-        if w_s % s_s:
-            raise ValueError("window must be a multiple of slide")
-        k = w_s // s_s
-        bins = stream.groupBy(F.window(F.col(ts), slide).start.alias("b")).agg(
-            F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total"))
-        spread = bins.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "b", "good", "total") \
+        b = stream.groupBy(bins.start.alias("b")).agg(*counted)
+        spread = b.select(F.explode(F.sequence(F.lit(0), F.lit(w_s // s_s - 1))).alias("i"), "b", "good", "total") \
             .select((F.col("b") - F.make_dt_interval(secs=F.col("i") * s_s)).alias("window_start"), "good", "total")
         g = spread.groupBy("window_start").agg(F.sum("good").alias("good"), F.sum("total").alias("total")) \
             .select("window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(w_s))).alias("window_end"),
@@ -122,37 +127,69 @@ def incremental(source: DataFrame, target: DataFrame | None, ts: str) -> DataFra
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys, ts: str, watermark: str = "1 hour",
                   trigger: str | None = None, partition_cols=None, dedup_keys=None,
-                  buckets: int = 64) -> StreamingQuery:
+                  buckets: int | None = None) -> StreamingQuery:
     """Streaming dedup of repeated deliveries within the watermark, then an idempotent
     upsert per micro-batch that keeps the newest row (by ``ts``) of every key.
 
-    ``dedup_keys`` identify one delivery (default: key + time).  The batch id is stored with
-    the rows; a replayed batch (after a failure) finds its id applied and is skipped.  Without
-    ``partition_cols`` the target is split into ``buckets`` hash buckets of the key, so a
-    micro-batch rewrites only the buckets its keys fall in (Parquet has no row-level merge).
+    ``dedup_keys`` identify one delivery (default: key + time).  The table's layout is either
+    ``partition_cols`` or ``buckets`` hash buckets of the key; a micro-batch rewrites only the
+    partitions its keys fall in (Parquet has no row-level merge), so choose buckets by the
+    table's size.  The number is stored beside the table on the first load and must not change.
+
+    Applied batches are kept in a marker table by (query id, batch id): a replayed batch is
+    skipped, and a new query (after a checkpoint reset) starts afresh.
     """
-    from ..sinks.writers import merge_or_create, path_exists
+    from ..sinks.writers import merge_or_create
 
+    spark = stream.sparkSession
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if not partition_cols:
+        buckets = _layout(spark, path, buckets)
     ident = list(dedup_keys) if dedup_keys else keys + [ts]
     deduped = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(ident)
+    marks = f"{path.rstrip('/')}_applied"
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if path_exists(spark, path):
-            done = spark.read.parquet(path).filter(F.col("_batch_id") == batch_id)
-            if not done.isEmpty():
-                return
-        src = batch.withColumn("_batch_id", F.lit(batch_id).cast("long"))
-        parts = partition_cols
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        mark = spark.createDataFrame([(query_id, int(batch_id))], MARKS)
+        if _has_marks(spark, marks) and not spark.read.schema(MARKS).parquet(marks).join(mark, ["query_id", "batch_id"], "left_semi").isEmpty():
+            return
+        src, parts = batch, partition_cols
         if not parts:
             src = src.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)))
             parts = ["_bucket"]
         merge_or_create(spark, src, path, keys, parts, order=ts)
+        mark.coalesce(1).write.mode("append").parquet(marks)
 
     return _trigger(deduped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert), trigger).start()
 
 
+MARKS = "query_id string, batch_id long"
+
+
+def _has_marks(spark: SparkSession, path: str) -> bool:
+    from ..sinks.writers import path_exists
+
+    return path_exists(spark, path)
+
+
+def _layout(spark: SparkSession, path: str, buckets: int | None) -> int:
+    """The bucket count of a table, stored beside it when it is new."""
+    from ..sinks.writers import path_exists
+
+    place = f"{path.rstrip('/')}_layout"
+    if path_exists(spark, place):
+        stored = spark.read.parquet(place).first()["buckets"]
+        if buckets not in (None, stored):
+            raise ValueError(f"the table has {stored} buckets, not {buckets}")
+        return stored
+    if buckets is None:
+        raise ValueError("a new table needs its number of buckets (or partition columns)")
+    spark.createDataFrame([(int(buckets),)], "buckets int").coalesce(1).write.parquet(place)
+    return buckets
+
+
 def dedup_latest(df: DataFrame, keys, ts: str) -> DataFrame:
     from ..operators.windows import latest_per
 
