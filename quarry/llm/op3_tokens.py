@@ -18,7 +18,7 @@ a reader can prune rows by document and, with the index, open single blocks.
 Encoding: a text is cut before single spaces that stand between two non-space characters.  The
 byte-level pre-tokenizer always splits there, so encoding the distinct pieces once with the
 tokenizer and joining their ids gives the ids of the whole text.  A bounded cache per worker
-keeps pieces already encoded.
+keeps the ids of pieces already encoded, by 64-bit hash.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows with equal
 ids follow each other by text; an empty table writes an empty output.
@@ -26,6 +26,7 @@ ids follow each other by text; an empty table writes an empty output.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,8 @@ BLOCK = 128
 SEGMENT = 1 << 16
 PERCENTILE = 0.9
 END_ID = 2
-CACHE = 400_000
+CACHE = 2_000_000
+CHUNK = 2 << 20
 MAGIC = b"PFB1"
 
 SHARD_SCHEMA = ("shard int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
@@ -53,7 +55,20 @@ SHARD_SCHEMA = ("shard int, seq int, n_ids long, doc_ids array<long>, doc_length
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Number of bits of each value."""
-    return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.int64)
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+def _pack_bits(vals: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values as rows of bytes, ``width`` bits each, lowest bit first."""
+    pos = np.arange(BLOCK) * width
+    word, shift = pos >> 6, (pos & 63).astype(np.uint64)
+    v = vals.astype(np.uint64)
+    low = v << shift
+    out = np.bitwise_or.reduceat(low, np.searchsorted(word, np.arange(BLOCK * width >> 6)), axis=1)
+    split = np.flatnonzero((pos & 63) + width > 64)
+    if len(split):
+        out[:, word[split] + 1] |= v[:, split] >> (np.uint64(64) - shift[split])
+    return out.astype("<u8").view(np.uint8)
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
@@ -68,29 +83,30 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     rest = full - low[:, None]
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
     width = _bits(np.partition(rest, rank, axis=1)[:, rank])
-    parts: list[bytes] = [b""] * n_blocks
-    for wd in np.unique(width):
+    mask = (np.int64(1) << width) - 1
+    over = rest >> width[:, None]
+    row, place = np.nonzero(over)
+    n_exc = np.bincount(row, minlength=n_blocks)
+    size = 7 + width * (BLOCK // 8) + 5 * n_exc
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+
+    def put(where: np.ndarray, what: np.ndarray, n_bytes: int) -> None:
+        for k in range(n_bytes):
+            out[where + k] = (what >> (8 * k)) & 0xFF
+
+    put(at, low, 4)
+    put(at + 4, width, 1)
+    put(at + 5, n_exc, 2)
+    for wd in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == wd)
-        vals = rest[rows]
-        over = vals >> wd
-        if wd:
-            bits = (vals[:, :, None] >> np.arange(wd)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-        else:
-            packed = np.zeros((len(rows), 0), np.uint8)
-        r_at, p_at = np.nonzero(over)
-        n_exc = np.bincount(r_at, minlength=len(rows))
-        cut = np.concatenate([[0], np.cumsum(n_exc)])
-        highs = over[r_at, p_at].astype("<u4")
-        places = p_at.astype(np.uint8)
-        mins = low[rows].astype("<u4")
-        for j, b in enumerate(rows):
-            parts[b] = b"".join((mins[j].tobytes(), bytes((int(wd),)), int(n_exc[j]).to_bytes(2, "little"),
-                                 packed[j].tobytes(), places[cut[j]:cut[j + 1]].tobytes(),
-                                 highs[cut[j]:cut[j + 1]].tobytes()))
-    sizes = np.array([len(p) for p in parts], np.int64)
-    index = (np.cumsum(sizes) - sizes).astype("<u4")
-    return head + index.tobytes() + b"".join(parts)
+        packed = _pack_bits(rest[rows] & mask[rows, None], wd)
+        out[(at[rows] + 7)[:, None] + np.arange(packed.shape[1])] = packed
+    nth = tn.ragged(n_exc)
+    tail = at[row] + 7 + width[row] * (BLOCK // 8)
+    put(tail + nth, place, 1)
+    put(tail + n_exc[row] + 4 * nth, over[row, place], 4)
+    return head + at.astype("<u4").tobytes() + out.tobytes()
 
 
 def decode_blocks(payload: bytes) -> np.ndarray:
@@ -108,16 +124,13 @@ def decode_blocks(payload: bytes) -> np.ndarray:
         return sum(raw[pos + k].astype(np.int64) << (8 * k) for k in range(size))
 
     low, width, n_exc = num(at, 4), raw[at + 4].astype(np.int64), num(at + 5, 2)
-    out = np.empty((n_blocks, BLOCK), np.int64)
-    for wd in np.unique(width):
-        rows = np.flatnonzero(width == wd)
-        n_bytes = wd * BLOCK // 8
-        if wd:
-            packed = raw[(at[rows] + 7)[:, None] + np.arange(n_bytes)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, wd)
-            out[rows] = bits.astype(np.int64) @ (1 << np.arange(wd, dtype=np.int64))
-        else:
-            out[rows] = 0
+    # every value sits inside the eight bytes at its first bit's byte
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(raw) + 1, "<u8", wide, strides=(1,))
+    bit = np.arange(BLOCK)[None, :] * width[:, None]
+    mask = (np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)
+    got = words[np.minimum((at + 7)[:, None] + (bit >> 3), len(raw))] >> (bit & 7).astype(np.uint64)
+    out = (got & mask[:, None]).astype(np.int64)
     has = np.flatnonzero(n_exc)
     k = tn.ragged(n_exc[has])
     blk = np.repeat(has, n_exc[has])
@@ -129,6 +142,10 @@ def decode_blocks(payload: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- encoder
 
+#: lead bytes of characters that may be white space
+_MAYBE_SPACE = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+
+
 class PieceEncoder:
     """Encodes texts by their distinct pieces; see the module text for why that is exact."""
 
@@ -137,64 +154,111 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        size = self.tok.get_vocab_size()
+        # ids whose bytes begin with a space (the byte-level alphabet writes it as U+0120)
+        self.opens = np.array([(self.tok.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
+        (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start = np.zeros(1, np.int64)
+        """Known pieces: sorted hashes, and where each one's ids are."""
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros((2, 0), np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        rows = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        base = len(self.known)
-        self.known.update((p, base + i) for i, p in enumerate(new))
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for r in rows for x in r), np.uint32, int(lens.sum()))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
-        self.ids = np.concatenate([self.ids, flat])
+    def _learn(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes new pieces (spans of ``buf``) and adds them."""
+        size = end - start
+        # pieces without white space or control bytes, but for one leading space, are encoded
+        # many at a time: ids that begin with a space, or line breaks put between, part them
+        text = buf[np.repeat(start, size) + tn.ragged(size)]
+        cut = np.append(0, np.cumsum(size))
+        odd = (text < 0x21) | (text == 0x7F) | (text == 0xC2) | ((text >= 0xE1) & (text <= 0xE3))
+        n_odd, led = tn.sums(odd, cut), text[cut[:-1]] == 0x20
+        flat, lens = [], np.zeros(len(size), np.int64)
+        plain, bare = np.flatnonzero(led & (n_odd == 1)), np.flatnonzero(n_odd == 0)
+        for run in (plain, bare):
+            for a in range(0, len(run), 4096):
+                part = run[a:a + 4096]
+                if run is plain:
+                    n = size[part]
+                    raw = text[np.repeat(cut[part], n) + tn.ragged(n)].tobytes()
+                else:
+                    raw = b"\n".join(text[cut[k]:cut[k + 1]].tobytes() for k in part.tolist())
+                ids = np.array(self.tok.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
+                if run is plain:
+                    first = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+                else:
+                    breaks = ids == self.line
+                    first = np.append(0, np.cumsum(~breaks)[breaks])
+                    ids = ids[~breaks]
+                    first = np.append(first, len(ids))
+                if len(first) != len(part) + 1:
+                    raise ValueError("the tokenizer does not split where it should")
+                lens[part] = np.diff(first)
+                flat.append(ids)
+        rest = np.setdiff1d(np.arange(len(size)), np.concatenate([plain, bare]))
+        for k in rest.tolist():
+            ids = self.tok.encode(text[cut[k]:cut[k + 1]].tobytes().decode(), add_special_tokens=False).ids
+            lens[k] = len(ids)
+            flat.append(np.array(ids, np.uint32))
+        order = np.concatenate([plain, bare, rest])
+        begin = np.empty(len(size), np.int64)
+        begin[order] = len(self.ids) + np.cumsum(lens[order]) - lens[order]
+        self.ids = np.concatenate([self.ids, *flat])
+        at = np.searchsorted(self.known, hashes)  # both sorted
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, np.stack([begin, lens]), axis=1)
 
     @staticmethod
     def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Places of the spaces that always begin a new piece."""
-        sp = np.flatnonzero(buf[1:-1] == 0x20) + 1 if len(buf) > 2 else np.zeros(0, np.int64)
-        nxt, prv = buf[sp + 1], buf[sp - 1]
-        two = buf[np.maximum(sp - 2, 0)]
+        """Places that always part two pieces: before a space, and around a line break, that
+        stands alone between two characters that are not white space."""
+        if len(buf) < 3:
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero((buf[1:-1] == 0x20) | (buf[1:-1] == 0x0A)) + 1
+        nxt, prv, two = buf[at + 1], buf[at - 1], buf[np.maximum(at - 2, 0)]
         # a neighbour is surely not white space if it is printable ASCII, or a lead byte that
         # begins no white space character (before: the end of a two-byte character from U+00C0)
-        after = (nxt > 0x20) & (nxt != 0x7F) & ~np.isin(nxt, (0xC2, 0xE1, 0xE2, 0xE3))
+        after = (nxt > 0x20) & (nxt != 0x7F) & ~_MAYBE_SPACE[nxt]
         before = ((prv > 0x20) & (prv < 0x7F)) | ((prv >= 0x80) & (two >= 0xC3) & (two <= 0xDF))
-        sp = sp[after & before]
-        inner = np.searchsorted(offs, sp, side="right") - 1
-        return sp[(sp > offs[inner]) & (sp + 1 < offs[inner + 1])]
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[offs] = True  # neighbours in another text do not count
+        at = at[after & before & ~edge[at] & ~edge[at + 1]]
+        return np.concatenate([at, at[buf[at] == 0x0A] + 1])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids with an end id per text, ids per text)."""
         buf, offs = tn.flat(column)
-        edges = np.union1d(self.cuts(buf, offs), offs)
-        pieces = pa.LargeStringArray.from_buffers(
-            len(edges) - 1, pa.py_buffer(np.ascontiguousarray(edges)), pa.py_buffer(np.ascontiguousarray(buf))) \
-            if len(edges) > 1 else pa.array([], pa.large_string())
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > CACHE:
+        edges = np.sort(np.concatenate([self.cuts(buf, offs), offs]))
+        edges = edges[np.append(True, edges[1:] != edges[:-1])]
+        start, end = edges[:-1], edges[1:]
+        uniq, first, piece = np.unique(tn.span_hash(buf, start, end, tn.BYTE_CODE), return_index=True, return_inverse=True)
+        if len(self.known) + len(uniq) > CACHE:
             self.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        local = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        piece = local[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        lens = self.start[piece + 1] - self.start[piece]
+        at = np.searchsorted(self.known, uniq)
+        new = np.append(self.known, np.uint64(0))[at] != uniq
+        new |= at == len(self.known)
+        if new.any():
+            self._learn(uniq[new], buf, start[first[new]], end[first[new]])
+        where, lens = self.place[:, np.searchsorted(self.known, uniq)][:, piece]
         # a text is its pieces and one end id
-        doc = np.searchsorted(offs, edges[:-1], side="right") - 1 if len(piece) else np.zeros(0, np.int64)
+        doc = np.searchsorted(offs, start, side="right") - 1
         per = np.bincount(doc, weights=lens, minlength=len(column)).astype(np.int64) + 1
         total = int(per.sum())
         out = np.full(total, END_ID, np.uint32)
-        src = np.repeat(self.start[piece], lens) + tn.ragged(lens)
+        src = np.repeat(where, lens) + tn.ragged(lens)
         dst = np.arange(len(src)) + np.repeat(doc, lens)
         out[dst] = self.ids[src]
         return out, per
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process, kept between its tasks."""
+    return PieceEncoder(path)
+
+
 # ---------------------------------------------------------------- write and read
 
 def _segments(path: str):
@@ -202,7 +266,7 @@ def _segments(path: str):
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
-        enc = PieceEncoder(path)
+        enc = _encoder(path)
         held: list[tuple] = []
         size = 0
 
@@ -219,7 +283,7 @@ def _segments(path: str):
             return row
 
         for b in batches:
-            for lo, hi in tn.chunks(b.column(1)):
+            for lo, hi in tn.chunks(b.column(1), CHUNK):
                 keys = b.column(0).slice(lo, hi - lo).to_pylist()
                 ids, per = enc(b.column(1).slice(lo, hi - lo))
                 ends = np.cumsum(per)
