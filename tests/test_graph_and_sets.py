@@ -2,6 +2,7 @@
 
 from datetime import date
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.joins import overlapping
@@ -37,8 +38,9 @@ def test_overlap_and_touching_ranges(spark):
     req = spark.createDataFrame(rows, "k string, request_id string, s date, e date")
     act = spark.createDataFrame([("ds", "a1", date(2024, 1, 5), date(2024, 2, 20)), ("ds", "a2", date(2024, 1, 12), date(2024, 1, 12))],
                                 "k string, active_id string, s date, e date")
-    pairs = sorted((r["request_id"], r["active_id"]) for r in overlapping(req, act, "k", "s", "e", bucket_days=7).collect())
-    assert pairs == [("r1", "a1"), ("r2", "a1"), ("r2", "a2")]         # touching end = start overlaps; no duplicates
+    got = {r["request_id"]: (r["conflict"], r["n_ranges"]) for r in overlapping(req, act, "k", "s", "e", bucket_days=7).collect()}
+    # a range that ends on the day another starts overlaps it; one row per request
+    assert got == {"r1": (True, 1), "r2": (True, 1), "r3": (False, 0), "r4": (False, 0)}
 
 
 def test_change_feed_roundtrip_and_nulls(spark):
@@ -101,3 +103,86 @@ def test_rank_within_hot_day_spans_partitions(spark):
             want[r[0]] = (i + 1, len(rs), rs and sorted(rs, key=lambda x: (x[2], x[0]))[-1][1])
     got = {r["dag_run_id"]: (r["rank_in_day"], r["runs_in_day"], r["day_state"]) for r in out}
     assert got == want
+
+
+def test_ranks_do_not_hang_on_exchange_reuse(spark):
+    from quarry.operators.windows import runs_by_day
+
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        runs = spark.range(0, 20000, 1, 16).selectExpr(
+            "concat('r', id) AS dag_run_id", "timestamp_seconds(id * 7 % 400000) AS start_date",
+            "CAST(NULL AS TIMESTAMP) AS logical_date", "'ok' AS state")
+        got = runs_by_day(runs).select("day", "rank_in_day", "runs_in_day", "start_date").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    days = {}
+    for r in got:
+        days.setdefault(r["day"], []).append(r)
+    assert len(got) == 20000
+    for rows in days.values():
+        rows.sort(key=lambda r: r["rank_in_day"])
+        assert [r["rank_in_day"] for r in rows] == list(range(1, len(rows) + 1)) and rows[0]["runs_in_day"] == len(rows)
+        assert all(a["start_date"] >= b["start_date"] for a, b in zip(rows, rows[1:]))
+
+
+def test_restatement_ranges_are_checked_row_by_row(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from quarry.operators.restate import expand_slots_of
+
+    def slots(a, b):
+        return expand_slots_of(spark.createDataFrame([(date(*a), date(*b))], "f date, t date")).count()
+
+    assert slots((2024, 1, 1), (2024, 3, 30)) == 90
+    for bad in (((2024, 1, 1), (2024, 12, 31)), ((2024, 1, 5), (2024, 1, 1))):
+        with pytest.raises(PySparkException):
+            slots(*bad)
+
+
+def test_cascade_has_no_depth_limit_and_ends_on_cycles(spark):
+    from quarry.operators.restate import cascade
+
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(12)]
+    e = spark.createDataFrame(chain + [("n0", "n5")], "src string, dst string")
+    assert {r["name"]: r["phase"] for r in cascade(e, "n0").collect()} == {f"n{i}": i for i in range(13)}
+    back = spark.createDataFrame(chain + [("n12", "n3")], "src string, dst string")
+    assert cascade(back, "n0").count() == 13
+    assert {r["name"]: r["phase"] for r in cascade(e, "n0", "children").collect()} == {"n0": 0, "n1": 1, "n5": 1}
+
+
+def test_exact_quantile_of_ties_nulls_and_one_row(spark):
+    import numpy as np
+
+    from quarry.operators.summary import exact_quantile
+
+    rows = [("a", float(v)) for v in [1, 1, 1, 2, 9, 9, 40]] + [("b", 5.0), ("b", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        got = {r[0]: r[1] for r in exact_quantile(df, "v", q, ["g"]).collect()}
+        for g in ("a", "b", None):
+            assert abs(got[g] - np.quantile([v for k, v in rows if k == g and v is not None], q)) < 1e-9
+    assert abs(exact_quantile(df, "v", 0.5).first()[0] - np.quantile([v for _, v in rows if v is not None], 0.5)) < 1e-9
+
+
+def test_counter_rate_after_a_reset(spark):
+    from datetime import datetime, timedelta
+
+    from quarry.operators.slo import counter_rate
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(seconds=i), "c", v) for i, v in enumerate([90.0, 100.0, 0.0, 5.0])]
+    got = counter_rate(spark.createDataFrame(rows, "TimeGenerated timestamp, Name string, Val double"), ["Name"], "5 minutes").first()
+    assert abs(got["rate_per_s"] - 15 / 300) < 1e-12
+
+
+def test_tag_values_are_whole(spark):
+    from quarry.functions.scalar import tag_value
+
+    df = spark.range(1).selectExpr("concat('source:', repeat('X', 2000000)) AS t")
+    assert df.select(F.length(tag_value("t", "source"))).first()[0] == 2000000

@@ -75,7 +75,7 @@ def test_stream_ingest_batch_metrics_and_upsert(spark, tmpdir_path):
     ids = sorted(r["batch_id"] for r in spark.read.parquet(f"{tmpdir_path}/metrics").collect())
     assert ids and all(i % 2 == 0 for i in ids)
     up = X.stream_upsert(stream.select("user_id", "ts", "event_type"), f"{tmpdir_path}/silver", f"{tmpdir_path}/ck3",
-                         ["user_id"], "ts", watermark="3650 days")
+                         ["user_id"], "ts", watermark="3650 days", buckets=4)
     up.awaitTermination(180)
     got = spark.read.parquet(f"{tmpdir_path}/silver")
     assert got.count() == events.select("user_id").distinct().count()
@@ -89,13 +89,14 @@ def test_burn_rate_stream_equals_batch(spark, tmpdir_path):
     events.repartition(2).write.parquet(land)
     stream = X.stream_source(spark, land, events.schema)
     good = F.col("event_type") != "error"
-    out = X.burn_rate_stream(stream, "ts", good, 0.99, "1 hour", "10 minutes", watermark=None)
-    q = out.writeStream.format("memory").queryName("burn_test").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    out = X.burn_rate_stream(stream, "ts", good, 0.99, "1 hour", "10 minutes", watermark="1 minute")
+    q = out.writeStream.format("memory").queryName("burn_test").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
     got = sorted((r["window_start"], r["good"], r["total"]) for r in spark.sql("SELECT * FROM burn_test").collect())
     batch = X.burn_rate_stream(events, "ts", good, 0.99, "1 hour", "10 minutes")
     want = sorted((r["window_start"], r["good"], r["total"]) for r in batch.collect())
-    assert got == want
+    # append mode gives a window once the watermark has passed it; the last ones stay open
+    assert got == want[:len(got)] and len(got) > 0.9 * len(want)
 
 
 def test_write_split_one_job(spark, tmpdir_path):
@@ -107,3 +108,99 @@ def test_write_split_one_job(spark, tmpdir_path):
     assert back.count() == l.count()
     assert back.filter("_side = 'rejected'").filter("l_discount <= 0.05").count() == 0
     assert back.filter("_side = 'valid'").filter("l_discount > 0.05").count() == 0
+
+
+def test_upsert_layout_is_stored(spark, tmpdir_path):
+    import pytest
+
+    path = f"{tmpdir_path}/layout"
+    with pytest.raises(ValueError):
+        X._layout(spark, path, None)
+    assert X._layout(spark, path, 8) == 8 and X._layout(spark, path, None) == 8
+    with pytest.raises(ValueError):
+        X._layout(spark, path, 16)
+
+
+def test_restating_supersedes_the_marker_first(spark, tmpdir_path):
+    import pytest
+
+    from quarry.operators.restate import DQ_FAILED, restatement_progress
+    from quarry.plans.slot_run import is_done
+    from quarry.quality.gate import QualityGateError
+
+    sink = SlotSink(f"{tmpdir_path}/t", "silver", "x", f"{tmpdir_path}/trk")
+    slot = datetime(2024, 1, 1)
+    rows = spark.range(3)
+    run_slot(spark, lambda s, d: rows, lambda d: d, sink, slot)
+    assert is_done(spark, sink, slot)
+
+    def breaks(s, d):
+        raise RuntimeError("source is down")
+
+    with pytest.raises(RuntimeError):
+        run_slot(spark, breaks, lambda d: d, sink, slot, restate=True)
+    assert not is_done(spark, sink, slot)
+
+    def bad(df):
+        raise QualityGateError(["rule"])
+
+    with pytest.raises(QualityGateError):
+        run_slot(spark, lambda s, d: rows, lambda d: d, sink, slot, quality=bad)
+    t = W.latest_marks(W.read_tracker(spark, sink.tracker_path)).collect()
+    assert [r["status"] for r in t] == [DQ_FAILED] and not is_done(spark, sink, slot)
+    slots = spark.createDataFrame([("x", "01_01_2024_00")], "table string, partition string")
+    got = restatement_progress(slots, W.read_tracker(spark, sink.tracker_path), keys=("table", "partition")).first()
+    assert got["dq_failed"] == 1 and got["state"] == "partial_failure"
+
+
+def test_registering_a_slot_adds_only_it(spark, tmpdir_path):
+    df = spark.range(6).withColumn("p", (F.col("id") % 3).cast("string"))
+    W.overwrite_slot(df, f"{tmpdir_path}/reg", ["p"])
+    name = "reg_" + os.path.basename(tmpdir_path).replace("-", "_")
+    full = W.register(spark, "silver", name, f"{tmpdir_path}/reg", partitioned=True, slots=df.filter("p = '1'").select("p"))
+    assert [r[0] for r in spark.sql(f"SHOW PARTITIONS {full}").collect()] == ["p=1"]
+
+
+def test_quality_rows_one_file_per_run(spark, tmpdir_path):
+    rows = spark.range(5).withColumn("run_timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp")).repartition(4)
+    for _ in range(3):
+        W.append_results(rows, f"{tmpdir_path}/q")
+    files = F.count_distinct(F.col("_metadata.file_path"))
+    assert spark.read.parquet(f"{tmpdir_path}/q").agg(files).first()[0] == 3
+    W.compact_results(spark, f"{tmpdir_path}/q")
+    assert spark.read.parquet(f"{tmpdir_path}/q").agg(files).first()[0] == 1
+    assert W.read_results(spark, f"{tmpdir_path}/q").count() == 15
+
+
+def test_merge_refuses_one_key_with_different_rows(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from quarry.sinks.merge import merge_upsert
+
+    tgt = spark.createDataFrame([(1, "a")], "k int, v string")
+    src = spark.createDataFrame([(1, "b"), (1, "b"), (None, "n")], "k int, v string")
+    assert sorted(map(tuple, merge_upsert(tgt, src, "k").collect()), key=repr) == [(1, "b"), (None, "n")]
+    with pytest.raises(PySparkException):
+        merge_upsert(tgt, src.unionByName(spark.createDataFrame([(1, "c")], "k int, v string")), "k").collect()
+
+
+def test_checkpoint_folder_is_shared_off_local():
+    import pytest
+
+    from quarry.session import ensure_checkpoint_dir
+
+    class Sc:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Sc()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
