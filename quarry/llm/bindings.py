@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.bindings import Registry
 
-from . import op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op6_repeats, op7_lines, op8_ngram_join, op9_licenses, op10_decontam
+from . import (op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op6_repeats, op7_lines, op8_ngram_join,
+               op9_licenses, op10_decontam, sql)
 
 REG = Registry()
 
 
-@REG.query("op1_quality_rules")
+@REG.query("op1_quality_rules", oracle=sql.quality())
 def _op1(t):
     return op1_quality.measure(t.documents)
 
@@ -32,7 +33,7 @@ def _op4(t):
     return op4_interpolation.score(t.documents)
 
 
-@REG.query("op5_secret_scan")
+@REG.query("op5_secret_scan", oracle=sql.secrets())
 def _op5(t):
     return op5_secrets.scan(t.documents)
 
@@ -47,7 +48,7 @@ def _op7(t):
     return op7_lines.dedup(t.documents)
 
 
-@REG.query("op8_ngram_jaccard")
+@REG.query("op8_ngram_jaccard", oracle=sql.ngram_join())
 def _op8(t):
     return op8_ngram_join.link(t.documents)
 
