@@ -42,6 +42,7 @@ STAGES = [("quality_rules", quality), ("ngram_jaccard_join", ngram_join), ("deco
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
