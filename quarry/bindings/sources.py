@@ -72,6 +72,17 @@ def _s4(t):
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("nations"))
 
 
+@REG.query("s6_asset_path", oracle="SELECT r_name AS region, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _s6(t):
+    """An asset written under its versioned path and read back through the template."""
+    lay = LakeLayout(scratch_path(t.spark, "s6"))
+    for version, keep in ((1, "n_nationkey < 0"), (2, "n_nationkey >= 0")):
+        path = lay.asset("gold", "geo", "nation", "internal", "all", "daily", version, "regions")
+        n = t.nation.filter(keep).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        n.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("nations")).write.parquet(path)
+    return t.spark.read.parquet(lay.asset("gold", "geo", "nation", "internal", "all", "daily", 2, "regions"))
+
+
 @REG.query("s8_read_slot", oracle="""
 SELECT 'bronze' AS layer, count(*) AS n, 1 AS partitions FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'
 UNION ALL SELECT 'silver', count(*), 1 FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'

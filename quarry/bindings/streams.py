@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.layout import LakeLayout
 from ..streaming import streams as X
 from . import Registry
 
@@ -56,9 +57,10 @@ def staged_stream(t, name, files=4):
 
 @REG.query("x1_stream_ingest", oracle="SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, true AS stamped FROM events GROUP BY 1")
 def _x1(t):
-    """Staged files streamed into a partitioned folder, four micro-batches."""
+    """Staged files streamed into a partitioned folder, four micro-batches, with the
+    pipeline's own checkpoint folder."""
     stream, base = staged_stream(t, "x1")
-    X.stream_ingest(stream, f"{base}/table", f"{base}/checkpoint", "availableNow", ["event_type"]).awaitTermination()
+    X.stream_ingest(stream, f"{base}/table", LakeLayout(base).checkpoint("ingest events"), "availableNow", ["event_type"]).awaitTermination()
     return t.spark.read.parquet(f"{base}/table").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"), F.bool_and(F.col("_ingested_at").isNotNull()).alias("stamped"))
 

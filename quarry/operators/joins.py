@@ -113,7 +113,9 @@ def overlapping(requests: DataFrame, active: DataFrame, key: str, start: str, en
 
 
 def resolve_nodes(nodes: DataFrame, catalogue: DataFrame, node: str = "name") -> DataFrame:
-    """Lineage node -> catalogue entry (lower-case name match), else an external node."""
+    """Lineage node -> catalogue entry (lower-case name match), else an external node.
+
+    Fixed values: the node fields and their text forms."""
     cat = catalogue.select(F.lower("name").alias("__n"), F.col("name").alias("cat_name"), "schema", "layer")
     j = nodes.join(cat, F.lower(nodes[node]) == cat["__n"], "left")
     found = F.col("__n").isNotNull()

@@ -58,7 +58,9 @@ def gate(results: DataFrame, fail_on_critical: bool = True) -> dict:
 
 
 def quality_facet(results: DataFrame, rows_written: DataFrame | None = None) -> DataFrame:
-    """Facet payload as one JSON row.  Facet status is FAIL only on a critical failure."""
+    """Facet payload as one JSON row.  Facet status is FAIL only on a critical failure.
+
+    Fixed values: the payload keys."""
     s = results.agg(
         F.count(F.lit(1)).alias("rules_total"),
         F.count_if(F.col("status") == PASS).alias("rules_passed"),
@@ -82,7 +84,9 @@ def quality_facet(results: DataFrame, rows_written: DataFrame | None = None) ->
 
 
 def quality_facet_v1(results: DataFrame) -> DataFrame:
-    """Documented facet form: PASSED / WARNING / FAILED, counts by severity, failing rules."""
+    """Documented facet form: PASSED / WARNING / FAILED, counts by severity, failing rules.
+
+    Fixed values: the payload keys."""
     failed = F.col("status").isin(FAIL, WARN)
     sev = F.lower(F.col("severity"))
     s = results.agg(
