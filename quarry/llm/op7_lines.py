@@ -40,11 +40,22 @@ NUM, DEN = 4, 5
 HOT = 4 * 16  # log-scaled count of 2^16
 FIRST = 4
 CELL_BYTES = 8 << 20
-IDX = 28  # bits of a member id that number the member inside its block
+IDX = 28  # bits of a member id that number its first line inside its block
 NULL_ID = -(1 << 63)
 U = np.uint64
 
 
+def _line_of(buf: np.ndarray, offs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: its text, how many line breaks of that text come before it, and whether it is the
+    first word of its line."""
+    stop = np.flatnonzero(buf == 10)
+    row = np.searchsorted(offs, start, side="right") - 1
+    no = np.searchsorted(stop, start) - np.searchsorted(stop, offs[:-1])[row]
+    new = np.ones(len(no), bool)
+    new[1:] = (no[1:] != no[:-1]) | (row[1:] != row[:-1])
+    return row, no, new
+
+
 class Members:
     """Distinct line sets of a block: sorted tokens by rarity, first line, and each line's member."""
 
@@ -55,12 +66,7 @@ class Members:
         for lo, hi in tn.chunks(col):
             buf, offs = tn.flat(col.slice(lo, hi - lo))
             w = tn.tokenize(buf, offs)
-            stop = np.flatnonzero(buf == 10)
-            row = w.doc()
-            # a line of a text: how many breaks of that text come before it
-            no = np.searchsorted(stop, w.start) - np.searchsorted(stop, offs[:-1])[row]
-            new = np.ones(len(no), bool)
-            new[1:] = (no[1:] != no[:-1]) | (row[1:] != row[:-1])
+            row, no, new = _line_of(buf, offs, w.start)
             words.append(w.hash)
             lines.append(np.cumsum(new) - 1 + total)
             line_row.append(row[new] + lo)
@@ -76,7 +82,7 @@ class Members:
         order = np.lexsort((self.vocab, level))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        key = np.unique(cat(lines, np.int64) << 32 | rank[tok])
+        key = tn.distinct(cat(lines, np.int64) << 32 | rank[tok])
         line, by_rank = key >> 32, order[key & 0xFFFFFFFF]
         bound = np.searchsorted(line, np.arange(total + 1))
         token = self.vocab[by_rank]
@@ -144,7 +150,7 @@ def _level_lookup(batch: pa.RecordBatch, replies: list[bytes], bits: int):
 
     def of(vocab: np.ndarray) -> np.ndarray:
         short = _short(vocab, bits)
-        return level[np.searchsorted(np.unique(short), short)]
+        return level[np.searchsorted(tn.distinct(short), short)]
 
     return of
 
@@ -165,7 +171,7 @@ def _spread(bits: int):
         order = np.argsort(key)
         key, who, place = key[order], who[order], place[order]
         number = block_number(batch.column(0)[0].as_py())
-        ids = (number << IDX) + np.arange(len(m.size))
+        ids = (number << IDX) + m.head
         cut = bucket_cuts(key, bits)
         got = np.flatnonzero(np.diff(cut))
 
@@ -255,11 +261,29 @@ PAIRS = "b long, a long, nb long, na long, doc long, no long, more boolean"
 
 
 def _sets_of(batch: pa.RecordBatch, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
-    m = Members(batch, lambda v: np.zeros(len(v), np.uint8))
+    """The word sets of the wanted lines of a block."""
     at = wanted.column("v").to_numpy() & ((1 << IDX) - 1)
+    need = tn.distinct(at)
+    lines, words, total = [np.zeros(0, np.int64)], [np.zeros(0, U)], 0
+    for lo, hi in tn.chunks(batch.column(2)):
+        buf, offs = tn.flat(batch.column(2).slice(lo, hi - lo))
+        start, end = tn.runs(tn.IS_WORD[buf], offs)
+        line = np.cumsum(_line_of(buf, offs, start)[2]) - 1 + total
+        total = int(line[-1]) + 1 if len(line) else total
+        k = np.minimum(np.searchsorted(need, line), len(need) - 1)
+        sel = need[k] == line
+        lines.append(k[sel])
+        words.append(tn.span_hash(buf, start[sel], end[sel], tn.BYTE_CODE_LOWER))
+    line, word = np.concatenate(lines), np.concatenate(words)
+    order = np.lexsort((word, line))
+    line, word = line[order], word[order]
+    new = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])) if len(word) else np.zeros(0, bool)
+    line, word = line[new], word[new]
+    cut = np.searchsorted(line, np.arange(len(need) + 1))
+    pick = np.searchsorted(need, at)
     yield pa.RecordBatch.from_arrays(
         [wanted.column("cell").combine_chunks(), wanted.column("v").combine_chunks(),
-         pa.array([np.sort(m.token[m.start[k]:m.start[k] + m.size[k]]).tobytes() for k in at.tolist()], pa.binary())], ["cell", "v", "keys"])
+         pa.array([word[cut[k]:cut[k + 1]].tobytes() for k in pick.tolist()], pa.binary())], ["cell", "v", "keys"])
 
 
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -320,7 +344,7 @@ def _lines(rows: pa.Table, gone: pa.Table) -> pa.Table:
         row, no, member, head = (np.frombuffer(x, np.int64) for x in f[2:])
         off = np.ones(len(row), bool)
         off[head] = False  # the first line of a member stays unless an earlier one elsewhere is like it
-        off[head[lost]] = True
+        off[lost] = True
         n = np.bincount(row, minlength=len(ids))
         drop = [[] for _ in range(len(ids))]
         for r, k in zip(row[off].tolist(), no[off].tolist()):

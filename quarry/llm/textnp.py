@@ -100,6 +100,20 @@ def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndar
     return mix((at_e - at_s) * inv + (end - start).astype(_U))
 
 
+def rolling(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from every place on (equal bytes give equal values)."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    out, step = np.empty(n, _U), min(PIECE - width, 1 << 16)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        cum = np.zeros(b - a + width, _U)
+        np.cumsum(BYTE_CODE[buf[a:b + width - 1]] * _POW[:b - a + width - 1], out=cum[1:])
+        out[a:b] = mix((cum[width:] - cum[:b - a]) * _IPOW[:b - a])
+    return out
+
+
 class Words:
     """Words of a batch: byte spans, hashes and the index of each text's first word."""
 
@@ -148,12 +162,18 @@ def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(acc[at] + _U(n)), at
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (by sorting, which beats hashing on large arrays)."""
+    s = np.sort(x)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the keys that occur at least twice."""
     if not len(keys):
         return np.zeros(0, bool)
     s = np.sort(keys)
-    dup = np.unique(s[1:][s[1:] == s[:-1]])
+    dup = distinct(s[1:][s[1:] == s[:-1]])
     if not len(dup):
         return np.zeros(len(keys), bool)
     at = np.searchsorted(dup, keys)
