@@ -117,9 +117,10 @@ def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_co
         copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it."""
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it.  Rows
+    that share an id are taken equally often, as the most taken of them."""
     cols = docs.columns
-    plan = mix(docs, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_n"))
-    return (docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]))
+    plan = mix(docs, id_col=id_col, **kw).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_n")).filter("_mix_n > 0")
+    return (docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]))
             .withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*cols))
