@@ -18,7 +18,7 @@ with a smaller id is removed.
    the group's smallest are removed.
 4. The marks of both kinds meet per document.
 
-An anchor with more than ``WIDE`` classes (a passage in a large share of all documents, each time
+An anchor with more than ``wide`` classes (a passage in a large share of all documents, each time
 between other texts) is not sent to one task: its 50-byte strings are aggregated by hash over the
 cluster instead, with the same result.
 
@@ -69,12 +69,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(buf)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(n - ANCHOR + 1)
-    h = np.empty(len(at), U)
-    step = 1 << 16
-    for a in range(0, len(at), step):
-        b = min(len(at), a + step)
-        h[a:b] = tn.span_hash(buf[a:b + ANCHOR - 1], at[:b - a], at[:b - a] + ANCHOR, tn.BYTE_CODE)
+    h = tn.rolling(buf, ANCHOR)
     low = _slide(h, SPAN, np.minimum)  # one per window start
     room = np.zeros(n + 1, np.int32)
     ends = offs[1:]
@@ -148,7 +143,7 @@ def _open(bits: int):
         flags = [np.unpackbits(np.frombuffer(unsqueeze(r[:-4]), np.uint8))[:int.from_bytes(r[-4:], "little")] for r in replies]
         flags = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
         got = list(_block_anchors(batch.column(2)))
-        known = np.unique(np.concatenate([_short(h, bits) for *_, h in got])) if got else np.zeros(0, U)
+        known = tn.distinct(np.concatenate([_short(h, bits) for *_, h in got])) if got else np.zeros(0, U)
         places: list = [None] * len(batch)
         for lo, _, offs, place, h in got:
             sel = flags[np.searchsorted(known, _short(h, bits))] if len(h) else np.zeros(0, bool)
@@ -223,29 +218,32 @@ def _ask_classes(batch: pa.RecordBatch):
 LATER, APART, FAR = 1, 2, 4
 
 
-def _classes(payloads: list[bytes], _blocks: list[int]) -> list[bytes]:
-    """Flags per class: has an earlier document elsewhere; its anchor has several classes; very many."""
-    a, x, d = [], [], []
-    for p in payloads:
-        f = unframe(p)
-        a.append(get_u64(f[0]))
-        x.append(np.frombuffer(unsqueeze(f[1]), U))
-        d.append(np.frombuffer(unsqueeze(f[2]), np.int64))
-    size = np.array([len(k) for k in a])
-    a, x, d = np.concatenate(a), np.concatenate(x), np.concatenate(d)
-    order = np.lexsort((d, x, a))
-    sa, sx, sd = a[order], x[order], d[order]
-    new = np.append(True, (sa[1:] != sa[:-1]) | (sx[1:] != sx[:-1]))
-    cls = np.cumsum(new) - 1
-    flag = (sd > sd[new][cls]).astype(np.uint8) * LATER
-    firsts = sa[new]
-    uniq, inv, count = np.unique(firsts, return_inverse=True, return_counts=True)
-    n = count[inv][cls]
-    flag |= np.where(n > WIDE, FAR, np.where(n > 1, APART, 0)).astype(np.uint8)
-    out = np.empty(len(a), np.uint8)
-    out[order] = flag
-    cut = np.cumsum(np.append(0, size))
-    return [squeeze(out[cut[i]:cut[i + 1]]) for i in range(len(size))]
+def _classes(wide: int):
+    def reply(payloads: list[bytes], _blocks: list[int]) -> list[bytes]:
+        """Flags per class: has an earlier document elsewhere; its anchor has several classes; very many."""
+        a, x, d = [], [], []
+        for p in payloads:
+            f = unframe(p)
+            a.append(get_u64(f[0]))
+            x.append(np.frombuffer(unsqueeze(f[1]), U))
+            d.append(np.frombuffer(unsqueeze(f[2]), np.int64))
+        size = np.array([len(k) for k in a])
+        a, x, d = np.concatenate(a), np.concatenate(x), np.concatenate(d)
+        order = np.lexsort((d, x, a))
+        sa, sx, sd = a[order], x[order], d[order]
+        new = np.append(True, (sa[1:] != sa[:-1]) | (sx[1:] != sx[:-1]))
+        cls = np.cumsum(new) - 1
+        flag = (sd > sd[new][cls]).astype(np.uint8) * LATER
+        firsts = sa[new]
+        uniq, inv, count = np.unique(firsts, return_inverse=True, return_counts=True)
+        n = count[inv][cls]
+        flag |= np.where(n > wide, FAR, np.where(n > 1, APART, 0)).astype(np.uint8)
+        out = np.empty(len(a), np.uint8)
+        out[order] = flag
+        cut = np.cumsum(np.append(0, size))
+        return [squeeze(out[cut[i]:cut[i + 1]]) for i in range(len(size))]
+
+    return reply
 
 
 MARKED = "rid long, doc_id long, marks binary, body binary, firsts binary"
@@ -293,38 +291,39 @@ def _apply(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBat
 
 # ---------------------------------------------------------------- suffix arrays
 
-def enhanced_suffix_array(buf: np.ndarray, stop: np.ndarray, least: int, depth: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, lcp): the suffixes with ``least`` bytes or more before their text's end
-    (``stop`` per byte), sorted, and the common prefix with the one before, capped at ``depth``."""
-    n = len(buf)
-    at = np.arange(n)
-    left = stop - at
-    ranks = [buf.astype(np.int64) + 1]
-    width = 1
-    while width < depth:
-        r = ranks[-1]
-        nxt = np.zeros(n, np.int64)
-        ok = left > width
-        nxt[ok] = r[at[ok] + width]
-        ranks.append(np.unique(r * (int(r.max()) + 1) + nxt, return_inverse=True)[1] + 1)
-        width *= 2
-    sa = np.flatnonzero(left >= least)
-    sa = sa[np.argsort(ranks[-1][sa], kind="stable")]
-    lcp = np.zeros(len(sa), np.int64)
-    x, y = sa[:-1].copy(), sa[1:].copy()
-    got = np.zeros(max(0, len(sa) - 1), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        w = 1 << k
-        ok = np.flatnonzero((left[sa[:-1]] - got >= w) & (left[sa[1:]] - got >= w) & (got + w <= depth))
-        eq = ok[ranks[k][x[ok]] == ranks[k][y[ok]]]
-        got[eq] += w
-        x[eq] = np.minimum(x[eq] + w, n - 1)
-        y[eq] = np.minimum(y[eq] + w, n - 1)
-    if len(sa):
-        lcp[1:] = got
+def enhanced_suffix_array(buf: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, lcp): the suffixes that begin at ``at`` and end after ``left`` bytes, sorted, and
+    the common prefix of each with the one before.  For short texts: it compares eight bytes at
+    a time, over all suffixes at once."""
+    if not len(at):
+        return at, np.zeros(0, np.int64)
+    deep = -(-int(left.max()) // 8)
+    padded = np.concatenate([buf, np.zeros(8 * deep + 8, np.uint8)])
+    view = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+    words = []
+    for k in range(deep):
+        short = np.clip(8 * (8 * (k + 1) - left), 0, 64).astype(U)  # bits past the end
+        word = view[at + 8 * k].astype(U)
+        words.append(np.where(short < U(64), word >> (short & U(63)) << (short & U(63)), U(0)))
+    order = np.lexsort([left, *words[::-1]])
+    sa, left = at[order], left[order]
+    lcp, same = np.zeros(len(sa), np.int64), np.ones(len(sa) - 1, bool)
+    for word in words:
+        w = word[order]
+        x = w[1:] ^ w[:-1]
+        # equal leading bytes: 8 minus the bytes up to the highest set bit
+        got = np.where(x == 0, 8, 8 - -(-_bit_length(x) // 8))
+        lcp[1:] += np.where(same, got, 0)
+        same &= x == 0
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]))
     return sa, lcp
 
 
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    high, low = (x >> U(32)).astype(np.float64), (x & U(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int64)
+
+
 def lcp_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(depth, first, last) of every interval of the common-prefix tree at least ``least`` deep,
     by the stack scan over the LCP array."""
@@ -338,23 +337,37 @@ def lcp_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]
             stack.append((d, first))
 
 
-def maximal_repeats(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
-    """(length, places) of every repeat of ``least`` bytes or more that no longer repeat replaces:
-    its occurrences have different bytes, or a text's begin, to their left."""
-    sa, lcp = enhanced_suffix_array(buf, stop, least)
-    before = np.where(sa == begin[sa], 256 + np.arange(len(sa)), buf[np.maximum(sa - 1, 0)]) if len(sa) else sa
-    # only runs of neighbours that share ``least`` bytes can hold intervals
-    deep = np.append(lcp, 0) >= least
-    edge = np.flatnonzero(deep[1:] != deep[:-1]) + 1
-    out = []
-    for lo, hi in zip((edge[::2] - 1).tolist(), edge[1::2].tolist()):
-        part = lcp[lo:hi].copy()
+def maximal_repeats(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every repeat of ``least`` bytes or more that no longer repeat replaces: its occurrences have
+    different bytes, or a text's begin, to their left.  Gives batches of repeats as (lengths,
+    bounds, places): repeat k has length ``lengths[k]`` and places ``places[bounds[k]:bounds[k+1]]``.
+
+    Suffixes whose first ``least`` bytes occur once are in no interval and are left out first.
+    """
+    at = np.flatnonzero(stop - np.arange(len(buf)) >= least)
+    at = at[tn.repeated(tn.rolling(buf, least)[at])] if len(at) else at
+    sa, lcp = enhanced_suffix_array(buf, at, stop[at] - at)
+    if not len(sa):
+        return
+    before = np.where(sa == begin[sa], 256 + np.arange(len(sa)), buf[np.maximum(sa - 1, 0)].astype(np.int64))
+    # runs of neighbours that share ``least`` bytes; one kind of byte to the left: nothing maximal
+    head = np.flatnonzero(lcp < least)
+    size = np.diff(np.append(head, len(sa)))
+    diverse = (np.minimum.reduceat(before, head) != np.maximum.reduceat(before, head)) & (size > 1)
+    two = head[diverse & (size == 2)]
+    yield lcp[two + 1], np.arange(len(two) + 1) * 2, sa[(two[:, None] + np.arange(2)).ravel()]
+    lengths, sizes, places = [], [], []
+    for lo, n in zip(head[diverse & (size > 2)].tolist(), size[diverse & (size > 2)].tolist()):
+        part = lcp[lo:lo + n].copy()
         part[0] = 0
         for depth, i, j in lcp_intervals(part, least):
             b = before[lo + i:lo + j + 1]
             if (b != b[0]).any():
-                out.append((depth, sa[lo + i:lo + j + 1]))
-    return out
+                lengths.append(depth)
+                sizes.append(j - i + 1)
+                places.append(sa[lo + i:lo + j + 1])
+    if lengths:
+        yield np.array(lengths), np.cumsum([0, *sizes]), np.concatenate(places)
 
 
 def _contexts_out(bits: int):
@@ -389,20 +402,32 @@ def _compare(t: pa.Table) -> pa.Table:
     rid, doc, place, size = np.concatenate(heads, axis=1)
     buf = np.concatenate(texts)
     end = np.cumsum(size)
-    out: list[list[np.ndarray]] = [[], [], []]
-    # contexts are in no order; any split of a bucket would part occurrences, so it is sorted whole
     of = np.repeat(np.arange(len(size)), size)
-    for length, at in maximal_repeats(buf, (end - size)[of], end[of], LENGTH):
-        d = doc[of[at]]
-        gone = at[d > d.min()]
-        if len(gone):
-            k = of[gone]
-            start = gone - (end - size)[k] + place[k]
-            out[0].append(rid[k])
-            out[1].append(start)
-            out[2].append(start + length)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for lengths, bounds, at in maximal_repeats(buf, (end - size)[of], end[of], LENGTH):
+        if not len(lengths):
+            continue
+        k = of[at]
+        n = np.diff(bounds)
+        gone = doc[k] > np.repeat(np.minimum.reduceat(doc[k], bounds[:-1]), n)
+        k = k[gone]
+        start = at[gone] - (end - size)[k] + place[k]
+        for col, val in zip(out, (rid[k], start, start + np.repeat(lengths, n)[gone])):
+            col.append(val)
     cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    return pa.table([pa.array(c) for c in cols], ["rid", "lo", "hi"])
+    return pa.table([pa.array(c) for c in _merge_by(*cols)], ["rid", "lo", "hi"])
+
+
+def _merge_by(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of byte ranges within each row."""
+    if not len(rid):
+        return rid, lo, hi
+    order = np.lexsort((lo, rid))
+    rid, lo, hi = rid[order], lo[order], hi[order]
+    base = np.cumsum(np.append(False, rid[1:] != rid[:-1])) << 33
+    far = np.maximum.accumulate(hi + base)
+    head = np.flatnonzero(np.append(True, (lo + base)[1:] > far[:-1]))
+    return rid[head], lo[head], far[np.append(head[1:], len(rid)) - 1] - base[head]
 
 
 def _windows_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,14 +466,14 @@ def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: int = WIDE) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, and the digest of what is left."""
     packs = pack(docs, "repeat-packs", id_col, text_col)
     bits = bucket_bits(packs)
     shared = answer(ask(packs, bits, _ask_shared(bits)), _shared)
     opened = stage(join_replies(packs, shared, _open(bits), "block long, part int, payload binary, closed binary"), "repeat-open")
     live = opened.filter("payload is not null")
-    classes = answer(ask(live, bits, _ask_classes), _classes)
+    classes = answer(ask(live, bits, _ask_classes), _classes(wide))
     marked = stage(join_replies(live, classes, _apply, MARKED), "repeat-marks")
     pending = marked.filter("firsts is not null").select("rid", "doc_id", "body", "firsts")
     near = pending.mapInArrow(_contexts_out(bits + 3), "bucket int, body binary") \
