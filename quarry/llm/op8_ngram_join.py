@@ -7,7 +7,7 @@ Two documents link when ``100 * |A and B| >= pct * |A or B|`` over their distinc
 2. Candidates: only the first ``n - ceil(pct n / 100) + 1`` shingles of a set in that order can
    be the first common one; members that share one, and pass the length and positional filter,
    are candidates.  A group first pairs with its smallest member only; then only pairs across
-   components that are still apart are listed, in growing shares of pivots.  Every pair of
+   components that are still apart are listed, from a share of pivots and then from all.  Every pair of
    different components is tried before the end, so no link that would join two is lost, and a
    group of near copies costs a multiple of its size, not its square.
 3. Vertical partitioning: the shingle order is cut into ``FRAGMENTS`` ranges.  For each fragment
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .components import components
+from .components import components, join_components
 from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_u32, join_replies, pack, put_u32, squeeze,
                     unframe, unsqueeze)
 from .staging import stage
@@ -42,7 +42,7 @@ FRAGMENTS = 4
 CELL_BYTES = 8 << 20
 U = np.uint64
 
-SETS = "rid long, doc_id long, n int, h1 long, h2 long, tokens array<long>, places array<int>, body binary"
+SETS = "rid long, doc_id long, n int, alone int, h1 long, h2 long, tokens array<long>, places array<int>, body binary"
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _levels(payloads: list[bytes], _blocks: list[int]) -> list[bytes]:
 def _prefixes(bits: int, n: int, pct: int):
     def fn(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, bounds = _block_sets(batch, n)
-        known = np.unique(_short(keys, bits))
+        known = tn.distinct(_short(keys, bits))
         level = np.concatenate([np.frombuffer(unsqueeze(r), np.uint8) for r in replies]) if replies else np.zeros(0, np.uint8)
         level = level[np.searchsorted(known, _short(keys, bits))].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(bounds)
@@ -119,6 +119,7 @@ def _prefixes(bits: int, n: int, pct: int):
         sel = (place < np.repeat(reach, size)) & (level[order] > 0)
         tok, pos, of = keys[order][sel], place[sel], doc[sel]
         n_tok = np.bincount(of, minlength=len(size))
+        alone = np.bincount(doc[level[order] == 0], minlength=len(size))
         offs = pa.array(np.concatenate([[0], np.cumsum(n_tok)]).astype(np.int32))
 
         def total(x: np.ndarray) -> np.ndarray:
@@ -129,20 +130,23 @@ def _prefixes(bits: int, n: int, pct: int):
         texts = batch.column(2).to_pylist()
         body = [squeeze(t.encode()) if k and t else None for t, k in zip(texts, n_tok.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(size.astype(np.int32)),
+            [batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.array(alone.astype(np.int32)),
              pa.array(total(tn.mix(keys))), pa.array(total(tn.mix(keys ^ U(0x5851F42D4C957F2D)))),
              pa.ListArray.from_arrays(offs, pa.array(tok.view(np.int64))),
              pa.ListArray.from_arrays(offs, pa.array(pos.astype(np.int32))), pa.array(body, pa.binary())],
-            ["rid", "doc_id", "n", "h1", "h2", "tokens", "places", "body"])
+            ["rid", "doc_id", "n", "alone", "h1", "h2", "tokens", "places", "body"])
 
     return fn
 
 
 def _may_link(pct: int):
-    """Length and positional filter of (na, pa) and (nb, pb)."""
-    na, nb, i, j = (F.col(c).cast("long") for c in ("na", "nb", "i", "j"))
-    most = F.least(i, j) + F.least(na - i, nb - j)
-    return (100 * F.least(na, nb) >= pct * F.greatest(na, nb)) & (most * (100 + pct) >= pct * (na + nb))
+    """Length and positional filter of members x and y that share a token.
+
+    A pair that links passes at its first common token: nothing before it matches, so what
+    follows, at places i and j, must be enough alone.
+    """
+    nx, ny, i, j = (F.col(c).cast("long") for c in ("x.n", "y.n", "x.i", "y.i"))
+    return (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny)) & (F.least(nx - i, ny - j) * (100 + pct) >= pct * (nx + ny))
 
 
 def _segments(n: int):
@@ -214,46 +218,47 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     full = sets.filter("n > 0")
 
     pair = F.explode(F.arrays_zip("tokens", "places"))
-    groups = (full.select("rid", "n", "h1", pair.alias("t"))
-              .groupBy(F.col("t.tokens").alias("token"), "h1", "n", F.col("t.places").alias("i"))
-              .agg(F.min("rid").alias("v")))
-    heads = groups.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("v", "n", "i")).alias("p")).filter("m > 1")
-    groups = stage(groups.join(heads, "token").select("token", "v", "n", "i", "p"), "ngram-groups")
+    # a member of a token's group: few lone shingles first, so that heads are near the others
+    member = F.struct(F.col("alone").alias("u"), F.col("v"), F.col("n"), F.col("i"))
+    groups = (full.select("rid", "n", "alone", "h1", pair.alias("t"))
+              .groupBy(F.col("t.tokens").alias("token"), "h1", "n", F.col("t.places").alias("i"), "alone")
+              .agg(F.min("rid").alias("v")).select("token", member.alias("m")))
+    heads = groups.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("head")).filter("size > 1")
+    groups = stage(groups.join(heads, "token").select("token", "m", "head"), "ngram-groups")
 
     def as_pairs(df: DataFrame) -> DataFrame:
-        both = F.struct("v", "n"), F.struct(F.col("w").alias("v"), F.col("nw").alias("n"))
-        a, b = F.least(*both), F.greatest(*both)
-        ok = _may_link(percent)
-        return (df.select(a.alias("x"), b.alias("y"), F.col("n").alias("na"), F.col("nw").alias("nb"), F.col("iv").alias("i"), F.col("iw").alias("j"))
-                .filter(ok).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+        """Distinct pairs of the members x and y that may link."""
+        x, y = F.struct("x.v", "x.n"), F.struct("y.v", "y.n")
+        return (df.filter(_may_link(percent)).select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
+                .select(F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct())
 
-    members = stage(groups.select("v", "n").distinct(), "ngram-members")
+    members = stage(groups.select("m.v", "m.n").distinct(), "ngram-members")
     total = members.agg(F.sum("n")).first()[0] or 0
     bodies = stage(full.select(F.col("rid").alias("v"), "body").join(members.select("v"), "v", "left_semi"), "ngram-bodies")
 
-    pairs = stage(as_pairs(groups.filter("v != p.v").select(
-        F.col("p.v").alias("v"), F.col("p.n").alias("n"), F.col("p.i").alias("iv"),
-        F.col("v").alias("w"), F.col("n").alias("nw"), F.col("i").alias("iw"))), "ngram-pairs")
-    tried, links, share = pairs, stage(_verify(pairs, bodies, shingle, percent, total), "ngram-links"), 1
+    pairs = stage(as_pairs(groups.filter("m.v != head.v").select(F.col("head").alias("x"), F.col("m").alias("y"))), "ngram-pairs")
+    roots = components(stage(_verify(pairs, bodies, shingle, percent, total), "ngram-links"))
+    tried, share = pairs, 1
     while True:
-        roots = stage(components(links), "ngram-roots")
-        now = groups.select("token", "v", "n", "i").join(roots.withColumnRenamed("node", "v"), "v", "left") \
-            .withColumn("root", F.coalesce("root", "v"))
-        apart = now.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")) \
+        now = groups.select("token", "m", F.col("m.v").alias("node")).join(roots, "node", "left") \
+            .select("token", "m", F.coalesce("root", "node").alias("root"))
+        apart = now.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")) \
             .filter("r0 < r1")
-        live = stage(now.join(apart.select("token", "m"), "token"), "ngram-live")
-        seen = live.agg(F.count(F.lit(1)), F.sum("m")).first()
-        if not seen[0] or share > 64:
+        live = stage(now.join(apart.select("token", "size"), "token"), "ngram-live")
+        seen = live.agg(F.count(F.lit(1)), F.sum("size")).first()
+        if not seen[0]:
             break
-        # all cross pairs at once while they are few for each row, else pivots in growing shares
+        # all cross pairs at once while they are few for each row, else some pivots first
         share = 64 if seen[1] <= 16 * seen[0] else share
-        pivots = live.filter(F.pmod(F.xxhash64("v"), F.lit(64)) < share) \
-            .select("token", F.col("v").alias("w"), F.col("n").alias("nw"), F.col("i").alias("iw"), F.col("root").alias("rw"))
-        new = live.withColumnRenamed("i", "iv").join(pivots, "token").filter("root != rw")
+        pivots = live.filter(F.pmod(F.xxhash64("m.v"), F.lit(64)) < share).select("token", F.col("m").alias("y"), F.col("root").alias("other"))
+        new = live.select("token", F.col("m").alias("x"), "root").join(pivots, "token").filter("root != other")
         pairs = stage(as_pairs(new).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         tried = tried.unionByName(pairs)
-        links = stage(links.unionByName(_verify(pairs, bodies, shingle, percent, total)), "ngram-links")
-        share *= 4
+        links = stage(_verify(pairs, bodies, shingle, percent, total), "ngram-links")
+        roots = join_components(roots, links)
+        if share >= 64:
+            break
+        share = 64
 
     first = full.groupBy("n", "h1", "h2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"))
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
