@@ -7,15 +7,16 @@ number), has a Jaccard similarity of ``NUM / DEN`` or more with it.
 1. Rarity: a bulk exchange counts every word over the corpus; sets sort by (log-scaled count,
    hash), rarest first.
 2. Equal sets of a block form one member, named by its first line; its other lines go at once.
+   Members with equal sets (by 128-bit signature) in several blocks go but for the first.
 3. Candidates meet on prefix tokens: similar sets share one of their first
    ``n - ceil(NUM n / DEN) + 1`` tokens.  Very frequent tokens (``HOT``) meet only in pairs: one
    token further, similar sets share two prefix tokens, so either a rarer one or a pair of
-   frequent ones.  Inside a group the length filter, the positional filter and a bitmap bound
-   on the symmetric difference prune; members are compared with the earliest first and stop at
-   ``FIRST`` candidates, so a large group of near copies costs about its size.
-4. Each member's earliest candidate is verified on the full sets; then its others; and a member
-   that stopped early and failed on all is joined with every member of its groups.  A member
-   ends as soon as one candidate is verified.
+   frequent ones.  Inside a group the length filter, the positional filter and a parity sketch
+   (which bounds the symmetric difference from below) prune; members are compared with the
+   earliest first and stop at ``FIRST`` candidates, so a large group of near copies costs about
+   its size.
+4. Candidates are verified on the full sets; a member that stopped early and failed on all is
+   then joined with every member of its groups.
 
 Defined results: null or empty texts have no lines; a null id sorts first; rows that repeat an
 id order by where they are read, so the second copy's lines go; lines without a word stay.
@@ -32,14 +33,16 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .op8_ngram_join import _levels, _overlap, _short
-from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_u64, join_replies, pack, put_u32, put_u64,
-                    squeeze, unframe, unseal, unsqueeze)
+from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_counts, get_u32, join_replies, pack, put_counts,
+                    put_u32, squeeze, unframe, unseal, unsqueeze)
 from .staging import stage
 
 NUM, DEN = 4, 5
 HOT = 4 * 16  # log-scaled count of 2^16
-FIRST = 4
+FIRST = 8
 CELL_BYTES = 8 << 20
+# sketch words by the size of a set: 64 bits up to the first, 128 up to the second, then 512
+ONE_WORD, TWO_WORDS = 72, 180
 IDX = 28  # bits of a member id that number its first line inside its block
 NULL_ID = -(1 << 63)
 U = np.uint64
@@ -56,6 +59,15 @@ def _line_of(buf: np.ndarray, offs: np.ndarray, start: np.ndarray) -> tuple[np.n
     return row, no, new
 
 
+def _folded(words: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
+    """Sketches of eight words, folded for the sets of ``size`` that keep fewer."""
+    even, odd = words[0] ^ words[2] ^ words[4] ^ words[6], words[1] ^ words[3] ^ words[5] ^ words[7]
+    out = [np.where(size > TWO_WORDS, w, U(0)) for w in words]
+    out[0] = np.where(size > TWO_WORDS, words[0], np.where(size > ONE_WORD, even, even ^ odd))
+    out[1] = np.where(size > TWO_WORDS, words[1], np.where(size > ONE_WORD, odd, U(0)))
+    return out
+
+
 class Members:
     """Distinct line sets of a block: sorted tokens by rarity, first line, and each line's member."""
 
@@ -100,10 +112,13 @@ class Members:
         at = np.repeat(bound[:-1][head], self.size) + tn.ragged(self.size)
         self.token, self.level = token[at], level[by_rank[at]].astype(np.int64)
         self.start = np.cumsum(self.size) - self.size
-        bit = self.token & U(127)
-        one = U(1) << (bit & U(63))
-        halves = [np.where(bit < U(64), one, U(0)), np.where(bit < U(64), U(0), one)]
-        self.map = [np.bitwise_or.reduceat(x, self.start) if len(self.start) else np.zeros(0, U) for x in halves]
+        # parity sketch: each token flips one of 512 bits; the bits in which two sketches differ are
+        # at most the tokens in which the sets differ.  Smaller sets keep it folded to fewer words.
+        one, word = U(1) << (self.token & U(63)), (self.token >> U(6)) & U(7)
+        self.map = [np.bitwise_xor.reduceat(np.where(word == U(k), one, U(0)), self.start) if len(self.start) else np.zeros(0, U)
+                    for k in range(8)]
+        self.map = _folded(self.map, self.size)
+        self.sign = [x[head] for x in h]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, member, place): what the members meet on."""
@@ -160,55 +175,87 @@ def block_number(block: int) -> int:
     return (block >> 40 << 18) | ((block >> 20) & 0x3FFFF)
 
 
-ENTRIES = "bucket int, bn long, payload binary"
-
-
 def _spread(bits: int):
-    """A block's entries by bucket, and once the lines of its documents."""
+    """A block's entries by bucket of their key, its members by bucket of their signature, and
+    the lines of its documents; one row each for a bucket."""
     def fn(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         m = Members(batch, _level_lookup(batch, replies, bits))
         key, who, place = m.entries()
         order = np.argsort(key)
         key, who, place = key[order], who[order], place[order]
         number = block_number(batch.column(0)[0].as_py())
-        ids = (number << IDX) + m.head
-        cut = bucket_cuts(key, bits)
-        got = np.flatnonzero(np.diff(cut))
+        by_sign = np.argsort(m.sign[0])
+        cut, cut_sign = bucket_cuts(key, bits), bucket_cuts(m.sign[0][by_sign], bits)
+        low = (key << U(bits) >> U(32)).astype(np.uint32)  # meeting by chance is pruned later
 
-        def body(a: int, b: int) -> bytes:
+        def body(k: int) -> bytes:
+            a, b = cut[k], cut[k + 1]
             w = who[a:b]
-            small = np.minimum(np.stack([m.size[w], place[a:b]]), (1 << 31) - 1).astype("<u4")
-            return frames(put_u64(key[a:b]), squeeze(ids[w]), squeeze(np.ascontiguousarray(small.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1))),
-                          m.map[0][w].tobytes() + m.map[1][w].tobytes(), squeeze(m.doc[w]), squeeze(m.no[w].astype("<u4")))
-
-        if len(got):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(got, pa.int32()), pa.array([number] * len(got), pa.int64()),
-                 pa.array([body(cut[k], cut[k + 1]) for k in got.tolist()], pa.binary())], ["bucket", "bn", "payload"])
-        rows = frames(squeeze(batch.column(1).fill_null(NULL_ID).to_numpy()), squeeze(batch.column(1).is_null().to_numpy(zero_copy_only=False)),
-                      squeeze(m.line_row), squeeze(m.line_no), squeeze(m.member_of), squeeze(m.head))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([number], pa.int64()), pa.array([rows], pa.binary())],
-                                         ["bucket", "bn", "payload"])
+            sign = by_sign[cut_sign[k]:cut_sign[k + 1]]
+            return frames(
+                number.to_bytes(8, "little"),
+                put_u32(low[a:b]), put_counts(m.head[w]), put_counts(m.size[w]), put_counts(place[a:b]),
+                m.map[0][w].tobytes(), m.map[1][w][m.size[w] > ONE_WORD].tobytes(), put_ids(m.doc[w]),
+                b"".join(x[w][m.size[w] > TWO_WORDS].tobytes() for x in m.map[2:]),
+                m.sign[0][sign].tobytes(), m.sign[1][sign].tobytes(), put_counts(m.head[sign]), put_ids(m.doc[sign]))
+
+        buckets = range(1 << bits)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([body(k) for k in buckets], pa.binary())], ["bucket", "payload"])
+        ids = batch.column(1)
+        rows = frames(number.to_bytes(8, "little"), put_ids(ids.fill_null(NULL_ID).to_numpy()),
+                      squeeze(ids.is_null().to_numpy(zero_copy_only=False)),
+                      put_counts(m.line_row), put_counts(m.line_no), put_counts(m.member_of), put_counts(m.head))
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - number % (1 << 30)], pa.int32()), pa.array([rows], pa.binary())],
+                                         ["bucket", "payload"])
 
     return fn
 
 
+def put_ids(x: np.ndarray) -> bytes:
+    """Ids as byte planes, zstd."""
+    return squeeze(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T))
+
+
+def get_ids(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+
+
+SKETCH = [f"m{k}" for k in range(8)]
+
+
 def _read_entries(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+    """Entries of a bucket, sorted by key, document and line."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(13)]
     for p in payloads:
         f = unframe(p)
-        small = np.frombuffer(unsqueeze(f[2]), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)
-        small = np.ascontiguousarray(small).view("<u4").reshape(2, -1).astype(np.int64)
-        maps = np.frombuffer(f[3], U).reshape(2, -1)
-        for c, v in zip(cols, (get_u64(f[0]), np.frombuffer(unsqueeze(f[1]), np.int64), small[0], small[1], maps[0], maps[1],
-                               np.frombuffer(unsqueeze(f[4]), np.int64), np.frombuffer(unsqueeze(f[5]), "<u4").astype(np.int64))):
+        n = get_counts(f[3])
+        sketch = np.zeros((8, len(n)), U)
+        sketch[0] = np.frombuffer(f[5], U)
+        sketch[1, n > ONE_WORD] = np.frombuffer(f[6], U)
+        sketch[2:, n > TWO_WORDS] = np.frombuffer(f[8], U).reshape(6, -1)
+        ids = (int.from_bytes(f[0], "little") << IDX) + get_counts(f[2])
+        for c, v in zip(cols, (get_u32(f[1]), ids, n, get_counts(f[4]), get_ids(f[7]), *sketch)):
             c.append(v)
-    names = ("key", "id", "n", "place", "m0", "m1", "doc", "no")
-    e = {k: np.concatenate(c) for k, c in zip(names, cols)}
-    order = np.lexsort((e["id"], e["no"], e["doc"], e["key"]))
+    e = {k: np.concatenate(c) for k, c in zip(("key", "id", "n", "place", "doc", *SKETCH), cols)}
+    order = np.lexsort((e["id"], e["doc"], e["key"]))
     return {k: v[order] for k, v in e.items()}
 
 
+def _repeats(payloads: list[bytes]) -> np.ndarray:
+    """Members of a bucket whose set an earlier member has."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for p in payloads:
+        f = unframe(p)
+        ids = (int.from_bytes(f[0], "little") << IDX) + get_counts(f[11])
+        for c, v in zip(cols, (np.frombuffer(f[9], U), np.frombuffer(f[10], U), get_ids(f[12]), ids)):
+            c.append(v)
+    a, b, doc, ids = (np.concatenate(c) for c in cols)
+    order = np.lexsort((ids, doc, b, a))
+    same = np.append(False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])) if len(a) else np.zeros(0, bool)
+    return ids[order][same]
+
+
 def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Length, positional and bitmap filter of the entries y against x."""
     ny, nx = e["n"][y], e["n"][x]
@@ -217,17 +264,26 @@ def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
     py, px = e["place"][y], e["place"][x]
     most = np.minimum(py, px) + np.minimum(ny - py, nx - px)
     need = -(-NUM * (ny + nx) // (NUM + DEN))
-    apart = np.bitwise_count(e["m0"][y] ^ e["m0"][x]).astype(np.int64) + np.bitwise_count(e["m1"][y] ^ e["m1"][x])
+    # the larger sketch folds to the smaller one's words
+    x_or = _folded([e[c][y] ^ e[c][x] for c in SKETCH], np.minimum(ny, nx))
+    apart = sum(np.bitwise_count(w).astype(np.int64) for w in x_or)
     good = (most >= need) & (apart <= ny + nx - 2 * need) & (e["id"][y] != e["id"][x])
     ok[ok] = good
     return ok
 
 
 def _candidates(t: pa.Table) -> pa.Table:
-    """For every entry its first ``FIRST`` earlier candidates in its group."""
-    e = _read_entries(t.column("payload").to_pylist())
+    """For every entry its first ``FIRST`` earlier candidates in its group (``a`` before ``b``);
+    rows without ``a`` are members that repeat an earlier one.  The lines of blocks pass through,
+    with the block's number as ``doc``."""
+    payloads = t.column("payload").to_pylist()
+    if t.column("bucket")[0].as_py() < 0:
+        none = pa.nulls(len(payloads), pa.int64())
+        number = pa.array([int.from_bytes(unframe(p)[0], "little") for p in payloads], pa.int64())
+        return pa.table([none] * 4 + [number, pa.nulls(len(payloads), pa.bool_()), pa.array(payloads, pa.binary())], NAMES)
+    e = _read_entries(payloads)
     k = e["key"]
-    new = np.append(True, k[1:] != k[:-1])
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     rank = np.arange(len(k)) - first[group]
@@ -252,12 +308,18 @@ def _candidates(t: pa.Table) -> pa.Table:
         depth += width
         live = live[(rank[live] > depth) & (found[live] < FIRST)]
     y, x = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-    more = (found >= FIRST)[y]
-    cols = [e["id"][y], e["id"][x], e["n"][y], e["n"][x], e["doc"][x], e["no"][x]]
-    return pa.table([pa.array(c) for c in cols] + [pa.array(more)], ["b", "a", "nb", "na", "doc", "no", "more"])
+    gone = _repeats(payloads)
+    keep = ~np.isin(e["id"][y], gone)  # what this bucket knows already
+    y, x = y[keep], x[keep]
+    pad = pa.nulls(len(gone), pa.int64())
+    cols = [pa.concat_arrays([pa.array(e[c][i]), pa.array(gone) if not k else pad])
+            for k, (c, i) in enumerate((("id", y), ("id", x), ("n", y), ("n", x), ("doc", x)))]
+    more = pa.concat_arrays([pa.array((found >= FIRST)[y]), pa.nulls(len(gone), pa.bool_())])
+    return pa.table([*cols, more, pa.nulls(len(y) + len(gone), pa.binary())], NAMES)
 
 
-PAIRS = "b long, a long, nb long, na long, doc long, no long, more boolean"
+NAMES = ["b", "a", "nb", "na", "doc", "more", "lines"]
+PAIRS = "b long, a long, nb long, na long, doc long, more boolean, lines binary"
 
 
 def _sets_of(batch: pa.RecordBatch, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -306,28 +368,27 @@ def _verified(pairs: DataFrame, packs: DataFrame, cells: int, name: str) -> Data
 
 def _everything(payload_rows: DataFrame) -> DataFrame:
     """All entries as plain rows."""
+    names = ["bucket", "key", "id", "n", "place", "doc"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.column(0).to_pylist():
+            for k, p in zip(*(c.to_pylist() for c in b.columns)):
                 e = _read_entries([p])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(e[k].view(np.int64)) for k in ("key", "id", "n", "place", "m0", "m1", "doc", "no")],
-                    ["key", "id", "n", "place", "m0", "m1", "doc", "no"])
+                e["bucket"] = np.full(len(e["key"]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(e[c].astype(np.int64) if e[c].dtype != U else e[c].view(np.int64)) for c in names], names)
 
-    return payload_rows.select("payload").mapInArrow(
-        run, "key long, id long, n long, place long, m0 long, m1 long, doc long, no long")
+    return payload_rows.select("bucket", "payload").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _all_pairs_of(rows: DataFrame, open_ids: DataFrame) -> DataFrame:
     """Every earlier candidate of the members in ``open_ids``."""
     y = rows.join(open_ids.select(F.col("b").alias("id")), "id", "left_semi").select(
-        "key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "m0", "m1", "doc", "no")])
-    near, ny, nx = rows.join(y, "key"), F.col("y_n"), F.col("n")
+        "bucket", "key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "doc")])
+    near, ny, nx = rows.join(y, ["bucket", "key"]), F.col("y_n"), F.col("n")
     need = F.ceil(F.lit(NUM) * (ny + nx) / F.lit(NUM + DEN))
     most = F.least("y_place", "place") + F.least(ny - F.col("y_place"), nx - F.col("place"))
-    apart = F.bit_count(F.col("y_m0").bitwiseXOR(F.col("m0"))) + F.bit_count(F.col("y_m1").bitwiseXOR(F.col("m1")))
-    before = F.struct("doc", "no", "id") < F.struct(F.col("y_doc").alias("doc"), F.col("y_no").alias("no"), F.col("y_id").alias("id"))
-    return near.filter(before & (DEN * F.least(ny, nx) >= NUM * F.greatest(ny, nx)) & (most >= need) & (apart <= ny + nx - 2 * need)) \
+    before = F.struct("doc", "id") < F.struct(F.col("y_doc").alias("doc"), F.col("y_id").alias("id"))
+    return near.filter(before & (DEN * F.least(ny, nx) >= NUM * F.greatest(ny, nx)) & (most >= need)) \
         .select(F.col("y_id").alias("b"), F.col("id").alias("a"), ny.alias("nb"), nx.alias("na")).distinct()
 
 
@@ -338,10 +399,10 @@ def _lines(rows: pa.Table, gone: pa.Table) -> pa.Table:
     """Per document of a block: its lines and those that go."""
     out: list[list] = [[], [], [], []]
     lost = gone.column("b").to_numpy() & ((1 << IDX) - 1)
-    for p in rows.column("payload").to_pylist():
-        f = [unsqueeze(x) for x in unframe(p)]
-        ids, nulls = np.frombuffer(f[0], np.int64), np.frombuffer(f[1], bool)
-        row, no, member, head = (np.frombuffer(x, np.int64) for x in f[2:])
+    for p in rows.column("lines").to_pylist():
+        f = unframe(p)
+        ids, nulls = get_ids(f[1]), np.frombuffer(unsqueeze(f[2]), bool)
+        row, no, member, head = (get_counts(x) for x in f[3:])
         off = np.ones(len(row), bool)
         off[head] = False  # the first line of a member stays unless an earlier one elsewhere is like it
         off[lost] = True
@@ -359,24 +420,21 @@ def _lines(rows: pa.Table, gone: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: lines with a word, lines that go, and their numbers (from 0)."""
-    packs = pack(docs, "line-packs", id_col, text_col)
+    packs = pack(docs, "line-packs", id_col, text_col, level=6)
     bits = bucket_bits(packs)
     levels = answer(ask(packs, bits, _ask_words(bits)), _levels)
-    spread = stage(join_replies(packs, levels, _spread(bits), ENTRIES), "line-entries")
-    entries = spread.filter("bucket >= 0")
-    pairs = stage(entries.groupBy("bucket").applyInArrow(_candidates, PAIRS), "line-pairs")
+    entries = join_replies(packs, levels, _spread(bits), "bucket int, payload binary")
+    found = stage(entries.groupBy("bucket").applyInArrow(_candidates, PAIRS), "line-pairs")
+    gone = found.filter("b is not null and a is null").select("b")
+    pairs = found.filter("a is not null").join(gone, "b", "left_anti")
+    pairs = stage(pairs.groupBy("b", "a", "nb", "na").agg(F.bool_or("more").alias("more")), "line-near")
     size = pairs.agg(F.sum("nb")).first()[0] or 0
-    cells = max(8, -(-size * 8 // CELL_BYTES))
-
-    earliest = pairs.groupBy("b").agg(F.min(F.struct("doc", "no", "a", "na", "nb")).alias("p")) \
-        .select("b", "p.a", "p.na", "p.nb")
-    gone = stage(_verified(earliest, packs, cells, "line-first"), "line-gone")
-    rest = stage(pairs.join(gone, "b", "left_anti"), "line-rest")
-    if rest.limit(1).count():
-        gone = stage(gone.unionByName(_verified(rest, packs, cells, "line-second")), "line-gone")
-        open_ids = stage(rest.filter("more").join(gone, "b", "left_anti").select("b").distinct(), "line-open")
-        if open_ids.limit(1).count():
-            last = _all_pairs_of(_everything(entries), open_ids)
-            gone = stage(gone.unionByName(_verified(last, packs, cells, "line-third")), "line-gone")
-    rows = spread.filter("bucket < 0").select("bn", "payload")
+    cells = max(8, -(-size * 16 // CELL_BYTES))
+    near = stage(_verified(pairs, packs, cells, "line-first"), "line-gone")
+    gone = gone.unionByName(near)
+    open_ids = stage(pairs.filter("more").select("b").distinct().join(near, "b", "left_anti"), "line-open")
+    if open_ids.limit(1).count():
+        last = _all_pairs_of(_everything(entries.filter("bucket >= 0")), open_ids)
+        gone = gone.unionByName(stage(_verified(last, packs, cells, "line-second"), "line-gone"))
+    rows = found.filter("lines is not null").select(F.col("doc").alias("bn"), "lines")
     return rows.groupBy("bn").cogroup(gone.distinct().withColumn("bn", F.shiftright("b", IDX)).groupBy("bn")).applyInArrow(_lines, RESULT)

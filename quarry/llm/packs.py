@@ -40,9 +40,9 @@ def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def seal(batch: pa.RecordBatch) -> bytes:
+def seal(batch: pa.RecordBatch, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -55,7 +55,7 @@ def unseal(payload: bytes) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text",
-         part_of: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+         part_of: Callable[[pa.Array], np.ndarray] | None = None, level: int = 3) -> DataFrame:
     """Staged blocks: ``block``, ``part``, ``n_bytes``, ``payload``.  Rows are kept as they are.
 
     ``part_of`` deals rows by their ids into parts; a block holds rows of one part.
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "te
             ids = pa.concat_arrays([h.column(0) for h in batches])
             text = pa.concat_arrays([h.column(1) for h in batches])
             rid = pa.array(base + (seq << 20) + np.arange(len(ids), dtype=np.int64))
-            body = seal(pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"]))
+            body = seal(pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"]), level)
             seq += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([base + (seq - 1 << 20)], pa.int64()), pa.array([part], pa.int32()),

@@ -196,22 +196,11 @@ def test_maximal_repeats_by_definition():
         assert got == want
 
 
-def test_wide_anchor_path_gives_the_same(spark, docs):
-    """With every anchor treated as very wide, the 50-byte strings are compared by hash instead."""
-    class_flags = op6_repeats._classes
-    payload = []
-    for doc, text in ((1, "b"), (2, "c")):
-        a = np.array([5, 9], np.uint64)
-        payload.append(op6_repeats.frames(op6_repeats.put_u64(a), op6_repeats.squeeze(np.array([ord(text), 3], np.uint64)),
-                                          op6_repeats.squeeze(np.array([doc, doc], np.int64))))
-    flags = [list(op6_repeats.unsqueeze(x)) for x in class_flags(payload, [0, 1])]
-    assert flags == [[op6_repeats.APART, 0], [op6_repeats.APART, op6_repeats.LATER]]
-    body = op6_repeats.squeeze(BASE.encode())
-    first = op6_repeats.frames(*[op6_repeats.squeeze(np.array(x, k)) for x, k in (([7], np.uint64), ([3], np.int64), ([79], np.int64), ([op6_repeats.FAR], np.uint8))])
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([None], pa.int64()), pa.array([body]), pa.array([first])], ["rid", "doc_id", "body", "firsts"])
-    (out,) = list(op6_repeats._windows_out(iter([batch])))
-    assert out.column("lo").to_pylist() == list(range(3, 30))
-    assert list(op6_repeats._contexts_out(5)(iter([batch]))) == []
+def test_wide_anchors_give_the_same(spark, edge, docs):
+    """With every shared anchor treated as very wide, 50-byte strings are compared by hash."""
+    for frame, pairs in both(spark, edge, docs):
+        got = op6_repeats.dedup(frame, wide=1)
+        assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(pairs)
 
 
 def test_lines(spark, edge, docs):
