@@ -275,10 +275,7 @@ def _apply(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBat
         g, p = gone[s], pend[s]
         raw = (texts[i] or "").encode()
         lo, hi = _merge(c.lo[s][g], c.hi[s][g]) if g.any() else (np.zeros(0, np.int64),) * 2
-        # a pending context inside removed bytes can remove nothing more
-        if p.any() and len(lo):
-            k = np.searchsorted(lo, c.lo[s], side="right") - 1
-            p = p & ~((k >= 0) & (hi[np.maximum(k, 0)] >= c.hi[s]))
+        # pending contexts inside removed bytes stay: later documents are compared with them
         rid.append(batch.column(0)[i].as_py())
         ids.append(batch.column(1)[i].as_py())
         marks.append(np.concatenate([lo, hi]).astype("<i8").tobytes())

@@ -203,6 +203,21 @@ def test_wide_anchors_give_the_same(spark, edge, docs):
         assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(pairs)
 
 
+def test_repeats_first_seen_inside_removed_bytes(spark):
+    """A document whose removed ranges meet still gives later ones the strings across the seam."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        x, a, b = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in (400, 80, 80))
+        rows += [(10 * k + 1, x[:200]), (10 * k + 2, x[180:]), (10 * k + 5, x), (10 * k + 9, a + "#" + x[150:215] + "#" + b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeats(rows)
+    assert {r[2] for r in want if r[0] % 10 == 9} == {65}
+    for wide in (op6_repeats.WIDE, 1):
+        got = op6_repeats.dedup(frame, wide=wide)
+        assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_lines(spark, edge, docs):
     for frame, pairs in both(spark, edge, docs):
         want = brute.lines(sorted(pairs, key=lambda p: p[0]))
