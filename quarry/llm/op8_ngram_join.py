@@ -12,7 +12,8 @@ Two documents link when ``100 * |A and B| >= pct * |A or B|`` over their distinc
    group of near copies costs a multiple of its size, not its square.
 3. Vertical partitioning: the shingle order is cut into ``FRAGMENTS`` ranges.  For each fragment
    alone, a task counts the candidates' common shingles; partial counts add up per pair.
-   Pairs are also dealt by their larger member, so a hot pivot is spread.
+   Pairs are also dealt by the member that is not the head or pivot, a member with many pivots in
+   shares of about ``SHARE`` pairs: a hot head is copied to many cells, no cell grows with a group.
 4. Components of the verified links, by star contraction.
 
 Defined results: A-Z is lower-cased; texts shorter than ``n`` words have one shingle, their
@@ -40,6 +41,7 @@ SHINGLE = 4
 PERCENT = 85
 FRAGMENTS = 4
 CELL_BYTES = 8 << 20
+SHARE = 64
 U = np.uint64
 
 SETS = "rid long, doc_id long, n int, alone int, h1 long, h2 long, tokens array<long>, places array<int>, body binary"
@@ -195,10 +197,11 @@ def _overlap(pairs: pa.Table, segs: pa.Table) -> pa.Table:
     return pa.table([pairs.column("a"), pairs.column("b"), pa.array(common)], names)
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame, n: int, pct: int, size: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the similarity, by partial counts per fragment."""
+def _verify(pairs: DataFrame, bodies: DataFrame, n: int, pct: int) -> DataFrame:
+    """The pairs (a, b, na, nb, deal) that reach the similarity, by partial counts per fragment."""
+    size = pairs.agg(F.sum(F.col("na").cast("long") + F.col("nb"))).first()[0] or 0
     cells = max(8, -(-size * 8 // (CELL_BYTES * FRAGMENTS)))
-    dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int"))
+    dealt = pairs.withColumn("cell", F.pmod("deal", F.lit(cells)).cast("int"))
     need = dealt.select("cell", F.col("b").alias("v")).unionByName(dealt.select("cell", F.col("a").alias("v"))).distinct()
     segs = need.join(bodies, "v").select("cell", "v", "body").mapInArrow(_segments(n), "cell int, part int, v long, keys binary")
     parts = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).select("cell", "part", "a", "b")
@@ -227,17 +230,18 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
     groups = stage(groups.join(heads, "token").select("token", "m", "head"), "ngram-groups")
 
     def as_pairs(df: DataFrame) -> DataFrame:
-        """Distinct pairs of the members x and y that may link."""
+        """Distinct pairs of the members x and y that may link, dealt by x in ``shares`` shares of its y."""
         x, y = F.struct("x.v", "x.n"), F.struct("y.v", "y.n")
-        return (df.filter(_may_link(percent)).select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
-                .select(F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct())
+        deal = F.xxhash64("x.v", F.pmod(F.xxhash64("y.v", F.lit(1)), F.col("shares")))
+        return (df.filter(_may_link(percent)).select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"), deal.alias("deal"))
+                .groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+                .agg(F.min("deal").alias("deal")))
 
     members = stage(groups.select("m.v", "m.n").distinct(), "ngram-members")
-    total = members.agg(F.sum("n")).first()[0] or 0
     bodies = stage(full.select(F.col("rid").alias("v"), "body").join(members.select("v"), "v", "left_semi"), "ngram-bodies")
 
-    pairs = stage(as_pairs(groups.filter("m.v != head.v").select(F.col("head").alias("x"), F.col("m").alias("y"))), "ngram-pairs")
-    roots = components(stage(_verify(pairs, bodies, shingle, percent, total), "ngram-links"))
+    pairs = stage(as_pairs(groups.filter("m.v != head.v").select(F.col("m").alias("x"), F.col("head").alias("y"), F.lit(1).alias("shares"))), "ngram-pairs")
+    roots = components(stage(_verify(pairs, bodies, shingle, percent), "ngram-links"))
     tried, share = pairs, 1
     while True:
         now = groups.select("token", "m", F.col("m.v").alias("node")).join(roots, "node", "left") \
@@ -251,10 +255,11 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
         # all cross pairs at once while they are few for each row, else some pivots first
         share = 64 if seen[1] <= 16 * seen[0] else share
         pivots = live.filter(F.pmod(F.xxhash64("m.v"), F.lit(64)) < share).select("token", F.col("m").alias("y"), F.col("root").alias("other"))
-        new = live.select("token", F.col("m").alias("x"), "root").join(pivots, "token").filter("root != other")
+        shares = (F.col("size") * share / (64 * SHARE)).cast("long") + 1
+        new = live.select("token", F.col("m").alias("x"), "root", shares.alias("shares")).join(pivots, "token").filter("root != other")
         pairs = stage(as_pairs(new).join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
         tried = tried.unionByName(pairs)
-        links = stage(_verify(pairs, bodies, shingle, percent, total), "ngram-links")
+        links = stage(_verify(pairs, bodies, shingle, percent), "ngram-links")
         roots = join_components(roots, links)
         if share >= 64:
             break

@@ -267,6 +267,34 @@ def test_ngram_join_chains(spark):
         assert got == brute.jaccard_components(rows, n, pct)
 
 
+def test_ngram_join_cells_do_not_grow_with_a_group(spark, monkeypatch, tmp_path):
+    """A head read after all its near copies: its pairs are spread over the cells."""
+    w = [f"t{i}" for i in range(200)]
+    rows = [(k, " ".join([*w[:100], f"own{k}", *w[101:]])) for k in range(300)] + [(900, " ".join(w)), (901, " ".join([*w, "end"]))]
+    inner = op8_ngram_join._segments
+
+    def segments(n):
+        run = inner(n)
+
+        def counted(batches):
+            import uuid
+
+            def note(b):
+                (tmp_path / uuid.uuid4().hex).write_text(" ".join(map(str, b.column(0).to_pylist())))
+                return b
+
+            yield from run(note(b) for b in batches)
+
+        return counted
+
+    monkeypatch.setattr(op8_ngram_join, "_segments", segments)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = rows_of(op8_ngram_join.link(frame), "doc_id", "n_shingles", "component_id")
+    assert got == brute.jaccard_components(rows, 4, 85)
+    cells = [c for f in tmp_path.iterdir() for c in f.read_text().split()]
+    assert len(cells) > 300 and max(map(cells.count, set(cells))) < len(cells) / 3
+
+
 def test_licences(spark):
     rows = [(1, "a/b/c/f.py", "code\nReleased under the MIT License.\nmore " + BASE + BASE), (2, "a/b/g.py", BASE + BASE),
             (3, "a/LICENSE", "Licensed under the Apache License, Version 2.0.\n" + BASE + BASE), (4, "a/b/c/d/h.py", None), (5, "z/i.py", ""),
