@@ -20,8 +20,9 @@ byte-level pre-tokenizer always splits there, so encoding the distinct pieces on
 tokenizer and joining their ids gives the ids of the whole text.  A bounded cache per worker
 keeps the ids of pieces already encoded, by 64-bit hash.
 
-Defined results: a null or empty text is the end id alone; null ids come first; rows with equal
-ids follow each other by text; an empty table writes an empty output.
+Defined results: a null or empty text is the end id alone; the literal of a special token is that
+token's id, as the library gives it; null ids come first; rows with equal ids follow each other by
+text; an empty table writes an empty output.
 """
 
 from __future__ import annotations
@@ -153,7 +154,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         size = self.tok.get_vocab_size()
         # ids whose bytes begin with a space (the byte-level alphabet writes it as U+0120)
         self.opens = np.array([(self.tok.id_to_token(k) or "").startswith("\u0120") for k in range(size)])

@@ -114,6 +114,24 @@ def test_tokens(spark, edge, docs):
         assert rows_of(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
 
 
+def test_tokens_of_special_literals(spark):
+    """The literal of a special token gets the ids that the library gives, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(TOKENIZER), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}y z", f"a\n{end}\nb", f"a  {end}  b", f" {end} ", f"{end}\n\n {end}'s",
+             f"one two {end}three {end} four\n{end} five", f"\t{end}\u00a0{end}\r\n", "<|endof text|> <|endoftext |>"]
+    texts += [f"{a}{end}{b}" for a in ("w", " ", "\n", "w ", "w\n", " \n", "\u00e9") for b in ("w", " ", "\n", " w", "\nw", "\n ", "'ll")]
+    start, want = 0, []
+    for k, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = op3_tokens.read(op3_tokens.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER))
+    assert rows_of(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+
+
 def test_language_model(spark, edge, docs):
     for frame, pairs in both(spark, edge, docs):
         got = {}
