@@ -345,6 +345,20 @@ def test_licence_scores_by_brute_force(spark, edge):
         assert got[k]["own_licence"] == best[1]
 
 
+def test_licences_beside_other_text(spark):
+    """Statements among other words of their line, and statements over several comment lines."""
+    gpl = "# This work is licensed under the GNU\n# General Public License,\n# version 3, as follows"
+    rows = [(1, "Copyright Ada Byron and others 1843 all of it Released under the MIT License. See notes below for more details"),
+            (2, BASE + "\n" + gpl + "\n" + BASE), (3, "the License of this version is permitted"), (4, "MIT License\n" + BASE),
+            (5, "x // Licensed under\n// the Apache License,\n// Version 2.0 (the licence)")]
+    rows += [(k, f"copyright holder{k} and others see notes below for word{k}") for k in range(10, 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9_licenses.scan(frame, F.lit("p/x")).collect()}
+    assert {k: got[k]["own_licence"] for k in (1, 2, 4, 5)} == {1: "MIT", 2: "GPL-3.0", 4: "MIT", 5: "Apache-2.0"}
+    assert got[1]["score"] == got[2]["score"] == got[5]["score"] == 1.0
+    assert got[3]["own_licence"] is None and all(got[k]["own_licence"] is None for k in range(10, 400))
+
+
 def test_alignment_against_plain_dynamic_programme():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 6, (40, 12)).astype(np.uint64)
