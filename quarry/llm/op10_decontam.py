@@ -222,7 +222,9 @@ def _medians(of: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return mid
 
 
-def clean(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the documents that hold a test item (all columns, null ids stay)."""
-    bad = find(docs, bench, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """``docs`` without the rows that hold a test item (all columns, null ids stay).  Decided by row:
+    of rows that share an id only those that hold an item go."""
+    rows = stage(docs.withColumn("_row_id", F.monotonically_increasing_id()), "bench-rows")
+    bad = find(rows, bench, id_col="_row_id", **kw).select(F.col("doc_id").alias("_bad")).distinct()
+    return rows.join(bad, (rows["_row_id"] == bad["_bad"]) & rows[id_col].isNotNull(), "left_anti").select(*docs.columns)

@@ -275,7 +275,13 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
         "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with the smallest id of each component (all columns; null ids stay)."""
-    gone = link(docs, **kw).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """``docs`` with one row of each component (all columns): that of the smallest id, null ids last.
+    Decided by row: rows that repeat an id or have none count like any others."""
+    rows = stage(docs.withColumn("_row_id", F.monotonically_increasing_id()), "ngram-rows")
+    comp = stage(link(rows, id_col="_row_id", **kw).select(F.col("doc_id").alias("_row_id"), "component_id"), "ngram-kept")
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row_id").alias("row"))
+    first = (comp.join(rows.select("_row_id", F.col(id_col).alias("_id")), "_row_id").groupBy("component_id")
+             .agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("component_id", F.col("b.row").alias("_keep")))
+    gone = comp.join(first, "component_id").filter("_row_id != _keep").select("_row_id")
+    return rows.join(gone, "_row_id", "left_anti").select(*docs.columns)

@@ -395,6 +395,20 @@ def test_decontamination_catches_exact_passages(spark, docs):
     assert want and want <= got
 
 
+def test_stages_decide_by_row(spark):
+    """Rows that repeat an id, or have none, are kept or dropped each by its own text."""
+    other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "pq")
+    rows = [(1, BASE), (2, BASE), (2, other), (3, third), (3, third), (None, BASE), (None, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op8_ngram_join.keep_one(frame, shingle=5, percent=80)
+    assert got.columns == frame.columns
+    assert rows_of(got, "doc_id", "text") == sorted([(1, BASE), (2, other), (3, third), (None, ""), (None, None)], key=repr)
+    bench = spark.createDataFrame([(10, BASE)], "item_id long, text string")
+    got = op10_decontam.clean(frame.filter("doc_id is not null"), bench)
+    assert got.columns == frame.columns
+    assert rows_of(got, "doc_id", "text") == sorted([(2, other), (3, third), (3, third)], key=repr)
+
+
 OPS = {"op1": op1_quality.measure, "op2": op2_mix.mix, "op3": lambda d: op3_tokens.read(op3_tokens.write(d, TOKENIZER)),
        "op4": op4_interpolation.score, "op5": op5_secrets.scan, "op6": op6_repeats.dedup, "op7": op7_lines.dedup,
        "op8": op8_ngram_join.link, "op9": lambda d: op9_licenses.scan(d, F.concat_ws("/", "source", F.col("doc_id").cast("string")))}
