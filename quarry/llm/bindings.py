@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.bindings import Registry
 
 from . import (op1_quality, op2_mix, op3_tokens, op4_interpolation, op5_secrets, op6_repeats, op7_lines, op8_ngram_join,
-               op9_licenses, op10_decontam, sql)
+               op9_licenses, op10_decontam, op11_stream_dedup, op12_prefix_trie, op13_simplex_clusters, sql)
 
 REG = Registry()
 
@@ -73,3 +73,21 @@ def _op9(t):
 def _op10(t):
     """Documents that hold a test item, aligned."""
     return op10_decontam.find(t.documents, t.benchmark)
+
+
+@REG.query("op11_stream_dedup", oracle=sql.stream_dedup())
+def _op11(t):
+    """Exact dedup by a stream with disk-backed keyed state; hits checked in full."""
+    return op11_stream_dedup.dedup(t.spark, f"{t.sf_dir.rstrip('/')}/documents.parquet")
+
+
+@REG.query("op12_prefix_trie", oracle=sql.prefix_trie())
+def _op12(t):
+    """Nodes of the conversations' prefix trie, peeled from the greatest depth."""
+    return op12_prefix_trie.trie(t.conversations).drop("key", "parent")
+
+
+@REG.query("op13_simplex_clusters", oracle=sql.clusters())
+def _op13(t):
+    """Centroid clustering with exact integer distances behind n-simplex bounds."""
+    return op13_simplex_clusters.cluster(t.embeddings)
