@@ -456,6 +456,18 @@ def _r20(t):
         .withColumn("counts_by_event_type", F.to_json("counts_by_event_type"))
 
 
+@REG.query("r20_slot_without_time", oracle="""
+WITH e AS (SELECT *, CASE WHEN event_type = 'signup' THEN NULL ELSE ts END AS t FROM events)
+SELECT CAST(t AS DATE) AS slot, count(*) AS rows, count(DISTINCT user_id) AS distinct_keys, min(t) AS min_ts,
+       count(*) - count(DISTINCT user_id) AS duplicate_rows FROM e GROUP BY 1
+""")
+def _r20n(t):
+    """Rows without a time are a slot of their own, with a record like any other."""
+    e = t.events.withColumn("ts", F.when(F.col("event_type") != "signup", F.col("ts")))
+    q = slot_quality(e, slot=F.to_date("ts"), keys=["user_id"], ts="ts", critical_cols=[], unique_key=["user_id"])
+    return q.select("slot", "rows", "distinct_keys", "min_ts", "duplicate_rows")
+
+
 @REG.query("r22_split_valid", oracle="""
 WITH r AS (
   SELECT l_orderkey, l_linenumber,

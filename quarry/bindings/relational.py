@@ -258,6 +258,21 @@ def _w4(t):
     return W.runs_by_day(runs(t)).select("dag_run_id", "day", "rank_in_day", "day_state", "runs_in_day")
 
 
+@REG.query("w4_runs_without_day", oracle=W_ + """
+, n AS (SELECT dag_run_id, state, CASE WHEN state = 'queued' THEN NULL ELSE start_date END AS start_date,
+               CASE WHEN state = 'queued' THEN NULL ELSE logical_date END AS logical_date FROM r),
+k AS (SELECT *, CAST(coalesce(logical_date, start_date) AS DATE) AS day FROM n)
+SELECT dag_run_id, day, row_number() OVER (PARTITION BY day ORDER BY start_date DESC NULLS LAST, dag_run_id DESC) AS rank_in_day,
+       count(*) OVER (PARTITION BY day) AS runs_in_day FROM k
+""")
+def _w4n(t):
+    """Queued runs have no time yet: they stay, as a group of their own."""
+    r = runs(t)
+    timed = lambda c: F.when(F.col("state") != "queued", F.col(c)).alias(c)
+    r = r.select("dag_run_id", "state", timed("start_date"), timed("logical_date"))
+    return W.runs_by_day(r).select("dag_run_id", "day", "rank_in_day", "runs_in_day")
+
+
 @REG.query("w6_dedup", oracle="""
 SELECT l_orderkey, l_linenumber, arg_max(l_partkey, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS l_partkey,
        max(l_shipdate) AS l_shipdate

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import restate as R
+from ..session import scratch_path
+from ..sinks import writers as W
 from . import Registry
 from .lineage import DAG_EDGES_SQL, dag_edges
 
@@ -147,3 +149,86 @@ def _b6(t):
     cal = R.calendar(t.spark, "2001-06-01", "2001-08-30")
     slots = cal.select(F.lit("silver").alias("layer"), "slot").unionByName(cal.select(F.lit("bronze").alias("layer"), "slot"))
     return R.restatement_progress(slots, tracker(t))
+
+
+@REG.query("b3_restate_and_record", oracle="""
+WITH o AS (SELECT *, strftime(o_orderdate, '%Y_%m') AS m FROM orders),
+s AS (SELECT 'rst-a' AS restatement_id, '1998_06' AS lo, '1998_06' AS hi, 'F' AS gone, 'silver/orders' AS dataset_id UNION ALL
+      SELECT 'rst-b', '1998_01', '1998_03', '-', 'silver/orders'),
+c AS (SELECT restatement_id, any_value(dataset_id) AS dataset_id, count(*) AS rows_before,
+             count(*) FILTER (WHERE o_orderstatus <> gone) + count(*) FILTER (WHERE gone = '-' AND o_orderstatus = 'O') AS rows_after,
+             count(DISTINCT m) AS partitions_affected
+      FROM s JOIN o ON m BETWEEN lo AND hi GROUP BY restatement_id)
+SELECT restatement_id, dataset_id, 'COMPLETED' AS status, rows_before, rows_after, rows_after - rows_before AS row_delta,
+       CAST(partitions_affected AS INTEGER) AS partitions_affected, CASE restatement_id WHEN 'rst-a' THEN 1 ELSE 2 END AS trackers_deleted,
+       3 AS records, true AS ended FROM c
+UNION ALL SELECT 'rst-c', 'silver/orders', 'FAILED', NULL, NULL, NULL, NULL, NULL, 3, true
+""")
+def _b3r(t):
+    """Three restatements of a monthly table (June 1998 loses rows, January to March get some twice, one fails
+    while its rows are computed), read back from the registry that they leave."""
+    spark, base = t.spark, scratch_path(t.spark, "b3r")
+    o = t.orders.withColumn("m", F.date_format("o_orderdate", "yyyy_MM"))
+    path, reg, trk = f"{base}/orders", f"{base}/registry", f"{base}/tracker"
+    W.overwrite_slot(o, path, ["m"])
+    for m in ("1998_01", "1998_02", "1998_06"):
+        W.mark_done(spark, trk, "orders", "orders", m, 1)
+    june = o.filter("m = '1998_06' AND o_orderstatus <> 'F'")
+    spring = o.filter("m BETWEEN '1998_01' AND '1998_03'")
+    spring = spring.unionByName(spring.filter("o_orderstatus = 'O'"))
+    broken = o.filter("m = '1998_05'").withColumn("o_orderkey", F.raise_error(F.lit("source is gone")).cast("long"))
+    runs = (("rst-a", june, "1998-06-01", "1998-06-30", ["1998_06"]), ("rst-b", spring, "1998-01-01", "1998-03-31", ["1998_01", "1998_02", "1998_03"]),
+            ("rst-c", broken, "1998-05-01", "1998-05-31", None))
+    for ident, rows, start, end, months in runs:
+        slots = None if months is None else spark.createDataFrame([("orders", m) for m in months], "table string, partition string")
+        try:
+            R.restate_slots(spark, path, rows, ["m"], reg, "silver/orders", "orders_daily", "user@example.org", "late source rows", start, end,
+                            ["silver"], trk, slots, ident)
+        except Exception as error:
+            if months is not None or "source is gone" not in str(error):
+                raise
+    records = R.read_registry(spark, reg)
+    n = records.groupBy(F.col("restatement_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("records"))
+    past = R.restatement_history(records, "silver/orders", 1, F.current_timestamp())
+    return past.join(n, past.restatement_id == n.id).select(
+        "restatement_id", "dataset_id", "status", "rows_before", "rows_after", "row_delta", "partitions_affected", "trackers_deleted",
+        "records", (F.col("completed_at") >= F.col("triggered_at")).alias("ended"))
+
+
+@REG.query("b2_clear_and_rerun", oracle="""
+SELECT strftime(o_orderdate, '%Y_%m') AS "partition", CASE WHEN month(o_orderdate) = 2 THEN 'cleared' ELSE 'success' END AS status,
+       CASE WHEN month(o_orderdate) = 3 THEN 3 WHEN month(o_orderdate) = 2 THEN 2 ELSE 1 END AS markers,
+       CASE WHEN month(o_orderdate) = 2 THEN 0 ELSE count(*) END AS rows_written
+FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-05-01'
+GROUP BY strftime(o_orderdate, '%Y_%m'), month(o_orderdate)
+""")
+def _b2b(t):
+    """B2/K9: success, clear, success for one month, success and clear for another: the newest marker decides."""
+    spark, trk = t.spark, scratch_path(t.spark, "b2b")
+    o = t.orders.filter((F.year("o_orderdate") == 1998) & (F.month("o_orderdate") < 5))
+    counts = {r["m"]: r["n"] for r in o.groupBy(F.date_format("o_orderdate", "yyyy_MM").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for m in sorted(counts):
+        W.mark_done(spark, trk, "orders", "orders", m, counts[m])
+    R.clear_markers(spark, trk, spark.createDataFrame([("orders", "1998_02"), ("orders", "1998_03")], "table string, partition string"))
+    W.mark_done(spark, trk, "orders", "orders", "1998_03", counts["1998_03"])
+    log = W.read_tracker(spark, trk)
+    n = log.groupBy(F.col("partition").alias("p")).agg(F.count(F.lit(1)).cast("int").alias("markers"))
+    newest = W.latest_marks(log)
+    return newest.join(n, newest["partition"] == n.p).select("partition", "status", "markers", "rows_written")
+
+
+@REG.query("b4_shared_request_ids", oracle="""
+WITH a AS (SELECT lower(o_orderpriority) AS k, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 2 AS e FROM orders WHERE o_orderstatus = 'P'),
+r AS (SELECT lower(o_orderpriority) AS dataset_id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 1 AS e FROM orders
+      WHERE o_orderdate < TIMESTAMP '1996-01-01')
+SELECT dataset_id, 'batch' AS request_id, s AS date_range_start, e AS date_range_end,
+       EXISTS (SELECT 1 FROM a WHERE k = dataset_id AND a.s <= r.e AND r.s <= a.e) AS conflict FROM r
+""")
+def _b4b(t):
+    """Requests that all share one id: each range has its own answer."""
+    day = F.to_date("o_orderdate")
+    o = t.orders.withColumn("dataset_id", F.lower("o_orderpriority")).withColumn("restatement_id", F.lit("batch")) \
+        .withColumn("date_range_start", day).withColumn("status", F.lit("running"))
+    active = o.filter("o_orderstatus = 'P'").withColumn("date_range_end", F.date_add(day, 2))
+    asked = o.filter(day < F.lit("1996-01-01").cast("date")).withColumn("date_range_end", F.date_add(day, 1))
+    return R.conflicts(active, asked).select("dataset_id", "request_id", "date_range_start", "date_range_end", "conflict")

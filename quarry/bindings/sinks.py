@@ -12,6 +12,7 @@ from ..plans.quality_run import QualityTables, run_quality
 from ..plans.slot_run import SlotSink, run_slot
 from ..quality.rules import AcceptedValues, Expression, NotNull, UniqueKey, ValueRange
 from ..session import cut_lineage, scratch_path
+from ..sinks import tables as TB
 from ..sinks import writers as W
 from ..sinks.merge import apply_changes, change_feed, merge_upsert
 from ..sinks.stamp import stamp_bronze, stamp_bronze_from_rows, stamp_datekey
@@ -212,6 +213,101 @@ def _k13(t):
     return after.join(before, "l_returnflag").select("l_returnflag", "n", "qty", (F.col("after") < F.col("before")).alias("fewer"))
 
 
+#: partition values that folder names bend: number-like text, a quote, signs of paths, NULL
+ODD_SQL = """CASE CAST(o_orderpriority AS VARCHAR) WHEN '1-URGENT' THEN '01' WHEN '2-HIGH' THEN '02' WHEN '3-MEDIUM' THEN 'it''s a=b/c%' WHEN '4-NOT SPECIFIED' THEN '1' END"""
+
+
+def odd_partitions(t):
+    o, p = t.orders, F.col("o_orderpriority")
+    return o.select("o_orderkey", "o_orderdate", F.when(p == "1-URGENT", "01").when(p == "2-HIGH", "02").when(p == "3-MEDIUM", "it's a=b/c%")
+                    .when(p == "4-NOT SPECIFIED", "1").alias("p"), F.lit(1).alias("v"))
+
+
+@REG.query("k12_odd_partitions", oracle=f"""
+WITH a AS (SELECT o_orderkey, {ODD_SQL} AS p, o_orderkey % 3 AS turn FROM orders)
+SELECT CASE turn WHEN 0 THEN p WHEN 1 THEN '01' ELSE NULL END AS p, CASE turn WHEN 0 THEN 1 ELSE 2 END AS v, count(*) AS n, sum(o_orderkey) AS keys
+FROM a GROUP BY ALL
+""")
+def _k12o(t):
+    """K12 on a table partitioned by text such as '01', a quote and NULL: two thirds of the keys move, half of them to the
+    NULL partition; none is lost or doubled."""
+    spark, path = t.spark, scratch_path(t.spark, "k12o")
+    a = odd_partitions(t).select("o_orderkey", "p", "v")
+    turn = F.col("o_orderkey") % 3
+    moved = a.filter(turn > 0).withColumn("p", F.when(turn == 1, "01")).withColumn("v", F.lit(2))
+    W.merge_or_create(spark, a, path, ["o_orderkey"], ["p"])
+    W.merge_or_create(spark, moved, path, ["o_orderkey"], ["p"])
+    return TB.read_stored(spark, path).groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@REG.query("k1_odd_slots", oracle=f"""
+SELECT p, count(*) AS n, sum(o_orderkey) AS keys, sum(CASE WHEN p = '01' THEN 2 ELSE 1 END) AS v FROM (SELECT *, {ODD_SQL} AS p FROM orders) GROUP BY 1
+""")
+def _k1o(t):
+    """K1/K6: slots named by number-like text, a quote and NULL; one is replaced, all are registered by their own values and read by name."""
+    spark, path = t.spark, scratch_path(t.spark, "k1o")
+    a = odd_partitions(t)
+    W.overwrite_slot(a, path, ["p"])
+    W.overwrite_slot(a.filter("p = '01'").withColumn("v", F.lit(2)), path, ["p"])
+    name = W.register(spark, "silver", "k1_odd_" + path.rsplit("-", 1)[-1], path, partitioned=True, slots=a.select("p"))
+    return spark.table(name).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.sum("v").alias("v"))
+
+
+@REG.query("k13_compact_files", oracle=f"""
+SELECT p, count(*) AS n, sum(o_orderkey) AS keys, true AS large_kept, true AS fewer FROM (SELECT *, {ODD_SQL} AS p FROM orders) GROUP BY 1
+""")
+def _k13f(t):
+    """Only files under the target size are merged, by a plan of their sizes; a large file keeps its name."""
+    spark, path = t.spark, scratch_path(t.spark, "k13f")
+    a = odd_partitions(t)
+    half = F.col("o_orderkey") % 2 == 0
+    W.overwrite_slot(a.filter(half).coalesce(1), path, ["p"])
+    file, length = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("length")
+    large = cut_lineage(TB.read_stored(spark, path, ["p"]).select("p", file, length).distinct())
+    for k in range(4):
+        W.append(a.filter(~half & (F.floor(F.col("o_orderkey") / 2) % 4 == k)).coalesce(1), path, ["p"])
+    target = large.agg(F.min("length")).first()[0]
+    before = cut_lineage(TB.read_stored(spark, path).groupBy("p").agg(F.count_distinct(F.col("_metadata.file_path")).alias("before")))
+    TB.compact_files(spark, path, ["p"], target=target)
+    rows = TB.read_stored(spark, path).select("p", "o_orderkey", file)
+    kept, here = TB.same(rows, large.select("p", "file").withColumn("big", F.lit(True)), ["p", "file"])
+    after = rows.join(kept, here, "left").groupBy("p").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("file").alias("after"), F.bool_or("big").alias("large_kept"))
+    was, here = TB.same(after, before, ["p"])
+    return after.join(was, here).select("p", "n", "keys", F.coalesce("large_kept", F.lit(False)).alias("large_kept"),
+                                        (F.col("after") < F.col("before")).alias("fewer"))
+
+
+@REG.query("k15_odd_partitions", oracle=f"""
+SELECT p, count(*) AS n, sum(o_orderkey) AS keys FROM (SELECT *, {ODD_SQL} AS p FROM orders)
+WHERE o_orderdate >= TIMESTAMP '1999-01-01' - INTERVAL 365 DAY AND coalesce(p, '-') <> '02' OR (p = '02' AND o_orderdate >= TIMESTAMP '1998-06-01') GROUP BY 1
+""")
+def _k15o(t):
+    """K15 on number-like, quoted and NULL partitions: mixed ones are rewritten in place, nothing doubles."""
+    spark, path = t.spark, scratch_path(t.spark, "k15o")
+    W.append(odd_partitions(t).filter("coalesce(p, '-') <> '02' OR o_orderdate >= '1998-06-01'"), path, ["p"])
+    W.expire_table(spark, path, "o_orderdate", 365, "1999-01-01 00:00:00", ["p"])
+    return TB.read_stored(spark, path).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@REG.query("k15_version_window", oracle="""
+SELECT CAST(substr(version, 2) AS INTEGER) AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM (VALUES ('v2', 1994), ('v9', 1997), ('v10', 1998)) w(version, y) JOIN orders ON year(o_orderdate) >= y GROUP BY 1
+""")
+def _k15v(t):
+    """Five published versions of an asset; the newest two stay, and the one still in use; the others' folders go."""
+    spark, base = t.spark, scratch_path(t.spark, "k15v")
+    published = []
+    for version, year in (("v1", 1993), ("v2", 1994), ("v3", 1995), ("v9", 1997), ("v10", 1998)):
+        t.orders.filter(F.year("o_orderdate") >= year).write.parquet(f"{base}/asset/version={version}")
+        published.append((version, datetime(year, 1, 1)))
+    catalogue = spark.createDataFrame(published, "version string, published_at timestamp")
+    used = spark.createDataFrame([("v2",)], "version string")
+    TB.retire_versions(spark, f"{base}/asset", keep=2, as_of="1999-01-01 00:00:00", support_days=180, in_use=used, versions=catalogue)
+    return spark.read.parquet(f"{base}/asset").groupBy(F.substring("version", 2, 9).cast("int").alias("version")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @REG.query("k16_refresh_gold", oracle="""
 SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 1

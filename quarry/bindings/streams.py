@@ -37,14 +37,10 @@ SELECT name AS "window", window_start, window_start + span AS window_end, good,
 def _x5(t):
     """1-hour and 6-hour windows sliding every minute: SLI and burn rate."""
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = None
-    for window, slide in X.BURN_WINDOWS:
-        b = X.burn_rate_stream(e, "ts", F.col("event_type") != "error", 0.99, window, slide)
-        b = b.select(F.lit(window).alias("window"), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "good", "total",
-                     F.round("sli", 6).alias("sli"), F.round("burn_rate", 6).alias("burn_rate"))
-        out = b if out is None else out.unionByName(b)
-    return out
+    return X.burn_rates(e, "ts", F.col("event_type") != "error", 0.99).select(
+        "window", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "good", "total",
+        F.round("sli", 6).alias("sli"), F.round("burn_rate", 6).alias("burn_rate"))
 
 
 def staged_stream(t, name, files=4):
@@ -119,3 +115,40 @@ def _x8(t):
     slot = F.to_date("ts") == F.lit("2024-01-10").cast("date")
     out = e.filter(slot & F.hour("ts").between(6, 17))
     return X.late_rows(out, e, ["event_id"], slot).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@REG.query("x3_observed_batches", oracle="SELECT 4 AS batches, count(*) AS rows, count(*) AS written, 2 AS recorded, true AS sized FROM events")
+def _x3b(t):
+    """Rows and bytes of micro-batches observed on the write (all batches, and every second one)."""
+    stream, base = staged_stream(t, "x3b")
+    for every in (1, 2):
+        stream.writeStream.option("checkpointLocation", f"{base}/ck{every}").trigger(availableNow=True).foreachBatch(
+            X.observed_sink(f"{base}/table{every}", f"{base}/metrics{every}", every)).start().awaitTermination()
+    read = t.spark.read.schema(X.METRICS)
+    seen = read.parquet(f"{base}/metrics1/batch=*").agg(
+        F.count_distinct("batch_id").alias("batches"), F.sum("rows").alias("rows"), (F.min("bytes") > F.min("rows")).alias("sized"))
+    some = read.parquet(f"{base}/metrics2/batch=*").agg(F.count(F.lit(1)).alias("recorded"))
+    written = t.spark.read.parquet(f"{base}/table2").agg(F.count(F.lit(1)).alias("written"))
+    return seen.join(some, F.lit(True)).join(written, F.lit(True))
+
+
+@REG.query("x5_stream_running_totals", oracle="""
+WITH m AS (SELECT max(date_trunc('minute', ts)) AS top FROM events),
+b AS (SELECT date_trunc('minute', ts) AS b, count(*) FILTER (WHERE event_type <> 'error') AS good, count(*) AS total FROM events, m
+      WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1),
+w AS (SELECT s AS window_start FROM range(TIMESTAMP '2023-12-31 22:00:00', TIMESTAMP '2024-02-01 00:00:00', INTERVAL 1 MINUTE) r(s)),
+j AS (SELECT window_start, sum(good) AS good, sum(total) AS total FROM w JOIN b ON b.b >= window_start AND b.b < window_start + INTERVAL 1 HOUR
+      WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(b) + INTERVAL 1 MINUTE FROM b) GROUP BY 1)
+SELECT window_start, CAST(good AS BIGINT) AS good, CAST(total AS BIGINT) AS total, round(good / total, 6) AS sli FROM j
+""")
+def _x5s(t):
+    """X5 on a stream: closed minute bins are kept, and each 1-hour window is computed once from running totals."""
+    base = scratch_path(t.spark, "x5s")
+    e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(4):  # four files in time order, one per micro-batch
+        e.filter(F.floor((F.dayofmonth("ts") - 1) / 8) == k).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    stream = X.stream_source(t.spark, f"{base}/landing", e.schema, max_files_per_trigger=1)
+    X.stream_burn_rates(stream, "ts", F.col("event_type") != "error", 0.99, f"{base}/out", f"{base}/ck",
+                        (("1 hour", "1 minute"),)).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out/windows").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "good", "total", F.round("sli", 6).alias("sli"))

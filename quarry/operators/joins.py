@@ -90,6 +90,8 @@ def overlapping(requests: DataFrame, active: DataFrame, key: str, start: str, en
     The active ranges of a key are first merged to disjoint ones, so the result has one row per
     request and the join cannot square: a request meets the merged ranges of the months it
     covers.  ``busy_from``/``busy_to`` is the first merged range it overlaps; ``n_ranges`` how many.
+    Requests are matched by their values, so rows that share an id but not a range each get their own
+    answer, and equal rows the same one.
     """
     def buckets(df, a, b):
         s = F.floor(F.unix_date(F.to_date(F.col(a))) / bucket_days)
@@ -98,15 +100,16 @@ def overlapping(requests: DataFrame, active: DataFrame, key: str, start: str, en
 
     busy = buckets(merged_ranges(active, key, start, end), "busy_from", "busy_to") \
         .select(F.col(key).alias("__k"), "__b", F.col("__b0").alias("__a0"), "busy_from", "busy_to")
-    r = buckets(requests.select(key, req_id, start, end), start, end).select(
+    r = buckets(requests.select(key, req_id, start, end).distinct(), start, end).select(
         F.col(key).alias("__rk"), F.col(req_id).alias("__rid"), F.col(start).alias("__rs"), F.col(end).alias("__re"),
         F.col("__b").alias("__rb"), F.col("__b0").alias("__r0"))
     hits = r.join(busy, (F.col("__rk") == F.col("__k")) & (F.col("__rb") == F.col("__b"))
                   & (F.to_date("__rs") <= F.col("busy_to")) & (F.to_date("__re") >= F.col("busy_from"))
                   & (F.col("__rb") == F.greatest("__r0", "__a0")))
-    found = hits.groupBy("__rk", "__rid").agg(F.count(F.lit(1)).alias("n_ranges"),
+    found = hits.groupBy("__rk", "__rid", "__rs", "__re").agg(F.count(F.lit(1)).alias("n_ranges"),
                                               F.min(F.struct("busy_from", "busy_to")).alias("__m"))
-    j = requests.join(found, (F.col(key) == F.col("__rk")) & (F.col(req_id) == F.col("__rid")), "left")
+    mine = [F.col(a).eqNullSafe(F.col(b)) for a, b in ((key, "__rk"), (req_id, "__rid"), (start, "__rs"), (end, "__re"))]
+    j = requests.join(found, mine, "left")
     return j.select(*[requests[c] for c in requests.columns], F.col("n_ranges").isNotNull().alias("conflict"),
                     F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"),
                     F.col("__m.busy_from").alias("busy_from"), F.col("__m.busy_to").alias("busy_to"))

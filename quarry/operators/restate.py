@@ -125,7 +125,12 @@ def clear_markers(spark: SparkSession, tracker_path: str, slots: DataFrame, keys
 
 
 def restatement_history(registry: DataFrame, dataset: str | None, days: int, as_of) -> DataFrame:
-    """Restatements of the last ``days`` days (one dataset or all) with the row delta."""
+    """Restatements of the last ``days`` days (one dataset or all) with the row delta.
+
+    A registry kept by ``record_restatement`` has a row per change of state (``recorded_at``); the
+    newest of each restatement counts."""
+    if "recorded_at" in registry.columns:
+        registry = current_restatements(registry)
     a = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     r = registry.filter(F.col("triggered_at") >= a - F.expr(f"INTERVAL {int(days)} DAYS"))
     if dataset is not None:
@@ -133,7 +138,93 @@ def restatement_history(registry: DataFrame, dataset: str | None, days: int, as_
     return r.withColumn("row_delta", F.col("rows_after") - F.col("rows_before"))
 
 
-ACTIVE_STATES = ("pending", "running")
+# Columns and states of the restatement registry.
+REGISTRY_SCHEMA = (
+    "restatement_id string, dataset_id string, pipeline_id string, triggered_by string, triggered_at timestamp, "
+    "date_range_start date, date_range_end date, layers array<string>, reason string, status string, trackers_deleted int, "
+    "partitions_affected int, dag_run_ids array<string>, rows_before long, rows_after long, completed_at timestamp, "
+    "error_message string, recorded_at timestamp")
+PENDING, IN_PROGRESS, COMPLETED, FAILED, CANCELLED = "PENDING", "IN_PROGRESS", "COMPLETED", "FAILED", "CANCELLED"
+REGISTRY_MONTH = "_month"
+
+
+def read_registry(spark: SparkSession, registry_path: str) -> DataFrame:
+    """Every record of the registry, one per change of state."""
+    from ..sinks import tables, writers as W
+
+    if not W.path_exists(spark, registry_path):
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
+    return tables.read_stored(spark, registry_path, [REGISTRY_MONTH]).drop(REGISTRY_MONTH)
+
+
+def current_restatements(registry: DataFrame) -> DataFrame:
+    """The newest record of each restatement."""
+    from .windows import latest_per
+
+    return latest_per(registry, ["restatement_id"], ["recorded_at"]).drop("recorded_at")
+
+
+def record_restatement(spark: SparkSession, registry_path: str, record: dict) -> None:
+    """Appends one record, stamped with Spark's clock, to the registry of its month."""
+    from ..sinks import writers as W
+
+    names = [f.split()[0] for f in REGISTRY_SCHEMA.split(", ")]
+    unknown = set(record) - set(names)
+    if unknown:
+        raise ValueError(f"not columns of the registry: {sorted(unknown)}")
+    now = F.current_timestamp()
+    row = spark.createDataFrame([tuple(record.get(c) for c in names)], REGISTRY_SCHEMA).withColumn("recorded_at", now)
+    row = row.withColumn("triggered_at", F.coalesce("triggered_at", now))
+    if record["status"] in (COMPLETED, FAILED, CANCELLED):
+        row = row.withColumn("completed_at", F.coalesce("completed_at", now))
+    W.append(row.withColumn(REGISTRY_MONTH, F.date_format("triggered_at", "yyyy_MM")), registry_path, [REGISTRY_MONTH])
+
+
+def restate_slots(spark: SparkSession, path: str, corrected: DataFrame, partition_cols, registry_path: str, dataset: str,
+                  pipeline: str, triggered_by: str, reason: str, start, end, layers=(), tracker_path: str | None = None,
+                  slots: DataFrame | None = None, restatement_id: str | None = None, dag_run_ids=()) -> dict:
+    """Restates the slots that ``corrected`` holds and keeps the registry's record of it.
+
+    Record PENDING; clear the markers of ``slots`` (``table``, ``partition``); record IN_PROGRESS; count the
+    rows of those slots as they stand (only they are read); overwrite them, the new rows observed on the
+    write itself; record COMPLETED with both counts, or FAILED with the error, which is raised again.  Slots
+    without corrected rows stay as they are (K5).  Returns the last record.
+    """
+    from uuid import uuid4
+
+    from ..session import cut_lineage
+    from ..sinks import tables, writers as W
+
+    if not reason:
+        raise ValueError("a restatement needs a reason")
+    day = lambda x: x if isinstance(x, date) and not isinstance(x, datetime) else date.fromisoformat(str(x)[:10])
+    parts = list(partition_cols)
+    record = {"restatement_id": restatement_id or f"rst-{uuid4()}", "dataset_id": dataset, "pipeline_id": pipeline,
+              "triggered_by": triggered_by, "date_range_start": day(start), "date_range_end": day(end), "layers": list(layers),
+              "reason": reason, "status": PENDING, "dag_run_ids": list(dag_run_ids),
+              "triggered_at": spark.sql("SELECT current_timestamp()").first()[0]}
+    record_restatement(spark, registry_path, record)
+    try:
+        if tracker_path and slots is not None:
+            record["trackers_deleted"] = clear_markers(spark, tracker_path, slots)
+        record["status"] = IN_PROGRESS
+        record_restatement(spark, registry_path, record)
+        rows = cut_lineage(corrected)
+        touched = cut_lineage(rows.select(*parts).distinct())
+        record["partitions_affected"] = touched.count()
+        held = W.path_exists(spark, path)
+        record["rows_before"] = tables.keep_where(tables.read_stored(spark, path, parts), touched, parts).count() if held else 0
+        record["rows_after"] = W.write_guarded(rows, path, parts)
+        record["status"] = COMPLETED
+    except Exception as error:
+        record |= {"status": FAILED, "error_message": str(error)[:2000]}
+        record_restatement(spark, registry_path, record)
+        raise
+    record_restatement(spark, registry_path, record)
+    return record
+
+
+ACTIVE_STATES = ("pending", "running", "PENDING", "IN_PROGRESS")
 
 
 def conflicts(registry: DataFrame, requests: DataFrame, bucket_days: int = 31) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Window-style operators.
+"""Window-style operators (W3, W4, W6) and sliding windows by running totals.
 
 Picks of one row per key use ``row_number() = 1``: one shuffle on the key, with Spark's window
 group limit keeping one row per key and task before it.  Ranks of all rows use a range sort.
@@ -54,7 +54,9 @@ def runs_by_day(runs: DataFrame, day_of: Column | None = None, start: str = "sta
     ranked = rank_within(base, "day", order)
     day_state = base.groupBy("day").agg(F.max_by("state", F.struct("__started", F.col(run_id))).alias("day_state"),
                                         F.count(F.lit(1)).alias("runs_in_day"))
-    return ranked.join(day_state, "day").drop("__started")
+    # rows without a day are a group of their own
+    state = day_state.withColumnRenamed("day", "__day")
+    return ranked.join(state, F.col("day").eqNullSafe(F.col("__day"))).drop("__started", "__day")
 
 
 def rank_within(df: DataFrame, group: str, order: list[Column], out: str = "rank_in_day") -> DataFrame:
@@ -67,6 +69,41 @@ def rank_within(df: DataFrame, group: str, order: list[Column], out: str = "rank
     # rows of the group held by earlier tasks (a range sort keeps a group in consecutive tasks)
     w = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = firsts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    j = s.join(offsets.select("__part", group, "__first", "__before"), ["__part", group])
+    o = offsets.select(F.col("__part").alias("__p"), F.col(group).alias("__g"), "__first", "__before")
+    j = s.join(o, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
     return j.withColumn(out, (F.col("__pos") - F.col("__first") + F.col("__before") + 1).cast("int")) \
-        .drop("__part", "__pos", "__first", "__before")
+        .drop("__part", "__pos", "__first", "__before", "__p", "__g")
+
+
+def sliding_totals(bins: DataFrame, at: str, values, spans: dict[str, int], slide: int) -> DataFrame:
+    """Totals of every sliding window over time bins, without copying a bin into its windows.
+
+    ``bins`` has one row per bin of ``slide`` seconds that holds rows (``at``: its start).  Each bin
+    adds its values at the first window start that sees it and takes them back after the last one: two
+    rows per bin and span, whatever the span.  A window's total is the running total of those changes at its
+    start, the difference of two prefix sums.  Running totals are taken per day and carried over by the
+    days' sums (one row per day), so no task holds the whole time line.
+
+    Returns ``span`` (a key of ``spans``, whose values are seconds), ``window_start``, ``window_end`` and the
+    values, for every window that holds a bin.
+    """
+    values = _order(values)
+    step = F.make_dt_interval(secs=F.lit(slide))
+    table = F.array(*[F.struct(F.lit(name).alias("span"), F.lit(secs).alias("secs")) for name, secs in spans.items()])
+    wide = bins.select(F.col(at).alias("__at"), *values, F.explode(table).alias("__s"))
+    change = lambda t, sign: F.struct(t.alias("t"), *[(F.col(v) * sign).alias(v) for v in values])
+    enters = F.col("__at") - F.make_dt_interval(secs=F.col("__s.secs") - slide)
+    changes = wide.select("__s.span", "__s.secs", F.explode(F.array(change(enters, 1), change(F.col("__at") + step, -1))).alias("__c")) \
+        .groupBy("span", "secs", F.col("__c.t").alias("t")).agg(*[F.sum(f"__c.{v}").alias(v) for v in values]) \
+        .withColumn("day", F.date_trunc("day", "t"))
+    days = changes.groupBy("span", "day").agg(F.min("t").alias("__first"), *[F.sum(v).alias(f"__d_{v}") for v in values])
+    past = Window.partitionBy("span").orderBy("day")
+    carried = days.select("span", "day", F.lead("__first").over(past).alias("__next_day"), *[
+        F.coalesce(F.sum(f"__d_{v}").over(past.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{v}") for v in values])
+    inside = Window.partitionBy("span", "day").orderBy("t")
+    running = changes.join(carried, ["span", "day"]).select(
+        "span", "secs", "t", F.coalesce(F.lead("t").over(inside), "__next_day").alias("__until"),
+        *[(F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"__b_{v}")).alias(v) for v in values])
+    starts = F.explode(F.sequence("t", F.col("__until") - step, step)).alias("window_start")
+    return running.filter(F.greatest(*[F.abs(F.col(v)) for v in values], F.lit(0)) > 0).select("span", starts, "secs", *values).select(
+        "span", "window_start", (F.col("window_start") + F.make_dt_interval(secs=F.col("secs"))).alias("window_end"), *values)

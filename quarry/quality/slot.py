@@ -28,11 +28,11 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     aggs.append(F.round((micros(F.max(ts)) - micros(F.min(ts))) / F.lit(3_600_000_000.0), 4).alias("span_hours"))
     out = df.groupBy(slot_c.alias("slot")).agg(*aggs)
-    out = out.join(_key_rows(df, slot_c, keys).select("slot", F.col("keys").alias("distinct_keys")), "slot")
+    out = _beside(out, _key_rows(df, slot_c, keys).select("slot", F.col("keys").alias("distinct_keys")))
     if unique_key:
         # a NULL key is a value, as in R6
         dup = _key_rows(df, slot_c, unique_key).select("slot", (F.col("n") - F.col("keys")).alias("duplicate_rows"))
-        out = out.join(dup, "slot")
+        out = _beside(out, dup)
     if expected_end is not None:
         out = out.withColumn("lag_minutes", F.round((micros(expected_end) - micros(F.col("max_ts"))) / F.lit(60_000_000.0), 2))
     if dimension is not None:
@@ -40,7 +40,7 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
         d = df.groupBy(slot_c.alias("slot"), F.col(dimension).alias("d")).agg(n.alias("c"))
         d = d.groupBy("slot").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "c")))).alias(
             f"counts_by_{dimension}"))
-        out = out.join(d, "slot", "left")
+        out = _beside(out, d)
     if expected_schema is not None:
         from ..operators.setops import schema_diff
 
@@ -49,6 +49,12 @@ def slot_quality(df: DataFrame, slot: Column | str, keys: list[str], ts: str, cr
     return out
 
 
+def _beside(out: DataFrame, more: DataFrame) -> DataFrame:
+    """Joins per-slot columns; the NULL slot (rows without a time) is a slot of its own."""
+    more = more.withColumnRenamed("slot", "__slot")
+    return out.join(more, F.col("slot").eqNullSafe(F.col("__slot")), "left").drop("__slot")
+
+
 def _key_rows(df: DataFrame, slot: Column, keys: list[str]) -> DataFrame:
     """Per slot: rows and distinct key rows, through one aggregation at (slot, key)."""
     per = df.groupBy(slot.alias("slot"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))

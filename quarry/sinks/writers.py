@@ -1,5 +1,7 @@
 """Table writes (K1, K2, K5-K9, K12, K13, K15, K16, K18) on Parquet folders.
 
+Partitioned tables keep a stored contract (``tables``), by which every rewrite reads them.
+
 Delta is not on the class path here, so the table format is Parquet with dynamic partition
 overwrite.  Rules that keep writes safe:
 
@@ -13,14 +15,13 @@ overwrite.  Rules that keep writes safe:
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DATE_KEY_COLUMN
 from ..session import cut_lineage
+from . import tables
 
 FMT = "parquet"
 
@@ -48,14 +49,21 @@ def rebalance(df: DataFrame, partition_cols) -> DataFrame:
     return df.hint("rebalance", *partition_cols) if partition_cols else df
 
 
+def _contract(df: DataFrame, path: str, partition_cols, fmt: str) -> None:
+    if partition_cols and fmt == FMT:
+        tables.keep_contract(df, path, partition_cols)
+
+
 def overwrite_slot(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> None:
     """K1: replace the partition slots present in ``df``; other slots stay."""
+    _contract(df, path, partition_cols, fmt)
     _writer(rebalance(df, partition_cols), "overwrite", partition_cols, fmt,
             {"partitionOverwriteMode": "dynamic"}).save(path)
 
 
 def append(df: DataFrame, path: str, partition_cols=None, fmt: str = FMT) -> None:
     """K2: append mode."""
+    _contract(df, path, partition_cols, fmt)
     _writer(rebalance(df, partition_cols), "append", partition_cols, fmt).save(path)
 
 
@@ -67,6 +75,7 @@ def write_guarded(df: DataFrame, path: str, partition_cols, fmt: str = FMT) -> i
     """
     if not partition_cols:
         raise ValueError("a guarded write replaces partitions: give partition columns")
+    _contract(df, path, partition_cols, fmt)
     obs = Observation("quarry_write")
     observed = rebalance(df, partition_cols).observe(obs, F.count(F.lit(1)).alias("rows"))
     _writer(observed, "overwrite", partition_cols, fmt, {"partitionOverwriteMode": "dynamic"}).save(path)
@@ -82,11 +91,17 @@ def register(spark: SparkSession, db: str, table: str, path: str, fmt: str = FMT
     which is for adopting an existing folder.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-    name = f"`{db}`.`{table}`"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{path}'")
+    name, have = f"`{db}`.`{table}`", tables.load_contract(spark, path)
+    # the stored types, so that a partition value such as "01" stays as it is
+    columns, by = "", ""
+    if partitioned and have is not None:
+        columns = f"({tables.table_ddl(have[0])})"
+        by = "PARTITIONED BY (" + ", ".join(f"`{c}`" for c in have[1]) + ")"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} {columns} USING {fmt} {by} LOCATION {tables.sql_text(path)}")
     if partitioned and slots is not None:
-        rows = [r.asDict() for r in slots.distinct().collect()]
-        specs = ["PARTITION (" + ", ".join(f"`{k}` = '{v}'" for k, v in r.items()) + ")" for r in rows]
+        cols = slots.columns
+        rows = slots.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).distinct().collect()
+        specs = [tables.partition_spec(cols, r) for r in rows]
         if specs:
             spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(specs)}")
             spark.catalog.refreshTable(name)
@@ -139,8 +154,10 @@ TRACKER_SCHEMA = ("version string, job string, table string, partition string, s
 def mark_done(spark: SparkSession, tracker_path: str, job: str, table: str, slot_key: str, rows: int,
               status: str = "success", version: str = "1", environment: str = "dev") -> None:
     """K9: one tracker row for a finished slot; call it after the data write."""
-    row = [(version, job, table, slot_key, status, int(rows), datetime.now(timezone.utc).replace(tzinfo=None), environment)]
-    append(spark.createDataFrame(row, TRACKER_SCHEMA), tracker_path)
+    row = [(version, job, table, slot_key, status, int(rows), None, environment)]
+    # Spark's clock, as in ``clear_markers``: an instant, whatever the time zone of the driver
+    marker = spark.createDataFrame(row, TRACKER_SCHEMA).withColumn("completed_at", F.current_timestamp())
+    append(marker, tracker_path)
 
 
 def read_tracker(spark: SparkSession, tracker_path: str) -> DataFrame:
@@ -171,47 +188,36 @@ def merge_or_create(spark: SparkSession, source: DataFrame, path: str, keys, par
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not path_exists(spark, path):
         merged = merge_upsert(source.limit(0), source, keys, order)
+        _contract(merged, path, partition_cols, FMT)
         _writer(rebalance(merged, partition_cols), "overwrite", partition_cols).save(path)
         return "created"
-    target = spark.read.parquet(path)
+    target = tables.read_stored(spark, path, partition_cols or ())
     source = source.select(*target.columns)
     if not partition_cols:
         _writer(cut_lineage(merge_upsert(target, source, keys, order)), "overwrite").save(path)
         return "merged"
     parts = list(partition_cols)
-    same = [target[k].eqNullSafe(F.col(f"__s_{k}")) for k in keys]
-    source_keys = source.select(*[F.col(k).alias(f"__s_{k}") for k in keys]).distinct()
-    held = target.join(source_keys, same, "left_semi").select(*parts)
+    if tables.load_contract(spark, path) is None:  # a folder of unknown types: its partition values are text
+        source = source.withColumns({c: F.col(c).cast("string") for c in parts})
+    held = tables.keep_where(target, source.select(*keys).distinct(), keys).select(*parts)
     touched = cut_lineage(source.select(*parts).unionByName(held).distinct())
-    slice_ = target.join(touched, parts, "left_semi")
+    slice_ = tables.keep_where(target, touched, parts)
     merged = cut_lineage(merge_upsert(slice_, source, keys, order))
     overwrite_slot(merged, path, parts)
     # a partition whose rows all moved away gets no row to replace it with
-    _drop_partitions(spark, path, parts, touched.join(merged.select(*parts).distinct(), parts, "left_anti"))
+    tables.drop_partitions(spark, path, parts, tables.keep_where(touched, merged.select(*parts).distinct(), parts, "left_anti"))
     return "merged"
 
 
-def _drop_partitions(spark: SparkSession, path: str, parts: list[str], gone: DataFrame) -> None:
-    """Deletes the folders of the partitions in ``gone`` (one row per partition)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    catalog = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    for row in gone.toLocalIterator():
-        folder = root
-        for c in parts:
-            folder = jvm.org.apache.hadoop.fs.Path(folder, catalog.getPartitionPathString(c, None if row[c] is None else str(row[c])))
-        fs.delete(folder, True)
-
-
 def compact(spark: SparkSession, path: str, partition_cols, where=None) -> None:
     """Rewrite the small files of the chosen partitions into few right-sized files.
 
     ``rebalance`` lets AQE aim each output file at the advisory partition size and split a
     partition that is too large, so a hot slot is not funnelled into one task.  The slice is
-    checkpointed first because it is read from the folder it replaces.
+    checkpointed first because it is read from the folder it replaces.  ``tables.compact_files`` merges
+    only the files under a target size.
     """
-    df = spark.read.parquet(path)
+    df = tables.read_stored(spark, path, partition_cols)
     if where is not None:
         df = df.filter(where)
     overwrite_slot(cut_lineage(df), path, partition_cols)
@@ -233,16 +239,14 @@ def expire(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
 def expire_table(spark: SparkSession, path: str, ts: str, days: int, as_of, partition_cols) -> None:
     """K15 on a table: partitions with only expired rows are dropped, mixed ones rewritten; the
     others are not read beyond their time column.  A row without a time stays."""
-    df = spark.read.parquet(path)
     parts = list(partition_cols)
+    df = tables.read_stored(spark, path, parts)
     a = F.lit(as_of).cast("timestamp_ntz")
     old = F.coalesce(F.col(ts) < a - F.expr(f"INTERVAL {int(days)} DAYS"), F.lit(False))
     state = cut_lineage(df.groupBy(*parts).agg(F.count_if(old).alias("__old"), F.count(F.lit(1)).alias("__all")).filter("__old > 0"))
-    mixed = state.filter("__old < __all").select(*parts)
-    same = [df[c].eqNullSafe(F.col(f"__m_{c}")) for c in parts]
-    touched = df.join(mixed.select(*[F.col(c).alias(f"__m_{c}") for c in parts]), same, "left_semi")
+    touched = tables.keep_where(df, state.filter("__old < __all"), parts)
     overwrite_slot(cut_lineage(touched.filter(~old)), path, parts)
-    _drop_partitions(spark, path, parts, state.filter("__old = __all").select(*parts))
+    tables.drop_partitions(spark, path, parts, state.filter("__old = __all"))
 
 
 def refresh_gold(spark: SparkSession, query, path: str, partition_cols=None) -> None:

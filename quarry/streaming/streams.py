@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -50,9 +50,37 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, trigger: str |
     return stream_sink(out, path, checkpoint, trigger, partition_cols)
 
 
+METRICS = "query_id string, batch_id long, rows long, bytes long, recorded_at timestamp"
+
+
+def observed_sink(path: str, metrics_path: str, every: int = 10, partition_cols=None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each micro-batch to ``path`` and records the
+    metrics of every ``every``-th one in ``metrics_path``.
+
+    Rows and bytes (the JSON form of the rows) are observed by the write itself, so a batch is read once.  Each
+    batch has its own folder, which a replay overwrites, so rows and records are there once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, out, record = batch.sparkSession, batch, batch_id % every == 0
+        obs = Observation(f"batch_{batch_id}")
+        if record:
+            size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch.columns])))
+            out = batch.observe(obs, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+        w = out.write.mode("overwrite")
+        (w.partitionBy(*partition_cols) if partition_cols else w).parquet(f"{path}/batch_id={batch_id}")
+        if record:
+            seen, query = obs.get, spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+            row = spark.createDataFrame([(query, int(batch_id), seen["rows"], seen["bytes"], None)], METRICS)
+            row.withColumn("recorded_at", F.current_timestamp()).coalesce(1).write.mode("overwrite") \
+                .parquet(f"{metrics_path}/batch={batch_id}")
+
+    return write
+
+
 def batch_metrics(metrics_path: str, every: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that records batch id and row count of every
-    ``every``-th batch (count observed while the batch is appended to ``metrics_path``)."""
+    """X3 without a sink of its own: a ``foreachBatch`` function that reads every ``every``-th batch for its row
+    count and bytes.  ``observed_sink`` observes them on the write instead."""
 
     def record(batch: DataFrame, batch_id: int) -> None:
         if batch_id % every != 0:
@@ -83,32 +111,86 @@ def burn_rate_stream(stream: DataFrame, ts: str, good: Column, target: float, wi
                      slide: str = "1 minute", watermark: str | None = "10 minutes") -> DataFrame:
     """Sliding window (e.g. 1 h every minute): SLI and burn rate = (1 - SLI) / (1 - target).
 
-    Rows are first counted per ``slide`` bin, and only those bin rows are copied into the windows
-    that contain them, so the fan-out is windows-per-bin times bins, not times raw rows.  On a
-    stream that is a chain of two windows under one watermark.  ``BURN_WINDOWS`` names the fixed
-    pairs of window and slide.
+    A batch frame goes through ``burn_rates``.  A stream is a chain of two windows under one
+    watermark: rows are counted once per ``slide``, and only those bin rows are copied into the
+    windows that contain them; ``stream_burn_rates`` does without the copies.
     """
+    w_s, s_s = _spans(window, slide)
+    if not stream.isStreaming:
+        return burn_rates(stream, ts, good, target, ((window, slide),)).drop("window")
+    s = stream.withWatermark(ts, watermark) if watermark else stream
+    b = s.groupBy(F.window(F.col(ts), slide).alias("b")).agg(*_counted(good))
+    g = b.groupBy(F.window(F.window_time("b"), window, slide).alias("w")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
+    return _rates(g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "good", "total"), target)
+
+
+def _counted(good: Column) -> list[Column]:
+    return [F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total")]
+
+
+def _rates(totals: DataFrame, target: float) -> DataFrame:
+    sli = F.col("good") / F.col("total")
+    return totals.withColumns({"sli": sli, "burn_rate": (F.lit(1.0) - sli) / F.lit(1.0 - float(target))})
+
+
+def _spans(window: str, slide: str) -> tuple[int, int]:
     w_s, s_s = _seconds(window), _seconds(slide)
     if w_s % s_s:
         raise ValueError("window must be a multiple of slide")
-    bins = F.window(F.col(ts), slide)
-    counted = [F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total")]
-    if stream.isStreaming:
-        # chained windows: raw rows are counted once per slide, only bin rows are copied
-        s = stream.withWatermark(ts, watermark) if watermark else stream
-        b = s.groupBy(bins.alias("b")).agg(*counted)
-        g = b.groupBy(F.window(F.window_time("b"), window, slide).alias("w")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
-        g = g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "good", "total")
-    else:
-        b = stream.groupBy(bins.start.alias("b")).agg(*counted)
-        spread = b.select(F.explode(F.sequence(F.lit(0), F.lit(w_s // s_s - 1))).alias("i"), "b", "good", "total") \
-            .select((F.col("b") - F.make_dt_interval(secs=F.col("i") * s_s)).alias("window_start"), "good", "total")
-        g = spread.groupBy("window_start").agg(F.sum("good").alias("good"), F.sum("total").alias("total")) \
-            .select("window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(w_s))).alias("window_end"),
-                    "good", "total")
-    sli = F.col("good") / F.col("total")
-    return g.select("window_start", "window_end", "good", "total", sli.alias("sli"),
-                    ((F.lit(1.0) - sli) / F.lit(1.0 - float(target))).alias("burn_rate"))
+    return w_s, s_s
+
+
+def burn_rates(df: DataFrame, ts: str, good: Column, target: float, windows=BURN_WINDOWS) -> DataFrame:
+    """X5 for several windows over one scan: rows are counted per slide bin, and each window's
+    counts are a difference of running totals of the bins (``sliding_totals``)."""
+    slides = {slide for _, slide in windows}
+    if len(slides) != 1:
+        raise ValueError("windows of one call slide alike")
+    slide = slides.pop()
+    bins = df.groupBy(F.window(F.col(ts), slide).start.alias("b")).agg(*_counted(good))
+    return _rates(_windows(bins, windows), target)
+
+
+def _windows(bins: DataFrame, windows) -> DataFrame:
+    from ..operators.windows import sliding_totals
+
+    spans = {window: _spans(window, slide)[0] for window, slide in windows}
+    totals = sliding_totals(bins, "b", ["good", "total"], spans, _seconds(windows[0][1]))
+    return totals.withColumnRenamed("span", "window")
+
+
+def stream_burn_rates(stream: DataFrame, ts: str, good: Column, target: float, path: str, checkpoint: str, windows=BURN_WINDOWS,
+                      watermark: str = "10 minutes", trigger: str | None = None) -> StreamingQuery:
+    """X5 on a stream by running totals.  The stream's state holds the open slide bins only; bins
+    that the watermark closes are appended to ``{path}/bins``, and the windows that end with them to
+    ``{path}/windows``, each computed once, from the bins of its own span.
+
+    Both tables are partitioned by micro-batch and a replayed batch overwrites its own part, so
+    each bin and window is there once.  A window appears when its last bin is closed.
+    """
+    slide = windows[0][1]
+    longest = max(_spans(window, slide)[0] for window, _ in windows)
+    bins = stream.withWatermark(ts, watermark).groupBy(F.window(F.col(ts), slide).alias("w")).agg(*_counted(good)) \
+        .select(F.col("w.start").alias("b"), "good", "total")
+    fields = "b timestamp, good long, total long, batch_id long"
+
+    def close(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/bins/batch_id={batch_id}")
+        held = spark.read.schema(fields).parquet(f"{path}/bins").filter(F.col("batch_id") <= batch_id)
+        old, new = (held.filter(c).agg(F.max("b")).first()[0] for c in (F.col("batch_id") < batch_id, F.col("batch_id") == batch_id))
+        if new is None:
+            return
+        step = F.make_dt_interval(secs=F.lit(_seconds(slide)))
+        upto = F.lit(new).cast("timestamp") + step
+        if old is not None:
+            held = held.filter(F.col("b") > F.lit(old).cast("timestamp") - F.make_dt_interval(secs=F.lit(longest)))
+        out = _rates(_windows(held, windows), target).filter(F.col("window_end") <= upto)
+        if old is not None:
+            out = out.filter(F.col("window_end") > F.lit(old).cast("timestamp") + step)
+        out.write.mode("overwrite").parquet(f"{path}/windows/batch_id={batch_id}")
+
+    return _trigger(bins.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(close), trigger).start()
 
 
 def _seconds(interval: str) -> int:
