@@ -44,8 +44,10 @@ from .staging import stage
 SPAN = 1024
 #: bytes of input files in one micro-batch
 BATCH_BYTES = 256 << 20
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: the state's store: on disk, a batch uploads its changes only, and small partitions reserve no disk ahead
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -104,16 +106,15 @@ class StreamDedup:
                  .parquet(_glob(self.path)))
         rows = keep(_rows(files, *self.names, self.digest))
         state = rows.groupBy(*key).agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        before = self.spark.conf.get(PROVIDER, None)
-        self.spark.conf.set(PROVIDER, ROCKSDB)
+        before = {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            self.spark.conf.set(k, v)
         try:
             query = (state.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
                      .option("checkpointLocation", f"{self.folder}/{lane}").start())
         finally:
-            if before is None:
-                self.spark.conf.unset(PROVIDER)
-            else:
-                self.spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         query.awaitTermination()
 
     def ingest(self) -> StreamDedup:
