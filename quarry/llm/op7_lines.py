@@ -14,9 +14,10 @@ number), has a Jaccard similarity of ``NUM / DEN`` or more with it.
    frequent ones.  Inside a group the length filter, the positional filter and a parity sketch
    (which bounds the symmetric difference from below) prune; members are compared with the
    earliest first and stop at ``FIRST`` candidates, so a large group of near copies costs about
-   its size.
-4. Candidates are verified on the full sets; a member that stopped early and failed on all is
-   then joined with every member of its groups.
+   its size.  Sets so small that only equal ones are similar need no search.
+4. Candidates are verified on the full sets, in rounds: of each member first the one nearest by sketch, over all its
+   groups; then, for members still undecided, the others; then, for those that stopped early and failed on
+   all, every earlier member of the groups in which they stopped.
 
 Defined results: null or empty texts have no lines; a null id sorts first; rows that repeat an
 id order by where they are read, so the second copy's lines go; lines without a word stay.
@@ -128,13 +129,10 @@ class Members:
         hot = self.level >= HOT
         wide = np.zeros(len(self.size), bool)
         wide[of[hot & (place <= reach) & (n > 1)]] = True
-        inside = (place < reach + wide[of]) & (self.level > 0)
+        # a set with no room for one token more is similar to equal sets only
+        inside = (place < reach + wide[of]) & (self.level > 0) & (n * DEN // NUM > n)
         single = inside & ~hot & (n > 1)
         keys, who, at = [tn.mix(self.token[single])], [of[single]], [place[single]]
-        one = inside & (n == 1)
-        keys.append(tn.mix(self.token[one] + U(1)))
-        who.append(of[one])
-        at.append(place[one])
         # pairs of frequent tokens
         f = np.flatnonzero(inside & hot & (n > 1))
         count = np.bincount(of[f], minlength=len(self.size))
@@ -170,12 +168,21 @@ def _level_lookup(batch: pa.RecordBatch, replies: list[bytes], bits: int):
     return of
 
 
-def block_number(block: int) -> int:
-    """A block's number in 36 bits: 18 for its partition, 18 inside the partition."""
-    return (block >> 40 << 18) | ((block >> 20) & 0x3FFFF)
+def block_number(block: int, width: int) -> int:
+    """A block's number; ``width`` is the number of the input's partitions."""
+    return ((block >> 20) & 0xFFFFF) * width + (block >> 40)
 
 
-def _spread(bits: int):
+def _numbers(packs: DataFrame) -> tuple[int, F.Column]:
+    """``width`` for ``block_number``, and the same number as a column."""
+    seq, part = F.shiftright("block", 20).bitwiseAND(0xFFFFF), F.shiftright("block", 40)
+    width, most = packs.agg(F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(seq), F.lit(0)) + 1).first()
+    if width * most >= 1 << (63 - IDX):
+        raise ValueError(f"{width} partitions of up to {most} blocks have no numbers of {63 - IDX} bits")
+    return width, seq * width + part
+
+
+def _spread(bits: int, width: int):
     """A block's entries by bucket of their key, its members by bucket of their signature, and
     the lines of its documents; one row each for a bucket."""
     def fn(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +190,7 @@ def _spread(bits: int):
         key, who, place = m.entries()
         order = np.argsort(key)
         key, who, place = key[order], who[order], place[order]
-        number = block_number(batch.column(0)[0].as_py())
+        number = block_number(batch.column(0)[0].as_py(), width)
         by_sign = np.argsort(m.sign[0])
         cut, cut_sign = bucket_cuts(key, bits), bucket_cuts(m.sign[0][by_sign], bits)
         low = (key << U(bits) >> U(32)).astype(np.uint32)  # meeting by chance is pruned later
@@ -256,8 +263,9 @@ def _repeats(payloads: list[bytes]) -> np.ndarray:
     return ids[order][same]
 
 
-def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Length, positional and bitmap filter of the entries y against x."""
+def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and bitmap filter of the entries y against x: the mask of those that pass, and the
+    distance of their sketches."""
     ny, nx = e["n"][y], e["n"][x]
     ok = DEN * np.minimum(ny, nx) >= NUM * np.maximum(ny, nx)
     y, x, ny, nx = y[ok], x[ok], ny[ok], nx[ok]
@@ -269,18 +277,18 @@ def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> np.ndarray:
     apart = sum(np.bitwise_count(w).astype(np.int64) for w in x_or)
     good = (most >= need) & (apart <= ny + nx - 2 * need) & (e["id"][y] != e["id"][x])
     ok[ok] = good
-    return ok
+    return ok, apart[good]
 
 
 def _candidates(t: pa.Table) -> pa.Table:
-    """For every entry its first ``FIRST`` earlier candidates in its group (``a`` before ``b``);
-    rows without ``a`` are members that repeat an earlier one.  The lines of blocks pass through,
-    with the block's number as ``doc``."""
+    """Per member and bucket the nearest of its first earlier candidates (``a``), the others, and the keys of the
+    groups in which it stopped early; rows without ``a`` are members that repeat an earlier one.  The lines of
+    blocks pass through, with the block's number as ``b``."""
     payloads = t.column("payload").to_pylist()
-    if t.column("bucket")[0].as_py() < 0:
-        none = pa.nulls(len(payloads), pa.int64())
+    bucket = t.column("bucket")[0].as_py()
+    if bucket < 0:
         number = pa.array([int.from_bytes(unframe(p)[0], "little") for p in payloads], pa.int64())
-        return pa.table([none] * 4 + [number, pa.nulls(len(payloads), pa.bool_()), pa.array(payloads, pa.binary())], NAMES)
+        return _rows(len(payloads), b=number, lines=pa.array(payloads, pa.binary()))
     e = _read_entries(payloads)
     k = e["key"]
     new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
@@ -288,7 +296,7 @@ def _candidates(t: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     rank = np.arange(len(k)) - first[group]
     found = np.zeros(len(k), np.int64)
-    out: list[list[np.ndarray]] = [[], []]
+    out: list[list[np.ndarray]] = [[], [], []]
     depth, live = 0, np.flatnonzero(rank > 0)
     # compare with the earliest of the group first; whoever has found enough drops out
     while len(live):
@@ -298,28 +306,49 @@ def _candidates(t: pa.Table) -> pa.Table:
         x = first[group[y]] + depth + tn.ragged(n)
         for a in range(0, len(y), 1 << 20):
             yy, xx = y[a:a + (1 << 20)], x[a:a + (1 << 20)]
-            ok = _pass(e, yy, xx)
+            ok, apart = _pass(e, yy, xx)
             yy, xx = yy[ok], xx[ok]
             # keep the first few of each entry
             nth = np.arange(len(yy)) - np.searchsorted(yy, yy) + found[yy]
             np.add.at(found, yy, 1)
-            out[0].append(yy[nth < FIRST])
-            out[1].append(xx[nth < FIRST])
+            for c, v in zip(out, (yy, xx, apart)):
+                c.append(v[nth < FIRST])
         depth += width
         live = live[(rank[live] > depth) & (found[live] < FIRST)]
-    y, x = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+    y, x, apart = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
     gone = _repeats(payloads)
     keep = ~np.isin(e["id"][y], gone)  # what this bucket knows already
-    y, x = y[keep], x[keep]
-    pad = pa.nulls(len(gone), pa.int64())
-    cols = [pa.concat_arrays([pa.array(e[c][i]), pa.array(gone) if not k else pad])
-            for k, (c, i) in enumerate((("id", y), ("id", x), ("n", y), ("n", x), ("doc", x)))]
-    more = pa.concat_arrays([pa.array((found >= FIRST)[y]), pa.nulls(len(gone), pa.bool_())])
-    return pa.table([*cols, more, pa.nulls(len(y) + len(gone), pa.binary())], NAMES)
-
-
-NAMES = ["b", "a", "nb", "na", "doc", "more", "lines"]
-PAIRS = "b long, a long, nb long, na long, doc long, more boolean, lines binary"
+    y, x, apart = y[keep], x[keep], apart[keep]
+    # one row per member: its candidates by distance, each once
+    order = np.lexsort((e["id"][x], apart, e["id"][y]))
+    y, x, apart = y[order], x[order], apart[order]
+    b, a = e["id"][y], e["id"][x]
+    again = np.lexsort((np.arange(len(b)), a, b))
+    once = np.ones(len(b), bool)
+    once[again[1:]] = (b[again][1:] != b[again][:-1]) | (a[again][1:] != a[again][:-1])
+    y, x, apart, b, a = y[once], x[once], apart[once], b[once], a[once]
+    head = np.append(True, b[1:] != b[:-1]) if len(b) else np.zeros(0, bool)
+    near = np.flatnonzero(head)
+    cut = pa.array(np.append(0, np.cumsum(np.diff(np.append(near, len(b))) - 1)), pa.int32())
+    # groups in which a member stopped early
+    stopped = np.flatnonzero(found >= FIRST)
+    stopped = stopped[np.isin(e["id"][stopped], b)]
+    stopped = stopped[np.argsort(e["id"][stopped], kind="stable")]
+    edge = np.searchsorted(e["id"][stopped], np.append(b[near], np.iinfo(np.int64).max))
+    members = _rows(len(near), bucket=pa.array(np.full(len(near), bucket), pa.int32()), b=pa.array(b[near]), a=pa.array(a[near]),
+                    nb=pa.array(e["n"][y[near]]), na=pa.array(e["n"][x[near]]), apart=pa.array(apart[near], pa.int64()),
+                    rest=pa.ListArray.from_arrays(cut, pa.array(a[~head])), rest_n=pa.ListArray.from_arrays(cut, pa.array(e["n"][x[~head]])),
+                    more=pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(k[stopped].astype(np.int64))))
+    return pa.concat_tables([members, _rows(len(gone), b=pa.array(gone))])
+
+
+KINDS = {"bucket": pa.int32(), "b": pa.int64(), "a": pa.int64(), "nb": pa.int64(), "na": pa.int64(), "apart": pa.int64(),
+         "rest": pa.list_(pa.int64()), "rest_n": pa.list_(pa.int64()), "more": pa.list_(pa.int64()), "lines": pa.binary()}
+PAIRS = ("bucket int, b long, a long, nb long, na long, apart long, rest array<long>, rest_n array<long>, more array<long>, lines binary")
+
+
+def _rows(n: int, **cols: pa.Array) -> pa.Table:
+    return pa.table([cols[c].cast(t) if c in cols else pa.nulls(n, t) for c, t in KINDS.items()], list(KINDS))
 
 
 def _sets_of(batch: pa.RecordBatch, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -354,42 +383,35 @@ def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         [pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["cell", "v", "keys"])
 
 
-def _verified(pairs: DataFrame, packs: DataFrame, cells: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, packs: DataFrame, number: F.Column, name: str) -> DataFrame:
     """The members b that have a verified candidate a."""
-    dealt = stage(pairs.select("a", "b", "na", "nb").distinct().withColumn(
-        "cell", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int")), name)
+    pairs = stage(pairs.select("a", "b", "na", "nb").distinct(), name)
+    cells = max(8, -(-(pairs.agg(F.sum("nb")).first()[0] or 0) * 16 // CELL_BYTES))
+    dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int"))
     want = dealt.select("cell", F.col("b").alias("v")).unionByName(dealt.select("cell", F.col("a").alias("v"))).distinct()
-    number = F.shiftright("block", 40) * F.lit(1 << 18) + F.shiftright("block", 20).bitwiseAND(0x3FFFF)
     sets = packs.select(number.alias("bn"), "payload").groupBy("bn").cogroup(
         want.withColumn("bn", F.shiftright("v", IDX)).groupBy("bn")).applyInArrow(_fetch, "cell int, v long, keys binary")
     common = dealt.groupBy("cell").cogroup(sets.groupBy("cell")).applyInArrow(_overlap, "a long, b long, common long")
-    return dealt.join(common, ["a", "b"]).filter((NUM + DEN) * F.col("common") >= NUM * (F.col("na") + F.col("nb"))).select("b").distinct()
-
-
-def _everything(payload_rows: DataFrame) -> DataFrame:
-    """All entries as plain rows."""
-    names = ["bucket", "key", "id", "n", "place", "doc"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, p in zip(*(c.to_pylist() for c in b.columns)):
-                e = _read_entries([p])
-                e["bucket"] = np.full(len(e["key"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(e[c].astype(np.int64) if e[c].dtype != U else e[c].view(np.int64)) for c in names], names)
-
-    return payload_rows.select("bucket", "payload").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _all_pairs_of(rows: DataFrame, open_ids: DataFrame) -> DataFrame:
-    """Every earlier candidate of the members in ``open_ids``."""
-    y = rows.join(open_ids.select(F.col("b").alias("id")), "id", "left_semi").select(
-        "bucket", "key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "place", "doc")])
-    near, ny, nx = rows.join(y, ["bucket", "key"]), F.col("y_n"), F.col("n")
-    need = F.ceil(F.lit(NUM) * (ny + nx) / F.lit(NUM + DEN))
-    most = F.least("y_place", "place") + F.least(ny - F.col("y_place"), nx - F.col("place"))
-    before = F.struct("doc", "id") < F.struct(F.col("y_doc").alias("doc"), F.col("y_id").alias("id"))
-    return near.filter(before & (DEN * F.least(ny, nx) >= NUM * F.greatest(ny, nx)) & (most >= need)) \
-        .select(F.col("y_id").alias("b"), F.col("id").alias("a"), ny.alias("nb"), nx.alias("na")).distinct()
+    good = dealt.join(common, ["a", "b"]).filter((NUM + DEN) * F.col("common") >= NUM * (F.col("na") + F.col("nb")))
+    return stage(good.select("b").distinct(), name)
+
+
+def _further(entries: pa.Table, asked: pa.Table) -> pa.Table:
+    """Every earlier candidate of the asked members in the asked groups of a bucket."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    if asked.num_rows and entries.num_rows:
+        e = _read_entries(entries.column("payload").to_pylist())
+        want_key, want_id = asked.column("key").to_numpy(), asked.column("b").to_numpy()
+        lo, hi = (np.searchsorted(e["key"], want_key.astype(e["key"].dtype), side) for side in ("left", "right"))
+        for a, z, b in zip(lo.tolist(), hi.tolist(), want_id.tolist()):
+            for y in (a + np.flatnonzero(e["id"][a:z] == b)).tolist():
+                for at in range(a, y, 1 << 20):
+                    x = np.arange(at, min(y, at + (1 << 20)))
+                    x = x[_pass(e, np.full(len(x), y), x)[0]]
+                    for c, v in zip(out, (e["id"][x], np.full(len(x), b), e["n"][x], np.full(len(x), e["n"][y]))):
+                        c.append(v)
+    cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
+    return pa.table(cols, ["a", "b", "na", "nb"])
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, removed array<int>"
@@ -422,19 +444,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: lines with a word, lines that go, and their numbers (from 0)."""
     packs = pack(docs, "line-packs", id_col, text_col, level=6)
     bits = bucket_bits(packs)
+    width, number = _numbers(packs)
     levels = answer(ask(packs, bits, _ask_words(bits)), _levels)
-    entries = join_replies(packs, levels, _spread(bits), "bucket int, payload binary")
-    found = stage(entries.groupBy("bucket").applyInArrow(_candidates, PAIRS), "line-pairs")
-    gone = found.filter("b is not null and a is null").select("b")
-    pairs = found.filter("a is not null").join(gone, "b", "left_anti")
-    pairs = stage(pairs.groupBy("b", "a", "nb", "na").agg(F.bool_or("more").alias("more")), "line-near")
-    size = pairs.agg(F.sum("nb")).first()[0] or 0
-    cells = max(8, -(-size * 16 // CELL_BYTES))
-    near = stage(_verified(pairs, packs, cells, "line-first"), "line-gone")
+    entries = stage(join_replies(packs, levels, _spread(bits, width), "bucket int, payload binary"), "line-entries")
+    found = stage(entries.groupBy("bucket").applyInArrow(_candidates, PAIRS), "line-found")
+    gone = found.filter("b is not null and a is null and lines is null").select("b")
+    cands = found.filter("a is not null").drop("lines").join(gone, "b", "left_anti")
+
+    nearest = cands.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("apart", "a")).alias("p")).select("b", "p.*")
+    near = _verified(nearest, packs, number, "line-nearest")
+    left = stage(cands.join(near, "b", "left_anti"), "line-left")
+    others = left.select("b", "nb", F.explode(F.concat(F.array(F.struct("a", F.col("na").alias("n"))), F.transform(
+        F.arrays_zip("rest", "rest_n"), lambda z: F.struct(z["rest"].alias("a"), z["rest_n"].alias("n"))))).alias("p"))
+    others = others.select("b", "nb", "p.a", F.col("p.n").alias("na")).join(nearest.select("a", "b"), ["a", "b"], "left_anti")
     gone = gone.unionByName(near)
-    open_ids = stage(pairs.filter("more").select("b").distinct().join(near, "b", "left_anti"), "line-open")
-    if open_ids.limit(1).count():
-        last = _all_pairs_of(_everything(entries.filter("bucket >= 0")), open_ids)
-        gone = gone.unionByName(stage(_verified(last, packs, cells, "line-second"), "line-gone"))
-    rows = found.filter("lines is not null").select(F.col("doc").alias("bn"), "lines")
+    if left.limit(1).count():
+        near = _verified(others, packs, number, "line-others")
+        gone = gone.unionByName(near)
+        open_ = stage(left.filter(F.size("more") > 0).join(near, "b", "left_anti")
+                      .select("bucket", "b", F.explode("more").alias("key")).distinct(), "line-open")
+        if open_.limit(1).count():
+            last = entries.filter("bucket >= 0").groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(
+                _further, "a long, b long, na long, nb long")
+            gone = gone.unionByName(_verified(last, packs, number, "line-further"))
+    rows = found.filter("lines is not null").select(F.col("b").alias("bn"), "lines")
     return rows.groupBy("bn").cogroup(gone.distinct().withColumn("bn", F.shiftright("b", IDX)).groupBy("bn")).applyInArrow(_lines, RESULT)
