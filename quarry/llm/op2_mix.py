@@ -11,8 +11,9 @@ The cut point is found through two 256-way histograms, so no task ever holds a w
 Whole documents only; a source ends within half a document of its target (its last one).
 
 Defined results: null or empty texts have size 0 and are taken 0 words; sources sort by code
-point with null last; sources with no words get target 0; equal ids get separate rows; an
-empty table gives an empty result.  Only the named columns are read.
+point with null last; sources with no words get target 0; every row is sampled by itself, equal rows
+(same id, text and source) too: at the cut so many of them are taken as the target needs; an empty table gives an empty
+result.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import indexed, stage
+from .staging import free, indexed, numbered, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -61,20 +62,8 @@ def _cut(hist: DataFrame, slot: str) -> DataFrame:
         .select("_sid", F.col(f"_m.{slot}").alias(slot), F.col("_m.need").alias("need"))
 
 
-def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", max_epochs: float = MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """One row per document: size, its source's size and target, and the words taken.
-
-    ``weights`` maps one row per source to the same rows with a ``weight`` column.
-    """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text"))
-    rows = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                    F.col(text_col).alias("_text"))
-        .select("doc_id", "source", word_count(F.col("_text")).alias("size"),
-                F.shiftrightunsigned(key, 56).cast("int").alias("_hi"),
-                F.shiftrightunsigned(key, 48).bitwiseAND(255).cast("int").alias("_lo"),
-                key.alias("_key")), "mix-rows")
+def _planned(rows: DataFrame, weights, max_epochs: float) -> DataFrame:
+    """Adds source_size, target and copies to staged rows (_rid, doc_id, source, size, _hi, _lo, _key)."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     src = weights(stage(per, "mix-sources"))
     src = stage(src, "mix-weights")
@@ -93,34 +82,61 @@ def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_co
     in_hi = rows.join(hi, ["_sid", "_hi"])
     lo = stage(_cut(in_hi.groupBy("_sid", "_hi", "_lo").agg(F.sum("size").alias("_size"), F.first("need").alias("need")), "_lo")
                .join(hi.select("_sid", "_hi"), "_sid"), "mix-lo")
-    # documents of that last slot, about 1 in 65,536 of the source, in hash order
-    last = rows.join(lo, ["_sid", "_hi", "_lo"])
+    # that last slot, about 1 in 65,536 of the source, in hash order; equal rows are one group of it, and of a group
+    # so many rows are taken as end nearest to the target
+    group = ["_sid", "_key", "doc_id", "size"]
+    last = stage(rows.join(lo, ["_sid", "_hi", "_lo"]), "mix-last")
+    groups = last.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.first("need").alias("_left"))
     w = Window.partitionBy("_sid").orderBy("_key", "doc_id", "size")
-    last = last.withColumn("_run", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))) \
-        .withColumn("_run", F.coalesce("_run", F.lit(0)))
-    # whole documents: take the one at the edge when that ends nearer to the target
-    edge = stage(last.filter(F.col("need") - F.col("_run") >= F.col("size") / 2)
-                 .groupBy("_sid").agg(F.max(F.struct("_key", "doc_id", "size")).alias("_edge")), "mix-edge")
+    before = F.coalesce(F.sum(F.col("size") * F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = F.floor((F.col("_left") - before) / F.col("size") + F.lit(0.5))
+    take = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("_n"), fits))).otherwise(0).cast("long")
+    groups = stage(groups.withColumn("_take", take).select(*[F.col(c).alias(f"_g{c}") for c in group], "_n", "_take"), "mix-groups")
+    cond = [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in group]
+    last = last.join(groups, cond).select("_rid", "_sid", "_n", "_take")
+    cut_group = last.filter("_take > 0 AND _take < _n")  # one group of a source at most
+    ranked = indexed(cut_group, [F.col("_sid"), F.col("_rid")], "mix-ranked", out="_at")
+    start = ranked.groupBy("_sid").agg(F.min("_at").alias("_from"))
+    some = ranked.join(start, "_sid").filter(F.col("_at") - F.col("_from") < F.col("_take")).select("_rid")
+    picked = stage(last.filter("_take = _n").select("_rid").unionByName(some), "mix-picked").withColumn("_picked", F.lit(True))
+
     cut = src.select("_sid", F.col("source_size"), "target", "whole", "need") \
-        .join(lo.select("_sid", F.col("_hi").alias("_chi"), F.col("_lo").alias("_clo")), "_sid", "left") \
-        .join(edge, "_sid", "left")
-    here = F.struct("_key", "doc_id", "size")
-    extra = (F.col("need") > 0) & (
-        F.col("_chi").isNull()
-        | (F.col("_hi") < F.col("_chi"))
-        | ((F.col("_hi") == F.col("_chi")) & ((F.col("_lo") < F.col("_clo"))
-                                             | ((F.col("_lo") == F.col("_clo")) & F.col("_edge").isNotNull()
-                                                & (here <= F.col("_edge"))))))
-    copies = F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(int(max_epochs)))
-    return rows.join(stage(cut, "mix-cut"), "_sid").select(
-        "doc_id", "source", "size", "source_size", "target",
-        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it.  Rows
-    that share an id are taken equally often, as the most taken of them."""
-    cols = docs.columns
-    plan = mix(docs, id_col=id_col, **kw).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_n")).filter("_mix_n > 0")
-    return (docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]))
-            .withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*cols))
+        .join(lo.select("_sid", F.col("_hi").alias("_chi"), F.col("_lo").alias("_clo")), "_sid", "left")
+    full = rows.join(stage(cut, "mix-cut"), "_sid")
+    here = F.coalesce((F.col("_hi") == F.col("_chi")) & (F.col("_lo") == F.col("_clo")), F.lit(False))
+    below = F.col("_chi").isNull() | (F.col("_hi") < F.col("_chi")) | ((F.col("_hi") == F.col("_chi")) & (F.col("_lo") < F.col("_clo")))
+    out = full.filter(~here).withColumn("_extra", (F.col("need") > 0) & below).unionByName(
+        full.filter(here).join(picked, "_rid", "left").withColumn("_extra", F.coalesce("_picked", F.lit(False))).drop("_picked"))
+    copies = F.least(F.col("whole") + F.col("_extra").cast("int"), F.lit(int(max_epochs)))
+    return out.select("_rid", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
+                      (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, rid: Column) -> DataFrame:
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text"))
+    return stage(
+        docs.select(rid.alias("_rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
+        .select("_rid", "doc_id", "source", word_count(F.col("_text")).alias("size"),
+                F.shiftrightunsigned(key, 56).cast("int").alias("_hi"),
+                F.shiftrightunsigned(key, 48).bitwiseAND(255).cast("int").alias("_lo"),
+                key.alias("_key")), "mix-rows")
+
+
+def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", max_epochs: float = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """One row per document: size, its source's size and target, and the words taken.
+
+    ``weights`` maps one row per source to the same rows with a ``weight`` column.
+    """
+    rows = _sized(docs, id_col, text_col, source_col, seed, F.monotonically_increasing_id())
+    return _planned(rows, weights, max_epochs).drop("_rid")
+
+
+def apply_mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text",
+              source_col: str = "source", max_epochs: float = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it, decided row by row."""
+    held, row = numbered(docs, "mix-docs")
+    plan = _planned(_sized(held, id_col, text_col, source_col, seed, F.col(row)), weights, max_epochs)
+    n, i = free(held, "_copies"), free(held, "_copy")
+    plan = plan.filter("copies > 0").select(F.col("_rid").alias(row), F.col("copies").alias(n))
+    return held.join(plan, row).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -22,6 +22,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__`` .. that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` staged with a number for each row, and the name of that column (none that ``df`` has)."""
+    col = free(df, "_row_id")
+    return stage(df.withColumn(col, F.monotonically_increasing_id()), name), col
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 
