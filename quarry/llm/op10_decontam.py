@@ -13,7 +13,9 @@ Test items are handled in blocks of at most ``BLOCK_WORDS`` words: a block is th
 sent to the executors, whatever the benchmark's size, and each block sees all documents.
 
 Defined results: null or empty texts and items match nothing; items shorter than three words
-are seeded with their whole word sequence; equal items each report; repeated rows each report.
+are seeded with their whole word sequence; equal items, and items that share an id, each report; repeated
+rows each report; null ids of documents and items are reported as null.  A document is read by one task, so its
+windows are gathered to one row per item there, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,16 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textnp as tn
-from .staging import empty, indexed, stage
+from .staging import empty, indexed, numbered, stage
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
-HITS = "doc_id long, item_id long, score double, start long, end long"
+HITS = "doc_id long, item_id long, score double, first_word long, end_word long, n_passages long"
 
 
 def _windows(w: tn.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,17 +165,23 @@ def _matches(docs: DataFrame, block, lengths: list[int], min_score: float) -> Da
                 at = np.repeat(at, n)
                 d, it, s, x, y = _score(w, w.doc()[at], at, v["item"][ref], v["pos"][ref], item, min_score)
                 if len(d):
+                    # the best passage of each document and item, the first of equals, and their number
+                    order = np.lexsort((x, -s, it, d))
+                    d, it, s, x, y = (c[order] for c in (d, it, s, x, y))
+                    head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (it[1:] != it[:-1])))
+                    n = np.diff(np.append(head, len(d)))
+                    d, it, s, x, y = (c[head] for c in (d, it, s, x, y))
                     ids = b.column(0).slice(lo, hi - lo).take(pa.array(d))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(v["ids"][it]), pa.array(s), pa.array(x - w.first[d]),
-                         pa.array(y - w.first[d])], ["doc_id", "item_id", "score", "start", "end"])
+                        [ids, v["ids"].take(pa.array(it)), pa.array(s), pa.array(x - w.first[d]), pa.array(y - w.first[d]), pa.array(n)],
+                        [f.split()[0] for f in HITS.split(", ")])
 
     return docs.mapInArrow(run, HITS)
 
 
 def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per document and test item that align: best score and the word span it covers."""
+    """One row per document row and test item that align: best score, the word span it covers, and how many passages."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")) \
@@ -202,13 +209,10 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         keys, of, at = keys[order], of[order], at[order]
         seed, first = np.unique(keys, return_index=True)
         value = {"seed": seed, "cut": np.append(first, len(keys)), "item": of, "pos": at - w.first[of],
-                 "ids": np.array([-1 if r["item_id"] is None else r["item_id"] for r in held], np.int64),
+                 "ids": pa.array([r["item_id"] for r in held], pa.int64()),
                  "hash": w.hash, "first": w.first}
         out = out.unionByName(_matches(rows, spark.sparkContext.broadcast(value), lengths, min_score))
-    best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("_b"), F.count(F.lit(1)).alias("n_passages")).select(
-        "doc_id", "item_id", F.col("_b.score").alias("score"), F.col("_b.start").alias("first_word"),
-        F.col("_b.end").alias("end_word"), "n_passages")
+    return out
 
 
 def _medians(of: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
@@ -222,9 +226,11 @@ def _medians(of: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return mid
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the rows that hold a test item (all columns, null ids stay).  Decided by row:
-    of rows that share an id only those that hold an item go."""
-    rows = stage(docs.withColumn("_row_id", F.monotonically_increasing_id()), "bench-rows")
-    bad = find(rows, bench, id_col="_row_id", **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return rows.join(bad, (rows["_row_id"] == bad["_bad"]) & rows[id_col].isNotNull(), "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", keep_null_ids: bool = True, **kw) -> DataFrame:
+    """``docs`` without the rows that hold a test item (all columns).  Decided by row: of rows that share an id
+    only those that hold an item go.  Rows without an id stay, or are decided like any others."""
+    rows, row = numbered(docs, "bench-rows")
+    bad = find(rows, bench, id_col=row, **kw).select(F.col("doc_id").alias(row)).distinct()
+    if keep_null_ids:
+        bad = bad.join(rows.filter(F.col(id_col).isNotNull()).select(row), row, "left_semi")
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

@@ -35,7 +35,7 @@ from . import textnp as tn
 from .components import components, join_components
 from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_u32, join_replies, pack, put_u32, squeeze,
                     unframe, unsqueeze)
-from .staging import stage
+from .staging import numbered, stage
 
 SHINGLE = 4
 PERCENT = 85
@@ -278,10 +278,11 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` with one row of each component (all columns): that of the smallest id, null ids last.
     Decided by row: rows that repeat an id or have none count like any others."""
-    rows = stage(docs.withColumn("_row_id", F.monotonically_increasing_id()), "ngram-rows")
-    comp = stage(link(rows, id_col="_row_id", **kw).select(F.col("doc_id").alias("_row_id"), "component_id"), "ngram-kept")
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row_id").alias("row"))
-    first = (comp.join(rows.select("_row_id", F.col(id_col).alias("_id")), "_row_id").groupBy("component_id")
-             .agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("component_id", F.col("b.row").alias("_keep")))
-    gone = comp.join(first, "component_id").filter("_row_id != _keep").select("_row_id")
-    return rows.join(gone, "_row_id", "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "ngram-rows")
+    comp = stage(link(rows, id_col=row, **kw).select(F.col("doc_id").alias("r"), "component_id"), "ngram-kept")
+    ids = rows.select(F.col(row).alias("r"), F.col(id_col).alias("id"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("r").alias("row"))
+    first = (comp.join(ids, "r").groupBy("component_id")
+             .agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("component_id", F.col("b.row").alias("keep")))
+    gone = comp.join(first, "component_id").filter("r != keep").select(F.col("r").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
