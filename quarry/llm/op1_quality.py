@@ -18,13 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textnp as tn
 
-#: fixed values: largest share of word characters inside repeated windows of n words, and
+#: fixed values: published limits of the share of word characters inside repeated windows of n words, and
 #: inside repeated lines
-MAX_SHARE = {5: 0.45, 6: 0.43, 7: 0.41, 8: 0.39, 9: 0.37, 10: 0.35}
-MAX_LINE_SHARE = 0.30
+PUBLISHED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+PUBLISHED_LINES = 0.20
+#: the limits used: those of ``fit_limits`` on the 0.1 tables, rounded up to hundredths
+MAX_SHARE = {5: 0.22, 6: 0.22, 7: 0.22, 8: 0.22, 9: 0.22, 10: 0.10}
+MAX_LINE_SHARE = 0.20
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
@@ -131,3 +135,15 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield part.filter(pa.array(measures(part.column(at))["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def fit_limits(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, most: int = 20_000, id_col: str = "doc_id",
+               text_col: str = "text") -> dict[str, float]:
+    """Limits that leave labelled good documents alone: per measure the ``quantile`` of those that pass the base rule,
+    or the published limit where that is larger.  Fitted on ``most`` labelled rows at most, those with the smallest hash."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct() \
+        .orderBy(F.xxhash64("_good"), "_good").limit(most)
+    sample = docs.join(good, docs[id_col] == good["_good"], "left_semi")
+    names = ["dup_line_share", *SHARES]
+    row = measure(sample, id_col, text_col).filter("NOT base_failed").agg(*[F.percentile(c, quantile).alias(c) for c in names]).first()
+    return {c: max(low, row[c] or 0.0) for c, low in zip(names, [PUBLISHED_LINES, *PUBLISHED.values()])}
