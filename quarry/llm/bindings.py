@@ -66,7 +66,7 @@ def _op9(t):
     """Own and inherited licences."""
     # documents have no path: source and language are directories, in shelves of 1,000 ids
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")
-    return op9_licenses.scan(t.documents, F.concat_ws("/", "source", "lang", shelf, F.col("doc_id").cast("string")))
+    return op9_licenses.scan(t.documents, F.concat_ws("/", "source", "lang", shelf, F.col("doc_id").cast("string")), short_files=True)
 
 
 @REG.query("op10_decontaminate")

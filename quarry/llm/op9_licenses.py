@@ -14,7 +14,8 @@ directory, by a join of the distinct directories' ancestors.
 
 DataFrame functions only.  Defined results: null or empty texts have no own licence but may
 inherit; ties go to the licence first by name, and among a directory's files to the best score,
-then the first path; repeated rows each report; a null path has no directory.
+then the first path; repeated rows each report; a null path has no directory; the directory of a path without a
+slash is the root, an ancestor of all others.
 """
 
 from __future__ import annotations
@@ -150,15 +151,17 @@ def own_licence(rows: DataFrame, seen: DataFrame, n_docs: int, idf: dict[str, fl
 def inherited(dirs: DataFrame, given: DataFrame) -> DataFrame:
     """(dir, licence, from_dir) of the nearest ancestor-or-self of each directory in ``given``."""
     part = F.split("dir", "/")
-    up = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(part))).alias("depth")) \
+    up = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(part))).alias("depth")) \
         .withColumn("from_dir", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
     near = up.join(given, "from_dir").groupBy("dir").agg(F.max(F.struct("depth", "licence", "from_dir")).alias("b"))
     return near.select("dir", F.col("b.licence").alias("licence"), F.col("b.from_dir").alias("from_dir"))
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text",
-         min_cosine: float = MIN_COSINE) -> DataFrame:
-    """One row per document: own licence and score, the licence that holds, and where it is from."""
+         min_cosine: float = MIN_COSINE, short_files: bool = False) -> DataFrame:
+    """One row per document: own licence and score, the licence that holds, and where it is from (a directory; the root is
+    empty).  ``short_files``: the paths are made up and tell no file names, so a document of under ``FILE_WORDS`` words
+    with a statement stands for a licence file too."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("_text"))
     seen = stage(document_frequencies(base, text), "licence-frequencies")
@@ -169,8 +172,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     few = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) < FILE_WORDS
     rows = stage(base.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", "path",
-        F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
-        (F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE) | F.coalesce(few, F.lit(True))).alias("is_file"),
+        F.regexp_replace("path", "(^|/)[^/]*$", "").alias("dir"),
+        (F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE) | (F.lit(short_files) & F.coalesce(few, F.lit(True)))).alias("is_file"),
         lines.alias("lines"), F.when(text.rlike(cue), F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("terms"))
         .withColumn("spans", F.when(F.col("terms").isNotNull(), windows(F.col("terms"), idf, min_cosine)))
         .withColumn("units", F.concat(
