@@ -6,9 +6,10 @@ sums of their lengths are the spans.  Candidate values travel as SHA-256 only.
 
 Ownership: per value, the distinct repositories and owners over the whole corpus, aggregated
 value-owner-repository first, so a value that sits in a third of all rows shrinks before any
-shuffle by value.  A value held by ``COPIED_OWNERS`` owners or more is a widely copied example;
-one held by fewer looks live.  Base kinds are always reported; the added kinds only where the
-value looks live, since samples and test vectors are what makes such patterns noisy.
+shuffle by value.  Each span gets a label: ``copied`` if ``COPIED_OWNERS`` owners or ``COPIED_REPOS`` repositories or more hold its
+value (a widely copied example, also inside one owner's forks), ``placeholder`` if the value itself says so (few different
+characters, or a word such as "example"), else ``live``: owner-specific.  Base kinds are always reported; the added kinds only
+where the value is live, since samples and test vectors are what makes such patterns noisy.
 
 Defined results: a null or empty text has no spans; null owners count as one owner; repeated
 rows are scanned each; overlapping kinds are each reported.  Only named columns are read.
@@ -32,23 +33,30 @@ KINDS = [
 ]
 BASE = 3
 ASSIGN_MIN = 6
-COPIED_OWNERS = 3
+COPIED_OWNERS, COPIED_REPOS = 3, 4
+#: fixed values: what marks a value as a placeholder
+PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your[_-]|x{4,}|[.]{3}"
+MIN_CHARACTERS = 5
+
+
+def placeholder(value: Column) -> Column:
+    return value.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(value, ""))) < MIN_CHARACTERS)
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
-    """Array of (gap before, length, value length, value hash), one per match."""
+    """Array of (gap before, length, value length, value hash, placeholder), one per match."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), match.alias("m"), value.alias("v"))
     rows = F.transform(zipped, lambda z: F.struct(
         F.length(z["p"]).alias("gap"), F.length(z["m"]).alias("len"), F.length(z["v"]).alias("vlen"),
-        F.sha2(z["v"], 256).alias("value")))
+        F.sha2(z["v"], 256).alias("value"), placeholder(z["v"]).alias("fake")))
     # the last piece has no match after it
     return F.when(text.rlike(pattern), F.slice(rows, 1, F.size(match)))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(rid, kind number, start, end, value, owner, repo) of every match; end is exclusive."""
+    """(rid, kind number, start, end, value, fake, owner, repo) of every match; end is exclusive."""
     each = None
     for k, (name, _, _) in enumerate(KINDS):
         part = rows.filter(F.col(name).isNotNull()).select(
@@ -58,7 +66,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     upto = F.sum(F.col("m.gap") + F.col("m.len")).over(w)
     return (each.withColumn("end", upto).withColumn("start", F.col("end") - F.col("m.len"))
             .filter((F.col("kind") != 0) | (F.col("m.vlen") >= ASSIGN_MIN))
-            .select("rid", "kind", "start", "end", F.col("m.value").alias("value"), "owner", "repo"))
+            .select("rid", "kind", "start", "end", F.col("m.value").alias("value"), F.col("m.fake").alias("fake"), "owner", "repo"))
 
 
 def ownership(cands: DataFrame) -> DataFrame:
@@ -76,9 +84,17 @@ def _joined(spans: Column, last: int) -> Column:
     return F.array_join(part, ",")
 
 
+def labelled(cands: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """``cands`` with ``label``.  Only the copied values are joined back, one row each; Spark may split a value's rows."""
+    copied = ownership(cands).filter((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)) \
+        .select("value", F.lit(True).alias("copied"))
+    label = F.when(F.col("copied"), "copied").when(F.col("fake"), "placeholder").otherwise("live")
+    return cands.join(copied, "value", "left").withColumn("label", label)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None,
-         repo: Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """One row per document: base counts and digest, all spans, and how many look live."""
+         repo: Column | None = None, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """One row per document: base counts and digest, all spans, their labels, and how many look live."""
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     text = F.coalesce(F.col("_text"), F.lit(""))
@@ -87,10 +103,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo",
                              *[_found(text, p, g).alias(k) for k, p, g in KINDS]), "secret-rows")
     cands = stage(candidates(rows), "secret-candidates")
-    kept = cands.join(ownership(cands), "value").filter((F.col("kind") < BASE) | (F.col("n_owners") < copied_owners))
+    kept = labelled(cands, copied_owners, copied_repos).filter((F.col("kind") < BASE) | (F.col("label") == "live"))
     spans = kept.groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"),
-        F.count_if(F.col("n_owners") < copied_owners).alias("n_live"))
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "label"))).alias("spans"),
+        F.count_if(F.col("label") == "live").alias("n_live"))
     out = rows.select("rid", "doc_id").join(spans, "rid", "left")
 
     def count(kind: int) -> Column:
@@ -99,5 +115,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     listed = F.coalesce(_joined(F.col("spans"), len(KINDS)), F.lit(""))
     return out.select(
         "doc_id", *[F.when(F.col("spans").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE)],
-        F.sha2(F.coalesce(_joined(F.col("spans"), BASE), F.lit("")), 256).alias("base_sha256"),
-        listed.alias("spans"), F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"))
+        F.sha2(F.coalesce(_joined(F.col("spans"), BASE), F.lit("")), 256).alias("base_sha256"), listed.alias("spans"),
+        F.coalesce(F.array_join(F.transform("spans", lambda s: s["label"]), ","), F.lit("")).alias("labels"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"))

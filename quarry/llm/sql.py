@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 
 from .op1_quality import MAX_LINE_SHARE, MAX_SHARE, MIN_WORDS, SHARES
-from .op5_secrets import ASSIGN_MIN, BASE, COPIED_OWNERS, KINDS
+from .op5_secrets import ASSIGN_MIN, BASE, COPIED_OWNERS, COPIED_REPOS, KINDS, MIN_CHARACTERS, PLACEHOLDER
 from .op8_ngram_join import PERCENT, SHINGLE
 from .op12_prefix_trie import HEADS, SHELF
 from .op13_simplex_clusters import DIMS, K, ROUNDS, SCALE
@@ -59,28 +59,31 @@ def secrets() -> str:
     for k, (kind, pattern, group) in enumerate(KINDS):
         p = _pattern(kind, pattern)
         parts.append(f"""
-m{k} AS (SELECT doc_id, owner, p, m, v FROM (
-  SELECT doc_id, owner, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v
+m{k} AS (SELECT doc_id, owner, repo, p, m, v FROM (
+  SELECT doc_id, owner, repo, string_split_regex(text, '{p}') AS p, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v
   FROM d WHERE regexp_matches(text, '{p}'))),
-s{k} AS (SELECT doc_id, owner, i, length(p[i]) AS gap, length(m[i]) AS len, v[i] AS value FROM m{k}, unnest(range(1, len(m) + 1)) t(i)),
-e{k} AS (SELECT doc_id, owner, {k} AS kind, '{kind}' AS name, value, len,
+s{k} AS (SELECT doc_id, owner, repo, i, length(p[i]) AS gap, length(m[i]) AS len, v[i] AS value FROM m{k}, unnest(range(1, len(m) + 1)) t(i)),
+e{k} AS (SELECT doc_id, owner, repo, {k} AS kind, '{kind}' AS name, value, len,
                 CAST(sum(gap + len) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM s{k})""")
         cands.append(f"SELECT * FROM e{k}" + (f" WHERE length(value) >= {ASSIGN_MIN}" if kind == "assign" else ""))
     one = "name || ':' || (stop - len) || ':' || stop"
     order = "(stop - len) * 8 + kind"
+    fake = f"regexp_matches(value, '{PLACEHOLDER}') OR len(list_distinct(string_split(value, ''))) < {MIN_CHARACTERS}"
     counts = ", ".join(f"coalesce(count(*) FILTER (WHERE kind = {k}), 0) AS n_{KINDS[k][0]}" for k in range(BASE))
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 {','.join(parts)},
 c AS ({' UNION ALL '.join(cands)}),
-o AS (SELECT value, count(DISTINCT owner) AS n_owners FROM c GROUP BY value),
-k AS (SELECT c.*, n_owners FROM c JOIN o USING (value) WHERE kind < {BASE} OR n_owners < {COPIED_OWNERS}),
+o AS (SELECT value, count(DISTINCT owner) >= {COPIED_OWNERS} OR count(DISTINCT (owner, repo)) >= {COPIED_REPOS} AS copied FROM c GROUP BY value),
+a AS (SELECT c.*, CASE WHEN copied THEN 'copied' WHEN {fake} THEN 'placeholder' ELSE 'live' END AS label FROM c JOIN o USING (value)),
+k AS (SELECT * FROM a WHERE kind < {BASE} OR label = 'live'),
 g AS (SELECT doc_id, {counts},
              string_agg({one}, ',' ORDER BY {order}) FILTER (WHERE kind < {BASE}) AS base,
-             string_agg({one}, ',' ORDER BY {order}) AS spans, count(*) FILTER (WHERE n_owners < {COPIED_OWNERS}) AS n_live
+             string_agg({one}, ',' ORDER BY {order}) AS spans, string_agg(label, ',' ORDER BY {order}) AS labels,
+             count(*) FILTER (WHERE label = 'live') AS n_live
       FROM k GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f'coalesce(n_{KINDS[k][0]}, 0) AS n_{KINDS[k][0]}' for k in range(BASE))},
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(labels, '') AS labels, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN g USING (doc_id)
 """
 
