@@ -26,7 +26,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+    return op10_decontam.clean(docs, read_table(spark, sf_dir, "benchmark"), keep_null_ids=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
