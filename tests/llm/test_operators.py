@@ -71,7 +71,7 @@ def test_mix(spark, edge, docs):
             taken[s] += r["taken"]
             most[s] = max(most[s], r["size"])
         for s in per:
-            assert abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6 or s in (None,) or frame is edge
+            assert abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6
         assert rows_of(op2_mix.mix(frame), "doc_id", "size", "taken") == sorted(
             ((r["doc_id"], r["size"], r["taken"]) for r in got), key=repr)
 
