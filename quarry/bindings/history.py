@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..quality.history import (mean_last_runs, metrics_long, row_count_change, row_count_delta, run_delta,
                                slot_metrics, spc)
+from ..quality.moments import day_moments, merge_days, spc_of_days
+from ..session import scratch_path
 from . import Registry
 
 REG = Registry()
@@ -124,3 +126,44 @@ def _r19(t):
     auto = rows.select("dataset_path", "run_id", "run_timestamp", F.col("value").cast("long").alias("rows_written")) \
         .join(prof, ["dataset_path", "run_id", "run_timestamp"], "left")
     return _spc_out(spc(metrics_long(auto), days=30, z=3.0))
+
+
+HOURLY_SQL = """
+WITH m AS (SELECT event_type AS metric_name, date_trunc('hour', ts) AS t, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL)
+"""
+
+
+def hourly_metrics(t):
+    """One run an hour and event type: the value is its number of events."""
+    at = F.date_trunc("hour", "ts").alias("run_timestamp")
+    m = t.events.groupBy(at, F.col("event_type").alias("metric_name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return m.withColumns({"dataset_path": F.lit("bronze/events"), "run_id": F.date_format("run_timestamp", "yyyy-MM-dd'T'HH")})
+
+
+@REG.query("w2_spc_from_days", oracle=HOURLY_SQL + """,
+w AS (SELECT metric_name, t, value, avg(value) OVER x AS mean, stddev_pop(value) OVER x AS sd, count(value) OVER x AS points FROM m
+      WINDOW x AS (PARTITION BY metric_name ORDER BY t RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
+SELECT metric_name, t AS run_timestamp, value AS current_value, points, round(mean, 6) AS mean_30d, round(sd, 6) AS stddev_30d,
+       round((value - mean) / sd, 5) AS z_score, abs((value - mean) / sd) > 3.0 AS is_anomaly
+FROM w WHERE points >= 7 AND sd > 0 AND t >= (SELECT max(t) FROM m) - INTERVAL 72 HOUR
+""")
+def _w2d(t):
+    """The newest 72 hourly runs scored against ten days kept as one row of moments per day."""
+    path = scratch_path(t.spark, "w2d")
+    m = hourly_metrics(t)
+    day_moments(m).write.parquet(path)
+    newest = m.agg(F.max("run_timestamp").alias("top"))
+    new = m.join(newest, m.run_timestamp >= F.col("top") - F.expr("INTERVAL 72 HOURS")).drop("top")
+    out = spc_of_days(new, t.spark.read.parquet(path), m, days=10)
+    return out.select("metric_name", "run_timestamp", "current_value", "points", F.round("mean_30d", 6).alias("mean_30d"),
+                      F.round("stddev_30d", 6).alias("stddev_30d"), F.round("z_score", 5).alias("z_score"), "is_anomaly")
+
+
+@REG.query("r19_merged_days", oracle=HOURLY_SQL + """
+SELECT metric_name, date_trunc('week', t) AS week, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM m GROUP BY ALL
+""")
+def _r19m(t):
+    """Moments of weeks merged from the stored moments of their days."""
+    days = day_moments(hourly_metrics(t)).withColumn("week", F.date_trunc("week", F.col("day").cast("timestamp_ntz")))
+    g = merge_days(days, ["metric_name", "week"])
+    return g.select("metric_name", "week", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 6).alias("sd"))

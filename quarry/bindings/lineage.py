@@ -7,6 +7,7 @@ segment -> order priority (orders x customers); ``all_edges`` adds priority -> r
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lineage as L
@@ -119,3 +120,42 @@ def _l5(t):
     """Declared external inputs (page hosts) added as edges into bronze/pages."""
     hosts = t.pages.select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("src"))
     return L.declare_inputs(L.edges_from_tags(pipelines(t)), hosts, "bronze/pages")
+
+
+DAYS_SQL = """
+d AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders))
+"""
+
+
+def day_chain(t, ring: bool):
+    """Edges from each order day to the next, from each day to its month, and (``ring``) from the last day back to the first."""
+    day = t.orders.select(F.to_date("o_orderdate").alias("day")).distinct()
+    w = Window.orderBy("day")  # one row per calendar day
+    near = day.select(F.col("day"), F.lead("day").over(w).alias("next"))
+    name = lambda c: F.col(c).cast("string")
+    e = near.filter("next IS NOT NULL").select(name("day").alias("src"), name("next").alias("dst"))
+    e = e.unionByName(day.select(name("day").alias("src"), F.date_format("day", "yyyy-MM").alias("dst")))
+    if ring:
+        e = e.unionByName(day.agg(F.max("day").cast("string").alias("src"), F.min("day").cast("string").alias("dst")))
+    return e
+
+
+@REG.query("l2_reach_deep", oracle="WITH " + DAYS_SQL + """
+, s AS (SELECT k AS k0 FROM d WHERE day = (SELECT min(day) FROM d WHERE day >= DATE '1995-01-01')),
+r AS (SELECT day, (k - k0 + n) % n AS depth FROM d, s)
+SELECT CAST(day AS VARCHAR) AS name, CAST(depth AS INTEGER) AS depth FROM r WHERE depth > 0
+UNION ALL SELECT strftime(day, '%Y-%m'), CAST(min(depth) + 1 AS INTEGER) FROM r GROUP BY 1
+""")
+def _l2d(t):
+    """L2: a ring of all order days (some thousand hops) with a branch to each month, walked from the first day of 1995 by pointer jumping."""
+    start = t.orders.filter("o_orderdate >= '1995-01-01'").agg(F.min(F.to_date("o_orderdate")).cast("string")).first()[0]
+    return L.reach(day_chain(t, True), start).select("name", "depth")
+
+
+@REG.query("l4_levels_deep", oracle="WITH " + DAYS_SQL + """
+SELECT CAST(day AS VARCHAR) AS task, CAST(k - 1 AS INTEGER) AS level FROM d
+UNION ALL SELECT strftime(day, '%Y-%m'), CAST(max(k) AS INTEGER) FROM d GROUP BY 1
+""")
+def _l4d(t):
+    """L4: levels of a chain of all order days, each month one level after its last day."""
+    return L.task_levels(day_chain(t, False))

@@ -12,8 +12,11 @@ from ..quality.profile import profile
 from ..quality.rules import (Rule, AcceptedValues, CustomSql, Expression, MaxStaleness, NotFuture, NotNull,
                              NullRate, References, Regex, RowCount, RunContext, SchemaIs, SlotsComplete,
                              UniqueKey, Uniqueness, ValueRange, load_rules)
+from ..quality import sketches as SK
+from ..quality.key_index import KeyIndex
 from ..quality.slot import slot_quality, tag_reasons
 from ..session import TABLES
+from ..session import scratch_path
 from . import Registry
 
 REG = Registry()
@@ -620,3 +623,69 @@ def _f1(t):
         got = _eval(t.customer, load_rules({"rules": [most, *extra]}).rules).filter("rule_name = 'nation_most'")
         out = out.unionByName(got.withColumn("beside", F.lit(name)))
     return out
+
+
+@REG.query("a1_merged_sketches", oracle="""
+WITH r AS (SELECT 'first ten' AS span, 1 AS a, 10 AS b UNION ALL SELECT 'middle', 8, 23 UNION ALL SELECT 'all', 1, 31)
+SELECT span, count(*) AS rows, count(*) FILTER (WHERE event_type = 'error') AS nulls, true AS users_near, true AS events_near, count(DISTINCT day(ts)) AS slots
+FROM r JOIN events ON day(ts) BETWEEN a AND b GROUP BY span
+""")
+def _a1m(t):
+    """A1: HLL sketches kept per day and merged over ranges of days, against the exact counts of those days."""
+    path = scratch_path(t.spark, "a1m")
+    e = t.events.withColumn("kind", F.nullif("event_type", F.lit("error"))).withColumn("user", F.col("user_id").cast("string"))
+    SK.slot_sketches(e, F.to_date("ts"), ["user", "event_id", "kind"]).write.parquet(path)
+    spans = t.spark.createDataFrame([("first ten", 1, 10), ("middle", 8, 23), ("all", 1, 31)], "span string, a int, b int")
+    inside = lambda day: (F.col("a") <= F.dayofmonth(day)) & (F.col("b") >= F.dayofmonth(day))
+    stored = t.spark.read.parquet(path)
+    chosen = stored.join(spans, inside("slot"))
+    merged = SK.read_sketches(SK.merge_sketches(chosen.drop("a", "b", "slot"), ["span"]))
+    slots = chosen.groupBy("span").agg(F.count_distinct("slot").alias("slots"))
+    exact = e.join(spans, inside("ts")).groupBy("span").agg(F.count_distinct("user").alias("u"), F.count_distinct("event_id").alias("v"))
+    near = lambda est, true: F.abs(F.col(est) - F.col(true)) <= 1 + 0.04 * F.col(true)
+    return merged.join(exact, "span").join(slots, "span").select(
+        "span", "rows", F.col("nulls_kind").alias("nulls"), near("distinct_user", "u").alias("users_near"),
+        near("distinct_event_id", "v").alias("events_near"), "slots")
+
+
+@REG.query("a14_merged_quantiles", oracle="""
+SELECT l_returnflag, count(*) AS rows, 3 AS quantiles, true AS near FROM lineitem GROUP BY 1
+""")
+def _a14m(t):
+    """KLL sketches kept per ship year and flag, merged over the years: each estimate's true rank is within two percent."""
+    at = (0.5, 0.95, 0.99)
+    slot = F.concat_ws("/", "l_returnflag", F.year("l_shipdate").cast("string"))
+    path = scratch_path(t.spark, "a14m")
+    SK.slot_sketches(t.lineitem, slot, quantiles=["l_extendedprice"]).write.parquet(path)
+    stored = t.spark.read.parquet(path).withColumn("l_returnflag", F.split("slot", "/")[0]).drop("slot")
+    merged = SK.read_sketches(SK.merge_sketches(stored, ["l_returnflag"]), at).withColumnRenamed("rows", "n")
+    below = [(F.count_if(F.col("l_extendedprice") <= F.col("quantiles_l_extendedprice")[i]) / F.count(F.lit(1))).alias(f"r{i}") for i in range(3)]
+    ranks = t.lineitem.join(merged, "l_returnflag").groupBy("l_returnflag").agg(F.max("n").alias("rows"), F.first(F.size("quantiles_l_extendedprice")).alias("quantiles"), *below)
+    near = [F.abs(F.col(f"r{i}") - q) <= 0.02 for i, q in enumerate(at)]
+    return ranks.select("l_returnflag", "rows", "quantiles", (near[0] & near[1] & near[2]).alias("near"))
+
+
+@REG.query("r6_key_index", oracle="""
+WITH s AS (SELECT year(o_orderdate) AS y, o_orderkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'
+           UNION ALL SELECT year(o_orderdate) + 1, CASE WHEN o_orderkey % 70 = 0 THEN NULL ELSE o_orderkey END FROM orders WHERE o_orderkey % 10 = 0 AND o_orderdate < TIMESTAMP '1997-01-01'),
+f AS (SELECT k, min(y) AS y FROM s GROUP BY k)
+SELECT CAST(s.y AS VARCHAR) AS slot, count(*) AS rows, count(DISTINCT coalesce(s.k, -1)) AS slot_keys,
+       (SELECT count(*) FROM f WHERE f.y = s.y) AS new_keys, true AS few_lookups FROM s GROUP BY s.y
+UNION ALL SELECT 'table', count(*), NULL, count(DISTINCT coalesce(k, -1)), true FROM s
+""")
+def _r6i(t):
+    """Yearly slots checked one by one against a key index with a filter; a tenth of each year's keys (some NULL) come again the year after."""
+    o = t.orders.filter("o_orderdate < '1997-01-01'")
+    y = F.year("o_orderdate")
+    again = o.filter("o_orderkey % 10 = 0").select((y + 1).alias("y"), F.when(F.col("o_orderkey") % 70 != 0, F.col("o_orderkey")).alias("o_orderkey"))
+    rows = o.select(y.alias("y"), "o_orderkey").unionByName(again)
+    index = KeyIndex(t.spark, scratch_path(t.spark, "r6i"), "o_orderkey", buckets=8, bits=20)
+    years = [r["y"] for r in rows.select("y").distinct().orderBy("y").collect()]
+    for year in years:
+        index.add(rows.filter(F.col("y") == year), str(year))
+    slots = index.slots()
+    # the filter lets little more through than the keys that were seen before
+    few = F.col("maybe_keys") <= F.col("slot_keys") - F.col("new_keys") + 0.05 * F.col("slot_keys") + 5
+    return slots.select("slot", "rows", "slot_keys", "new_keys", few.alias("few_lookups")).unionByName(
+        index.uniqueness().select(F.lit("table").alias("slot"), "rows", F.lit(None).cast("long").alias("slot_keys"),
+                                  F.col("distinct_keys").alias("new_keys"), (F.col("duplicates") == F.col("rows") - F.col("distinct_keys")).alias("few_lookups")))

@@ -12,6 +12,7 @@ from ..plans.quality_run import QualityTables, run_quality
 from ..plans.slot_run import SlotSink, run_slot
 from ..quality.rules import AcceptedValues, Expression, NotNull, UniqueKey, ValueRange
 from ..session import cut_lineage, scratch_path
+from ..sinks import clustering as Z
 from ..sinks import tables as TB
 from ..sinks import writers as W
 from ..sinks.merge import apply_changes, change_feed, merge_upsert
@@ -75,6 +76,29 @@ def _k14(t):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.count_if("bad").alias("out_of_order"))
 
 
+@REG.query("k14_z_order", oracle="""
+SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty, true AS first_prunes, true AS second_prunes FROM lineitem GROUP BY 1
+""")
+def _k14z(t):
+    """Written along the Z curve of ship date and part: a range of either column skips most files; sorted by date and then
+    part, a range of parts skips none."""
+    spark, base, files = t.spark, scratch_path(t.spark, "k14z"), 16
+    l = t.lineitem
+    Z.z_order(l, ["l_shipdate", "l_partkey"], files).write.parquet(f"{base}/z")
+    W.cluster_by(l, ["l_shipdate", "l_partkey"], files).write.parquet(f"{base}/sorted")
+    parts = l.agg(F.percentile_approx("l_partkey", [0.0, 0.1])).first()[0]
+    days = l.agg(F.expr("percentile_approx(l_shipdate, array(0.0, 0.1))")).first()[0]
+    count = lambda place: Z.zone_map(spark.read.parquet(f"{base}/{place}"), ["l_shipdate", "l_partkey"]).agg(
+        Z.files_touched("l_shipdate", *days).alias("by_day"), Z.files_touched("l_partkey", *parts).alias("by_part"),
+        F.count(F.lit(1)).alias("files"))
+    z, plain = count("z"), count("sorted").select(F.col("by_part").alias("plain_by_part"))
+    verdict = z.join(plain, F.lit(True)).select(
+        (F.col("by_day") <= F.col("files") / 2).alias("first_prunes"),
+        ((F.col("by_part") <= F.col("files") / 2) & (F.col("by_part") < F.col("plain_by_part"))).alias("second_prunes"))
+    rows = spark.read.parquet(f"{base}/z").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return rows.join(verdict, F.lit(True))
+
+
 def stage_sorted(df):
     """The frame with each row's partition and place, checkpointed as it lies."""
     return cut_lineage(df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))

@@ -63,11 +63,74 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, chec
     return visited
 
 
+def heads(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """(node, head, dist) of every node with exactly one parent: the nearest ancestor that has another number of
+    parents or is in ``stops`` (``node``), and how far it is.
+
+    By pointer jumping: in each round a node takes over its ancestor's pointer, so distances double and a
+    chain or tree of depth d takes about log2(d) rounds.  ``edges`` has ``a``, ``b``, distinct.  A ring that nothing
+    enters has no head: its nodes get head NULL.
+    """
+    one = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter("n = 1")
+    if stops is not None:
+        one = one.join(stops.select(F.col("node").alias("b")), "b", "left_anti")
+    jump = cut_lineage(one.select(F.col("b").alias("node"), F.col("a").alias("head"), F.lit(1).cast("long").alias("dist"),
+                                  F.lit(True).alias("open")))
+    total, reached = jump.count(), 1
+    while True:
+        n = Observation()
+        on = jump.select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("dist").alias("more"), F.col("open").alias("still"))
+        moved = jump.filter("open").join(on, "head", "left").select(
+            "node", F.coalesce("further", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
+            F.coalesce("still", F.lit(False)).alias("open"))
+        jump = cut_lineage(moved.unionByName(jump.filter("NOT open")).observe(n, F.count_if("open").alias("open")))
+        reached *= 2
+        if not n.get["open"] or reached > total:
+            break
+    # after that many steps a pointer that is still open goes round a ring
+    return jump.select("node", F.when(~F.col("open"), F.col("head")).alias("head"), F.when(~F.col("open"), F.col("dist")).alias("dist"))
+
+
+def _contracted(edges: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(a, b, w): edges into the nodes that ``jumps`` does not hold, from the heads of their parents."""
+    into = edges.join(jumps.select(F.col("node").alias("b")), "b", "left_anti")
+    via = into.join(jumps.select(F.col("node").alias("a"), F.col("head"), "dist", F.lit(True).alias("inner")), "a", "left")
+    return via.filter("inner IS NULL OR head IS NOT NULL").select(
+        F.coalesce("head", "a").alias("a"), "b", (F.coalesce("dist", F.lit(0)) + 1).alias("w"))
+
+
 def reach(edges: DataFrame, start: str, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
-    """L2: nodes reachable from ``start`` with their shortest depth; the start is not reported."""
-    e = _oriented(edges, direction).select(F.col("a").alias("a_name"), F.col("b").alias("b_name"))
-    me = edges.sparkSession.range(1).select(F.lit(start).alias("name"))
-    return walk(e, me, max_depth).filter("depth > 0").select("name", "depth", F.lit(direction).alias("direction"))
+    """L2: nodes reachable from ``start`` with their shortest depth; the start is not reported.
+
+    With ``max_depth`` one hop per round.  Without it, nodes with one parent are reached by pointer jumping (``heads``), and
+    only hops between the others are walked, so a deep chain or tree takes rounds by the logarithm of its depth.
+    """
+    e = _oriented(edges, direction)
+    if max_depth is not None:
+        me = edges.sparkSession.range(1).select(F.lit(start).alias("name"))
+        seen = walk(e.select(F.col("a").alias("a_name"), F.col("b").alias("b_name")), me, max_depth)
+    else:
+        seen = _reach_by_jumps(cut_lineage(e.distinct()), start)
+    return seen.filter("depth > 0").select("name", F.col("depth").cast("int").alias("depth"), F.lit(direction).alias("direction"))
+
+
+def _reach_by_jumps(e: DataFrame, start: str) -> DataFrame:
+    me = e.sparkSession.range(1).select(F.lit(start).alias("node"))
+    jumps = heads(e, me)
+    short = cut_lineage(_contracted(e, jumps).groupBy("a", "b").agg(F.min("w").alias("w")))
+    best = cut_lineage(me.withColumn("depth", F.lit(0).cast("long")))
+    frontier = best
+    while True:
+        n = Observation()
+        step = frontier.join(short, frontier["node"] == short["a"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("depth") + F.col("w")).alias("new"))
+        better = step.join(best, "node", "left").filter("depth IS NULL OR new < depth").select("node", F.col("new").alias("depth"))
+        better = cut_lineage(better.observe(n, F.count(F.lit(1)).alias("n")))
+        if not n.get["n"]:
+            break
+        best = cut_lineage(best.join(better, "node", "left_anti").unionByName(better))
+        frontier = better
+    inner = jumps.join(best.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("dist")).alias("depth"))
+    return best.unionByName(inner).withColumnRenamed("node", "name")
 
 
 def impact(column_edges: DataFrame, dataset: str, column: str | None = None, max_depth: int | None = None) -> DataFrame:
@@ -98,34 +161,47 @@ def impact(column_edges: DataFrame, dataset: str, column: str | None = None, max
 def task_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """L4: longest-path level of each task (Kahn order, iteratively in Spark).
 
-    A round settles the tasks whose parents are all settled; only the edges that leave the last
-    round's tasks are joined, and each open task keeps the number of its parents still missing.
-    It ends when a round settles nothing.  Tasks left in a cycle get one more than their highest
-    settled parent, or 0 when none is settled.
+    Tasks with one parent take their head's level and their distance from it (``heads``, in rounds by the
+    logarithm of the depth).  For the others, a round settles those whose parents are all settled; only the edges
+    that leave the last round's tasks are joined, and each open task keeps the number of its parents
+    still missing.  It ends when a round settles nothing.  Tasks left in a cycle get one more than their
+    highest settled parent, or 0 when none is settled.
     """
-    e = cut_lineage(edges.select("src", "dst").distinct())
-    if nodes is None:
-        nodes = e.select(F.col("src").alias("task")).union(e.select(F.col("dst").alias("task"))).distinct()
+    whole = cut_lineage(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    ends = whole.select(F.col("a").alias("task")).union(whole.select(F.col("b").alias("task"))).distinct()
+    nodes = ends if nodes is None else nodes
+    # a task that is not asked for is never settled, so nothing jumps over it
+    jumps = heads(whole, ends.join(nodes, "task", "left_anti").withColumnRenamed("task", "node"))
+    loose = whole.join(jumps.select(F.col("node").alias("b")), "b", "left_anti")
+    held = loose.join(jumps.select(F.col("node").alias("a"), "head", "dist"), "a", "left")
+    # a parent on a ring without a head is never settled: the edge counts as missing and is never joined
+    e = cut_lineage(held.select(F.coalesce("head", "a").alias("src"), F.col("b").alias("dst"), (F.coalesce("dist", F.lit(0)) + 1).alias("w")))
+    inner = jumps.join(nodes.select(F.col("task").alias("node")), "node", "left_semi")
+    nodes = nodes.join(jumps.select(F.col("node").alias("task")), "task", "left_anti")
     indeg = e.groupBy(F.col("dst").alias("task")).agg(F.count(F.lit(1)).alias("missing"))
-    start = nodes.join(indeg, "task", "left").select("task", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).alias("level"))
+    start = nodes.join(indeg, "task", "left").select("task", F.coalesce("missing", F.lit(0)).alias("missing"), F.lit(0).cast("long").alias("level"))
     open_ = cut_lineage(start)
     settled, k = None, 0
     while True:
         ready = open_.filter("missing = 0").select("task", "level")
         settled = ready if settled is None else settled.unionByName(ready)
         hit = (ready.join(e, ready["task"] == e["src"]).groupBy(F.col("dst").alias("task"))
-               .agg(F.count(F.lit(1)).alias("less"), (F.max("level") + 1).alias("up")))
+               .agg(F.count(F.lit(1)).alias("less"), F.max(F.col("level") + F.col("w")).alias("up")))
         n = Observation()
         rest = open_.filter("missing > 0").join(hit, "task", "left").select(
             "task", (F.col("missing") - F.coalesce("less", F.lit(0))).alias("missing"),
-            F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))
+            F.greatest("level", F.coalesce("up", F.lit(0).cast("long"))).alias("level"))
         open_ = cut_lineage(rest.observe(n, F.count_if(F.col("missing") == 0).alias("ready")))
         k += 1
         if k % 4 == 0:
             settled = cut_lineage(settled)
         if not n.get["ready"]:
             break
-    return settled.unionByName(open_.select("task", "level"))
+    settled = cut_lineage(settled.withColumn("done", F.lit(True)))
+    known = settled.unionByName(open_.select("task", "level", F.lit(False).alias("done")))
+    up = settled.filter("done").select(F.col("task").alias("head"), "level")
+    below = inner.join(up, "head", "left").select(F.col("node").alias("task"), F.coalesce(F.col("level") + F.col("dist"), F.lit(0)).alias("level"))
+    return known.select("task", "level").unionByName(below).withColumn("level", F.col("level").cast("int"))
 
 
 def declare_inputs(edges: DataFrame, inputs: DataFrame, job_output: str | None = None) -> DataFrame:
