@@ -10,8 +10,12 @@ corpus.  They ask and answer in bulk:
   lines up with the keys it sent;
 * ``join_replies``: block and replies meet again.
 
-A hot key costs one entry per block, whatever its count, so buckets stay even; the number of
-buckets grows with the text, so a bucket stays near ``BUCKET_BYTES``.
+A hot key costs one entry per block, whatever its count, so buckets stay even.
+
+The exchange has a row for each block and bucket.  So that its rows grow with the text and not with its square, blocks and
+buckets both grow with the square root of the text (``sizes``): a row then stands for about ``ROW_BYTES`` of text.  Both are held in
+one task's memory, so they stop at ``MAX_BLOCK_BYTES`` and ``MAX_BUCKET_BYTES``; beyond ``MAX_BLOCK_BYTES * MAX_BUCKET_BYTES /
+ROW_BYTES`` of text (256 GB) rows get shorter and their number grows faster than the text again.
 """
 
 from __future__ import annotations
@@ -27,9 +31,16 @@ from pyspark.sql import functions as F
 from . import textnp as tn
 from .staging import stage
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MAX_BLOCK_BYTES = 4 << 20, 32 << 20
 BLOCK_ROWS = 1 << 18
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES, MAX_BUCKET_BYTES = 8 << 20, 128 << 20
+ROW_BYTES = 16 << 10
+
+
+def sizes(total: int) -> tuple[int, int]:
+    """Bytes of text of a block and of a bucket for ``total`` bytes."""
+    block = int(min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, np.sqrt(total * ROW_BYTES * BLOCK_BYTES / BUCKET_BYTES))))
+    return block, int(min(MAX_BUCKET_BYTES, max(BUCKET_BYTES, total * ROW_BYTES / block)))
 
 
 def squeeze(raw: bytes | np.ndarray, level: int = 1) -> bytes:
@@ -60,6 +71,9 @@ def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "te
 
     ``part_of`` deals rows by their ids into parts; a block holds rows of one part.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    block_bytes, _ = sizes(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -91,19 +105,18 @@ def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "te
                         got[0].append(sub)
                         got[1] += len(tn.flat(sub.column(1))[0])
                         got[2] += len(sub)
-                        if got[1] >= BLOCK_BYTES or got[2] >= BLOCK_ROWS:
+                        if got[1] >= block_bytes or got[2] >= BLOCK_ROWS:
                             yield flush(part)
         for part in list(held):
             yield flush(part)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stage(rows.mapInArrow(run, "block long, part int, n_bytes long, payload binary"), name)
 
 
 def bucket_bits(packs: DataFrame) -> int:
     """log2 of the number of buckets for the text in ``packs``."""
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(5, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+    return max(5, int(np.ceil(np.log2(max(1, total / sizes(total)[1])))))
 
 
 def ask(packs: DataFrame, bits: int, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, Callable[[int, int], bytes]]]) -> DataFrame:

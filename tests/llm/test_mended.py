@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import op1_quality, op2_mix, op5_secrets, op8_ngram_join, op9_licenses, op10_decontam
+from quarry.llm import op1_quality, op2_mix, op5_secrets, op7_lines, op8_ngram_join, op9_licenses, op10_decontam, packs
 from quarry.llm.staging import free
 
 from . import brute
@@ -132,3 +132,20 @@ def test_very_long_texts(spark, name):
         assert dict(rows_of(op2_mix.mix(frame), "doc_id", "size"))[1] == len(text.split())
     else:
         assert dict(rows_of(op1_quality.measure(frame), "doc_id", "n_words"))[1] == len(text.split())
+
+
+def test_rows_of_the_exchange_grow_with_the_text(spark, monkeypatch):
+    """Sixteen times the text makes about sixteen times the rows of ``ask``, and not 256 times."""
+    for name, size in (("BLOCK_BYTES", 1 << 10), ("BUCKET_BYTES", 1 << 11), ("ROW_BYTES", 1 << 7)):
+        monkeypatch.setattr(packs, name, size)
+    monkeypatch.setattr(packs.tn.chunks, "__defaults__", (1 << 9,))
+    rng = random.Random(5)
+    rows = {}
+    for n in (200, 3200):
+        texts = [(k, " ".join(f"w{rng.randrange(200_000)}" for _ in range(60))) for k in range(n)]
+        held = packs.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), "t")
+        bits = packs.bucket_bits(held)
+        rows[n] = packs.ask(held, bits, op7_lines._ask_words(bits)).count()
+    assert rows[200] > 100 and rows[3200] <= 24 * rows[200]
+    block, bucket = packs.sizes(10 ** 14)
+    assert (block, bucket) == (packs.MAX_BLOCK_BYTES, packs.MAX_BUCKET_BYTES)
