@@ -188,11 +188,14 @@ def _spread(bits: int, width: int):
     def fn(batch: pa.RecordBatch, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         m = Members(batch, _level_lookup(batch, replies, bits))
         key, who, place = m.entries()
-        order = np.argsort(key)
+        # inside a bucket by member: neighbours share document, line and size, which packs them small
+        bucket = (key >> U(64 - bits)).astype(np.int64)
+        order = np.lexsort((who, bucket))
         key, who, place = key[order], who[order], place[order]
+        cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
         number = block_number(batch.column(0)[0].as_py(), width)
         by_sign = np.argsort(m.sign[0])
-        cut, cut_sign = bucket_cuts(key, bits), bucket_cuts(m.sign[0][by_sign], bits)
+        cut_sign = bucket_cuts(m.sign[0][by_sign], bits)
         low = (key << U(bits) >> U(32)).astype(np.uint32)  # meeting by chance is pruned later
 
         def body(k: int) -> bytes:
@@ -272,6 +275,7 @@ def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> tuple[np.nd
     py, px = e["place"][y], e["place"][x]
     most = np.minimum(py, px) + np.minimum(ny - py, nx - px)
     need = -(-NUM * (ny + nx) // (NUM + DEN))
+    most[(ny == nx) & (need == ny)] = 0  # only equal sets would do, and those are known by their signature
     # the larger sketch folds to the smaller one's words
     x_or = _folded([e[c][y] ^ e[c][x] for c in SKETCH], np.minimum(ny, nx))
     apart = sum(np.bitwise_count(w).astype(np.int64) for w in x_or)
@@ -397,11 +401,15 @@ def _verified(pairs: DataFrame, packs: DataFrame, number: F.Column, name: str) -
 
 
 def _further(entries: pa.Table, asked: pa.Table) -> pa.Table:
-    """Every earlier candidate of the asked members in the asked groups of a bucket."""
+    """Every earlier candidate of the asked members in the asked groups of a bucket.  Rows without a key name
+    members that repeat an earlier one; that one stands for them."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    if asked.num_rows and entries.num_rows:
+    real = asked.filter(asked.column("key").is_valid())
+    if real.num_rows and entries.num_rows:
         e = _read_entries(entries.column("payload").to_pylist())
-        want_key, want_id = asked.column("key").to_numpy(), asked.column("b").to_numpy()
+        dead = np.isin(e["id"], asked.filter(asked.column("key").is_null()).column("b").to_numpy())
+        e = {c: v[~dead] for c, v in e.items()}
+        want_key, want_id = real.column("key").to_numpy(), real.column("b").to_numpy()
         lo, hi = (np.searchsorted(e["key"], want_key.astype(e["key"].dtype), side) for side in ("left", "right"))
         for a, z, b in zip(lo.tolist(), hi.tolist(), want_id.tolist()):
             for y in (a + np.flatnonzero(e["id"][a:z] == b)).tolist():
@@ -456,7 +464,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     left = stage(cands.join(near, "b", "left_anti"), "line-left")
     others = left.select("b", "nb", F.explode(F.concat(F.array(F.struct("a", F.col("na").alias("n"))), F.transform(
         F.arrays_zip("rest", "rest_n"), lambda z: F.struct(z["rest"].alias("a"), z["rest_n"].alias("n"))))).alias("p"))
-    others = others.select("b", "nb", "p.a", F.col("p.n").alias("na")).join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+    repeats = gone.select(F.col("b").alias("a"))  # the first of equal members stands for the others
+    others = others.select("b", "nb", "p.a", F.col("p.n").alias("na")).join(nearest.select("a", "b"), ["a", "b"], "left_anti") \
+        .join(repeats, "a", "left_anti")
     gone = gone.unionByName(near)
     if left.limit(1).count():
         near = _verified(others, packs, number, "line-others")
@@ -464,7 +474,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         open_ = stage(left.filter(F.size("more") > 0).join(near, "b", "left_anti")
                       .select("bucket", "b", F.explode("more").alias("key")).distinct(), "line-open")
         if open_.limit(1).count():
-            last = entries.filter("bucket >= 0").groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(
+            dead = found.filter("a is not null").select("bucket", "b").join(repeats.withColumnRenamed("a", "b"), "b", "left_semi")
+            asked = open_.select("bucket", "b", "key").unionByName(dead.select("bucket", "b", F.lit(None).cast("long").alias("key")))
+            last = entries.filter("bucket >= 0").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
                 _further, "a long, b long, na long, nb long")
             gone = gone.unionByName(_verified(last, packs, number, "line-further"))
     rows = found.filter("lines is not null").select(F.col("b").alias("bn"), "lines")
