@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import free, indexed, numbered, stage
+from .staging import free, indexed, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -108,12 +108,16 @@ def _planned(rows: DataFrame, weights, max_epochs: float) -> DataFrame:
     out = full.filter(~here).withColumn("_extra", (F.col("need") > 0) & below).unionByName(
         full.filter(here).join(picked, "_rid", "left").withColumn("_extra", F.coalesce("_picked", F.lit(False))).drop("_picked"))
     copies = F.least(F.col("whole") + F.col("_extra").cast("int"), F.lit(int(max_epochs)))
-    return out.select("_rid", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
+    return out.select("_rid", "_key", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
                       (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def _key(seed: int, ident: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), ident, text)
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, rid: Column) -> DataFrame:
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_text"))
+    key = _key(seed, F.col("doc_id"), F.col("_text"))
     return stage(
         docs.select(rid.alias("_rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
         .select("_rid", "doc_id", "source", word_count(F.col("_text")).alias("size"),
@@ -129,14 +133,32 @@ def mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_co
     ``weights`` maps one row per source to the same rows with a ``weight`` column.
     """
     rows = _sized(docs, id_col, text_col, source_col, seed, F.monotonically_increasing_id())
-    return _planned(rows, weights, max_epochs).drop("_rid")
+    return _planned(rows, weights, max_epochs).drop("_rid", "_key")
 
 
 def apply_mix(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text",
               source_col: str = "source", max_epochs: float = MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it, decided row by row."""
-    held, row = numbered(docs, "mix-docs")
-    plan = _planned(_sized(held, id_col, text_col, source_col, seed, F.col(row)), weights, max_epochs)
-    n, i = free(held, "_copies"), free(held, "_copy")
-    plan = plan.filter("copies > 0").select(F.col("_rid").alias(row), F.col("copies").alias(n))
-    return held.join(plan, row).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    """The mixed corpus: rows of ``docs`` (all columns), each as often as the mix takes it.
+
+    Rows equal in id, text and source are one group of the plan, and only the groups at a source's cut have rows
+    that are taken more often than others; those rows alone are staged and numbered.
+    """
+    rows = _sized(docs, id_col, text_col, source_col, seed, F.monotonically_increasing_id())
+    group = [F.col(c).alias(n) for c, n in (("_key", "g_key"), ("doc_id", "g_id"), ("source", "g_source"))]
+    plan = stage(_planned(rows, weights, max_epochs).groupBy(*group).agg(
+        F.min("copies").alias("g_low"), F.max("copies").alias("g_high"), F.sum("copies").alias("g_sum"), F.count(F.lit(1)).alias("g_n"))
+        .filter("g_high > 0"), "mix-plan")
+    body, i = free(docs, "_row"), free(docs, "_copy")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(body))
+    col = lambda c: F.col(body)[c]
+    mine = (_key(seed, col(id_col), col(text_col)) == F.col("g_key")) & col(id_col).eqNullSafe(F.col("g_id")) \
+        & col(source_col).eqNullSafe(F.col("g_source"))
+    alike = held.join(plan.filter("g_low = g_high"), mine).select(body, F.col("g_low").alias(i))
+    cut = stage(held.join(plan.filter("g_low < g_high"), mine).withColumn("g_row", F.monotonically_increasing_id()), "mix-cut-rows")
+    at = indexed(cut.select("g_key", "g_id", "g_source", "g_row"), [F.col(c) for c in ("g_key", "g_id", "g_source", "g_row")], "mix-cut-order", out="g_at")
+    first = at.groupBy("g_key", "g_id", "g_source").agg(F.min("g_at").alias("g_first"))
+    place = at.join(first, [at[c].eqNullSafe(first[c]) for c in ("g_key", "g_id", "g_source")]).select("g_row", (F.col("g_at") - F.col("g_first")).alias("g_place"))
+    more = F.col("g_place") < F.col("g_sum") - F.col("g_low") * F.col("g_n")
+    uneven = cut.join(place, "g_row").select(body, (F.col("g_low") + more.cast("int")).alias(i))
+    taken = alike.unionByName(uneven).filter(F.col(i) > 0)
+    return taken.select(body, F.explode(F.sequence(F.lit(1), F.col(i))).alias(i)).select(f"{body}.*")
