@@ -122,7 +122,8 @@ class Members:
         self.sign = [x[head] for x in h]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, member, place): what the members meet on."""
+        """(key, member, place): what the members meet on.  At the first common key of two similar sets, no more
+        than ``n - place`` tokens can be common; a pair of tokens has the place before its second."""
         n = np.repeat(self.size, self.size)
         of, place = np.repeat(np.arange(len(self.size)), self.size), tn.ragged(self.size)
         reach = n + (-NUM * n // DEN) + 1
@@ -141,7 +142,7 @@ class Members:
         y = f[np.repeat(np.arange(len(f)), left) + 1 + tn.ragged(left)] if len(f) else f
         keys.append(tn.mix(self.token[x] * U(0xD6E8FEB86659FD93) + self.token[y]))
         who.append(of[x])
-        at.append(place[x])
+        at.append(place[y] - 1)
         return np.concatenate(keys), np.concatenate(who), np.concatenate(at)
 
 
@@ -268,12 +269,12 @@ def _repeats(payloads: list[bytes]) -> np.ndarray:
 
 def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Length, positional and bitmap filter of the entries y against x: the mask of those that pass, and the
-    distance of their sketches."""
+    distance of their sketches.  Similar sets pass at their first common key, where nothing before it is common;
+    at later ones they need not."""
     ny, nx = e["n"][y], e["n"][x]
     ok = DEN * np.minimum(ny, nx) >= NUM * np.maximum(ny, nx)
     y, x, ny, nx = y[ok], x[ok], ny[ok], nx[ok]
-    py, px = e["place"][y], e["place"][x]
-    most = np.minimum(py, px) + np.minimum(ny - py, nx - px)
+    most = np.minimum(ny - e["place"][y], nx - e["place"][x])
     need = -(-NUM * (ny + nx) // (NUM + DEN))
     most[(ny == nx) & (need == ny)] = 0  # only equal sets would do, and those are known by their signature
     # the larger sketch folds to the smaller one's words
