@@ -44,6 +44,7 @@ FIRST = 8
 CELL_BYTES = 8 << 20
 # sketch words by the size of a set: 64 bits up to the first, 128 up to the second, then 512
 ONE_WORD, TWO_WORDS = 72, 180
+PIECE = 1 << 18
 IDX = 28  # bits of a member id that number its first line inside its block
 NULL_ID = -(1 << 63)
 U = np.uint64
@@ -236,7 +237,7 @@ SKETCH = [f"m{k}" for k in range(8)]
 
 
 def _read_entries(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    """Entries of a bucket, sorted by key, document and line."""
+    """Entries of a bucket, by key, document and line."""
     cols: list[list[np.ndarray]] = [[] for _ in range(13)]
     for p in payloads:
         f = unframe(p)
@@ -248,11 +249,38 @@ def _read_entries(payloads: list[bytes]) -> dict[str, np.ndarray]:
         ids = (int.from_bytes(f[0], "little") << IDX) + get_counts(f[2])
         for c, v in zip(cols, (get_u32(f[1]), ids, n, get_counts(f[4]), get_ids(f[7]), *sketch)):
             c.append(v)
-    e = {k: np.concatenate(c) for k, c in zip(("key", "id", "n", "place", "doc", *SKETCH), cols)}
+    return _by_key(cols)
+
+
+FIELDS = ("key", "id", "n", "place", "doc", *SKETCH)
+
+
+def _by_key(cols: list[list[np.ndarray]]) -> dict[str, np.ndarray]:
+    e = {k: np.concatenate(c) for k, c in zip(FIELDS, cols)}
     order = np.lexsort((e["id"], e["doc"], e["key"]))
     return {k: v[order] for k, v in e.items()}
 
 
+def _put_groups(e: dict[str, np.ndarray], at: np.ndarray) -> list[bytes]:
+    """The entries ``at`` in pieces of ``PIECE``."""
+    out = []
+    for lo in range(0, len(at), PIECE):
+        p = {k: v[at[lo:lo + PIECE]] for k, v in e.items()}
+        out.append(frames(put_u32(p["key"]), put_ids(p["id"]), put_counts(p["n"]), put_counts(p["place"]), put_ids(p["doc"]),
+                          squeeze(np.stack([p[c] for c in SKETCH]))))
+    return out
+
+
+def _get_groups(payloads: list[bytes]) -> dict[str, np.ndarray]:
+    cols: list[list[np.ndarray]] = [[] for _ in FIELDS]
+    for p in payloads:
+        f = unframe(p)
+        sketch = np.frombuffer(unsqueeze(f[5]), U).reshape(8, -1)
+        for c, v in zip(cols, (get_u32(f[0]), get_ids(f[1]), get_counts(f[2]), get_counts(f[3]), get_ids(f[4]), *sketch)):
+            c.append(v)
+    return _by_key(cols)
+
+
 def _repeats(payloads: list[bytes]) -> np.ndarray:
     """Members of a bucket whose set an earlier member has."""
     cols: list[list[np.ndarray]] = [[] for _ in range(4)]
@@ -287,8 +315,9 @@ def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> tuple[np.nd
 
 def _candidates(t: pa.Table) -> pa.Table:
     """Per member and bucket the nearest of its first earlier candidates (``a``), the others, and the keys of the
-    groups in which it stopped early; rows without ``a`` are members that repeat an earlier one.  The lines of
-    blocks pass through, with the block's number as ``b``."""
+    groups in which it stopped early; rows without ``a`` are members that repeat an earlier one.  The entries of
+    groups in which one stopped early come along as ``entries``.  The lines of blocks pass through, with the
+    block's number as ``b``."""
     payloads = t.column("payload").to_pylist()
     bucket = t.column("bucket")[0].as_py()
     if bucket < 0:
@@ -344,12 +373,16 @@ def _candidates(t: pa.Table) -> pa.Table:
                     nb=pa.array(e["n"][y[near]]), na=pa.array(e["n"][x[near]]), apart=pa.array(apart[near], pa.int64()),
                     rest=pa.ListArray.from_arrays(cut, pa.array(a[~head])), rest_n=pa.ListArray.from_arrays(cut, pa.array(e["n"][x[~head]])),
                     more=pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(k[stopped].astype(np.int64))))
-    return pa.concat_tables([members, _rows(len(gone), b=pa.array(gone))])
+    held = _put_groups(e, np.flatnonzero(np.isin(group, group[stopped])))
+    return pa.concat_tables([members, _rows(len(gone), b=pa.array(gone)), _rows(
+        len(held), bucket=pa.array(np.full(len(held), bucket), pa.int32()), entries=pa.array(held, pa.binary()))])
 
 
 KINDS = {"bucket": pa.int32(), "b": pa.int64(), "a": pa.int64(), "nb": pa.int64(), "na": pa.int64(), "apart": pa.int64(),
-         "rest": pa.list_(pa.int64()), "rest_n": pa.list_(pa.int64()), "more": pa.list_(pa.int64()), "lines": pa.binary()}
-PAIRS = ("bucket int, b long, a long, nb long, na long, apart long, rest array<long>, rest_n array<long>, more array<long>, lines binary")
+         "rest": pa.list_(pa.int64()), "rest_n": pa.list_(pa.int64()), "more": pa.list_(pa.int64()), "entries": pa.binary(),
+         "lines": pa.binary()}
+PAIRS = ("bucket int, b long, a long, nb long, na long, apart long, rest array<long>, rest_n array<long>, more array<long>, "
+         "entries binary, lines binary")
 
 
 def _rows(n: int, **cols: pa.Array) -> pa.Table:
@@ -402,25 +435,30 @@ def _verified(pairs: DataFrame, packs: DataFrame, number: F.Column, name: str) -
 
 
 def _further(entries: pa.Table, asked: pa.Table) -> pa.Table:
-    """Every earlier candidate of the asked members in the asked groups of a bucket.  Rows without a key name
-    members that repeat an earlier one; that one stands for them."""
+    """Every earlier candidate of the asked members in the asked groups of a bucket, but for the ``FIRST`` that each
+    group gave before.  Rows without a key name members that repeat an earlier one; that one stands for them."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     real = asked.filter(asked.column("key").is_valid())
     if real.num_rows and entries.num_rows:
-        e = _read_entries(entries.column("payload").to_pylist())
+        e = _get_groups(entries.column("entries").to_pylist())
         dead = np.isin(e["id"], asked.filter(asked.column("key").is_null()).column("b").to_numpy())
-        e = {c: v[~dead] for c, v in e.items()}
         want_key, want_id = real.column("key").to_numpy(), real.column("b").to_numpy()
         lo, hi = (np.searchsorted(e["key"], want_key.astype(e["key"].dtype), side) for side in ("left", "right"))
         for a, z, b in zip(lo.tolist(), hi.tolist(), want_id.tolist()):
             for y in (a + np.flatnonzero(e["id"][a:z] == b)).tolist():
+                known = FIRST
                 for at in range(a, y, 1 << 20):
                     x = np.arange(at, min(y, at + (1 << 20)))
                     x = x[_pass(e, np.full(len(x), y), x)[0]]
+                    x, known = x[known:], max(0, known - len(x))
+                    x = x[~dead[x]]
                     for c, v in zip(out, (e["id"][x], np.full(len(x), b), e["n"][x], np.full(len(x), e["n"][y]))):
                         c.append(v)
-    cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-    return pa.table(cols, ["a", "b", "na", "nb"])
+    a, b, na, nb = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+    order = np.lexsort((a, b))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return pa.table([pa.array(c[new], pa.int64()) for c in (a, b, na, nb)], ["a", "b", "na", "nb"])
 
 
 RESULT = "doc_id long, n_lines long, n_removed long, removed array<int>"
@@ -455,10 +493,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bits = bucket_bits(packs)
     width, number = _numbers(packs)
     levels = answer(ask(packs, bits, _ask_words(bits)), _levels)
-    entries = stage(join_replies(packs, levels, _spread(bits, width), "bucket int, payload binary"), "line-entries")
+    entries = join_replies(packs, levels, _spread(bits, width), "bucket int, payload binary")
     found = stage(entries.groupBy("bucket").applyInArrow(_candidates, PAIRS), "line-found")
     gone = found.filter("b is not null and a is null and lines is null").select("b")
-    cands = found.filter("a is not null").drop("lines").join(gone, "b", "left_anti")
+    cands = found.filter("a is not null").drop("entries", "lines").join(gone, "b", "left_anti")
 
     nearest = cands.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("apart", "a")).alias("p")).select("b", "p.*")
     near = _verified(nearest, packs, number, "line-nearest")
@@ -477,7 +515,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if open_.limit(1).count():
             dead = found.filter("a is not null").select("bucket", "b").join(repeats.withColumnRenamed("a", "b"), "b", "left_semi")
             asked = open_.select("bucket", "b", "key").unionByName(dead.select("bucket", "b", F.lit(None).cast("long").alias("key")))
-            last = entries.filter("bucket >= 0").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+            held = found.filter("entries is not null").select("bucket", "entries")
+            last = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
                 _further, "a long, b long, na long, nb long")
             gone = gone.unionByName(_verified(last, packs, number, "line-further"))
     rows = found.filter("lines is not null").select(F.col("b").alias("bn"), "lines")
