@@ -262,6 +262,30 @@ def test_line_candidates_with_frequent_tokens(monkeypatch):
                 if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     assert any(i in g and j in g for g in met.values())
 
+        e = {"id": who, "n": m.size[who], "place": place} | {c: x[who] for c, x in zip(op7_lines.SKETCH, m.map)}
+        y, x = (g.ravel() for g in np.meshgrid(np.arange(len(who)), np.arange(len(who)), indexing="ij"))
+        y, x = y[key[y] == key[x]], x[key[y] == key[x]]
+        ok = op7_lines._pass(e, y, x)[0]
+        passed = set(zip(who[y[ok]].tolist(), who[x[ok]].tolist()))
+        assert all((i, j) in passed for i in range(len(sets)) for j in range(len(sets))
+                   if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+
+
+def test_lines_that_need_every_pass(spark):
+    """Many near lines that are not similar: members stop early, and some find their earlier line in the last pass."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for d in range(250):
+        lines = []
+        for _ in range(4):
+            base = [f"t{i}" for i in range(16)] if rng.random() < .7 else [f"u{i}" for i in range(int(rng.integers(5, 25)))]
+            for j in rng.choice(len(base), int(rng.integers(0, 4)), replace=False):
+                base[j] = f"z{rng.integers(0, 12)}"
+            lines.append(" ".join(base))
+        rows.append((d, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(op7_lines.dedup(frame), "doc_id", "n_lines", "n_removed", "removed") == brute.lines(rows)
+
 
 def test_ngram_join(spark, edge, docs):
     for frame, pairs in both(spark, edge, docs):
