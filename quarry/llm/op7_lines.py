@@ -87,7 +87,7 @@ class Members:
             line_no.append(no[new])
             total += int(new.sum())
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.vocab, tok = np.unique(cat(words, U), return_inverse=True)
+        self.vocab, tok = tn.coded(cat(words, U))
         self.line_row, self.line_no = cat(line_row, np.int64), cat(line_no, np.int64)
         if level_of is None:
             self.count = np.bincount(tok, minlength=len(self.vocab))

@@ -168,6 +168,16 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the index in them of each value (by hashing, for values that repeat often)."""
+    d = pa.array(x).dictionary_encode()
+    values = d.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[d.indices.to_numpy()]
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the keys that occur at least twice."""
     if not len(keys):
