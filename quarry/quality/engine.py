@@ -65,6 +65,8 @@ def evaluate_all(df: DataFrame, rules: list[Rule], ctx: RunContext, with_profile
     if with_profile:
         aggs.extend(prof.profile_aggs(fields, exact_distinct))
     row = df.agg(*aggs)
+    if with_profile and exact_distinct:
+        row = prof.with_exact_distinct(row, df, fields)
     if materialise or any(getattr(r, "needs_rows", False) for r in rules if not r.fused):
         row = cut_lineage(row)
     parts: list[DataFrame] = []

@@ -5,7 +5,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from quarry.quality.history import metrics_long, spc
+from quarry.quality import engine
+from quarry.quality import profile as prof
 from quarry.quality.profile import profile
+from quarry.quality.rules import RunContext
 
 
 def series(spark, values, metric="rows_written"):
@@ -46,3 +49,25 @@ def test_profile_sample_stddev_and_null_rate(spark):
     assert p["s"]["null_rate"] == round(1 / 3, 6) and p["s"]["distinct_count"] == 2 and p["s"]["mean"] is None
     e = profile(spark.createDataFrame([], "a int")).collect()
     assert e[0]["null_rate"] == 0.0 and e[0]["rows"] == 0
+
+
+def test_profile_many_values_counted_apart(spark, monkeypatch):
+    """Columns with many values leave the one hash table of the pass; nulls, zeros, NaN and frequent values count as before."""
+    df = spark.range(4000, numPartitions=3).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), F.col("id") % 1500)).alias("s"),
+        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).when(F.col("id") % 7 == 0, -0.0).when(F.col("id") % 7 == 1, 0.0)
+        .otherwise(F.col("id") / 3).alias("x"), (F.col("id") % 3).cast("int").alias("few"),
+        F.when(F.col("id") % 4 > 0, F.array("id")).alias("a"), F.lit(None).cast("string").alias("none"))
+    want = repr(profile(df, exact_distinct=True).collect())
+    assert not prof._many_valued(df, list(df.schema.fields))
+    monkeypatch.setattr(prof, "TASK_VALUES", 300)
+    assert set(prof._many_valued(df, list(df.schema.fields))) == {0, 1, 2, 4}
+    frame = profile(df, exact_distinct=True)
+    assert repr(frame.collect()) == want
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan and "REPARTITION_BY_NUM" in plan  # no task sorts its rows, values are dealt
+    got = engine.evaluate_all(df, [], RunContext(spark), with_profile=True, exact_distinct=True).profile.collect()
+    assert repr(got) == want
+    count = {r["column"]: r["distinct_count"] for r in got}
+    xs = {repr(r["x"] + 0.0) for r in df.collect()}
+    assert count == {"k": 4000, "s": 1200, "x": len(xs), "few": 3, "a": 3000, "none": 0}
