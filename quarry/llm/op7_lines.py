@@ -4,10 +4,11 @@ A line is a newline-separated piece of a text with at least one word; its set ho
 words (A-Z lower-cased).  A line goes if an earlier line, in the order of (document id, line
 number), has a Jaccard similarity of ``NUM / DEN`` or more with it.
 
-1. Rarity: a bulk exchange counts every word over the corpus; sets sort by (log-scaled count,
-   hash), rarest first.
-2. Equal sets of a block form one member, named by its first line; its other lines go at once.
+1. Texts are read into words once: a block is kept as its line sets, coded by its vocabulary.
+   Equal sets of a block form one member, named by its first line; its other lines go at once.
    Members with equal sets (by 128-bit signature) in several blocks go but for the first.
+2. Rarity: a bulk exchange counts the members of every word over the corpus; sets sort by
+   (log-scaled count, hash), rarest first.  A word of one member meets nothing.
 3. Candidates meet on prefix tokens: similar sets share one of their first
    ``n - ceil(NUM n / DEN) + 1`` tokens.  Very frequent tokens (``HOT``) meet only in pairs: one
    token further, similar sets share two prefix tokens, so either a rarer one or a pair of
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .op8_ngram_join import _levels, _overlap, _short
-from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_counts, get_u32, join_replies, pack, put_counts,
-                    put_u32, squeeze, unframe, unseal, unsqueeze)
+from .packs import (answer, ask, bucket_bits, bucket_cuts, frames, get_counts, get_u32, get_u64, join_replies, pack,
+                    put_counts, put_u32, put_u64, squeeze, unframe, unseal, unsqueeze)
 from .staging import stage
 
 NUM, DEN = 4, 5
@@ -51,97 +52,140 @@ U = np.uint64
 
 
 def _line_of(buf: np.ndarray, offs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: its text, how many line breaks of that text come before it, and whether it is the
-    first word of its line."""
+    """Per line with a word: its first word, its text, and how many line breaks of that text come before it."""
     stop = np.flatnonzero(buf == 10)
-    row = np.searchsorted(offs, start, side="right") - 1
-    no = np.searchsorted(stop, start) - np.searchsorted(stop, offs[:-1])[row]
-    new = np.ones(len(no), bool)
-    new[1:] = (no[1:] != no[:-1]) | (row[1:] != row[:-1])
-    return row, no, new
-
-
-def _folded(words: list[np.ndarray], size: np.ndarray) -> list[np.ndarray]:
-    """Sketches of eight words, folded for the sets of ``size`` that keep fewer."""
-    even, odd = words[0] ^ words[2] ^ words[4] ^ words[6], words[1] ^ words[3] ^ words[5] ^ words[7]
-    out = [np.where(size > TWO_WORDS, w, U(0)) for w in words]
-    out[0] = np.where(size > TWO_WORDS, words[0], np.where(size > ONE_WORD, even, even ^ odd))
-    out[1] = np.where(size > TWO_WORDS, words[1], np.where(size > ONE_WORD, odd, U(0)))
-    return out
-
-
-class Members:
-    """Distinct line sets of a block: sorted tokens by rarity, first line, and each line's member."""
-
-    def __init__(self, batch: pa.RecordBatch, level_of=None):
+    first = tn.distinct(np.searchsorted(start, np.concatenate([stop, offs[:-1]])))
+    first = first[first < len(start)]
+    row = np.searchsorted(offs, start[first], side="right") - 1
+    no = np.searchsorted(stop, start[first]) - np.searchsorted(stop, offs[:-1])[row]
+    return first, row, no
+
+
+def _classes(least: np.ndarray, most: np.ndarray):
+    """(places, words compared, words kept) of pairs by the words that their smaller and larger set keep."""
+    kept = [1 + (x > ONE_WORD) + 6 * (x > TWO_WORDS) for x in (least, most)]
+    for few, many in ((1, 1), (1, 2), (1, 8), (2, 2), (2, 8), (8, 8)):
+        at = np.flatnonzero((kept[0] == few) & (kept[1] == many))
+        if len(at):
+            yield at, few, many
+
+
+class Lines:
+    """The line sets of a block.  Of each document ``ids`` and ``nulls``; of each line with a word its document
+    ``row``, its number ``no`` and its ``member_of``; of each member its first line ``head``, the ``size`` of its set
+    and, one after the other, the ``code`` of its words in the sorted ``vocab``."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        if "text" not in batch.schema.names:
+            f = unframe(batch.column(1)[0].as_py())
+            self.ids, self.nulls = get_ids(f[0]), np.frombuffer(unsqueeze(f[1]), bool)
+            self.row, self.no, self.member_of, self.head, self.size, step = (get_counts(x) for x in f[2:8])
+            self.vocab = get_u64(f[8])
+            code, start = np.cumsum(step), self.start()
+            self.code = code - np.repeat(code[start] - step[start], self.size)
+            return
         col = batch.column(2)
-        ids = batch.column(1).fill_null(NULL_ID).to_numpy()
-        words, lines, line_row, line_no, total = [], [], [], [], 0
+        self.nulls = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        self.ids = batch.column(1).fill_null(NULL_ID).to_numpy()
+        words, first, line_row, line_no, n = [], [], [], [], 0
         for lo, hi in tn.chunks(col):
             buf, offs = tn.flat(col.slice(lo, hi - lo))
             w = tn.tokenize(buf, offs)
-            row, no, new = _line_of(buf, offs, w.start)
+            at, row, no = _line_of(buf, offs, w.start)
             words.append(w.hash)
-            lines.append(np.cumsum(new) - 1 + total)
-            line_row.append(row[new] + lo)
-            line_no.append(no[new])
-            total += int(new.sum())
+            first.append(at + n)
+            line_row.append(row + lo)
+            line_no.append(no)
+            n += len(w.hash)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.vocab, tok = tn.coded(cat(words, U))
-        self.line_row, self.line_no = cat(line_row, np.int64), cat(line_no, np.int64)
-        if level_of is None:
-            self.count = np.bincount(tok, minlength=len(self.vocab))
-            return
-        level = level_of(self.vocab)
-        order = np.lexsort((self.vocab, level))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        key = tn.distinct(cat(lines, np.int64) << 32 | rank[tok])
-        line, by_rank = key >> 32, order[key & 0xFFFFFFFF]
-        bound = np.searchsorted(line, np.arange(total + 1))
-        token = self.vocab[by_rank]
-        h = [np.add.reduceat(tn.mix(token ^ U(s)), bound[:-1]) if total else np.zeros(0, U) for s in (0, 0x5851F42D4C957F2D)]
-        doc = ids[self.line_row]
-        order = np.lexsort((self.line_no, self.line_row, doc, h[1], h[0]))
+        self.row, self.no, first = cat(line_row, np.int64), cat(line_no, np.int64), cat(first, np.int64)
+        total = len(first)
+        key = tn.distinct(np.repeat(np.arange(total), np.diff(np.append(first, n))) << 32 | tok)
+        bound, code = np.searchsorted(key >> 32, np.arange(total + 1)), key & 0xFFFFFFFF
+        h = self._signs(code, bound[:-1])
+        order = np.lexsort((self.no, self.row, self.ids[self.row], h[1], h[0]))
         a, b = h[0][order], h[1][order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if total else np.zeros(0, bool)
         self.member_of = np.empty(total, np.int64)
         self.member_of[order] = np.cumsum(new) - 1
-        head = order[new]
-        self.head = head
-        self.doc, self.row, self.no = doc[head], self.line_row[head], self.line_no[head]
-        self.size = np.diff(bound)[head]
-        at = np.repeat(bound[:-1][head], self.size) + tn.ragged(self.size)
-        self.token, self.level = token[at], level[by_rank[at]].astype(np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        # parity sketch: each token flips one of 512 bits; the bits in which two sketches differ are
-        # at most the tokens in which the sets differ.  Smaller sets keep it folded to fewer words.
-        one, word = U(1) << (self.token & U(63)), (self.token >> U(6)) & U(7)
-        self.map = [np.bitwise_xor.reduceat(np.where(word == U(k), one, U(0)), self.start) if len(self.start) else np.zeros(0, U)
-                    for k in range(8)]
-        self.map = _folded(self.map, self.size)
-        self.sign = [x[head] for x in h]
+        self.head = order[new]
+        self.size = np.diff(bound)[self.head]
+        self.code = code[np.repeat(bound[:-1][self.head], self.size) + tn.ragged(self.size)]
+
+    def _signs(self, code: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        return [np.add.reduceat(tn.mix(self.vocab ^ U(s))[code], start) if len(start) else np.zeros(0, U)
+                for s in (0, 0x5851F42D4C957F2D)]
+
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    def signs(self) -> list[np.ndarray]:
+        """128 bits of each member that tell its set."""
+        return self._signs(self.code, self.start())
+
+    def sketches(self) -> list[np.ndarray]:
+        """Parity sketches: each word flips one of 512 bits; the bits in which two sketches differ are at most
+        the words in which the sets differ.  Smaller sets keep it folded to fewer words of 64 bits."""
+        start, out = self.start(), [np.zeros(len(self.size), U) for _ in range(8)]
+        one, word = U(1) << (self.vocab & U(63)), (self.vocab >> U(6)) & U(7)
+        for m, kept, _ in _classes(self.size, self.size):
+            n = self.size[m]
+            code = self.code[np.repeat(start[m], n) + tn.ragged(n)]
+            for k in range(kept):
+                out[k][m] = np.bitwise_xor.reduceat(np.where(word % U(kept) == U(k), one, U(0))[code], np.cumsum(n) - n)
+        return out
+
+
+def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A block as ``Lines`` reads it back; the first column names the block."""
+    x = Lines(batch)
+    step = np.diff(x.code, prepend=0)  # codes of a set ascend
+    step[x.start()] = x.code[x.start()]
+    body = frames(put_ids(x.ids), squeeze(x.nulls), *(put_counts(c) for c in (x.row, x.no, x.member_of, x.head, x.size, step)),
+                  put_u64(x.vocab))
+    return pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([body], pa.binary())], ["rid", "lines"])
+
+
+class Members:
+    """Distinct line sets of a block: sorted tokens by rarity, first line, and each line's member."""
+
+    def __init__(self, batch: pa.RecordBatch, level_of):
+        x = Lines(batch)
+        self.ids, self.nulls, self.line_row, self.line_no, self.member_of = x.ids, x.nulls, x.row, x.no, x.member_of
+        self.head, self.size, self.start = x.head, x.size, x.start()
+        self.doc = x.ids[x.row[x.head]]
+        level = level_of(x.vocab)
+        order = np.lexsort((x.vocab, level))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by_rank = order[np.sort(np.repeat(np.arange(len(x.size)), x.size) << 32 | rank[x.code]) & 0xFFFFFFFF]
+        self.token, self.level = x.vocab[by_rank], level.astype(np.int64)[by_rank]
+        self.map, self.sign = x.sketches(), x.signs()
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, member, place): what the members meet on.  At the first common key of two similar sets, no more
         than ``n - place`` tokens can be common; a pair of tokens has the place before its second."""
-        n = np.repeat(self.size, self.size)
-        of, place = np.repeat(np.arange(len(self.size)), self.size), tn.ragged(self.size)
+        upto = np.minimum(self.size, self.size + (-NUM * self.size // DEN) + 2)  # the prefix and one more
+        n = np.repeat(self.size, upto)
+        of, place = np.repeat(np.arange(len(self.size)), upto), tn.ragged(upto)
         reach = n + (-NUM * n // DEN) + 1
-        hot = self.level >= HOT
+        at_token = np.repeat(self.start, upto) + place
+        token, level = self.token[at_token], self.level[at_token]
+        hot = level >= HOT
         wide = np.zeros(len(self.size), bool)
         wide[of[hot & (place <= reach) & (n > 1)]] = True
         # a set with no room for one token more is similar to equal sets only
-        inside = (place < reach + wide[of]) & (self.level > 0) & (n * DEN // NUM > n)
+        inside = (place < reach + wide[of]) & (level > 0) & (n * DEN // NUM > n)
         single = inside & ~hot & (n > 1)
-        keys, who, at = [tn.mix(self.token[single])], [of[single]], [place[single]]
+        keys, who, at = [tn.mix(token[single])], [of[single]], [place[single]]
         # pairs of frequent tokens
         f = np.flatnonzero(inside & hot & (n > 1))
         count = np.bincount(of[f], minlength=len(self.size))
         left = np.repeat(np.cumsum(count), count) - np.arange(len(f)) - 1
         x = np.repeat(f, left)
         y = f[np.repeat(np.arange(len(f)), left) + 1 + tn.ragged(left)] if len(f) else f
-        keys.append(tn.mix(self.token[x] * U(0xD6E8FEB86659FD93) + self.token[y]))
+        keys.append(tn.mix(token[x] * U(0xD6E8FEB86659FD93) + token[y]))
         who.append(of[x])
         at.append(place[y] - 1)
         return np.concatenate(keys), np.concatenate(who), np.concatenate(at)
@@ -149,10 +193,11 @@ class Members:
 
 def _ask_words(bits: int):
     def keys_of(batch: pa.RecordBatch):
-        m = Members(batch)
-        short = _short(m.vocab, bits)
+        x = Lines(batch)
+        short = _short(x.vocab, bits)
         head = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.zeros(0, np.int64)
-        count = np.minimum(np.add.reduceat(m.count, head), 65535).astype("<u2") if len(head) else np.zeros(0, "<u2")
+        members = np.bincount(x.code, minlength=len(x.vocab))
+        count = np.minimum(np.add.reduceat(members, head), 65535).astype("<u2") if len(head) else np.zeros(0, "<u2")
         keys = short[head]
         low = (keys << U(bits) >> U(32)).astype(np.uint32)
         return keys, lambda a, b: frames(squeeze(count[a:b]), put_u32(low[a:b]))
@@ -192,7 +237,7 @@ def _spread(bits: int, width: int):
         key, who, place = m.entries()
         # inside a bucket by member: neighbours share document, line and size, which packs them small
         bucket = (key >> U(64 - bits)).astype(np.int64)
-        order = np.lexsort((who, bucket))
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
         key, who, place = key[order], who[order], place[order]
         cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
         number = block_number(batch.column(0)[0].as_py(), width)
@@ -213,9 +258,7 @@ def _spread(bits: int, width: int):
 
         buckets = range(1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([body(k) for k in buckets], pa.binary())], ["bucket", "payload"])
-        ids = batch.column(1)
-        rows = frames(number.to_bytes(8, "little"), put_ids(ids.fill_null(NULL_ID).to_numpy()),
-                      squeeze(ids.is_null().to_numpy(zero_copy_only=False)),
+        rows = frames(number.to_bytes(8, "little"), put_ids(m.ids), squeeze(m.nulls),
                       put_counts(m.line_row), put_counts(m.line_no), put_counts(m.member_of), put_counts(m.head))
         yield pa.RecordBatch.from_arrays([pa.array([-1 - number % (1 << 30)], pa.int32()), pa.array([rows], pa.binary())],
                                          ["bucket", "payload"])
@@ -237,17 +280,20 @@ SKETCH = [f"m{k}" for k in range(8)]
 
 
 def _read_entries(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    """Entries of a bucket, by key, document and line."""
+    """Entries of a bucket, by key, document and line; most whose key no other has are left out."""
+    framed = [unframe(p) for p in payloads]
+    keys = [get_u32(f[1]) for f in framed]
+    shift = np.uint32(max(0, 29 - int(sum(map(len, keys))).bit_length()))
+    met = np.bincount(np.concatenate(keys) >> shift) > 1
     cols: list[list[np.ndarray]] = [[] for _ in range(13)]
-    for p in payloads:
-        f = unframe(p)
-        n = get_counts(f[3])
+    for f, key in zip(framed, keys):
+        n, at = get_counts(f[3]), np.flatnonzero(met[key >> shift])
         sketch = np.zeros((8, len(n)), U)
         sketch[0] = np.frombuffer(f[5], U)
         sketch[1, n > ONE_WORD] = np.frombuffer(f[6], U)
         sketch[2:, n > TWO_WORDS] = np.frombuffer(f[8], U).reshape(6, -1)
-        ids = (int.from_bytes(f[0], "little") << IDX) + get_counts(f[2])
-        for c, v in zip(cols, (get_u32(f[1]), ids, n, get_counts(f[4]), get_ids(f[7]), *sketch)):
+        ids = (int.from_bytes(f[0], "little") << IDX) + get_counts(f[2])[at]
+        for c, v in zip(cols, (key[at], ids, n[at], get_counts(f[4])[at], get_ids(f[7])[at], *sketch[:, at])):
             c.append(v)
     return _by_key(cols)
 
@@ -305,10 +351,16 @@ def _pass(e: dict[str, np.ndarray], y: np.ndarray, x: np.ndarray) -> tuple[np.nd
     most = np.minimum(ny - e["place"][y], nx - e["place"][x])
     need = -(-NUM * (ny + nx) // (NUM + DEN))
     most[(ny == nx) & (need == ny)] = 0  # only equal sets would do, and those are known by their signature
+    good = (most >= need) & (e["id"][y] != e["id"][x])
+    ok[ok] = good
+    y, x, ny, nx, need = (v[good] for v in (y, x, ny, nx, need))
     # the larger sketch folds to the smaller one's words
-    x_or = _folded([e[c][y] ^ e[c][x] for c in SKETCH], np.minimum(ny, nx))
-    apart = sum(np.bitwise_count(w).astype(np.int64) for w in x_or)
-    good = (most >= need) & (apart <= ny + nx - 2 * need) & (e["id"][y] != e["id"][x])
+    apart = np.zeros(len(y), np.int64)
+    for at, few, many in _classes(np.minimum(ny, nx), np.maximum(ny, nx)):
+        yy, xx = y[at], x[at]
+        word = [e[c][yy] ^ e[c][xx] for c in SKETCH[:many]]
+        apart[at] = sum(np.bitwise_count(np.bitwise_xor.reduce(word[k::few])).astype(np.int64) for k in range(few))
+    good = apart <= ny + nx - 2 * need
     ok[ok] = good
     return ok, apart[good]
 
@@ -391,28 +443,12 @@ def _rows(n: int, **cols: pa.Array) -> pa.Table:
 
 def _sets_of(batch: pa.RecordBatch, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
     """The word sets of the wanted lines of a block."""
-    at = wanted.column("v").to_numpy() & ((1 << IDX) - 1)
-    need = tn.distinct(at)
-    lines, words, total = [np.zeros(0, np.int64)], [np.zeros(0, U)], 0
-    for lo, hi in tn.chunks(batch.column(2)):
-        buf, offs = tn.flat(batch.column(2).slice(lo, hi - lo))
-        start, end = tn.runs(tn.IS_WORD[buf], offs)
-        line = np.cumsum(_line_of(buf, offs, start)[2]) - 1 + total
-        total = int(line[-1]) + 1 if len(line) else total
-        k = np.minimum(np.searchsorted(need, line), len(need) - 1)
-        sel = need[k] == line
-        lines.append(k[sel])
-        words.append(tn.span_hash(buf, start[sel], end[sel], tn.BYTE_CODE_LOWER))
-    line, word = np.concatenate(lines), np.concatenate(words)
-    order = np.lexsort((word, line))
-    line, word = line[order], word[order]
-    new = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1])) if len(word) else np.zeros(0, bool)
-    line, word = line[new], word[new]
-    cut = np.searchsorted(line, np.arange(len(need) + 1))
-    pick = np.searchsorted(need, at)
+    x = Lines(batch)
+    word, cut = x.vocab[x.code], np.append(0, np.cumsum(x.size))
+    of = x.member_of[wanted.column("v").to_numpy() & ((1 << IDX) - 1)]
     yield pa.RecordBatch.from_arrays(
         [wanted.column("cell").combine_chunks(), wanted.column("v").combine_chunks(),
-         pa.array([word[cut[k]:cut[k + 1]].tobytes() for k in pick.tolist()], pa.binary())], ["cell", "v", "keys"])
+         pa.array([word[cut[k]:cut[k + 1]].tobytes() for k in of.tolist()], pa.binary())], ["cell", "v", "keys"])
 
 
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -489,7 +525,7 @@ def _lines(rows: pa.Table, gone: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: lines with a word, lines that go, and their numbers (from 0)."""
-    packs = pack(docs, "line-packs", id_col, text_col, level=6)
+    packs = pack(docs, "line-packs", id_col, text_col, level=1, as_kept=_kept)
     bits = bucket_bits(packs)
     width, number = _numbers(packs)
     levels = answer(ask(packs, bits, _ask_words(bits)), _levels)

@@ -66,8 +66,10 @@ def unseal(payload: bytes) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text",
-         part_of: Callable[[pa.Array], np.ndarray] | None = None, level: int = 3) -> DataFrame:
-    """Staged blocks: ``block``, ``part``, ``n_bytes``, ``payload``.  Rows are kept as they are.
+         part_of: Callable[[pa.Array], np.ndarray] | None = None, level: int = 3,
+         as_kept: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """Staged blocks: ``block``, ``part``, ``n_bytes``, ``payload``.  Rows are kept as they are, or as ``as_kept``
+    makes of a block's rows.
 
     ``part_of`` deals rows by their ids into parts; a block holds rows of one part.
     """
@@ -86,7 +88,8 @@ def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "te
             ids = pa.concat_arrays([h.column(0) for h in batches])
             text = pa.concat_arrays([h.column(1) for h in batches])
             rid = pa.array(base + (seq << 20) + np.arange(len(ids), dtype=np.int64))
-            body = seal(pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"]), level)
+            rows = pa.RecordBatch.from_arrays([rid, ids, text], ["rid", "doc_id", "text"])
+            body = seal(rows if as_kept is None else as_kept(rows), level)
             seq += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([base + (seq - 1 << 20)], pa.int64()), pa.array([part], pa.int32()),

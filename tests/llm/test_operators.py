@@ -271,6 +271,39 @@ def test_line_candidates_with_frequent_tokens(monkeypatch):
                    if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
 
 
+def test_blocks_of_lines_are_read_into_words_once(monkeypatch):
+    """A kept block gives the same line sets as its texts, without reading them again."""
+    from quarry.llm import packs
+
+    rows = [(None if r["doc_id"] in (3, 7) else r["doc_id"], r["text"]) for r in edge_rows()]
+    rows += [(50, "\n".join(f"{a} {b} {a}" for a in "xyzXYZ" for b in "uvw")), (50, "u x\n\nx u"), (51, "\n \n")]
+    monkeypatch.setattr(op7_lines.tn.chunks, "__defaults__", (1 << 9,))
+    for part in (rows, rows[:2]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1 << 40, (1 << 40) + len(part))), pa.array([r[0] for r in part], pa.int64()),
+                                            pa.array([r[1] for r in part], pa.string())], ["rid", "doc_id", "text"])
+        whole = op7_lines.Lines(batch)
+        assert (len(whole.row) == 0) == (part is not rows)
+        kept = packs.unseal(packs.seal(op7_lines._kept(batch), 1))
+        assert kept.column(0).to_pylist() == [1 << 40]
+        with monkeypatch.context() as m:
+            m.setattr(op7_lines.tn, "tokenize", None)
+            again = op7_lines.Lines(kept)
+            members = op7_lines.Members(kept, lambda v: np.ones(len(v), np.uint8))
+        for name in vars(whole):
+            assert getattr(again, name).tolist() == getattr(whole, name).tolist(), name
+        assert [x.tolist() for x in members.map] == [x.tolist() for x in whole.sketches()]
+        # the sketch of a set is the parity of its words' bits, folded
+        for k, (at, n) in enumerate(zip(whole.start().tolist(), whole.size.tolist())):
+            bits = [0] * 8
+            for w in whole.vocab[whole.code[at:at + n]].tolist():
+                bits[w >> 6 & 7] ^= 1 << (w & 63)
+            kept_words = 1 if n <= op7_lines.ONE_WORD else 2 if n <= op7_lines.TWO_WORDS else 8
+            want = [0] * 8
+            for j, b in enumerate(bits):
+                want[j % kept_words] ^= b
+            assert [int(x[k]) for x in members.map] == want
+
+
 def test_lines_that_need_every_pass(spark):
     """Many near lines that are not similar: members stop early, and some find their earlier line in the last pass."""
     rng = np.random.default_rng(1)
